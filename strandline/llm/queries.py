@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jpeg, language, packing, pieces, secrets, warc
+from . import jpeg, language, linefreq, packing, pieces, secrets, warc
 from .common import fold
 
 
@@ -33,6 +33,10 @@ def op3_sentencepiece_prefix_table(spark, sf_dir):
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op5_line_frequency(spark, sf_dir):
+    return linefreq.line_quality(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     rows = language.predict_language(docs, language.fit_language(docs))
@@ -59,7 +63,7 @@ def op10_baseline_jpeg(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_transactions, op2_sum_of_squares_packing, op3_sentencepiece_prefix_table, op6_language_id, op9_secret_scan, op10_baseline_jpeg)}
+QUERIES = {f.__name__: f for f in (op1_warc_transactions, op2_sum_of_squares_packing, op3_sentencepiece_prefix_table, op5_line_frequency, op6_language_id, op9_secret_scan, op10_baseline_jpeg)}
 
 ORACLE = {
     "op1_warc_transactions": """
@@ -70,4 +74,23 @@ ORACLE = {
                CASE WHEN payload_bytes >= 1000 AND top > page_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 1000 AND top > page_id THEN top END AS refers_to
         FROM l""",
+    "op5_line_frequency": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, chr(1) || 'null') AS host, coalesce(text, '') AS t FROM documents),
+             w AS (SELECT r, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
+             win AS (SELECT r, i, list_slice(ws, i, i + 7) AS win FROM (SELECT r, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
+             twice AS (SELECT r, win FROM win GROUP BY r, win HAVING count(*) > 1),
+             rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT win.r, unnest(range(win.i, win.i + 8)) AS p FROM win JOIN twice ON twice.r = win.r AND twice.win = win.win) GROUP BY r),
+             raw AS (SELECT r, host, t, unnest(string_split(t, chr(10))) AS l FROM d),
+             full_ AS (SELECT r, host, ('0x' || substr(md5(t), 1, 15))::BIGINT AS digest, l, list_filter(regexp_split_to_array(lower(l), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS lw
+                       FROM raw WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+             dup AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM full_ GROUP BY r),
+             common AS (SELECT host, lw, min(digest) AS first FROM full_ GROUP BY host, lw HAVING count(DISTINCT digest) > 10),
+             lost AS (SELECT f.r, sum(len(f.lw)) AS n FROM full_ f JOIN common c ON c.host = f.host AND c.lw = f.lw WHERE f.digest <> c.first GROUP BY f.r),
+             f AS (SELECT d.doc_id, len(w.ws)::BIGINT AS n_words, length(array_to_string(w.ws, ''))::BIGINT AS word_chars,
+                          (length(d.t) - length(regexp_replace(d.t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines,
+                          coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(lost.n, 0)::BIGINT AS removed_words
+                   FROM d JOIN w ON w.r = d.r LEFT JOIN dup ON dup.r = d.r LEFT JOIN rep ON rep.r = d.r LEFT JOIN lost ON lost.r = d.r)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
+               NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words - removed_words >= 20 AND n_words - removed_words >= 0.5 * n_words AS kept, removed_words
+        FROM f""",
 }
