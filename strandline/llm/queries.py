@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jpeg, language, linefreq, packing, pieces, secrets, warc
+from . import jaccard, jpeg, language, linefreq, packing, pieces, secrets, warc
 from .common import fold
 
 
@@ -43,6 +43,10 @@ def op6_language_id(spark, sf_dir):
     return rows.select("doc_id", F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op8_jaccard_join(spark, sf_dir):
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_secret_scan(spark, sf_dir):
     rows = secrets.find_secrets(table(spark, sf_dir, "documents"))
     text = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
@@ -63,7 +67,7 @@ def op10_baseline_jpeg(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_transactions, op2_sum_of_squares_packing, op3_sentencepiece_prefix_table, op5_line_frequency, op6_language_id, op9_secret_scan, op10_baseline_jpeg)}
+QUERIES = {f.__name__: f for f in (op1_warc_transactions, op2_sum_of_squares_packing, op3_sentencepiece_prefix_table, op5_line_frequency, op6_language_id, op8_jaccard_join, op9_secret_scan, op10_baseline_jpeg)}
 
 ORACLE = {
     "op1_warc_transactions": """
@@ -93,4 +97,12 @@ ORACLE = {
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
                NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words - removed_words >= 20 AND n_words - removed_words >= 0.5 * n_words AS kept, removed_words
         FROM f""",
+    "op8_jaccard_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+             s AS (SELECT DISTINCT doc_id, list_slice(ws, i, i + 3) AS sh FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+             n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+             both_ AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+             links AS (SELECT x, y FROM both_ JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+             reach AS (SELECT doc_id AS x, doc_id AS c FROM documents UNION SELECT links.y, reach.c FROM reach JOIN links ON links.x = reach.x)
+        SELECT reach.x AS doc_id, any_value(coalesce(n.n, 0))::BIGINT AS n_shingles, min(reach.c) AS component_id FROM reach LEFT JOIN n ON n.doc_id = reach.x GROUP BY reach.x""",
 }
