@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, jpeg, language, linefreq, packing, pieces, secrets, warc
+from . import jaccard, jpeg, kneserney, language, linefreq, packing, pieces, secrets, warc
 from .common import fold
 
 
@@ -43,6 +43,10 @@ def op6_language_id(spark, sf_dir):
     return rows.select("doc_id", F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op7_quality_classifier(spark, sf_dir):
+    return kneserney.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row_id")
+
+
 def op8_jaccard_join(spark, sf_dir):
     return jaccard.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -67,7 +71,7 @@ def op10_baseline_jpeg(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_transactions, op2_sum_of_squares_packing, op3_sentencepiece_prefix_table, op5_line_frequency, op6_language_id, op8_jaccard_join, op9_secret_scan, op10_baseline_jpeg)}
+QUERIES = {f.__name__: f for f in (op1_warc_transactions, op2_sum_of_squares_packing, op3_sentencepiece_prefix_table, op5_line_frequency, op6_language_id, op7_quality_classifier, op8_jaccard_join, op9_secret_scan, op10_baseline_jpeg)}
 
 ORACLE = {
     "op1_warc_transactions": """
