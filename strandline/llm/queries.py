@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, jpeg, kneserney, language, linefreq, packing, pieces, secrets, warc
+from . import brown, jaccard, jpeg, kneserney, language, linefreq, packing, pieces, secrets, warc
 from .common import fold
 
 
@@ -33,6 +33,10 @@ def op3_sentencepiece_prefix_table(spark, sf_dir):
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op4_brown_class_model(spark, sf_dir):
+    return brown.brown_scores(table(spark, sf_dir, "documents"))
+
+
 def op5_line_frequency(spark, sf_dir):
     return linefreq.line_quality(table(spark, sf_dir, "documents"))
 
@@ -71,7 +75,7 @@ def op10_baseline_jpeg(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_transactions, op2_sum_of_squares_packing, op3_sentencepiece_prefix_table, op5_line_frequency, op6_language_id, op7_quality_classifier, op8_jaccard_join, op9_secret_scan, op10_baseline_jpeg)}
+QUERIES = {f.__name__: f for f in (op1_warc_transactions, op2_sum_of_squares_packing, op3_sentencepiece_prefix_table, op4_brown_class_model, op5_line_frequency, op6_language_id, op7_quality_classifier, op8_jaccard_join, op9_secret_scan, op10_baseline_jpeg)}
 
 ORACLE = {
     "op1_warc_transactions": """
