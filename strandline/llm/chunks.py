@@ -1,4 +1,4 @@
-"""Byte-level BPE ids of whole texts, with a memo of the pieces between spaces."""
+"""Byte-level BPE ids of whole texts, with a table of the pieces between spaces."""
 
 from __future__ import annotations
 
@@ -7,71 +7,103 @@ from functools import lru_cache
 
 import numpy as np
 
-#: A space or line end that no visible character follows: such texts are cut the slow way.
-_ODD = re.compile(r"[ \n](?=\s|\Z)")
+from .wordhash import hash_spans, mix
+
+#: A space or line end that no visible character follows, or a zero byte: such texts are cut the slow way.
+_ODD = re.compile(r"[ \n](?=\s|\Z)|\0")
 _CUT = re.compile(r"(?= \S)")
 
 
-class ChunkMemo(dict):
-    """key -> little-endian unsigned 32-bit ids of a chunk.
+class ChunkTable:
+    """Ids of chunks by the hash of their bytes and of what stands before them: a sorted table into one flat array of ids.
 
     The pre-tokeniser's pattern never matches across a space that a visible character follows, nor across a
-    single line end between two visible characters, so a text's ids are those of its chunks in turn. A key is
-    a chunk without its leading space; a key that begins with a line end stands for itself. Bounded: it is
-    emptied when it has `most` keys."""
+    single line end between two visible characters, so a text's ids are those of its chunks in turn: the text's head, then
+    pieces that begin with a space or a line end. Bounded: it is emptied when it has `most` chunks."""
 
-    def __init__(self, encode_batch, begins, line_end: int, most: int = 500_000):
+    def __init__(self, encode_batch, begins, line_end: int, most: int = 1_000_000):
         """begins: for each id, whether its bytes begin with a space. line_end: the id of a line end."""
-        super().__init__()
         self.encode_batch, self.begins, self.line_end, self.most = encode_batch, begins, line_end, most
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys = np.zeros(0, dtype=np.uint64)
+        self.starts = np.zeros(0, dtype=np.int64)
+        self.sizes = np.zeros(0, dtype=np.int64)
+        self.flat = np.zeros(0, dtype="<u4")
 
-    def learn(self, keys: set[str]) -> None:
-        new = [k for k in keys if k not in self]
-        if len(self) + len(new) > self.most:
-            self.clear()
-            new = list(keys)
+    def _learn(self, keys: np.ndarray, chunks: list[str]) -> None:
+        """Adds chunks, given with what stands before them, under their sorted keys."""
+        ids: list = [None] * len(chunks)
         # many chunks go through the tokeniser as one text; each begins with the one token of its kind that holds a space or line end
-        self._joined([k for k in new if k[:1] != "\n" and "\n" not in k], " ", lambda ids: self.begins[ids])
-        self._joined([k for k in new if k[:1] == "\n"], "", lambda ids: ids == self.line_end)
-
-    def _joined(self, keys: list[str], before: str, starts) -> None:
-        for i in range(0, len(keys), 20_000):
-            part = keys[i : i + 20_000]
-            ids = np.asarray(self.encode_batch([before + before.join(part)])[0], dtype="<u4")
-            at = np.flatnonzero(starts(ids))
-            if len(at) == len(part) and at[0] == 0:
-                data, ends = ids.tobytes(), [*(4 * at[1:]).tolist(), 4 * len(ids)]
-                begin = 0
-                for k, end in zip(part, ends, strict=True):
-                    self[k] = data[begin:end]
-                    begin = end
-            else:
-                for k, own in zip(part, self.encode_batch([before + k for k in part]), strict=True):
-                    self[k] = np.asarray(own, dtype="<u4").tobytes()
+        kinds = {" ": [], "\n": [], "": []}
+        for i, c in enumerate(chunks):
+            kinds[c[0] if c[:1] in (" ", "\n") else ""].append(i)
+        for lead, starts in ((" ", lambda x: self.begins[x]), ("\n", lambda x: x == self.line_end)):
+            for k in range(0, len(kinds[lead]), 20_000):
+                part = kinds[lead][k : k + 20_000]
+                every = np.asarray(self.encode_batch(["".join(chunks[i] for i in part)])[0], dtype="<u4")
+                at = np.flatnonzero(starts(every))
+                if len(at) == len(part) and at[0] == 0:
+                    for i, own in zip(part, np.split(every, at[1:]), strict=True):
+                        ids[i] = own
+                else:
+                    kinds[""] += part
+        for i, own in zip(kinds[""], self.encode_batch([chunks[i] for i in kinds[""]]), strict=True):
+            ids[i] = np.asarray(own, dtype="<u4")
+        sizes = np.array([len(x) for x in ids], dtype=np.int64)
+        starts = len(self.flat) + np.cumsum(sizes) - sizes
+        self.flat = np.concatenate([self.flat, *ids])
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.starts, self.sizes = np.insert(self.keys, at, keys), np.insert(self.starts, at, starts), np.insert(self.sizes, at, sizes)
+
+    def _places(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key in the table, or -1."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain, keys, odd = [], set(), {}
-        for i, t in enumerate(texts):
-            if not t or _ODD.search(t):
-                odd[i] = t
-                plain.append(None)
-            else:
-                words = t.replace("\n", " \n").split(" ")
-                plain.append(words)
-                keys.update(words[1:])
-        self.learn(keys)
-        heads = iter(self.encode_batch([w[0] for w in plain if w is not None]))
-        get = self.__getitem__
-        out = [None if w is None else np.asarray(next(heads), dtype="<u4").tobytes() + b"".join(map(get, w[1:])) for w in plain]
-        for i, t in odd.items():
-            parts = _CUT.split(t) if t else []
-            out[i] = b"".join(np.asarray(ids, dtype="<u4").tobytes() for ids in self.encode_batch(parts))
+        """Little-endian unsigned 32-bit ids of each text."""
+        odd = [i for i, t in enumerate(texts) if not t or _ODD.search(t)]
+        strange = set(odd)
+        plain = [i for i in range(len(texts)) if i not in strange]
+        out: list[bytes] = [b""] * len(texts)
+        if plain:
+            raw = b"\0".join([b"", *(texts[i].encode() for i in plain), b""])
+            data = np.frombuffer(raw, dtype=np.uint8)
+            cuts = np.flatnonzero((data == 32) | (data == 10) | (data == 0))
+            lead = data[cuts[:-1]]
+            # the hash of a chunk and of the byte before it
+            hashes = mix(hash_spans(data, cuts[:-1] + 1, cuts[1:]) + lead.astype(np.uint64))
+            unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+            place = self._places(unique)
+            new = place < 0
+            if new.any():
+                if len(self.keys) + int(new.sum()) > self.most:
+                    self._clear()
+                    new[:] = True
+                begin = cuts[first[new]]
+                begin = begin + (data[begin] == 0)
+                self._learn(unique[new], [raw[b:e].decode() for b, e in zip(begin.tolist(), cuts[first[new] + 1].tolist(), strict=True)])
+                place = self._places(unique)
+            sizes, starts = self.sizes[place][inverse], self.starts[place][inverse]
+            ends = np.cumsum(sizes)
+            ids = self.flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1])]
+            heads = np.flatnonzero(lead == 0)  # the first chunk of each text
+            bounds = [*(ends[heads] - sizes[heads]).tolist(), int(ends[-1])]
+            for i, b, e in zip(plain, bounds, bounds[1:], strict=False):
+                out[i] = ids[b:e].tobytes()
+        for i in odd:
+            parts = _CUT.split(texts[i]) if texts[i] else []
+            out[i] = b"".join(np.asarray(x, dtype="<u4").tobytes() for x in self.encode_batch(parts))
         return out
 
 
 @lru_cache(maxsize=2)
-def chunk_memo(path: str) -> ChunkMemo:
-    """One memo a worker process and vocabulary file."""
+def chunk_table(path: str) -> ChunkTable:
+    """One table a worker process and vocabulary file."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's own core is all it has
@@ -80,4 +112,4 @@ def chunk_memo(path: str) -> ChunkMemo:
     tok = Tokenizer.from_file(path)
     tok.encode_special_tokens = True  # a special token's string in a text is ordinary text
     begins = np.array([(tok.id_to_token(i) or "").startswith("Ġ") for i in range(tok.get_vocab_size())])
-    return ChunkMemo(lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)] if texts else [], begins, tok.token_to_id("Ċ"))
+    return ChunkTable(lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)] if texts else [], begins, tok.token_to_id("Ċ"))

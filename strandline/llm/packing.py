@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .chunks import chunk_memo
+from .chunks import chunk_table
 from .common import blocks, task_numbers, texts_of
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -79,7 +79,7 @@ class LevelArray:
 
 def _packer(path: str, size: int):
     def run(batches):
-        memo, numbers, levels, rows = chunk_memo(path), task_numbers(), LevelArray(size), []
+        table, numbers, levels, rows = chunk_table(path), task_numbers(), LevelArray(size), []
 
         def close(window):
             number, offset = next(numbers), 0
@@ -94,9 +94,9 @@ def _packer(path: str, size: int):
             names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
-        for batch in blocks(batches):
+        for batch in blocks(batches, 2 << 20):
             docs = batch.column(0).to_pylist()
-            for doc, ids in zip(docs, memo.encode(batch.column(1).to_pylist()), strict=True):
+            for doc, ids in zip(docs, table.encode(batch.column(1).to_pylist()), strict=True):
                 ids += b"\0\0\0\0"
                 tokens = len(ids) // 4
                 whole = tokens - tokens % size

@@ -23,6 +23,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_BYTES = mix(np.arange(301, 557, dtype=np.uint64) * _ODD)
 _VALUES = mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
 _VALUES[ord("A") : ord("Z") + 1] = _VALUES[ord("a") : ord("z") + 1]  # words are compared in lower case
 _powers: list[np.ndarray] = []
@@ -35,20 +36,24 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _BYTES) -> np.ndarray:
+    """Hashes of data[start:end], ends exclusive and starts over 0: a polynomial over random values of bytes, read from one running sum."""
+    powers, inverse = _power_tables(len(data))
+    sums = values[data]
+    sums *= powers[: len(data)]
+    np.cumsum(sums, out=sums)
+    return mix((sums[ends - 1] - sums[starts - 1]) * inverse[starts])
+
+
 def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash of each word, text after text; how many words each text has; the word's last byte).
 
-    A word is a stretch of bytes other than space and ASCII 9 to 13; A-Z count as a-z. The hash is a polynomial
-    over random values of bytes, read from one running sum over all texts."""
+    A word is a stretch of bytes other than space and ASCII 9 to 13; A-Z count as a-z."""
     data = np.frombuffer(b" ".join([b"", *texts, b""]), dtype=np.uint8)
     inside = ~SEPARATOR[data]
     edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     starts, ends = edge[::2], edge[1::2]
-    powers, inverse = _power_tables(len(data))
-    sums = _VALUES[data]
-    sums *= powers[: len(data)]
-    np.cumsum(sums, out=sums)
-    hashes = mix((sums[ends - 1] - sums[starts - 1]) * inverse[starts])
+    hashes = hash_spans(data, starts, ends, _VALUES)
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
     begins = np.cumsum(lengths + 1)  # where the next text's separator stands
     counts = np.diff(np.searchsorted(starts, begins), prepend=0)
