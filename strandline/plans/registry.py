@@ -441,3 +441,33 @@ def session_spells(spark, d):
     from strandline.streaming.spells import sessions
 
     return sessions(read(spark, d, "events")).select("user_id", F.col("start").cast("string").alias("start"), "events")
+
+
+@query("""WITH j AS (SELECT cast(o_orderkey AS varchar) AS job_id, CASE WHEN o_orderkey % 3 = 0 THEN 'a.wav' ELSE ' ' END AS file, CASE WHEN o_orderkey % 2 = 0 THEN 'http://x' END AS url, cast(o_custkey % 100 + 150 AS double) AS ud, 200e0 AS d,
+              CASE WHEN o_orderkey % 5 = 0 THEN 'id' END AS found FROM orders),
+    k AS (SELECT *, CASE WHEN trim(file) <> '' THEN 'file' WHEN url IS NOT NULL AND abs(ud - d) / greatest(1e0, d) <= 0.15e0 THEN 'link' WHEN found IS NOT NULL THEN 'search' END AS kind FROM j)
+    SELECT job_id, kind, CASE kind WHEN 'file' THEN file WHEN 'link' THEN url ELSE found END AS source, CASE WHEN kind IS NULL THEN CASE WHEN url IS NOT NULL THEN 'the link''s length doesn''t fit' ELSE 'no reference' END END AS error FROM k""")
+def reference_choice(spark, d):
+    from strandline.operators.reference import choose_source
+
+    o = read(spark, d, "orders")
+    key = F.col("o_orderkey")
+    jobs = o.select(key.cast("string").alias("job_id"), F.when(key % 3 == 0, "a.wav").otherwise(" ").alias("file"), F.when(key % 2 == 0, "http://x").alias("url"), (F.col("o_custkey") % 100 + 150).cast("double").alias("url_duration"), F.lit(200.0).alias("duration"))
+    return choose_source(jobs, o.where("o_orderkey % 5 = 0").select(key.cast("string").alias("job_id"), F.lit("id").alias("id")))
+
+
+@query("""SELECT job_id, cast(row_number() OVER (PARTITION BY job_id ORDER BY idx) - 1 AS int) AS idx, text FROM (SELECT job_id, idx, trim(CASE WHEN idx % 3 = 1 THEN '  ' ELSE ' ' || role || ' ' END) AS text FROM {turns}) WHERE text <> ''""")
+def clean_segments(spark, d):
+    from strandline.operators.reference import clean_segments
+
+    return clean_segments(read(spark, d, "turns").select("job_id", "idx", F.when(F.col("idx") % 3 == 1, "  ").otherwise(F.concat(F.lit(" "), "role", F.lit(" "))).alias("text")))
+
+
+@query()
+def time_map_choice(spark, d):
+    from strandline.operators.reference import best_map
+
+    v = read(spark, d, "embeddings").where("vec_id < 2000").select(F.col("label").cast("string").alias("job_id"), "vec_id", F.transform(F.slice("embedding", 1, 12), lambda x: F.abs(x).cast("double")).alias("c"))
+    unit = F.transform("c", lambda x: x / F.greatest(F.lit(1e-8), F.sqrt(F.aggregate("c", F.lit(0.0), lambda t, y: t + y * y))))
+    rows = v.select("job_id", F.when(F.col("vec_id") % 2 == 0, "ref").otherwise("perf").alias("side"), F.expr("row_number() OVER (PARTITION BY job_id, vec_id % 2 ORDER BY vec_id) - 1").alias("frame"), unit.alias("chroma"))
+    return rounded(best_map(rows.withColumn("onset", F.col("chroma")), 10.0)[1], "multiscale_cost", "legacy_cost", "multiscale_spread", "legacy_spread", "disagreement")
