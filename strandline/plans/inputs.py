@@ -13,7 +13,7 @@ SELECTS = {
     "lyrics": """
         SELECT job_id, 60e0 AS duration, string_agg(line, chr(10) ORDER BY idx) AS text FROM (
             SELECT job_id, idx, '[' || lpad(cast(cast(floor(t / 60) AS int) AS string), 2, '0') || ':' || lpad(cast(cast(floor(t) AS int) % 60 AS string), 2, '0') || '.' ||
-                   CASE WHEN idx % 2 = 0 THEN '25' ELSE '5' END || '] ' || CASE WHEN idx % 4 = 3 THEN '' ELSE replace(substr(text, 1, 40), chr(10), ' ') END AS line
+                   CASE WHEN idx % 2 = 0 THEN '25' ELSE '5' END || '] ' || CASE WHEN idx % 4 = 3 THEN '' ELSE replace(sync_text, chr(10), ' ') END AS line
             FROM (SELECT *, 1e0 + idx * 3.25e0 AS t FROM ({turns}))) GROUP BY job_id""",
     "frames": """
         SELECT event_type AS job_id, cast(n AS int) AS frame, n * 0.1e0 AS t, abs(value) AS rms, cast(count(*) OVER (PARTITION BY event_type) AS double) * 0.1e0 AS duration

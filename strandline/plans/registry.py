@@ -116,20 +116,20 @@ def text_keys(spark, d):
 
 
 @query(r"""WITH c AS (SELECT job_id, sum(len(regexp_extract_all(t, '[\x{ac00}-\x{d7a3}]'))) AS h, sum(len(regexp_extract_all(t, '[\x{3040}-\x{30ff}]'))) AS k, sum(len(regexp_extract_all(t, '[A-Za-z]'))) AS l
-              FROM (SELECT job_id, substr(text, 1, 200) || CASE WHEN cast(job_id AS int) % 3 = 0 THEN repeat('가', 300) WHEN cast(job_id AS int) % 3 = 1 THEN repeat('か', 20) ELSE '' END AS t FROM {texts}) GROUP BY job_id)
+              FROM (SELECT job_id, text || CASE WHEN cast(job_id AS int) % 3 = 0 THEN repeat('가', length(text)) WHEN cast(job_id AS int) % 3 = 1 THEN repeat('か', 20) ELSE '' END AS t FROM {texts}) GROUP BY job_id)
     SELECT job_id, CASE WHEN h >= greatest(1, k, l) THEN 'ko' WHEN k >= greatest(1, h) THEN 'ja' WHEN l > 0 THEN 'en' END AS language FROM c""")
 def lyric_language(spark, d):
     kind = F.col("job_id").cast("int") % 3
-    rows = read(spark, d, "texts").select("job_id", F.concat(F.substring("text", 1, 200), F.when(kind == 0, "가" * 300).when(kind == 1, "か" * 20).otherwise("")).alias("t"))
+    rows = read(spark, d, "texts").select("job_id", F.concat("text", F.when(kind == 0, F.expr("repeat('가', length(text))")).when(kind == 1, "か" * 20).otherwise("")).alias("t"))
     g = rows.groupBy("job_id").agg(*[F.sum(c).alias(n) for c, n in zip(X.script_counts(F.col("t")), "hkl", strict=True)])
     return g.select("job_id", X.language_of(F.col("h"), F.col("k"), F.col("l")).alias("language"))
 
 
 @query()
 def text_similarity(spark, d):
-    items = read(spark, d, "benchmark").select("item_id", F.substring("text", 1, 120).alias("b"))
-    docs = read(spark, d, "documents").select("doc_id", F.substring("text", 1, 120).alias("a"), (F.col("doc_id") % 40).alias("item_id"))
-    return docs.join(items, "item_id").select("doc_id", "item_id", X.similarity(F.col("a"), F.col("b")).alias("similarity"))
+    turns = read(spark, d, "turns").select("job_id", "idx", "text")
+    following = turns.select("job_id", (F.col("idx") - 1).alias("idx"), F.col("text").alias("next"))
+    return rounded(turns.join(following, ["job_id", "idx"]).select("job_id", "idx", X.similarity(F.col("text"), F.col("next")).alias("similarity")), "similarity")
 
 
 _CLEAN = r"trim(regexp_replace(j->>'title', '(?i)[(\[{][^)\]}]*\b(?:official|audio|video|lyrics?|mv)\b[^)\]}]*[)\]}]', '', 'g'))"
@@ -159,7 +159,7 @@ def search_attempts(spark, d):
 
 @query()
 def catalog_rank_top1(spark, d):
-    q = read(spark, d, "part").where("p_partkey % 5 = 0").select(F.col("p_size").cast("string").alias("job_id"), F.col("p_brand").alias("artist"), F.concat("p_name", F.lit(" (Official Audio)")).alias("title"), F.lit(201.0).alias("duration"), F.lit(2).alias("lines"), "p_partkey")
+    q = read(spark, d, "part").select(F.col("p_size").cast("string").alias("job_id"), F.col("p_brand").alias("artist"), F.concat("p_name", F.lit(" (Official Audio)")).alias("title"), F.lit(201.0).alias("duration"), F.lit(2).alias("lines"), "p_partkey")
     q = q.groupBy("job_id").agg(F.min_by(F.struct("artist", "title", "duration", "lines"), "p_partkey").alias("q")).select("job_id", "q.*")
     return catalog.best_record(catalog.upsert(read(spark, d, "records")), q).select("job_id", "trackName", "artistName", F.round("score", 6).alias("score"))
 
@@ -345,22 +345,23 @@ def compress_rows(spark, d):
 @query()
 def transcript_align(spark, d):
     turns = read(spark, d, "turns")
-    segments = turns.where("role = 'assistant'").select("job_id", "idx", F.substring("text", 1, 80).alias("text"))
+    segments = turns.where("role = 'assistant'").select("job_id", "idx", F.col("sync_text").alias("text"))
     segments = segments.withColumn("idx", F.expr("row_number() OVER (PARTITION BY job_id ORDER BY idx) - 1")).select("job_id", "idx", (F.col("idx") * 4.0 + 1).alias("start"), (F.col("idx") * 4.0 + 3.5).alias("end"), "text")
-    blocks = turns.where("role = 'user'").select("job_id", F.expr("row_number() OVER (PARTITION BY job_id ORDER BY idx) - 1").alias("idx"), F.substring("text", 1, 80).alias("text"), "duration").withColumn("sync_text", F.col("text"))
-    return rounded(align.align_to_segments(align.choose_lines(blocks, segments), segments), "start", "end", "score")
+    blocks = turns.where("role = 'user'").select("job_id", F.expr("row_number() OVER (PARTITION BY job_id ORDER BY idx) - 1").alias("idx"), "text", "sync_text", "duration")
+    return rounded(align.align_to_segments(blocks, segments), "start", "end", "score")
 
 
 @query()
 def lrc_group_align(spark, d):
-    blocks = read(spark, d, "turns").select("job_id", "idx", F.substring("text", 1, 40).alias("text"), "duration").withColumn("sync_text", F.replace("text", F.lit("\n"), F.lit(" ")))
+    blocks = read(spark, d, "turns").select("job_id", "idx", "text", "sync_text", "duration")
     return rounded(align.align_to_lrc(blocks, scans.lrc_items(read(spark, d, "lyrics"))), "start", "end", "score", "average")
 
 
 @query()
 def near_duplicate_trim(spark, d):
-    rows = read(spark, d, "documents").where("length(text) BETWEEN 200 AND 1500").select("doc_id", align.trim_copy(F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit("\n"), "text")).otherwise(F.col("text"))).alias("r"))
-    return rows.select("doc_id", F.length("r.text").alias("n"), "r.removed")
+    jobs = read(spark, d, "turns").groupBy("job_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "text"))), lambda r: r["text"]), "\n").alias("text"))
+    twice = F.when(F.col("job_id").cast("int") % 2 == 0, F.concat("text", F.lit("\n"), "text")).otherwise(F.col("text"))
+    return jobs.select("job_id", align.trim_copy(twice).alias("r")).select("job_id", F.length("r.text").alias("n"), "r.removed")
 
 
 @query(f"""WITH {_EVEN}, x AS (SELECT job_id, idx, start, CASE WHEN idx % 7 = 3 THEN start - 1 WHEN idx % 5 = 2 THEN "end" + 1 ELSE "end" END AS e FROM ev), y AS (SELECT *, lag(e) OVER (PARTITION BY job_id ORDER BY idx) AS before FROM x)
@@ -416,7 +417,7 @@ def onset_features(spark, d):
 
 @query()
 def warping_paths(spark, d):
-    v = read(spark, d, "embeddings").where("vec_id < 2000").select(F.col("label").cast("string").alias("job_id"), F.col("vec_id"), F.transform(F.slice("embedding", 1, 12), lambda x: F.abs(x).cast("double")).alias("c"))
+    v = read(spark, d, "embeddings").select(F.col("label").cast("string").alias("job_id"), F.col("vec_id"), F.transform(F.slice("embedding", 1, 12), lambda x: F.abs(x).cast("double")).alias("c"))
     unit = F.transform("c", lambda x: x / F.greatest(F.lit(1e-8), F.sqrt(F.aggregate("c", F.lit(0.0), lambda t, y: t + y * y))))
     rows = v.select("job_id", F.when(F.col("vec_id") % 2 == 0, "ref").otherwise("perf").alias("side"), F.expr("row_number() OVER (PARTITION BY job_id, vec_id % 2 ORDER BY vec_id) - 1").alias("frame"), unit.alias("chroma"))
     return timemap.time_axis(timemap.build_paths(rows, 10.0))
@@ -467,7 +468,14 @@ def clean_segments(spark, d):
 def time_map_choice(spark, d):
     from strandline.operators.reference import best_map
 
-    v = read(spark, d, "embeddings").where("vec_id < 2000").select(F.col("label").cast("string").alias("job_id"), "vec_id", F.transform(F.slice("embedding", 1, 12), lambda x: F.abs(x).cast("double")).alias("c"))
+    v = read(spark, d, "embeddings").select(F.col("label").cast("string").alias("job_id"), "vec_id", F.transform(F.slice("embedding", 1, 12), lambda x: F.abs(x).cast("double")).alias("c"))
     unit = F.transform("c", lambda x: x / F.greatest(F.lit(1e-8), F.sqrt(F.aggregate("c", F.lit(0.0), lambda t, y: t + y * y))))
     rows = v.select("job_id", F.when(F.col("vec_id") % 2 == 0, "ref").otherwise("perf").alias("side"), F.expr("row_number() OVER (PARTITION BY job_id, vec_id % 2 ORDER BY vec_id) - 1").alias("frame"), unit.alias("chroma"))
     return rounded(best_map(rows.withColumn("onset", F.col("chroma")), 10.0)[1], "multiscale_cost", "legacy_cost", "multiscale_spread", "legacy_spread", "disagreement")
+
+
+@query()
+def adaptive_lines(spark, d):
+    turns = read(spark, d, "turns")
+    segments = turns.where("role = 'assistant'").select("job_id", F.expr("row_number() OVER (PARTITION BY job_id ORDER BY idx) - 1").alias("idx"), F.col("sync_text").alias("text"))
+    return align.choose_lines(turns.where("role = 'user'").select("job_id", "idx", "text", "sync_text"), segments).select("job_id", "idx", "sync_text")
