@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -13,9 +14,9 @@ from .common import blocks, byte_texts, texts_of, written
 from .components import components
 from .wordhash import frequent_in_chunks, mix, shingle_sets
 
-SMALL = 32  # members of a list whose pairs are all tried
-MOST_FREQUENT = 500_000  # bound of the set of frequent shingles: 4 MB
-BLOCK = 2 << 20
+SMALL = 8  # members of a list whose pairs are all tried
+MOST_FREQUENT = 4_000_000  # bound of the set of frequent shingles: 32 MB
+BLOCK = 1 << 20
 
 
 def _sets(batches, size: int):
@@ -27,11 +28,11 @@ def frequent_shingles(texts: DataFrame, size: int) -> np.ndarray:
     """The sorted hashes of shingles that have at least one MOST_FREQUENT-th of all (document, shingle) pairs, so MOST_FREQUENT at most; all texts are counted."""
 
     def run(batches):
-        return frequent_in_chunks(s for _, sets in _sets(batches, size) for s in sets)
+        return frequent_in_chunks((s for _, sets in _sets(batches, size) for s in sets), MOST_FREQUENT, 2)
 
     counts = written(texts.mapInArrow(run, "key long, count long").groupBy("key").agg(F.sum("count").alias("count")), "frequent")
     total = counts.where("key IS NULL").select("count").first()
-    least = max(64, (total[0] if total else 0) / MOST_FREQUENT)
+    least = max(24, (total[0] if total else 0) / MOST_FREQUENT)
     rows = counts.where(F.col("key").isNotNull() & (F.col("count") >= least)).select("key").toArrow()
     return np.sort(rows["key"].to_numpy().astype(np.int64).view(np.uint64))
 
@@ -68,7 +69,7 @@ def _describe(size: int, share: int, frequent):
                 for k, v in (("n", n), ("s1", s1), ("s2", s2), ("group", _digest(prefix)[0]), ("prefix", prefix.view(np.int64)), ("bits", _parity(own) if n else [])):
                     rows[k].append(v)
             types = {"n": pa.int64(), "s1": pa.int64(), "s2": pa.int64(), "group": pa.int64(), "prefix": pa.list_(pa.int64()), "bits": pa.list_(pa.int64())}
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(rows[k], t) for k, t in types.items()]], ["doc_id", *types])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(rows[k], t) for k, t in types.items()]], ["doc_id", "text_hash", *types])
 
     return run
 
@@ -95,17 +96,36 @@ def _wanted_sets(size: int, wanted):
     return run
 
 
-WANTED_BITS = 1 << 26  # 8 MB, whatever the input; a fuller table lets more sets through to the exact join
+WANTED_BITS = 1 << 26  # 8 MB, whatever the input; a fuller table lets more through to the exact join
 
 
-def _wanted_table(classes: DataFrame) -> np.ndarray:
-    at = F.expr(f"s1 & {WANTED_BITS - 1}")
-    words = classes.select(at.alias("at")).selectExpr("at >> 5 AS word", "shiftleft(1L, cast(at & 31 AS int)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+def _bit_table(df: DataFrame, column: str) -> np.ndarray:
+    """Bytes of a table of WANTED_BITS bits with a bit for each number in the column, gathered as words."""
+    at = F.expr(f"{column} & {WANTED_BITS - 1}")
+    words = df.select(at.alias("at")).selectExpr("at >> 5 AS word", "shiftleft(1L, cast(at & 31 AS int)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     table = np.zeros(WANTED_BITS // 32, dtype="<u4")
     table[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
     return table.view(np.uint8)
 
 
+def _postings(wanted):
+    """Rows (row_id, n, pos, token) of the prefix shingles whose bit is set."""
+
+    def run(batches):
+        table = wanted.value
+        for batch in batches:
+            prefix = batch.column(2)
+            sizes = np.diff(prefix.offsets.to_numpy())
+            tokens = prefix.flatten().to_numpy()
+            at = tokens & (WANTED_BITS - 1)
+            keep = np.flatnonzero(table[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            row = np.repeat(np.arange(len(sizes)), sizes)[keep]
+            pos = keep - (np.cumsum(sizes) - sizes)[row]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(pos, pa.int32()), pa.array(tokens[keep], pa.int64())], ["row_id", "n", "pos", "token"])
+
+    return run
+
+
 def _differ(a: Column, b: Column) -> Column:
     """At least how many members two sets differ in, by their parity bits; the longer table is folded."""
     q = F.least(F.size(a), F.size(b))
@@ -114,60 +134,67 @@ def _differ(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(fold(a), fold(b), xor), F.lit(0), lambda total, x: total + F.bit_count(x))
 
 
-def _resolve(lists: DataFrame, classes: DataFrame, sets: DataFrame, share: int) -> DataFrame | None:
-    """Links (a, b) that connect all classes which any pair of linked members of any list (key, cid) connects.
+def _may_link(n1: Column, p1: Column, n2: Column, p2: Column, share: int) -> Column:
+    """Whether sets of sizes n1, n2 whose first common shingle has places p1, p2 in them can be linked: what follows must hold the whole overlap.
+
+    A linked pair fits at its first common shingle, so the test may be made at each common shingle alone."""
+    return (100 + share) * F.least(n1 - p1, n2 - p2) >= share * (n1 + n2)
 
-    Lists with SMALL members or fewer have all pairs tried. In a longer one every member is compared with a few pivots, which grow
-    fourfold each round. A member that is linked with a pivot leaves the list where the triangle inequality of the Jaccard distance
-    shows that no member not linked with the pivot can be linked with it; pivots leave it too, for they have met everyone. A list ends when all its
-    members are in one component or all are pivots. Nothing is dropped otherwise, so the result is exact."""
-    far = (100 - share) / 100
+
+def _resolve(lists: DataFrame, classes: DataFrame, fetch: Callable[[DataFrame], DataFrame], share: int) -> DataFrame | None:
+    """Links (a, b) that connect all classes which any pair of linked members of any list (key, cid, n, pos) connects.
+
+    Only pairs from different components need a test, and only those that size and place allow. Lists with SMALL members or fewer have all of
+    those tried. In a longer one the members outside its largest component are outliers. First the member with the least place, which
+    has the fewest shingles of its own, meets all others; in later rounds outliers do, as many as the list's length allows, four times as many
+    each round, and then leave it. A list ends when all its outliers have met everyone or its members are in one component. Nothing is
+    dropped otherwise, so the result is exact, and near copies by the thousand cost a few comparisons each. `fetch` gives
+    whole sets (cid, members) of the classes asked for: those of pairs that pass the filters."""
     links, roots, turn = None, None, 0
     side = lambda name: classes.select(F.col("cid").alias(name), F.col("n").alias(f"n_{name}"), F.col("bits").alias(f"bits_{name}"))
     while True:
-        now = lists if roots is None else lists.join(roots, lists["cid"] == roots["node"], "left").select("key", "cid", F.coalesce("root", "cid").alias("root"))
-        now = now if roots is not None else now.withColumn("root", F.col("cid"))
-        open_ = now.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("key", "m")
-        now = written(now.join(open_, "key"), "lists")
+        if roots is None:
+            now = lists.withColumn("root", F.col("cid"))
+        else:
+            now = lists.join(roots, lists["cid"] == roots["node"], "left").select("key", "cid", "n", "pos", F.coalesce("root", "cid").alias("root"))
+        shares = now.groupBy("key", "root").agg(F.count("*").alias("c"))
+        tops = shares.groupBy("key").agg(F.sum("c").alias("m"), F.max(F.struct("c", "root")).alias("top"))
+        tops = tops.where(F.col("m") > F.col("top.c")).select("key", "m", F.col("top.root").alias("top"), (F.col("m") - F.col("top.c")).alias("out"))
+        now = written(now.join(tops, "key"), "lists")
         if now.isEmpty():
             return links
         small, large = now.where(F.col("m") <= SMALL), now.where(F.col("m") > SMALL)
-        a = small.select("key", F.col("cid").alias("a"), F.col("root").alias("ra"))
-        b = small.select("key", F.col("cid").alias("b"), F.col("root").alias("rb"))
-        pairs = a.join(b, "key").where("a < b AND ra <> rb").select("a", "b")
-        every = F.ceil(F.col("m") / F.lit(4**turn))
-        pivots = large.groupBy("key").agg(F.min("cid").alias("least"))
-        pivots = large.join(pivots, "key").where((F.col("cid") == F.col("least")) | (F.pmod(F.xxhash64("cid", F.lit(turn)), every) == 0)).select("key", F.col("cid").alias("pivot"), F.col("root").alias("pivot_root"))
-        met = large.join(pivots, "key").where("cid <> pivot")
-        tried = met.where("root <> pivot_root").select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b"))
-        pairs = pairs.unionByName(tried).distinct()
-        pairs = pairs.join(side("a"), "a").join(side("b"), "b").withColumns({"low": F.least("n_a", "n_b"), "high": F.greatest("n_a", "n_b")})
-        pairs = pairs.withColumn("apart", F.greatest(F.col("high") - F.col("low"), _differ(F.col("bits_a"), F.col("bits_b")))).withColumn("both", F.col("n_a") + F.col("n_b"))
-        pairs = written(pairs.select("a", "b", "both", "apart"), "pairs")
+        part = lambda df, i: df.select("key", F.col("cid").alias(f"c{i}"), F.col("n").alias(f"n{i}"), F.col("pos").alias(f"p{i}"), F.col("root").alias(f"r{i}"))
+        may = (F.col("r1") != F.col("r2")) & _may_link(F.col("n1"), F.col("p1"), F.col("n2"), F.col("p2"), share)
+        pairs = part(small, 1).join(part(small, 2), "key").where(may & (F.col("c1") < F.col("c2"))).select(F.col("c1").alias("a"), F.col("c2").alias("b"))
+        order = F.struct("pos", F.xxhash64("cid"))
+        if turn == 0:
+            first = large.groupBy("key").agg(F.min_by("cid", order).alias("first"))
+            pivots, left = large.join(first, "key").where("cid = first"), large
+        else:
+            most = F.greatest(F.lit(2 * 4**turn), F.floor(2_000_000 / F.col("m")))
+            pivots = large.where((F.col("root") != F.col("top")) & (F.pmod(F.xxhash64("cid", F.lit(turn)), F.ceil(F.col("out") / most)) == 0))
+            left = large.where(F.col("out") > most)
+        met = part(large, 1).join(part(pivots, 2), "key").where(may).select(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b"))
+        pairs = pairs.unionByName(met).distinct()
+        pairs = pairs.join(side("a"), "a").join(side("b"), "b")
+        apart = F.greatest(F.abs(F.col("n_a") - F.col("n_b")), _differ(F.col("bits_a"), F.col("bits_b")))
         # intersection <= (both - apart) / 2 and union >= (both + apart) / 2
-        likely = pairs.where(100 * (F.col("both") - F.col("apart")) >= share * (F.col("both") + F.col("apart")))
-        full = likely.join(sets.select(F.col("cid").alias("a"), F.col("members").alias("set_a")), "a").join(sets.select(F.col("cid").alias("b"), F.col("members").alias("set_b")), "b")
-        common = F.size(F.array_intersect("set_a", "set_b"))
-        exact = written(full.select("a", "b", "both", common.alias("common")), "verified")
-        new = exact.where(100 * F.col("common") >= share * (F.col("both") - F.col("common")))
-        found = new.select("a", "b")
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
-        # distances from pivots, at least
-        dist = pairs.join(exact.select("a", "b", "common"), ["a", "b"], "left")
-        union = F.col("both") - F.col("common")
-        dist = dist.select("a", "b", F.when(F.col("common").isNotNull(), 1 - F.col("common") / union).otherwise(2 * F.col("apart") / (F.col("both") + F.col("apart"))).alias("distance"), F.coalesce(100 * F.col("common") >= share * union, F.lit(False)).alias("linked"))
-        seen = met.select("key", "cid", "pivot", F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b"), (F.col("root") == F.col("pivot_root")).alias("same")).join(dist, ["a", "b"], "left")
-        # members of the pivot's own component weren't compared with it; they are neither linked for this purpose nor bound it
-        bound = seen.where("NOT same AND NOT linked").groupBy("key", "pivot").agg(F.min("distance").alias("nearest"))
-        gone = seen.where("linked").join(bound, ["key", "pivot"], "left").where(F.col("nearest").isNull() | (F.col("distance") < F.col("nearest") - far - 1e-9)).select("key", "cid")
-        gone = gone.unionByName(pivots.select("key", F.col("pivot").alias("cid"))).distinct()
-        lists = written(large.select("key", "cid").join(gone, ["key", "cid"], "left_anti"), "lists")
+        pairs = pairs.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("both"), apart.alias("apart"))
+        likely = written(pairs.where(100 * (F.col("both") - F.col("apart")) >= share * (F.col("both") + F.col("apart"))).select("a", "b", "both"), "likely")
+        if not likely.isEmpty():
+            sets = fetch(likely.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
+            full = likely.join(sets.select(F.col("cid").alias("a"), F.col("members").alias("set_a")), "a").join(sets.select(F.col("cid").alias("b"), F.col("members").alias("set_b")), "b")
+            common = F.size(F.array_intersect("set_a", "set_b"))
+            found = written(full.where(100 * common >= share * (F.col("both") - common)).select("a", "b"), "links")
+            links = found if links is None else links.unionByName(found)
+            roots = components(links)
+        lists = left.select("key", "cid", "n", "pos").join(pivots.select("key", "cid"), ["key", "cid"], "left_anti")
         turn += 1
 
 
 def jaccard_components(docs: DataFrame, size: int = 4, share: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: row_id, doc_id, n_shingles, component_id (the least doc_id of those reached by links of a Jaccard similarity of share/100 or more).
+    """One row per document: row_id, doc_id, text_hash, n_shingles, component_id (the least doc_id of those reached by links of a Jaccard similarity of share/100 or more).
 
     Documents are sets of distinct `size`-word shingles (64-bit hashes), put in one global order: frequent shingles last, otherwise by
     hash. Equal sets are one class; classes with equal prefixes and sizes are one group. Groups that share a prefix shingle are
@@ -180,32 +207,42 @@ def jaccard_components(docs: DataFrame, size: int = 4, share: int = 85, doc_id:
     spark = docs.sparkSession
     texts = texts_of(docs, doc_id, text)
     frequent = spark.sparkContext.broadcast(frequent_shingles(texts, size))
-    described = texts.mapInArrow(_describe(size, share, frequent), "doc_id long, n long, s1 long, s2 long, `group` long, prefix array<long>, bits array<long>")
+    hashed = texts.withColumn("text_hash", F.xxhash64("text"))
+    described = hashed.mapInArrow(_describe(size, share, frequent), "doc_id long, text_hash long, n long, s1 long, s2 long, `group` long, prefix array<long>, bits array<long>")
     rows = written(described.withColumn("row_id", F.monotonically_increasing_id()), "sets")
     classes = written(rows.where("n > 0").groupBy("n", "s1", "s2", "group").agg(F.min("row_id").alias("cid"), F.min("doc_id").alias("first_doc")), "classes")
     groups = classes.groupBy("n", "group").agg(F.min("cid").alias("gid"), F.count("*").alias("k"))
-    members = written(classes.join(groups, ["n", "group"]).select("gid", "cid", "k"), "members")
+    members = written(classes.join(groups, ["n", "group"]).select("gid", "cid", "n", "k"), "members")
     leads = members.where("gid = cid").select("gid")
-    shown = rows.join(leads, rows["row_id"] == leads["gid"]).select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
-    often = shown.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
-    shared = written(shown.join(often, "token"), "tokens")
-    # group pairs of short lists, by size and position
+    # most shingles are in one prefix only, and go before anything else is joined
+    twice = rows.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
+    table = spark.sparkContext.broadcast(_bit_table(twice, "token"))
+    shown = rows.where("n > 0").select("row_id", "n", "prefix").mapInArrow(_postings(table), "row_id long, n long, pos int, token long")
+    shown = written(shown.join(leads, shown["row_id"] == leads["gid"]).select("gid", "n", "pos", "token"), "postings")
+    often = shown.groupBy("token").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1")
+    shared = shown.join(often, "token")
+    # who can't be linked with any member of the list, whose sizes are `least` or more, needs no place in it
+    partner = F.greatest("least", F.ceil(F.col("n") * share / F.lit(100)))
+    shared = written(shared.where(_may_link(F.col("n"), F.col("pos"), partner, F.lit(0), share)), "tokens")
+    # group pairs of short lists, by size and place
     one = shared.where(F.col("m") <= SMALL)
     x, y = (one.select("token", F.col("gid").alias(f"g{i}"), F.col("n").alias(f"n{i}"), F.col("pos").alias(f"p{i}")) for i in (1, 2))
-    fits = (100 * F.col("n1") >= share * F.col("n2")) & ((F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("g1") < F.col("g2"))))
-    most = F.least("p1", "p2") + 1 + F.least(F.col("n1") - 1 - F.col("p1"), F.col("n2") - 1 - F.col("p2"))
-    pairs = x.join(y, "token").where(fits & ((100 + share) * most >= share * (F.col("n1") + F.col("n2")))).select("g1", "g2").distinct()
-    pairs = pairs.select(F.xxhash64("g1", "g2").alias("key"), F.explode(F.array("g1", "g2")).alias("gid"))
-    lists = pairs.unionByName(shared.where(F.col("m") > SMALL).select(F.col("token").alias("key"), "gid")).unionByName(members.where("k > 1 AND gid = cid").select(F.col("gid").alias("key"), "gid"))
+    pairs = x.join(y, "token").where((F.col("g1") < F.col("g2")) & _may_link(F.col("n1"), F.col("p1"), F.col("n2"), F.col("p2"), share)).select("g1", "g2").distinct()
+    pairs = pairs.select(F.xxhash64("g1", "g2").alias("key"), F.explode(F.array("g1", "g2")).alias("gid"), F.lit(0).alias("pos"))
+    lists = pairs.unionByName(shared.where(F.col("m") > SMALL).select(F.col("token").alias("key"), "gid", "pos")).unionByName(members.where("k > 1 AND gid = cid").select(F.col("gid").alias("key"), "gid", F.lit(0).alias("pos")))
     # keys are hashes of unlike things; should two be equal, their lists are one longer list, which loses nothing
-    lists = written(lists.join(members, "gid").select("key", "cid").distinct(), "lists")
-    used = lists.select("cid").distinct()
-    wanted = written(classes.join(used, "cid", "left_semi").select("cid", "n", "s1", "s2"), "wanted")
-    table = spark.sparkContext.broadcast(_wanted_table(wanted))
-    sets = texts.mapInArrow(_wanted_sets(size, table), "s1 long, s2 long, members array<long>").join(wanted.select("cid", "s1", "s2"), ["s1", "s2"])
-    sets = written(sets.dropDuplicates(["cid"]).select("cid", "members"), "members")
-    bits = written(rows.join(wanted.select("cid", F.col("n").alias("m")), rows["row_id"] == F.col("cid")).select("cid", "n", "bits"), "bits")
-    links = _resolve(lists, bits, sets, share)
+    lists = written(lists.join(members, "gid").select("key", "cid", "n", "pos"), "lists")
+
+    def fetch(cids: DataFrame) -> DataFrame:
+        wanted = written(classes.join(cids, "cid", "left_semi").select("cid", "s1", "s2"), "wanted")
+        if wanted.isEmpty():
+            return spark.createDataFrame([], "cid long, members array<long>")
+        table = spark.sparkContext.broadcast(_bit_table(wanted, "s1"))
+        found = texts.mapInArrow(_wanted_sets(size, table), "s1 long, s2 long, members array<long>").dropDuplicates(["s1", "s2"])
+        return written(found.join(wanted, ["s1", "s2"]).select("cid", "members"), "members")
+
+    bits = rows.join(lists.select("cid").distinct(), rows["row_id"] == F.col("cid")).select("cid", "n", "bits")
+    links = _resolve(lists, written(bits, "bits"), fetch, share)
     if links is None:
         known = classes.select("n", "s1", "s2", F.col("first_doc").alias("component_id"))
     else:
@@ -213,5 +250,17 @@ def jaccard_components(docs: DataFrame, size: int = 4, share: int = 85, doc_id:
         least = classes.join(roots, classes["cid"] == roots["node"]).groupBy("root").agg(F.min("first_doc").alias("least"))
         least = written(roots.join(least, "root").select(F.col("node").alias("cid"), "least"), "roots")
         known = classes.join(least, "cid", "left").select("n", "s1", "s2", F.coalesce("least", "first_doc").alias("component_id"))
-    out = rows.select("row_id", "doc_id", "n", "s1", "s2").join(known, ["n", "s1", "s2"], "left")
-    return out.select("row_id", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = rows.select("row_id", "doc_id", "text_hash", "n", "s1", "s2").join(known, ["n", "s1", "s2"], "left")
+    return out.select("row_id", "doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, **how) -> DataFrame:
+    """docs, with all columns, but of each component the document with the least doc_id only. Documents without words stay.
+
+    Rows meet their verdict by doc_id and text hash; of rows that share both, one stays. Of rows with equal ids and different texts in one component all stay."""
+    marked = jaccard_components(docs, **how).where(F.col("doc_id").eqNullSafe(F.col("component_id")) | (F.col("n_shingles") == 0))
+    stay = marked.groupBy(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).agg(F.count("*").alias("copies"))
+    text = F.coalesce(docs["text"], F.lit(""))
+    met = docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(stay["kept_id"]) & (F.xxhash64(text) == stay["kept_hash"]))
+    several = met.where("copies > 1").dropDuplicates(["kept_id", "kept_hash"])
+    return met.where("copies = 1").unionByName(several).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -31,7 +31,7 @@ _powers: list[np.ndarray] = []
 
 def _power_tables(n: int) -> list[np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 20)
         _powers[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, b, dtype=np.uint64)]), dtype=np.uint64) for b in (_BASE, _INVERSE)]
     return _powers
 
@@ -85,23 +85,28 @@ def shingle_sets(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
 
 
 def frequent_in_chunks(parts: Iterable[np.ndarray], chunk: int = 2_000_000, least: int = 4) -> Iterator[pa.RecordBatch]:
-    """(key, count) of keys that occur `least` times or more among about `chunk` neighbouring ones, and (null, count) of all.
+    """(key, count) of keys that occur `least` times (two at least) or more among about `chunk` neighbouring ones, and (null, count) of all.
 
     A key with a share of more than least/chunk of all occurrences is missed in no task, and the sum of its counts is
     short by less than that share."""
-    held, size = [], 0
-
-    def out():
-        keys, counts = np.unique(np.concatenate(held), return_counts=True)
+    held, size = np.empty(chunk, dtype=np.uint64), 0
+
+    def out() -> pa.RecordBatch:
+        keys = held[:size]
+        keys.sort()  # in place: one array of a chunk is all that is held
+        again = np.concatenate([[False], keys[1:] == keys[:-1], [False]])
+        first, last = np.flatnonzero(again[1:] & ~again[:-1]), np.flatnonzero(again[:-1] & ~again[1:])
+        counts = last - first + 1  # of keys that occur twice or more
         often = counts >= least
-        total = int(counts.sum())
-        return pa.RecordBatch.from_arrays([pa.array([*keys[often].view(np.int64).tolist(), None], pa.int64()), pa.array([*counts[often].tolist(), total], pa.int64())], ["key", "count"])
+        return pa.RecordBatch.from_arrays([pa.array([*keys[first[often]].view(np.int64).tolist(), None], pa.int64()), pa.array([*counts[often].tolist(), size], pa.int64())], ["key", "count"])
 
     for p in parts:
-        held.append(p)
-        size += len(p)
-        if size >= chunk:
-            yield out()
-            held, size = [], 0
+        while len(p):
+            take = min(len(p), chunk - size)
+            held[size : size + take] = p[:take]
+            size, p = size + take, p[take:]
+            if size == chunk:
+                yield out()
+                size = 0
     if size:
         yield out()
