@@ -139,19 +139,22 @@ def fit_language(docs: DataFrame, per_language: int = 400, longest: int = 20_000
     return train(langs, label, ids, weights, held, **how)
 
 
+def _predict(model: Model, known: list[str | None], texts: list[bytes]) -> tuple[list[str], list[float], list[bool]]:
+    n = len(texts)
+    lang, score, rejected = ["und"] * n, [0.0] * n, [True] * n
+    use = [i for i, t in enumerate(known) if t and _LETTER.search(t)] if model.langs else []
+    if use:
+        p = model.probabilities(model.logits([texts[i] for i in use]))
+        top = p.argmax(axis=1)
+        for i, k, s in zip(use, top.tolist(), p.max(axis=1).tolist(), strict=True):
+            lang[i], score[i], rejected[i] = model.langs[k], min(1.0, s), s < model.limit
+    return lang, score, rejected
+
+
 def _predictor(model: Model):
     def run(batches):
         for batch in blocks(batches, 2 << 20):
-            known = batch.column(1).to_pylist()
-            texts = byte_texts(batch)
-            n = len(texts)
-            lang, score, rejected = ["und"] * n, [0.0] * n, [True] * n
-            use = [i for i, t in enumerate(known) if _LETTER.search(t)] if model.langs else []
-            if use:
-                p = model.probabilities(model.logits([texts[i] for i in use]))
-                top = p.argmax(axis=1)
-                for i, k, s in zip(use, top.tolist(), p.max(axis=1).tolist(), strict=True):
-                    lang[i], score[i], rejected[i] = model.langs[k], min(1.0, s), s < model.limit
+            lang, score, rejected = _predict(model, batch.column(1).to_pylist(), byte_texts(batch))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
 
     return run
@@ -163,3 +166,15 @@ def predict_language(docs: DataFrame, model: Model) -> DataFrame:
     Only the text is read. The model is BUCKETS numbers a language, sent with the tasks; the texts aren't shuffled. Null text, no letter,
     or a model without languages: `und`, 0, rejected. Null or repeated ids: rows of their own. Empty table: no rows."""
     return texts_of(docs).mapInArrow(_predictor(model), "doc_id long, lang_pred string, score double, rejected boolean")
+
+
+def keep_known(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs whose prediction isn't rejected, with all their columns. A model without languages rejects nothing, for it knows nothing."""
+
+    def run(batches):
+        for batch in blocks(batches, 2 << 20):
+            known = batch.column(batch.schema.names.index("text")).to_pylist()
+            rejected = _predict(model, known, [t or b"" for t in byte_texts(batch)])[2] if model.langs else [False] * len(known)
+            yield batch.filter(pa.array([not r for r in rejected], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import blocks, byte_texts, texts_of
 
@@ -254,6 +255,15 @@ def scan(texts: list[bytes], rules: tuple, machines: tuple) -> list[list[tuple[i
 SPANS = "array<struct<kind: string, start: long, end: long>>"
 
 
+def _redacted(text: bytes, found: list[tuple[int, int, int]], kinds: list[str]) -> bytes:
+    parts, done = [], 0
+    for s, e, k in found:
+        if s >= done:
+            parts += [text[done:s], b"[" + kinds[k].encode() + b"]"]
+        done = max(done, e)
+    return b"".join([*parts, text[done:]])
+
+
 def _scanner(rules: tuple, machines: tuple, redact: bool):
     kinds = [r.kind for r in rules]
     item = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -270,12 +280,7 @@ def _scanner(rules: tuple, machines: tuple, redact: bool):
                 at = np.cumsum((np.frombuffer(text, dtype=np.uint8) & 0xC0) != 0x80).tolist()  # code points up to and with each byte
                 at = [0, *at]
                 spans.append([{"kind": kinds[k], "start": at[s], "end": at[e]} for s, e, k in found])
-                parts, done = [], 0
-                for s, e, k in found:
-                    if s >= done:
-                        parts += [text[done:s], b"[" + kinds[k].encode() + b"]"]
-                    done = max(done, e)
-                clean.append(b"".join([*parts, text[done:]]))
+                clean.append(_redacted(text, found, kinds))
             cols = [batch.column(0), pa.array(spans, item)] + ([pa.array(clean, pa.binary()).cast(pa.string())] if redact else [])
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "spans", "redacted"][: len(cols)])
 
@@ -290,3 +295,20 @@ def find_secrets(docs: DataFrame, rules: tuple = BASE + ADDED, redact: bool = Fa
     Overlapping secrets are replaced by the first one's kind. Other columns are not read."""
     schema = f"doc_id long, spans {SPANS}" + ", redacted string" * redact
     return texts_of(docs, doc_id, text).mapInArrow(_scanner(rules, compile_rules(rules), redact), schema)
+
+
+def redact_secrets(docs: DataFrame, rules: tuple = BASE + ADDED) -> DataFrame:
+    """docs with each secret in text replaced by its [kind], and n_chars, where there is one, as the new text's length. All rows and columns stay; a null text stays null."""
+    machines, kinds = compile_rules(rules), [r.kind for r in rules]
+
+    def run(batches):
+        for batch in blocks(batches):
+            names = batch.schema.names
+            texts = byte_texts(batch)
+            found = scan([t or b"" for t in texts], rules, machines)
+            clean = pa.array([t if t is None or not f else _redacted(t, f, kinds) for t, f in zip(texts, found, strict=True)], pa.binary()).cast(pa.string())
+            columns = [clean.cast(batch.schema.field(n).type) if n == "text" else c for n, c in zip(names, batch.columns, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    out = docs.mapInArrow(run, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
