@@ -1,85 +1,148 @@
-"""Reconciling competing timings of a caption: consensus pairs, interlude boundaries, contextual pairs, the first line, then repair."""
+"""Reconciling competing timings of a caption: consensus pairs, interlude boundaries, contextual pairs, the first line, then repair.
+
+A caption has a handful of candidates, one a window that holds its line. They are gathered into one sorted array per caption, once, and
+every rule is an expression on that array: one aggregation and one join, whatever the number of rules."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.text import source_low
-from strandline.operators.timeline import in_order
+from strandline.operators.timeline import in_order, job_window
 
 KEY = ["job_id", "idx"]
 
 
-def _pairs(candidates: DataFrame, cost: Column, condition: Column | None = None) -> DataFrame:
-    """Per caption the cheapest pair of candidates of different sources, the first among equals: columns l and r."""
-    row = F.struct("cand_idx", "start", "end", "confidence", "collapsed_ratio", "source")
-    l, r = candidates.select(*KEY, row.alias("l")), candidates.select(*KEY, row.alias("r"))  # noqa: E741
-    both = l.join(r, KEY).where("l.cand_idx < r.cand_idx AND l.source <> r.source")
-    if condition is not None:
-        both = both.where(condition)
-    return both.groupBy(*KEY).agg(F.min(F.struct(cost.alias("cost"), F.col("l.cand_idx").alias("i"), F.col("r.cand_idx").alias("j"), "l", "r")).alias("best")).select(*KEY, "best.l", "best.r")
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def bundled(captions: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Captions with cands (their candidates in order), before (the end of the caption before) and after (the start of the next)."""
+    c = candidates.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("cand_idx", "start", "end", "confidence", "collapsed_ratio", "source"))).alias("cands"))
+    rows = captions.join(c, KEY, "left").withColumn("cands", F.coalesce("cands", F.filter(F.array(F.struct(F.lit(0).alias("cand_idx"), *[F.lit(0.0).alias(n) for n in ("start", "end", "confidence", "collapsed_ratio")], F.lit("").alias("source"))), lambda x: F.lit(False))))
+    return rows.withColumns({"before": F.lag("end").over(in_order()), "after": F.lead("start").over(in_order())})
+
+
+def _best_pair(cands: Column, cost: Callable[[Column, Column], Column], ok: Callable[[Column, Column], Column] = lambda a, b: F.lit(True)) -> Column:
+    """struct(cost, i, j, l, r) of the cheapest pair of candidates of different sources, the first among equals; null without any."""
+
+    def pairs(c: Column) -> Column:
+        return F.flatten(F.transform(c, lambda a, i: F.transform(F.filter(c, lambda b, j: (j > i) & (b["source"] != a["source"]) & ok(a, b)), lambda b: F.struct(cost(a, b).alias("cost"), a["cand_idx"].alias("i"), b["cand_idx"].alias("j"), a.alias("l"), b.alias("r")))))
+
+    return _bound(cands, lambda c: F.array_min(pairs(c)))
+
+
+def _apart(a: Column, b: Column, name: str = "start") -> Column:
+    return F.abs(a[name] - b[name])
+
+
+def _middle(p: Column, name: str) -> Column:
+    return (p["l"][name] + p["r"][name]) / 2
+
+
+def _median(values: Column) -> Column:
+    return _bound(F.sort_array(values), lambda v: (F.get(v, F.floor((F.size(v) - 1) / 2).cast("int")) + F.get(v, F.floor(F.size(v) / 2).cast("int"))) / 2)
+
+
+def _spread(values: Column) -> Column:
+    return F.array_max(values) - F.array_min(values)
+
+
+def _timing(start: Column, end: Column) -> Column:
+    return F.struct(start.cast("double").alias("start"), end.cast("double").alias("end"))
 
 
-def _start_apart() -> Column:
-    return F.abs(F.col("l.start") - F.col("r.start"))
+def consensus_timing() -> Column:
+    """Start and end where two windows agree on the start to 0.6 s; how far it may move depends on the support."""
+    start, end = F.col("start"), F.col("end")
+    valid = F.filter("cands", lambda c: (F.abs(c["start"] - start) <= 3.0) & (c["end"] > c["start"] + 0.08))
 
+    def decide(v: Column) -> Column:
+        def judged(p: Column) -> Column:
+            l, r, at, stop = p["l"], p["r"], _middle(p, "start"), _middle(p, "end")  # noqa: E741
+            collapsed = (F.least(l["collapsed_ratio"], r["collapsed_ratio"]) >= 0.75) & (F.greatest(l["confidence"], r["confidence"]) < 0.04)
+            near = F.filter(v, lambda c: (F.abs(c["start"] - at) <= 0.45) & (c["confidence"] >= 0.08) & (c["collapsed_ratio"] < 0.70))
+            support = F.size(F.array_distinct(F.transform(near, lambda c: c["source"])))
+            strong = (_apart(l, r) <= 0.15) & (F.least(l["confidence"], r["confidence"]) >= 0.25) & (F.greatest(l["collapsed_ratio"], r["collapsed_ratio"]) < 0.50)
+            most = F.when((support >= 3) | strong, 2.8).otherwise(1.0)
+            take = (_apart(l, r, "end") <= 1.0) & (F.least(l["end"], r["end"]) > at + 0.35) & (F.abs(stop - end) <= 3.0)
+            return F.when((_apart(l, r) <= 0.60) & ~collapsed & (F.abs(at - start) <= most), _timing(at, F.when(take, stop).otherwise(end)))
 
-def _end_apart() -> Column:
-    return F.abs(F.col("l.end") - F.col("r.end"))
+        return _bound(_best_pair(v, lambda a, b: _apart(a, b) + 0.15 * _apart(a, b, "end")), judged)
+
+    return _bound(valid, decide)
+
+
+def boundary_timing() -> Column:
+    """Start and end next to pauses of 4 s: after one by the windows that begin with this line, before one by all windows, where they agree."""
+    start = F.col("start")
+    after_pause, before_pause = F.coalesce(start - F.col("before") >= 4.0, F.lit(False)), F.coalesce(F.col("after") - F.col("end") >= 4.0, F.lit(False))
+    valid = F.filter("cands", lambda c: (c["confidence"] >= 0.015) & (c["collapsed_ratio"] < 0.70) & (c["end"] > c["start"] + 0.35))
+    here = F.filter(valid, lambda c: F.coalesce(source_low(c["source"]) == F.col("idx") + 1, F.lit(False)))
+
+    def agreed(cands: Column, least: int, spread: float, most: float) -> Column:
+        def judged(c: Column) -> Column:
+            s, e = F.transform(c, lambda x: x["start"]), F.transform(c, lambda x: x["end"])
+            at = _median(s)
+            return F.when((F.size(c) >= least) & (_spread(s) <= spread) & (F.abs(at - start) <= most), _timing(at, _median(e)))
+
+        return _bound(cands, judged)
+
+    return F.coalesce(F.when(after_pause, agreed(here, 2, 0.35, 3.0)), F.when(before_pause, agreed(valid, 3, 2.0, 2.5)))
+
+
+def contextual_timing() -> Column:
+    """Start and end where two windows that begin before the line agree on a move of more than 1 and at most 2.5 s."""
+    valid = F.filter("cands", lambda c: F.coalesce(source_low(c["source"]) < F.col("idx") + 1, F.lit(False)) & (c["confidence"] >= 0.07) & (c["collapsed_ratio"] < 0.70) & (c["end"] > c["start"] + 0.35))
+
+    def judged(p: Column) -> Column:
+        move = F.abs(_middle(p, "start") - F.col("start"))
+        return F.when((move > 1.0) & (move <= 2.5), _timing(_middle(p, "start"), _middle(p, "end")))
+
+    return _bound(_best_pair(valid, _apart, lambda a, b: _apart(a, b) <= 0.60), judged)
+
+
+def first_line_timing() -> Column:
+    """Start of a first line that begins within 1.5 s but is sung later, by two confident windows; its end stays."""
+    start = F.col("start")
+
+    def ok(a: Column, b: Column) -> Column:
+        return (F.least(a["confidence"], b["confidence"]) >= 0.15) & (F.greatest(a["collapsed_ratio"], b["collapsed_ratio"]) < 0.60) & (_apart(a, b) <= 0.35)
+
+    def judged(p: Column) -> Column:
+        at = _middle(p, "start")
+        return F.when((at > start + 0.35) & (at <= start + 4.0) & (at < F.col("after") - 0.35), _timing(at, F.col("end")))
+
+    return F.when((F.col("idx") == 0) & (start <= 1.5), _bound(_best_pair(F.col("cands"), _apart, ok), judged))
+
+
+def _select(captions: DataFrame, candidates: DataFrame, timing: Column, *fields: str) -> DataFrame:
+    return bundled(captions, candidates).select(*KEY, timing.alias("t")).where("t IS NOT NULL").select(*KEY, *[F.col(f"t.{f}") for f in fields])
 
 
 def consensus(captions: DataFrame, candidates: DataFrame) -> DataFrame:
-    """job_id, idx, start, end of captions on whose start two windows agree to 0.6 s; how far the start may move depends on the support. Others give no row."""
-    caption = captions.select(*KEY, F.struct("start", "end").alias("c"))
-    valid = candidates.join(caption, KEY).where("abs(start - c.start) <= 3.0 AND end > start + 0.08")
-    best = _pairs(valid.drop("c"), _start_apart() + 0.15 * _end_apart())
-    rows = best.join(caption, KEY).where(_start_apart() <= 0.60)
-    rows = rows.where(~((F.least("l.collapsed_ratio", "r.collapsed_ratio") >= 0.75) & (F.greatest("l.confidence", "r.confidence") < 0.04)))
-    rows = rows.withColumn("at", (F.col("l.start") + F.col("r.start")) / 2)
-    near = valid.drop("c").join(rows.select(*KEY, "at"), KEY).where("abs(start - at) <= 0.45 AND confidence >= 0.08 AND collapsed_ratio < 0.70")
-    support = near.groupBy(*KEY).agg(F.count_distinct("source").alias("support"))
-    rows = rows.join(support, KEY, "left")
-    strong = (_start_apart() <= 0.15) & (F.least("l.confidence", "r.confidence") >= 0.25) & (F.greatest("l.collapsed_ratio", "r.collapsed_ratio") < 0.50)
-    most = F.when((F.coalesce("support", F.lit(0)) >= 3) | strong, 2.8).otherwise(1.0)
-    end = (F.col("l.end") + F.col("r.end")) / 2
-    take = (_end_apart() <= 1.0) & (F.least("l.end", "r.end") > F.col("at") + 0.35) & (F.abs(end - F.col("c.end")) <= 3.0)
-    return rows.where(F.abs(F.col("at") - F.col("c.start")) <= most).select(*KEY, F.col("at").alias("start"), F.when(take, end).otherwise(F.col("c.end")).alias("end"))
+    """job_id, idx, start, end by consensus_timing; other captions give no row. captions: job_id, idx, start, end; candidates: job_id, idx, cand_idx, start, end, confidence, collapsed_ratio, source."""
+    return _select(captions, candidates, consensus_timing(), "start", "end")
 
 
 def boundary(captions: DataFrame, candidates: DataFrame) -> DataFrame:
-    """job_id, idx, start, end next to pauses of 4 s: after one by the windows that begin with this line, before one by all windows, where they agree."""
-    c = captions.withColumns({"gap_before": F.col("start") - F.lag("end").over(in_order()) >= 4.0, "gap_after": F.lead("start").over(in_order()) - F.col("end") >= 4.0})
-    c = c.where("gap_before OR gap_after").select(*KEY, F.col("start").alias("c_start"), F.coalesce("gap_before", F.lit(False)).alias("gap_before"), F.coalesce("gap_after", F.lit(False)).alias("gap_after"))
-    valid = candidates.where("confidence >= 0.015 AND collapsed_ratio < 0.70 AND end > start + 0.35").join(c, KEY)
-    here = source_low(F.col("source")) == F.col("idx") + 1
-    only = lambda name: F.when(here, F.col(name))
-    g = valid.groupBy(*KEY, "c_start", "gap_before", "gap_after").agg(
-        F.count("*").alias("n"), (F.max("start") - F.min("start")).alias("spread"), F.median("start").alias("s"), F.median("end").alias("e"),
-        F.count(only("start")).alias("n1"), (F.max(only("start")) - F.min(only("start"))).alias("spread1"), F.median(only("start")).alias("s1"), F.median(only("end")).alias("e1"),
-    )
-    first = F.expr("gap_before AND n1 >= 2 AND spread1 <= 0.35 AND abs(s1 - c_start) <= 3.0")
-    second = F.expr("gap_after AND n >= 3 AND spread <= 2.0 AND abs(s - c_start) <= 2.5")
-    pick = F.when(first, F.struct(F.col("s1").alias("start"), F.col("e1").alias("end"))).when(second, F.struct(F.col("s").alias("start"), F.col("e").alias("end")))
-    return g.select(*KEY, pick.alias("p")).where("p IS NOT NULL").select(*KEY, "p.start", "p.end")
+    """job_id, idx, start, end by boundary_timing."""
+    return _select(captions, candidates, boundary_timing(), "start", "end")
 
 
 def contextual(captions: DataFrame, candidates: DataFrame) -> DataFrame:
-    """job_id, idx, start, end where two windows that begin before the line agree on a move of more than 1 and at most 2.5 s."""
-    valid = candidates.where((source_low(F.col("source")) < F.col("idx") + 1) & F.expr("confidence >= 0.07 AND collapsed_ratio < 0.70 AND end > start + 0.35"))
-    rows = _pairs(valid, _start_apart(), _start_apart() <= 0.60).join(captions.select(*KEY, F.col("start").alias("c_start")), KEY)
-    start, end = (F.col("l.start") + F.col("r.start")) / 2, (F.col("l.end") + F.col("r.end")) / 2
-    move = F.abs(start - F.col("c_start"))
-    return rows.where((move > 1.0) & (move <= 2.5)).select(*KEY, start.alias("start"), end.alias("end"))
+    """job_id, idx, start, end by contextual_timing."""
+    return _select(captions, candidates, contextual_timing(), "start", "end")
 
 
 def first_line(captions: DataFrame, candidates: DataFrame) -> DataFrame:
-    """job_id, idx (0), start of first lines that begin within 1.5 s but are sung later, by two confident windows."""
-    c = captions.withColumn("next", F.lead("start").over(in_order())).where("idx = 0 AND start <= 1.5").select(*KEY, F.col("start").alias("c_start"), "next")
-    ok = (F.least("l.confidence", "r.confidence") >= 0.15) & (F.greatest("l.collapsed_ratio", "r.collapsed_ratio") < 0.60) & (_start_apart() <= 0.35)
-    start = (F.col("l.start") + F.col("r.start")) / 2
-    rows = _pairs(candidates.where("idx = 0"), _start_apart(), ok).join(c, KEY).withColumn("at", start)
-    return rows.where("at > c_start + 0.35 AND at <= c_start + 4.0 AND at < next - 0.35").select(*KEY, F.col("at").alias("start"))
+    """job_id, idx (0), start by first_line_timing."""
+    return _select(captions, candidates, first_line_timing(), "start")
 
 
 def refine(captions: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -87,28 +150,26 @@ def refine(captions: DataFrame, candidates: DataFrame) -> DataFrame:
 
     Adds accepted. A start within 0.12 s of the one before falls back to its caption's own, then to 0.12 s after the one before: a fold over the
     job's sorted rows, as each step needs the last. Jobs of fewer than three captions stay as they are."""
-    tag = lambda df, name: df.select(*KEY, F.struct("start", "end").alias(name))
-    head = first_line(captions, candidates).join(captions.select(*KEY, F.col("end")), KEY)
-    rows = captions
-    for df, name in ((consensus(captions, candidates), "p1"), (boundary(captions, candidates), "p2"), (contextual(captions, candidates), "p3"), (head, "p4")):
-        rows = rows.join(tag(df, name), KEY, "left")
-    n = F.count("*").over(Window.partitionBy("job_id"))
-    rows = rows.withColumn("p", F.when(n >= 3, F.coalesce("p1", "p2", "p3", "p4"))).withColumn("n", n)
-    rows = rows.withColumns({"own": F.col("start"), "wish": F.coalesce("p.start", "start")})
-    empty = F.expr("cast(array() as array<struct<idx: int, at: double>>)")
-
-    def step(state, r):
+    n = F.count("*").over(job_window())
+    rows = bundled(captions, candidates).withColumn("n", n)
+    rows = rows.withColumn("p", F.when(F.col("n") >= 3, F.coalesce(consensus_timing(), boundary_timing(), contextual_timing(), first_line_timing())))
+    rest = [c for c in captions.columns if c not in ("job_id", "idx", "start", "end")]
+    empty = F.expr("cast(array() as array<double>)")
+
+    def step(state: Column, r: Column) -> Column:
         last = state["last"] + 0.12
         at = F.when(r["wish"] <= last, r["own"]).otherwise(r["wish"])
         at = F.when(at <= last, last).otherwise(at)
-        return F.struct(at.alias("last"), F.concat(state["out"], F.array(F.struct(r["idx"].alias("idx"), at.alias("at")))).alias("out"))
+        return F.struct(at.alias("last"), F.concat(state["out"], F.array(at)).alias("out"))
 
-    job = rows.where("n >= 3").groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct(F.col("idx").cast("int").alias("idx"), "wish", "own"))).alias("rows"))
-    fixed = job.select("job_id", F.explode(F.aggregate("rows", F.struct(F.lit(float("-inf")).alias("last"), empty.alias("out")), step, lambda s: s["out"])).alias("f")).select("job_id", "f.idx", "f.at")
-    out = rows.join(fixed, KEY, "left")
+    row = F.struct(F.col("idx").alias("idx"), F.coalesce("p.start", "start").alias("wish"), F.col("start").alias("own"), "end", "p", "n", F.struct(*rest).alias("rest"))
+    job = rows.groupBy("job_id").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    starts = F.aggregate("rows", F.struct(F.lit(float("-inf")).alias("last"), empty.alias("out")), step, lambda s: s["out"])
+    out = job.withColumn("starts", starts).select("job_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("rows") - 1), lambda i: F.struct(F.get("rows", i).alias("r"), F.get("starts", i).alias("at"), F.get("starts", i + 1).alias("next")))).alias("x"))
+    out = out.select("job_id", "x.r.*", "x.at", "x.next").select("job_id", "idx", "own", "end", "p", "n", "at", "next", "rest.*")
     start = F.least(F.col("duration"), F.greatest(F.lit(0.0), F.col("at")))
-    following = F.coalesce(F.lead("at").over(in_order()), F.col("duration"))
+    following = F.coalesce("next", "duration")
     end = F.least(F.col("duration"), F.coalesce("p.end", "end"), following - 0.05)
     end = F.when(end <= start + 0.20, F.least(F.col("duration"), F.greatest(start + 0.20, following - 0.05))).otherwise(end)
-    out = out.withColumns({"new_start": F.when(F.col("at").isNull(), F.col("start")).otherwise(start), "new_end": F.when(F.col("at").isNull(), F.col("end")).otherwise(end)})
-    return out.select("job_id", "idx", F.col("new_start").alias("start"), F.col("new_end").alias("end"), *[c for c in captions.columns if c not in ("job_id", "idx", "start", "end")], F.col("p").isNotNull().alias("accepted"))
+    many = F.col("n") >= 3
+    return out.select("job_id", "idx", F.when(many, start).otherwise(F.col("own")).alias("start"), F.when(many, end).otherwise(F.col("end")).alias("end"), *rest, F.col("p").isNotNull().alias("accepted"))
