@@ -9,10 +9,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The matching alphabet (digits, a-z, kana, CJK, Hangul), and words that end a track title.
+# The matching alphabet (digits, a-z, kana, CJK, Hangul), words that end a track title, what is taken for a bracket or a Latin run in one, the bar before a suffix.
 ALPHABET = "0-9a-z぀-ヿ㐀-鿿가-힣"
 TITLE_NOISE = r"(?:official|audio|video|lyrics?|mv)"
-SPACE = r"(?U)\s"
+IN_BRACKETS = r"[(\[{【「『]([^)\]}】」』]+)[)\]}】」』]"
+LATIN_RUN = r"[A-Za-z0-9][A-Za-z0-9 '&.,!?\-]+"
+BAR = r"(?U)\s*[|｜]\s*"
 
 
 def strip(c: Column) -> Column:
@@ -64,9 +66,9 @@ def metadata_similarity(a: Column, b: Column) -> Column:
 
 def title_variants(title: Column) -> Column:
     """Search titles: the title, what stands before a bar, bracket contents, Latin runs; each cut at a noise word, of two characters or more, without repeats (case folded), in order."""
-    plain = strip(F.get(F.split(title, r"(?U)\s*[|｜]\s*", 2), F.lit(0)))
-    inside = F.regexp_extract_all(plain, F.lit(r"[(\[{【「『]([^)\]}】」』]+)[)\]}】」』]"), F.lit(1))
-    latin = F.regexp_extract_all(plain, F.lit(r"[A-Za-z0-9][A-Za-z0-9 '&.,!?\-]+"), F.lit(0))
+    plain = strip(F.get(F.split(title, BAR, 2), F.lit(0)))
+    inside = F.regexp_extract_all(plain, F.lit(IN_BRACKETS), F.lit(1))
+    latin = F.regexp_extract_all(plain, F.lit(LATIN_RUN), F.lit(0))
     found = F.concat(F.array(strip(title), plain), F.transform(inside, strip), F.transform(latin, strip))
     found = F.transform(found, lambda v: F.regexp_replace(F.regexp_replace(v, rf"(?iU)\b(?:{TITLE_NOISE[3:-1]}|translation)\b.*", ""), r"^[ \-_.,!]+|[ \-_.,!]+$", ""))
     found = F.filter(found, lambda v: F.length(v) >= 2)

@@ -10,9 +10,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.text import TITLE_NOISE, strip, sync_line
+from strandline.functions.text import BAR, TITLE_NOISE, strip, sync_line
 
+# A stamped line (minutes, seconds, fraction, text), and an anchor line (index, time).
 STAMP = r"^\[(\d{1,2}):(\d{2})(?:[.:](\d{1,3}))?\](?U)\s*(?-U)(.*)"
+ANCHOR = r"^(\d+)\s*(?:=|:|,)\s*([0-9:.]+)\s*$"
 
 
 def lines_of(df: DataFrame, text: str = "text") -> DataFrame:
@@ -66,8 +68,7 @@ def timing_anchors(df: DataFrame, text: str = "anchors") -> tuple[DataFrame, Dat
 
     Blank lines and comments are skipped, repeats dropped; the anchors are in order of index. A job with a violation is reported, not raised."""
     rows = lines_of(df.select("job_id", "n", "duration", F.col(text).alias("raw")), "raw").withColumn("line", strip(F.col("line"))).where("line <> '' AND NOT startswith(line, '#')")
-    shape = r"^(\d+)\s*(?:=|:|,)\s*([0-9:.]+)\s*$"
-    rows = rows.select("job_id", "n", "duration", "line", F.regexp_extract("line", shape, 1).try_cast("int").alias("i"), time_value(F.regexp_extract("line", shape, 2)).alias("t"))
+    rows = rows.select("job_id", "n", "duration", "line", F.regexp_extract("line", ANCHOR, 1).try_cast("int").alias("i"), time_value(F.regexp_extract("line", ANCHOR, 2)).alias("t"))
     bad = F.when(F.col("i").isNull() | F.col("t").isNull(), "not an anchor").when((F.col("i") < 1) | (F.col("i") > F.col("n")), "index out of range").when((F.col("t") < 0) | (F.col("t") > F.col("duration")), "time out of range")
     rows = rows.withColumn("reason", bad)
     good = rows.where("reason IS NULL").select("job_id", (F.col("i") - 1).alias("idx"), "t").distinct()
@@ -89,7 +90,7 @@ def metadata_fields(payload: Column, artist: Column, title: Column) -> Column:
     who = F.when(split & (first("artist", "creator") == ""), strip(halves[0])).otherwise(first("artist", "creator"))
     what = F.when(split, strip(F.get(halves, F.lit(1)))).otherwise(first("track", "alt_title"))
     what = F.when(what == "", cleaned).otherwise(what)
-    what = strip(F.get(F.split(what, r"(?U)\s*[|｜]\s*", 2), F.lit(0)))
+    what = strip(F.get(F.split(what, BAR, 2), F.lit(0)))
     who = F.when(who == "", strip(F.regexp_replace(first("channel", "uploader"), r"(?iU)\s*-\s*Topic\s*$", ""))).otherwise(who)
     pick = lambda v, other: F.coalesce(F.nullif(v, F.lit("")), other)
     return F.struct(pick(who, artist).alias("artist"), pick(what, title).alias("title"))
