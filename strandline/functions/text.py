@@ -41,7 +41,18 @@ def ratio(a: str, b: str) -> float:
 
 @F.pandas_udf(T.DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([ratio(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
+    # what the matcher learns of a second text is kept while rows share it
+    out, match, last = [0.0] * len(a), difflib.SequenceMatcher(None), None
+    first, second = a.tolist(), b.tolist()
+    for i in sorted(range(len(first)), key=lambda i: second[i] or ""):
+        x, y = first[i], second[i]
+        if x and y:
+            if y != last:
+                match.set_seq2(y)
+                last = y
+            match.set_seq1(x)
+            out[i] = 1.0 if x == y else match.ratio()
+    return pd.Series(out, dtype="float64")
 
 
 def similarity(a: Column, b: Column) -> Column:

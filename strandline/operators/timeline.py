@@ -43,7 +43,7 @@ def anchor_spacing(blocks: DataFrame, anchors: DataFrame) -> DataFrame:
     mark = F.when(F.col("mark").isNotNull(), F.struct(F.col("idx").alias("i"), F.col("mark").alias("t")))
     both = both.withColumns({
         "n": F.count("*").over(job_window()), "left": F.last(mark, True).over(in_order().rowsBetween(Window.unboundedPreceding, 0)),
-        "right": F.first(mark, True).over(in_order().rowsBetween(0, Window.unboundedFollowing)),
+        "right": F.last(mark, True).over(job_window().orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, 0)),  # a frame that runs to the end would be read anew for each row
     }).where("left IS NOT NULL OR right IS NOT NULL")
     li, lt, ri, rt, i, d = F.col("left.i"), F.col("left.t"), F.col("right.i"), F.col("right.t"), F.col("idx"), F.col("duration")
     head = F.greatest(F.lit(0.0), rt - (ri - i) * F.least(F.lit(3.0), rt / F.greatest(F.lit(1), ri)))
@@ -63,8 +63,9 @@ def interpolate(probes: DataFrame, axis: DataFrame, x: str = "x", more: tuple =
     a = axis.select("job_id", F.col("ref_t").alias("at"), F.lit(0).alias("kind"), point.alias("p"), F.lit(None).alias("row"))
     row = F.struct(*[c for c in probes.columns if c != "job_id"])
     b = probes.select("job_id", F.col(x).alias("at"), F.lit(1).alias("kind"), F.lit(None).alias("p"), row.alias("row"))
-    w = job_window().orderBy("at", "kind")
-    both = b.unionByName(a).withColumns({"below": F.last("p", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "above": F.first("p", True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    # forwards, then backwards: a frame from the row to the end would be read anew for each row
+    fill = lambda *order: F.last("p", True).over(job_window().orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    both = b.unionByName(a).withColumns({"below": fill("at", "kind"), "above": fill(F.desc("at"), F.desc("kind"))})
     out = both.where("kind = 1").select("job_id", "row.*", "below", "above")
     v = F.col(x)
     slope = (F.col("above.y") - F.col("below.y")) / F.nullif(F.col("above.x") - F.col("below.x"), F.lit(0.0))
