@@ -9,7 +9,13 @@ from . import brown, jaccard, jpeg, kneserney, language, linefreq, packing, piec
 from .common import fold
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of sf_dir. Where the session has Spark's default of 10,000 rows a batch for Python, it gets 1,000: batches of whole texts are held in full on both sides."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, "1000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
