@@ -77,14 +77,15 @@ def interpolate(probes: DataFrame, axis: DataFrame, x: str = "x", more: tuple =
 def active_time(fractions: DataFrame, intervals: DataFrame) -> DataFrame:
     """fractions (job_id, fraction, ...) with t: the time at which that fraction of the job's active time has passed.
 
-    Each job's intervals become one sorted array of (start, span, active time before it); the lookup is a filter in it. Jobs without intervals: 0."""
+    Each job's intervals become one sorted array of (start, span, active time before it); the lookup is a filter in it. A time within 1e-9 s of an interval's end
+    is in that interval, so that the order in which spans are summed decides nothing. Jobs without intervals: 0."""
     rows = intervals.withColumn("before", F.coalesce(F.sum(F.col("end") - F.col("start")).over(job_window().orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
     job = rows.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "before"))).alias("spans"))
     out = fractions.join(job, "job_id", "left")
     last = F.get("spans", F.size("spans") - 1)
     total = last["before"] + last["end"] - last["start"]
     target = F.least(F.greatest(F.col("fraction"), F.lit(0.0)), F.lit(1.0)) * total
-    hit = F.get(F.filter("spans", lambda s: s["before"] + s["end"] - s["start"] >= target), F.lit(0))
+    hit = F.get(F.filter("spans", lambda s: s["before"] + s["end"] - s["start"] >= target - 1e-9), F.lit(0))
     t = F.when(F.col("spans").isNull(), 0.0).when(total <= 0, F.get("spans", F.lit(0))["start"]).otherwise(F.coalesce(hit["start"] + F.greatest(F.lit(0.0), target - hit["before"]), last["end"]))
     return out.withColumn("t", t).drop("spans")
 
