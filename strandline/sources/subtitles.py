@@ -65,5 +65,6 @@ def preview(captions: DataFrame, most: int = 12) -> DataFrame:
 
 
 def write_texts(contents: DataFrame, path: str) -> None:
-    """Writes (job_id, content) with Spark's text writer, a folder per job."""
-    contents.select("job_id", F.col("content").alias("value")).write.partitionBy("job_id").text(path)
+    """Writes (job_id, content) with Spark's text writer, a folder per job. The writer ends a row with a line end, so a content's own last one is left to it."""
+    body = F.when(F.endswith("content", F.lit("\n")), F.substring("content", F.lit(1), F.length("content") - 1)).otherwise(F.col("content"))
+    contents.select("job_id", body.alias("value")).write.partitionBy("job_id").text(path)
