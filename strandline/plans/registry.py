@@ -251,7 +251,13 @@ def time_map_stats(spark, d):
     return rounded(s.withColumn("method", timemap.choose_method(F.lit(0.2), F.lit(0.2), F.col("spread"), F.col("spread") / 2, F.lit(6.0))), "offset", "spread")
 
 
-@query()
+@query(f"""WITH {_AXIS}, b AS (SELECT job_id, min(ref_t) AS lo, max(ref_t) AS hi FROM ax GROUP BY job_id HAVING max(ref_t) > min(ref_t)),
+    two AS (SELECT job_id, ref_t, perf_t AS y1, perf_t + 0.25e0 + ref_t / 100e0 AS y2 FROM ax),
+    g AS (SELECT job_id, k, lo + (hi - lo) * k / 499e0 AS x FROM b, range(0, 500) t(k)),
+    q AS (SELECT g.*, max(a.ref_t) FILTER (a.ref_t <= x) AS x0, min(a.ref_t) FILTER (a.ref_t >= x) AS x1 FROM g JOIN two a ON a.job_id = g.job_id GROUP BY g.job_id, k, x),
+    y AS (SELECT q.job_id, abs((p.y2 - p.y1) + CASE WHEN x1 > x0 THEN ((n.y2 - n.y1) - (p.y2 - p.y1)) / (x1 - x0) * (x - x0) ELSE 0 END) AS d
+          FROM q JOIN two p ON p.job_id = q.job_id AND p.ref_t = coalesce(x0, x1) JOIN two n ON n.job_id = q.job_id AND n.ref_t = coalesce(x1, x0))
+    SELECT job_id, round(quantile_cont(d, 0.95), 6) AS p95 FROM y GROUP BY job_id""")
 def time_map_disagreement(spark, d):
     one = timemap.time_axis(read(spark, d, "axis"))
     return rounded(timemap.disagreement(one, one.withColumn("perf_t", F.col("perf_t") + 0.25 + F.col("ref_t") / 100)), "p95")
@@ -397,7 +403,8 @@ def manifest_json(spark, d):
     return m.select("job_id", F.size("c").alias("n"), F.round(F.array_max(F.transform("c", lambda x: x["end"])), 6).alias("last_end"), F.aggregate("c", F.lit(0).cast("long"), lambda t, x: t + F.length(x["text"])).alias("chars"))
 
 
-@query()
+@query(f"""WITH {_STAMPS} SELECT job_id, string_agg('[' || {_SRT('s')} || '] ' || text, chr(10) ORDER BY idx) FILTER (idx < 4) ||
+    CASE WHEN count(*) > 4 THEN chr(10) || '... ' || cast(count(*) - 4 AS varchar) || ' more lines' ELSE '' END AS preview FROM z GROUP BY job_id""")
 def caption_preview(spark, d):
     return subtitles.preview(_even(spark, d), 4)
 
@@ -408,7 +415,15 @@ def activity_placement(spark, d):
     return rounded(timeline.place_by_activity(read(spark, d, "turns"), iv), "start", "end")
 
 
-@query()
+_DECAY = " + ".join(["e", *(f"coalesce(lag(e, {k}) OVER w, 0e0) / sqrt({k + 1}e0)" for k in range(1, 10))])
+
+
+@query(f"""WITH a AS (SELECT cast(label AS varchar) AS job_id, vec_id AS frame, b AS bin, cast(abs(embedding[b]) AS double) AS x FROM embeddings, range(1, 13) t(b)),
+    d AS (SELECT *, greatest(0e0, x - coalesce(lag(x) OVER w, x)) AS d FROM a WINDOW w AS (PARTITION BY job_id, bin ORDER BY frame)),
+    e AS (SELECT *, ln(1e0 + 100 * d) / (ln(1e0 + 100 * max(d) OVER (PARTITION BY job_id, bin ORDER BY frame ROWS BETWEEN 20 PRECEDING AND 19 FOLLOWING)) + 1e-8) AS e FROM d),
+    f AS (SELECT job_id, frame, bin, {_DECAY} AS v FROM e WINDOW w AS (PARTITION BY job_id, bin ORDER BY frame)),
+    g AS (SELECT *, greatest(1e-8, sqrt(sum(v * v) OVER (PARTITION BY job_id, frame))) AS norm FROM f)
+    SELECT job_id, frame, list(round(v / norm, 6) ORDER BY bin) AS onset FROM g GROUP BY job_id, frame""")
 def onset_features(spark, d):
     v = read(spark, d, "embeddings").select(F.col("label").cast("string").alias("job_id"), F.col("vec_id").alias("frame"), F.transform(F.slice("embedding", 1, 12), lambda x: F.abs(x).cast("double")).alias("chroma"))
     out = timemap.onsets(v)
