@@ -21,7 +21,8 @@ def db():
 
 def cells(df):
     df = df[sorted(df.columns)]
-    show = lambda v: "null" if v is None or v != v else f"{v:.6g}" if isinstance(v, float) else str(v)
+    one = lambda v: "null" if v is None or v != v else f"{v:.6g}" if isinstance(v, float) else str(v)
+    show = lambda v: str([one(float(x)) for x in v]) if hasattr(v, "__len__") and not isinstance(v, str) else one(v)
     return sorted(tuple(show(v) for v in r) for r in df.astype(object).values.tolist())
 
 
