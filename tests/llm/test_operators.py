@@ -163,6 +163,30 @@ def test_transitions_and_emissions_are_distributions(spark, docs):
     assert low + (1000 - 500) / 3 * 10 ** f(np.array([3]))[0] == pytest.approx(1)
 
 
+def test_brown_puts_all_words_into_classes(spark):
+    rnd = random.Random(1)
+    kind = [[f"{k}w{i}" for i in range(60)] + [f"{k}rare{i}" for i in range(300)] for k in "ab"]  # each kind is followed by the other; rare words come about five times
+    draw = lambda k: kind[k][rnd.randrange(60)] if rnd.random() < 0.8 else kind[k][60 + rnd.randrange(300)]
+    rows = [(i, " ".join(draw((i + j) % 2) for j in range(100))) for i in range(150)]
+    got = brown.brown_scores(spark.createDataFrame(rows, "doc_id long, text string"), words=8, classes=2).collect()
+    for held in (True, False):
+        mine = [r for r in got if r["held_out"] is held]
+        assert sum(r["score"] - r["base_score"] for r in mine) / sum(r["n_tokens"] for r in mine) > 0.2  # log10 2 is what the kinds tell
+
+
+def test_rare_words_have_a_distribution():
+    counts = np.array([1] * 300 + [2] * 100 + [3] * 40 + [10] * 10)
+    stats = np.zeros((2, 2, 5), dtype=np.int64)
+    stats[0, 0] = stats[1, 1] = [counts.sum(), 300, 100, 40, len(counts)]
+    grid = np.zeros((7, 7))
+    grid[:2, :2], grid[:2, 6], grid[6, :2] = [[100, 2000], [1500, 300]], [50, 60], [70, 40]
+    table = 10 ** brown.last_transitions(grid, stats, 2)
+    rare = (10 ** brown.rare_emission(*stats[0, 0].tolist())(counts)).sum() * (counts.sum() + 1)
+    each = grid.sum(axis=0)[:2] - counts.sum() + rare
+    for before in (0, 1, 4, 5, 6):
+        assert table[before, :2] @ each + table[before, 6] + table[before, 4:6] @ (stats[:, ::-1, 4].sum(axis=0) + 1) == pytest.approx(1, abs=1e-4)
+
+
 # 5
 
 
