@@ -238,6 +238,25 @@ def test_quality_separates(spark):
     assert np.mean([r["kept"] for r in rows if r["quality"] == 0]) < 0.3
 
 
+def test_toxic_documents_go_and_clean_ones_stay(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{name}.parquet") for name in ("documents", "labels"))
+    toxic = docs.join(labels.where("toxic = 1"), "doc_id", "left_semi").where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) == 0)  # never learnt from
+    rows = QUERIES["op7_quality_classifier"](spark, sf).join(labels, "doc_id").cache()
+    unseen = rows.where("quality = 1").join(toxic, "doc_id", "left_semi").collect()
+    assert len(unseen) > 100 and np.mean([r["kept"] for r in unseen]) < 0.3
+    assert np.mean([r["kept"] for r in rows.where("quality = 1 AND coalesce(toxic, 0) = 0").collect()]) > 0.97
+
+
+def test_worst_window_by_brute_force():
+    rnd = np.random.default_rng(5)
+    sizes = np.array([1, 3, kneserney.WINDOW - 1, kneserney.WINDOW, kneserney.WINDOW + 1, 200, 2])
+    odds = rnd.normal(size=sizes.sum())
+    for x, text in zip(kneserney._worst(odds, sizes), np.split(odds, np.cumsum(sizes)[:-1]), strict=True):
+        w = min(len(text), kneserney.WINDOW)
+        assert x == pytest.approx(max(text[k : k + w].mean() for k in range(len(text) - w + 1)), abs=1e-6)
+
+
 # 8
 
 
