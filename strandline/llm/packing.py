@@ -57,23 +57,59 @@ class LevelArray:
         return None
 
     def rest(self) -> Iterator[list]:
-        """Closes the array without padding: its pieces, from the fullest window to the emptiest and cut where needed, fill windows one after another; what is left at the end goes to windows of falling powers of two."""
-        left = [(h, w) for h in range(self.size - 1, 0, -1) for w in self.windows[h]]
-        spare = [p for _, w in left for p in w]
-        total = sum(h for h, _ in left)
-        sizes = [self.size] * (total // self.size) + [1 << b for b in range(self.size.bit_length(), -1, -1) if (total % self.size) >> b & 1]
-        at = 0
-        for room in sizes:
-            window = []
-            while room:
-                doc, ids, tokens, start, length = spare[at]
-                took = min(room, length)
-                window.append((doc, ids, tokens, start, took))
-                room -= took
-                if took == length:
-                    at += 1
-                else:
-                    spare[at] = (doc, ids, tokens, start + took, length - took)
+        """Closes the array without padding. Open windows stay as they were built: the fullest is joined by the fullest others that fit, whole. What it then lacks is cut from one
+        window, that with the longest pieces, until that is used up and another takes its place. The last window is cut into falling powers of two."""
+        pool: list[tuple] = []
+        while window := self._take(self.size):
+            gap = self.size - sum(p[-1] for p in window)
+            while gap and (more := self._take(gap)):
+                window += more
+                gap -= sum(p[-1] for p in more)
+            while gap and (pool or (pool := self._longest())):
+                front, back = _cut(pool.pop(), gap)
+                window.append(front)
+                gap -= front[-1]
+                pool += back
+            yield from [window] if not gap else _powers(window)
+        yield from _powers(pool)
+
+    def _take(self, most: int) -> list:
+        """A window of the highest level up to most, taken out of the array; an empty list without any."""
+        levels = np.flatnonzero(self.counts[: most + 1])
+        if not len(levels):
+            return []
+        self.counts[levels[-1]] -= 1
+        return self.windows[levels[-1]].pop()
+
+    def _longest(self) -> list:
+        """The open window with the most ids a piece, taken out of the array."""
+        found = [(h / len(w), h, k) for h in np.flatnonzero(self.counts).tolist() for k, w in enumerate(self.windows[h])]
+        if not found:
+            return []
+        _, h, k = max(found)
+        self.counts[h] -= 1
+        return self.windows[h].pop(k)
+
+
+def _cut(piece: tuple, most: int) -> tuple[tuple, list[tuple]]:
+    """(the first ids of a piece, most at most; the rest of it, if any, in a list)."""
+    doc, ids, tokens, start, length = piece
+    if length <= most:
+        return piece, []
+    return (doc, ids, tokens, start, most), [(doc, ids, tokens, start + most, length - most)]
+
+
+def _powers(pieces: list[tuple]) -> Iterator[list]:
+    """Windows of falling powers of two, one of each at most, that hold the pieces."""
+    left, total = pieces[::-1], sum(p[-1] for p in pieces)
+    for b in range(total.bit_length() - 1, -1, -1):
+        room, window = (total >> b & 1) << b, []
+        while room:
+            front, back = _cut(left.pop(), room)
+            window.append(front)
+            left += back
+            room -= front[-1]
+        if window:
             yield window
 
 
@@ -132,7 +168,7 @@ def pack_documents(docs: DataFrame, size: int = 1024, doc_id: str = "doc_id", te
     A document is its byte-level BPE ids, then id 0. Its whole windows are sequences of their own; the rest is one
     piece, placed by sum of squares. Each task packs its own split with a level array of `size` counters, so no row
     is shuffled, no group exists to be skewed, and a task that is run again gives the same sequences. A task's last
-    open windows are merged into full ones and powers of two, so no sequence has padding.
+    open windows are joined whole; the ids of few documents are cut to fill what is left, so no sequence has padding.
 
     Null or empty text: the single id 0. Null, equal or repeated doc_ids: rows of their own. Empty table: no rows.
     Columns other than doc_id and text are not read. `size` must be a power of two."""
