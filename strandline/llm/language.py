@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, byte_texts, fold, texts_of
@@ -76,7 +76,7 @@ def _features(batches):
             u, c = np.unique(found[:, b : b + size], return_counts=True)
             ids.append(u.astype(np.int32))
             weights.append((c / n).astype(np.float32))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ids, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float32()))], ["doc_id", "lang", "ids", "weights"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(ids, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float32()))], ["doc_id", "text_hash", "lang", "ids", "weights"])
 
 
 def train(langs: list[str], label: np.ndarray, ids: list[np.ndarray], weights: list[np.ndarray], held: np.ndarray, dim: int = 16, epochs: int = 6, rate: float = 8.0, seed: int = 7, most_error: float = 0.01, most_lost: float = 0.002) -> Model:
@@ -121,18 +121,32 @@ def train(langs: list[str], label: np.ndarray, ids: list[np.ndarray], weights: l
     return model
 
 
+def _sample(docs: DataFrame, per_language: int, longest: int, folds: int, held_fold: int) -> DataFrame:
+    """doc_id, text_hash, lang, text of the rows to learn from: of each language those with the least (hash of id and text), per_language of them at most, whatever the ids.
+
+    A language may hold most rows and an id may be on all of them, so least ones are taken of each salt of that hash first. Equal rows (id and text) count once."""
+    known = F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != "") & (F.length("text") <= longest)
+    rows = docs.where(known & (fold(F.col("doc_id"), folds) != held_fold)).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("lang").cast("string").alias("lang"), "text")
+    order = F.xxhash64("doc_id", "text_hash")
+    keys = rows.select("doc_id", "text_hash", "lang").distinct().withColumn("at", order).withColumn("salt", F.pmod("at", F.lit(64)))
+    for part in (["lang", "salt"], ["lang"]):
+        w = Window.partitionBy(*part).orderBy("at", "doc_id", "text_hash")
+        keys = keys.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_language)
+    # at most per_language keys a language: the table that is broadcast has that bound
+    return rows.join(F.broadcast(keys.select("doc_id", "text_hash", "lang")), ["doc_id", "text_hash", "lang"]).dropDuplicates(["doc_id", "text_hash", "lang"])
+
+
 def fit_language(docs: DataFrame, per_language: int = 400, longest: int = 20_000, folds: int = 3, held_fold: int = 1, **how) -> Model:
-    """A model learnt from about `per_language` documents of each language: those with the least hash of their id, of at most
-    `longest` characters, outside the held fold. That sample is all that comes to the driver, as bucket weights."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != "") & (fold(F.col("doc_id"), folds) != held_fold) & (F.length("text") <= longest)).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
+    """A model learnt from `per_language` documents of each language at most: those with the least hash of id and text, of at most `longest` characters,
+    outside the held fold. That sample is all that comes to the driver, as bucket weights. Without any such document the model knows no language."""
+    sample = _sample(docs, per_language, longest, folds, held_fold).select("doc_id", "text_hash", "text", "lang")
+    got = sample.mapInArrow(_features, "doc_id long, text_hash long, lang string, ids array<int>, weights array<float>").toArrow()
+    if not got.num_rows:
         return Model()
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_language / n))])
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
-    got = sample.mapInArrow(_features, "doc_id long, lang string, ids array<int>, weights array<float>").toArrow().combine_chunks().sort_by("doc_id")
-    langs = sorted(counts)
-    label = np.array([langs.index(x) for x in got["lang"].to_pylist()])
+    got = got.combine_chunks().sort_by([("doc_id", "ascending"), ("text_hash", "ascending")])
+    names = got["lang"].to_pylist()
+    langs = sorted(set(names))
+    label = np.array([langs.index(x) for x in names])
     ids = [x.values.to_numpy() for x in got["ids"]]
     weights = [x.values.to_numpy() for x in got["weights"]]
     held = np.arange(len(label)) % 4 == 3
