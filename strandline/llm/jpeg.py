@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,10 +23,12 @@ MOST_ROWS = 8184  # a frame's height is at most 65,535 pixels of 8 a block
 
 
 class Huffman:
-    """A table as 65,536 entries: code length << 8 | symbol, by the next 16 bits; 0 where no code fits."""
+    """A table as 65,536 entries: code length << 8 | symbol, by the next 16 bits; where no code fits, a length that leads past any scan."""
 
     def __init__(self, counts, symbols):
-        self.look = np.zeros(1 << 16, dtype=np.int32)
+        if len(counts) < 16 or len(symbols) < sum(counts) or sum(n << (16 - k) for k, n in enumerate(counts, 1)) > 1 << 16:
+            raise ValueError("a bad Huffman table")
+        self.look = np.full(1 << 16, 1 << 30, dtype=np.int32)
         self.codes = np.zeros(256, dtype=np.int64)
         self.lengths = np.zeros(256, dtype=np.int64)
         code, k = 0, 0
@@ -128,8 +132,8 @@ class Frame:
 
     def __init__(self):
         self.quant, self.dc, self.ac, self.parts, self.interval = {}, {}, {}, [], 0
-        self.height = self.width = 0
-        self.scan = (0, 0)
+        self.height = self.width = self.hmax = self.vmax = 0
+        self.scan = None
 
 
 _tables: dict[bytes, list] = {}
@@ -150,74 +154,128 @@ def _huffman_tables(body: bytes) -> list:
     return _tables[body]
 
 
+_MARKER = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]")  # that ends a scan's data
+
+
 def parse(media: bytes) -> list[Frame]:
-    """The frames of a media value. ValueError for what isn't baseline JPEG with one interleaved scan."""
+    """The frames of a media value, each with the scan that holds its first component, the luminance. ValueError for what isn't whole baseline JPEGs."""
     frames, at = [], 0
-    while at < len(media):
+    while at < len(media) or not frames:
         if media[at : at + 2] != bytes([0xFF, SOI]):
             raise ValueError("no start of image")
         at, f = at + 2, Frame()
         while True:
-            if at + 4 > len(media) or media[at] != 0xFF:
+            while media[at : at + 2] == b"\xff\xff":  # fill bytes
+                at += 1
+            if at + 2 > len(media) or media[at] != 0xFF:
                 raise ValueError("a marker is missing")
-            marker, n = media[at + 1], int.from_bytes(media[at + 2 : at + 4], "big")
+            marker = media[at + 1]
+            if marker == EOI:
+                at += 2
+                break
+            n = int.from_bytes(media[at + 2 : at + 4], "big")
             body = media[at + 4 : at + 2 + n]
+            if n < 2 or len(body) != n - 2:
+                raise ValueError("a segment is cut off")
             at += 2 + n
-            if marker == DQT:
-                k = 0
-                while k < len(body):
-                    wide = body[k] >> 4
-                    f.quant[body[k] & 15] = int.from_bytes(body[k + 1 : k + 2 + wide], "big")  # only the DC step is used
-                    k += 1 + 64 * (1 + wide)
-            elif marker == DHT:
-                for kind, number, table in _huffman_tables(body):
-                    (f.ac if kind else f.dc)[number] = table
-            elif marker == DRI:
-                f.interval = int.from_bytes(body, "big")
-            elif marker == SOF0:
-                if body[0] != 8:
-                    raise ValueError("not 8-bit samples")
-                f.height, f.width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
-                f.parts = [[body[6 + 3 * k], body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k], 0, 0] for k in range(body[5])]
-            elif 0xC1 <= marker <= 0xCF and marker != 0xC8 and marker != 0xCC:
-                raise ValueError("not baseline")
-            elif marker == SOS:
-                if body[0] != len(f.parts):
-                    raise ValueError("more than one scan")
-                for k, part in enumerate(f.parts):
-                    part[4], part[5] = body[2 + 2 * k] >> 4, body[2 + 2 * k] & 15
-                break
-        end = media.find(bytes([0xFF, EOI]), at)  # stuffing keeps this out of a scan's data
-        if end < 0:
-            raise ValueError("no end of image")
-        f.scan = (at, end)
+            if marker == SOS:
+                end = _MARKER.search(media, at)
+                if not end:
+                    raise ValueError("no end of image")
+                if f.scan is None:
+                    _scan(f, body, at, end.start())
+                at = end.start()
+            elif f.scan is None:  # what follows the luminance is for other scans
+                _tables_of(f, marker, body)
+        if f.scan is None:
+            raise ValueError("no luminance scan")
         frames.append(f)
-        at = end + 2
     return frames
 
 
+def _tables_of(f: Frame, marker: int, body: bytes) -> None:
+    if marker == DQT:
+        k = 0
+        while k < len(body):
+            wide = body[k] >> 4
+            f.quant[body[k] & 15] = int.from_bytes(body[k + 1 : k + 2 + wide], "big")  # only the DC step is used
+            k += 1 + 64 * (1 + wide)
+    elif marker == DHT:
+        for kind, number, table in _huffman_tables(body):
+            (f.ac if kind else f.dc)[number] = table
+    elif marker == DRI:
+        f.interval = int.from_bytes(body, "big")
+    elif marker == SOF0:
+        if len(body) < 6 or len(body) != 6 + 3 * body[5] or not body[5]:
+            raise ValueError("a bad frame header")
+        if body[0] != 8:
+            raise ValueError("not 8-bit samples")
+        f.height, f.width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
+        f.parts = [[body[6 + 3 * k], body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k], 0, 0] for k in range(body[5])]
+        f.hmax, f.vmax = max(p[1] for p in f.parts), max(p[2] for p in f.parts)
+        if not f.height or not f.width or not all(p[1] and p[2] for p in f.parts):
+            raise ValueError("a bad frame header")
+    elif 0xC1 <= marker <= 0xCF and marker != 0xC8 and marker != 0xCC:
+        raise ValueError("not baseline")
+
+
+def _scan(f: Frame, body: bytes, begin: int, end: int) -> None:
+    """Takes the scan for the frame's if it holds the first component. One with that alone is in that component's own blocks, not in units of all components."""
+    if not f.parts or not body or len(body) != 4 + 2 * body[0]:
+        raise ValueError("a bad scan header")
+    tables = {body[1 + 2 * k]: body[2 + 2 * k] for k in range(body[0])}
+    if f.parts[0][0] not in tables:
+        return
+    parts = [[*p[:4], tables[p[0]] >> 4, tables[p[0]] & 15] for p in f.parts if p[0] in tables]
+    if len(parts) != body[0] or any(p[4] not in f.dc or p[5] not in f.ac for p in parts) or parts[0][3] not in f.quant:
+        raise ValueError("a table is missing")
+    if len(parts) == 1:
+        f.width, f.height = -(-f.width * parts[0][1] // f.hmax), -(-f.height * parts[0][2] // f.vmax)
+        f.hmax = f.vmax = 1
+    units = -(-f.width // (8 * f.hmax)) * -(-f.height // (8 * f.vmax))
+    if units * (1 if len(parts) == 1 else sum(p[1] * p[2] for p in parts)) > 4 * (end - begin):  # a block takes two bits at least
+        raise ValueError("a scan ends too early")
+    f.parts, f.scan = parts, (begin, end)
+
+
 def _layout(f: Frame) -> tuple:
     """What must agree for frames to be decoded together: the scan's components, tables and blocks of a unit."""
     single = len(f.parts) == 1
-    return tuple((1 if single else p[1], 1 if single else p[2], id(f.dc[p[4]]), id(f.ac[p[5]])) for p in f.parts)
+    return (f.hmax, f.vmax, *((1 if single else p[1], 1 if single else p[2], id(f.dc[p[4]]), id(f.ac[p[5]])) for p in f.parts))
 
 
-def thumbnails(media: list[bytes]) -> list[list[np.ndarray]]:
-    """For each media value, the luminance thumbnail of each of its frames: one 8-bit sample per 8 x 8 block.
+def thumbnails(media: list[bytes | None]) -> list[list[np.ndarray] | str | None]:
+    """For each media value, the luminance thumbnail of each of its frames: one 8-bit sample per 8 x 8 block. Null for a null, and what is wrong, as text, for what can't be decoded.
 
     The restart intervals of all frames of one layout are lanes of numpy arrays that are Huffman-decoded in step,
     so a frame without restart markers is one lane."""
-    frames = [(i, f) for i, m in enumerate(media) for f in parse(m)]
-    out: list[list[np.ndarray]] = [[] for _ in media]
+    out: list = [None] * len(media)
     groups: dict[tuple, list] = {}
-    for i, f in frames:
-        groups.setdefault(_layout(f), []).append((i, f))
-    done: dict[int, np.ndarray] = {}
+    for i, m in enumerate(media):
+        try:
+            frames = parse(m) if m is not None else []
+        except ValueError as e:
+            out[i] = str(e)
+            continue
+        if m is not None:
+            out[i] = [None] * len(frames)
+        for k, f in enumerate(frames):
+            groups.setdefault(_layout(f), []).append((i, k, f))
     for members in groups.values():
-        for (_, f), image in zip(members, _decode(media, members), strict=True):
-            done[id(f)] = image
-    for i, f in frames:
-        out[i].append(done[id(f)])
+        try:
+            images = _decode(media, [(i, f) for i, _, f in members])
+        except ValueError:  # one of them is bad: each on its own
+            images = []
+            for i, _, f in members:
+                try:
+                    images += _decode(media, [(i, f)])
+                except ValueError as e:
+                    images.append(str(e))
+        for (i, k, _), image in zip(members, images, strict=True):
+            if isinstance(image, str):
+                out[i] = image
+            elif not isinstance(out[i], str):
+                out[i][k] = image
     return out
 
 
@@ -225,7 +283,7 @@ def _decode(media: list[bytes], members: list) -> list[np.ndarray]:
     first = members[0][1]
     single = len(first.parts) == 1
     sampling = [(1, 1)] if single else [(p[1], p[2]) for p in first.parts]
-    hmax, vmax = max(h for h, _ in sampling), max(v for _, v in sampling)
+    hmax, vmax = first.hmax, first.vmax
     raw = np.frombuffer(b"".join(media[i][f.scan[0] : f.scan[1]] + b"\xff\xd9" for i, f in members), dtype=np.uint8)
     after = np.append(raw[1:], 0)
     mark = (raw == 0xFF) & (after != 0)
@@ -275,6 +333,8 @@ def _lanes(lane, starts, stops, units, base, words, values, frame, sampling, lum
     for unit in range(int(left[0]) if len(left) else 0):
         live = int(np.searchsorted(-left, -unit, side="left"))  # lanes are sorted by their number of units
         if live < len(bit):
+            if (bit[live:] > limit[live:]).any():
+                raise ValueError("a scan ends too early")
             bit, limit, left, target = bit[:live], limit[:live], left[:live], target[:live]
             pred = [p[:live] for p in pred]
         for c, (h, v) in enumerate(sampling):
@@ -315,10 +375,10 @@ def _skip_ac(bit: np.ndarray, words: np.ndarray, look: np.ndarray, most: int) ->
 
 
 def mean_hash(samples: np.ndarray) -> int:
-    """64 bits: which cells of an 8 x 8 grid over the thumbnail are brighter than their mean."""
+    """64 bits: which cells of an 8 x 8 grid over the thumbnail are brighter than their mean. A cell has one sample at least, so in a smaller thumbnail some share it."""
     h, w = samples.shape
     sums = np.add.reduceat(np.add.reduceat(samples.astype(np.int64), np.arange(8) * h // 8, axis=0), np.arange(8) * w // 8, axis=1)
-    count = np.outer(np.diff(np.append(np.arange(8) * h // 8, h)), np.diff(np.append(np.arange(8) * w // 8, w)))
+    count = np.outer(*(np.maximum(1, np.diff(np.append(np.arange(8) * n // 8, n))) for n in (h, w)))
     means = sums / count
     return int.from_bytes(np.packbits((means > means.mean()).ravel()).tobytes(), "big")
 
@@ -334,19 +394,20 @@ def _store(batches):
 
 def _read(batches):
     for batch in blocks(batches, 4 << 20, "media"):
-        media = batch.column(batch.schema.get_field_index("media")).to_pylist()
-        images = thumbnails(media)
-        whole = [np.concatenate(i) for i in images]
-        yield pa.RecordBatch.from_arrays(
-            [
-                *batch.columns,
-                pa.array([i.shape[1] * 8 for i in whole], pa.int32()),
-                pa.array([i.shape[0] * 8 for i in whole], pa.int32()),
-                pa.array([i.tobytes() for i in whole], pa.binary()),
-                pa.array([f"{mean_hash(i):016x}" for i in whole], pa.string()),
-            ],
-            [*batch.schema.names, "width", "height", "thumbnail", "thumbnail_hash"],
-        )
+        images = thumbnails(batch.column(batch.schema.get_field_index("media")).to_pylist())
+        whole, errors = [], []
+        for found in images:
+            error = found if isinstance(found, str) else None
+            if isinstance(found, list) and len({i.shape[1] for i in found}) > 1:
+                error = "frames of different widths"
+            errors.append(error)
+            whole.append(np.concatenate(found) if isinstance(found, list) and not error else None)
+        known = lambda f: [None if i is None else f(i) for i in whole]
+        columns = [
+            pa.array(known(lambda i: i.shape[1] * 8), pa.int32()), pa.array(known(lambda i: i.shape[0] * 8), pa.int32()), pa.array(known(lambda i: i.tobytes()), pa.binary()),
+            pa.array(known(lambda i: f"{mean_hash(i):016x}"), pa.string()), pa.array(errors, pa.string()),
+        ]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "width", "height", "thumbnail", "thumbnail_hash", "error"])
 
 
 def text_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -360,9 +421,10 @@ def text_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
 
 def read_media(media: DataFrame) -> DataFrame:
-    """Adds width, height (of all frames together, in pixels), thumbnail (samples, row by row) and thumbnail_hash.
+    """Adds width, height (of all frames together, in pixels), thumbnail (samples, row by row), thumbnail_hash and error.
 
-    `media` must hold baseline JPEGs: any sampling, tables and restart interval, one scan a frame. Other bytes raise ValueError."""
+    `media` should hold baseline JPEGs: any sampling, tables and restart intervals, in one scan or several. Where a value is empty, cut off, not baseline or no JPEG, or
+    its frames differ in width, error says so and the rest is null, and other rows aren't touched. A null value has nulls and no error."""
     types = {f.name: f.dataType.simpleString() for f in media.schema.fields}
-    schema = ", ".join(f"`{n}` {t}" for n, t in types.items()) + ", width int, height int, thumbnail binary, thumbnail_hash string"
+    schema = ", ".join(f"`{n}` {t}" for n, t in types.items()) + ", width int, height int, thumbnail binary, thumbnail_hash string, error string"
     return media.mapInArrow(_read, schema)
