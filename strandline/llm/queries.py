@@ -12,10 +12,16 @@ from .common import fold
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of sf_dir. Where the session has Spark's default of 10,000 rows a batch for Python, it gets 1,000: batches of whole texts are held in full on both sides."""
+def prepare(spark: SparkSession) -> None:
+    """What a job over whole texts should set, and these queries, which are such jobs, do: 1,000 rows a batch for Python in place of Spark's default of 10,000, as a
+    batch is held in full on both sides. A session with another number keeps it. No operator calls this or changes a session."""
     if spark.conf.get(_BATCH) == "10000":
         spark.conf.set(_BATCH, "1000")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of sf_dir, in a session that is prepared for it."""
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -1,6 +1,7 @@
 """Each training-data operator against a brute-force version, and its results on awkward tables."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -39,14 +40,79 @@ def test_warc_pages(spark):
     assert got[3]["payload_digest"] == hashlib.sha1(b"x" * 1000).hexdigest()
 
 
+def record(i, kind, to=(), **more):
+    base = dict.fromkeys(["target_uri", "refers_to_id", "profile", "page_id", "block_bytes", "payload_bytes", "payload_digest", "http_status", "fields", "payload", "error"])
+    return {"record_id": i, "record_type": kind, "concurrent_to": list(to)} | base | more
+
+
+def captures(spark, rows):
+    return [
+        (r["answer"] and r["answer"]["record_id"], r["request"] and r["request"]["record_id"], sorted(str(m["record_id"]) for m in r["metadata"]), sorted(str(o["record_id"]) for o in r["others"]), r["capture_id"])
+        for r in warc.assemble(spark.createDataFrame(rows, warc.RECORDS)).collect()
+    ]
+
+
 def test_warc_assembly(spark):
-    base = dict.fromkeys(["target_uri", "refers_to_id", "profile", "page_id", "block_bytes", "payload_bytes", "payload_digest", "http_status", "fields", "payload"])
-    rec = lambda i, kind, to: {"record_id": i, "record_type": kind, "concurrent_to": to} | base
-    rows = [rec("r", "response", None), rec("q", "request", "r"), rec("m", "metadata", "q"), rec("m2", "metadata", "r"), rec("lone", "resource", None), rec(None, "metadata", "r"), rec("s", "response", "s")]
-    got = {r["capture_id"]: r for r in warc.assemble(spark.createDataFrame(rows, warc.RECORDS)).collect()}
-    assert set(got) == {"r", "lone", "s"}
-    assert got["r"]["answer"]["record_id"] == "r" and got["r"]["request"]["record_id"] == "q" and len(got["r"]["metadata"]) == 3
-    assert [o["record_id"] for o in got["lone"]["others"]] == ["lone"] and got["lone"]["answer"] is None
+    rows = [record("r", "response"), record("q", "request", ["r"]), record("m", "metadata", ["q"]), record("m2", "metadata", ["r"]), record("lone", "resource"), record(None, "metadata", ["r"]), record("s", "response", ["s"])]
+    got = captures(spark, rows)
+    assert sorted(got, key=str) == sorted([("r", "q", ["None", "m", "m2"], [], "r"), ("s", None, [], [], "s"), (None, None, [], ["lone"], "lone")], key=str)
+
+
+def test_warc_links_in_both_directions_and_over_many_hops(spark):
+    chain = [record(f"c{k}", "metadata", [f"c{k + 1}"]) for k in range(9)] + [record("c9", "request", ["cr"]), record("cr", "response")]
+    mutual = [record("r", "response", ["q"]), record("q", "request", ["r"])]
+    several = [record("x", "response"), record("y", "request", ["x", "z"]), record("z", "metadata"), record("w", "metadata", ["z", "x"])]
+    got = captures(spark, chain + mutual + several + [record("lost", "request", ["nowhere"])])
+    assert sorted(got, key=str) == sorted([("cr", "c9", [f"c{k}" for k in range(9)], [], "cr"), ("r", "q", [], [], "r"), ("x", "y", ["w", "z"], [], "x"), (None, "lost", [], [], "nowhere")], key=str)
+
+
+def test_warc_captures_are_components(spark):
+    rnd = random.Random(4)
+    rows = [record(f"n{i}", "metadata", {f"n{rnd.randrange(60)}" for _ in range(rnd.choice([0, 0, 1, 1, 2]))}) for i in range(60)]
+    root = {r["record_id"]: r["record_id"] for r in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for r in rows:
+        for to in r["concurrent_to"]:
+            root[find(r["record_id"])] = find(to)
+    want = defaultdict(list)
+    for x in root:
+        want[find(x)].append(x)
+    assert sorted(m for _, _, m, _, _ in captures(spark, rows)) == sorted(sorted(m) for m in want.values())
+
+
+def test_warc_foreign_archives(spark, tmp_path):
+    import gzip
+
+    def raw(kind, i, body, *more):
+        return "\r\n".join(["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: {i}", *more, f"Content-Length: {len(body)}", "", body, "", ""]).encode()
+
+    good = raw("response", "<a>", "plain") + raw("request", "<b>", "GET", "WARC-Concurrent-To: <a>", "WARC-Concurrent-To: <c>") + raw("metadata", "<c>", "about")
+    (tmp_path / "members.warc.gz").write_bytes(b"".join(gzip.compress(x) for x in (raw("response", "<m>", "one"), raw("metadata", "<n>", "two", "X-Page-ID: none", "WARC-Concurrent-To:\r\n <m>"))))
+    (tmp_path / "plain.warc").write_bytes(good)
+    (tmp_path / "cut.warc").write_bytes(raw("response", "<d>", "whole") + raw("response", "<e>", "cut off")[:-8])
+    (tmp_path / "cut.warc.gz").write_bytes(gzip.compress(raw("response", "<f>", "x" * 5000))[:-20])
+    (tmp_path / "no.warc").write_bytes(b"something else")
+    (tmp_path / "none.warc").write_bytes(b"")
+    records = warc.read_records(spark, str(tmp_path)).cache()
+    assert sorted(r["record_id"] for r in records.collect() if not r["error"]) == ["<a>", "<b>", "<c>", "<d>", "<m>", "<n>"]
+    assert sorted(re.sub(".*/", "", r["error"]).split(":")[0] for r in records.collect() if r["error"]) == ["cut.warc", "cut.warc.gz", "no.warc"]
+    got = {r["capture_id"]: r for r in warc.assemble(records).collect()}
+    assert got["<a>"]["request"]["concurrent_to"] == ["<a>", "<c>"] and [m["record_id"] for m in got["<a>"]["metadata"]] == ["<c>"]
+    assert [m["record_id"] for m in got["<m>"]["metadata"]] == ["<n>"] and sum(o["error"] is not None for r in got.values() for o in r["others"]) == 3
+
+
+def test_warc_revisits_name_their_response(spark):
+    pages = spark.createDataFrame([(k, "u", "x" * 1000) for k in (1, 5, 3)] + [(k, "u", "y" * 1000) for k in (2, 7, 7)], "page_id long, url string, html string")
+    rows = [r["answer"] for r in warc.archive_pages(pages).collect()]
+    (five,) = [r for r in rows if r["page_id"] == 5]
+    assert len(rows) == 6 and all(r["refers_to_id"] == five["record_id"] for r in rows if r["page_id"] in (1, 3))
+    assert [r["refers_to_id"] for r in rows if r["page_id"] == 2] == [None]  # two records could be meant
+    assert {f["value"] for r in rows for f in r["fields"] if f["name"] == "x-refers-to-page" and r["page_id"] == 2} == {"7"}
 
 
 # 2
@@ -108,6 +174,38 @@ def test_level_array_is_the_best_choice():
         levels.place((i, b"", s, 0, s))
 
 
+@pytest.mark.parametrize("n", [3, 20, 250, 1000, 4000])
+def test_open_windows_are_joined_whole(n):
+    rnd, levels, full = random.Random(n), packing.LevelArray(1024), []
+    pieces = [(i, b"", s, 0, s) for i, s in enumerate(rnd.choice([rnd.randint(1, 1023), rnd.randint(1, 200), 77]) for _ in range(n))]
+    for p in pieces:
+        full += [w for w in [levels.place(p)] if w]
+    kept = {tuple(p[0] for p in w) for level in levels.windows for w in level}
+    closed = list(levels.rest())
+    sizes = [sum(p[-1] for p in w) for w in closed]
+    assert all(s & (s - 1) == 0 for s in sizes) and sum(s < 1024 for s in sizes) <= 10
+    total = Counter()
+    for w in full + closed:
+        for p in w:
+            total[p[0]] += p[-1]
+    assert total == Counter({p[0]: p[-1] for p in pieces})
+    if n >= 250:  # of all pieces at least 95 % leave in the window that sum of squares put them into
+        whole = sum(len(w) for w in full)
+        for w in closed:
+            own, at = [p[0] for p in w], 0
+            while at < len(own):
+                step = next((k for k in range(1, len(own) - at + 1) if tuple(own[at : at + k]) in kept and all(p[-1] == p[2] for p in w[at : at + k])), 0)
+                whole += step
+                at += step or 1
+        assert whole >= 0.95 * n
+
+
+def test_most_documents_ends_are_placed_whole(spark):
+    rows = packing.pack_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").coalesce(1))
+    ends = rows.where("start >= doc_tokens - doc_tokens % 1024").groupBy("doc_id").count()
+    assert ends.where("count = 1").count() >= 0.94 * ends.count()
+
+
 # 3
 
 
@@ -358,8 +456,104 @@ def test_jpeg_of_a_very_long_text():
     payload = bytes(i * i % 251 for i in range(576 * 400))
     (media,) = jpeg.encode_payloads([payload])
     assert b"".join(i.tobytes() for i in jpeg.thumbnails([media])[0]) == payload
-    with pytest.raises(ValueError):
-        jpeg.thumbnails([b"no image"])
+
+
+def coded(rnd, width, height, sampling, interval=0, apart=False, wide_tables=False):
+    """(a baseline JPEG of random coefficients, the luminance samples its DC values stand for), coded bit by bit. apart: a scan for each component."""
+    dc, ac = list(range(10)), [0, 0xF0, *(r << 4 | s for r in range(0, 15, 3) for s in range(1, 6))]
+    length = {s: 5 for s in dc} if wide_tables else {s: 4 for s in dc}
+    code = {0: {s: (length[s], k) for k, s in enumerate(dc)}, 1: {s: (6, k) for k, s in enumerate(ac)}}
+    seg = lambda m, b: bytes([0xFF, m]) + (len(b) + 2).to_bytes(2, "big") + bytes(b)
+    table = lambda kind, of, size: seg(0xC4, bytes([kind << 4]) + bytes([len(of) if k == size else 0 for k in range(1, 17)]) + bytes(of))
+    hmax, vmax, q = max(h for h, _ in sampling), max(v for _, v in sampling), 3
+    out = b"\xff\xd8" + seg(0xFE, b"made by a test") + seg(0xDB, bytes([0] + [q] * 64)) + seg(0xDB, bytes([0x11] + [0, 9] * 64))
+    out += seg(0xC0, bytes([8]) + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([len(sampling)]) + b"".join(bytes([k + 1, h << 4 | v, k > 0]) for k, (h, v) in enumerate(sampling)))
+    out += table(0, dc, length[0]) + table(1, ac, 6) + (seg(0xDD, interval.to_bytes(2, "big")) if interval else b"")
+    across, down = -(-width // (8 * hmax)), -(-height // (8 * vmax))
+    grids = [np.array([[rnd.randint(-200, 200) for _ in range(across * h)] for _ in range(down * v)]) for h, v in sampling]
+
+    def scan(parts):
+        single = len(parts) == 1
+        if single:
+            h, v = sampling[parts[0]]
+            wide, high = -(-(-(-width * h // hmax)) // 8), -(-(-(-height * v // vmax)) // 8)
+            units = [[(parts[0], y, x)] for y in range(high) for x in range(wide)]
+        else:
+            units = [[(c, y * sampling[c][1] + j, x * sampling[c][0] + i) for c in parts for j in range(sampling[c][1]) for i in range(sampling[c][0])] for y in range(down) for x in range(across)]
+        data = seg(0xDA, bytes([len(parts)]) + b"".join(bytes([c + 1, 0]) for c in parts) + bytes([0, 63, 0]))
+        bits, pred = "", {}
+        put = lambda kind, s, value, n: format(code[kind][s][1], f"0{code[kind][s][0]}b") + (format(value if value >= 0 else value + (1 << n) - 1, f"0{n}b") if n else "")
+
+        def flushed():
+            raw = bits + "1" * (-len(bits) % 8)
+            return bytes(int(raw[k : k + 8], 2) for k in range(0, len(raw), 8)).replace(b"\xff", b"\xff\0")
+
+        for k, unit in enumerate(units):
+            if interval and k and k % interval == 0:
+                data += flushed() + bytes([0xFF, 0xD0 + (k // interval - 1) % 8])
+                bits, pred = "", {}
+            for c, y, x in unit:
+                diff = int(grids[c][y, x]) - pred.get(c, 0)
+                pred[c] = int(grids[c][y, x])
+                n = abs(diff).bit_length()
+                bits += put(0, n, diff, n)
+                at = 0
+                while at < 63 and rnd.random() < 0.6:
+                    if at + 16 < 63 and rnd.random() < 0.1:
+                        bits += put(1, 0xF0, 0, 0)
+                        at += 16
+                        continue
+                    run, n = rnd.choice(range(0, 15, 3)), rnd.randint(1, 5)
+                    if at + run + 1 > 63:
+                        break
+                    value = rnd.choice([-1, 1]) * rnd.randint(1 << n - 1, (1 << n) - 1)
+                    bits += put(1, run << 4 | n, value, n)
+                    at += run + 1
+                if at < 63:
+                    bits += put(1, 0, 0, 0)
+        return data + flushed()
+
+    order = [[c] for c in range(len(sampling))] if apart else [list(range(len(sampling)))]
+    for parts in order:
+        out += scan(parts)
+    h, v = sampling[0]
+    seen = np.clip((grids[0] * q + 4) // 8 + 128, 0, 255).astype(np.uint8)
+    return out + b"\xff\xd9", seen[: -(-height * v // (8 * vmax)), : -(-width * h // (8 * hmax))]
+
+
+def test_jpeg_of_any_baseline_kind():
+    rnd, media, want = random.Random(8), [], []
+    for sampling in ([(1, 1)], [(2, 2), (1, 1), (1, 1)], [(2, 1), (1, 1), (1, 1)], [(1, 2), (1, 1)], [(1, 1), (1, 1), (1, 1)], [(4, 1), (1, 1), (2, 1), (1, 1)]):
+        for interval in (0, 3):
+            for apart in (False, True):
+                for width, height in ((8, 8), (37, 50), (90, 17)):
+                    m, w = coded(rnd, width, height, sampling, interval, apart, wide_tables=interval > 0)
+                    media.append(m)
+                    want.append(w)
+    for got, w in zip(jpeg.thumbnails(media), want, strict=True):
+        assert isinstance(got, list) and len(got) == 1 and got[0].tolist() == w.tolist()
+
+
+def test_bad_media_are_rows(spark):
+    good = jpeg.encode_payloads([bytes(range(192)) * 3])[0]
+    other, _ = coded(random.Random(1), 40, 40, [(2, 2), (1, 1), (1, 1)])
+    head = other.index(b"\xff\xda")
+    bad = {2: b"", 3: b"no image", 4: good[:-2], 5: good[: len(good) // 2], 6: b"\xff\xd8\xff\xd9", 7: other[: head + 20] + b"\xff\xd9", 8: good + other, 9: other.replace(b"\xff\xc0", b"\xff\xc2"), 10: good[:-40] + good[-2:]}
+    rows = [(0, good), (1, None), *bad.items(), (20, other)]
+    got = {r["k"]: r for r in jpeg.read_media(spark.createDataFrame(rows, "k int, media binary").coalesce(1)).collect()}
+    assert bytes(got[0]["thumbnail"]) == bytes(range(192)) * 3 and got[0]["error"] is None and got[20]["error"] is None and got[20]["width"] == 40
+    assert got[1]["error"] is None and got[1]["thumbnail"] is None
+    assert all(got[k]["error"] and got[k]["thumbnail"] is None and got[k]["width"] is None for k in bad), {k: got[k]["error"] for k in bad}
+
+
+def test_mean_hash_by_brute_force():
+    rnd = np.random.default_rng(3)
+    for shape in ((24, 24), (48, 24), (9, 13), (8, 8), (3, 5)):
+        x = rnd.integers(0, 256, shape)
+        edge = lambda n: [k * n // 8 for k in range(9)]
+        rows, cols = edge(shape[0]), edge(shape[1])
+        means = [np.mean([x[i][j] for i in range(a, max(a + 1, b)) for j in range(c, max(c + 1, d))]) for a, b in itertools.pairwise(rows) for c, d in itertools.pairwise(cols)]
+        assert jpeg.mean_hash(x) == int("".join("1" if m > np.mean(means) + 1e-9 else "0" for m in means), 2)
 
 
 # awkward and empty tables
