@@ -16,7 +16,7 @@ MOST_FREQUENT = 500_000  # words with a table entry of their own
 BLOCK, MOST_DOCS = 2 << 20, 1 << 14
 PER_BUCKET = 500_000  # words whose counts one bucket gathers, about
 _AT, _SHAPE, _TRAIN = np.uint32((1 << 30) - 1), np.uint32(1 << 30), np.uint32(1 << 31)
-WORDS_TOGETHER = 1 << 13  # frequent words whose neighbours one row gathers
+WORDS_TOGETHER = 1 << 11  # frequent words whose neighbours one row gathers
 SWEEPS = 3
 _LETTERS = np.zeros(256, dtype=bool)
 _LETTERS[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1), *range(128, 256)]] = True
@@ -454,13 +454,13 @@ def _joiner(shared, classes: int):
 
 
 def rare_emission(tokens: int, n1: int, n2: int, n3: int, types: int):
-    """log10 emission of a rare word by its count (an array): Good-Turing for counts 1 and 2, in proportion above. As many unseen words as seen ones, and one, share the unseen mass."""
-    over = tokens - n1 - 2 * n2
-    if min(n1, n2, n3) > 0 and over > 3 * n3 and 2 * n2 < n1 and 3 * n3 < 2 * n2:
-        low = np.log10(np.array([n1 / (types + 1), 2 * n2 / n1, 3 * n3 / n2]) / tokens)
-        high = np.log10((over - 3 * n3) / over / tokens)
-        return lambda c: np.where(c < 3, low[np.minimum(c, 2)], high + np.log10(np.maximum(c, 1)))
-    return lambda c: np.log10((c + 1.0) / (tokens + 2 * (types + 1)))
+    """log10 emission of a rare word by its count (an array), by absolute discounts of counts 1 and of greater ones, from the counts of counts, each half a count more so that
+    they always exist. As many unseen words as seen ones, and one, share what is taken off, and one count more."""
+    a, b, c = n1 + 0.5, n2 + 0.5, n3 + 0.5
+    y = a / (a + 2 * b)
+    cut = np.array([0.0, min(max(1 - 2 * y * b / a, 0.05), 0.95), min(max(2 - 3 * y * c / b, 0.05), 1.95)])
+    unseen = (cut[1] * n1 + cut[2] * (types - n1) + 1) / (types + 1)
+    return lambda count: np.log10(np.where(count > 0, count - cut[np.minimum(count, 2)], unseen) / (tokens + 1))
 
 
 def last_transitions(grid: np.ndarray, stats: np.ndarray, classes: int) -> np.ndarray:
