@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The word separators of every contract here: space and the ASCII controls from tab to carriage return.
@@ -51,6 +51,16 @@ def texts_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *more:
     return docs.select(docs[doc_id].cast("long").alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("text"), *more)
 
 
+def least_hashed(rows: DataFrame, group: str, most: int) -> DataFrame:
+    """doc_id, text_hash, group of a sample of the rows' distinct keys: of each group those with the least hash of id and text, `most` at most, whatever the ids.
+
+    A group may hold most rows and an id may be on all of them, so equal keys go first, and then of each of 64 salts the least few, some five times their share."""
+    keys = rows.select("doc_id", "text_hash", group).distinct().withColumn("at", F.xxhash64("doc_id", "text_hash")).withColumn("salt", F.pmod("at", F.lit(64)))
+    for part, n in (([group, "salt"], min(most, most // 12 + 16)), ([group], most)):
+        keys = keys.withColumn("rank", F.row_number().over(Window.partitionBy(*part).orderBy("at", "doc_id", "text_hash"))).where(F.col("rank") <= n)
+    return keys.select("doc_id", "text_hash", group)
+
+
 def task_numbers() -> Iterator[int]:
     """Numbers that no other task gives: the partition's index, then a counter. A task that is run again over the same split gives the same ones."""
     ctx = TaskContext.get()

@@ -7,10 +7,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, byte_texts, fold, texts_of
+from .common import blocks, byte_texts, fold, least_hashed, texts_of
 
 ORDERS = (2, 3, 4)  # bytes in a subword
 BUCKETS = 1 << 16
@@ -122,18 +122,11 @@ def train(langs: list[str], label: np.ndarray, ids: list[np.ndarray], weights: l
 
 
 def _sample(docs: DataFrame, per_language: int, longest: int, folds: int, held_fold: int) -> DataFrame:
-    """doc_id, text_hash, lang, text of the rows to learn from: of each language those with the least (hash of id and text), per_language of them at most, whatever the ids.
-
-    A language may hold most rows and an id may be on all of them, so least ones are taken of each salt of that hash first. Equal rows (id and text) count once."""
+    """doc_id, text_hash, lang, text of the rows to learn from, per_language of each language at most. Equal rows (id, text and language) count once."""
     known = F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != "") & (F.length("text") <= longest)
     rows = docs.where(known & (fold(F.col("doc_id"), folds) != held_fold)).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("lang").cast("string").alias("lang"), "text")
-    order = F.xxhash64("doc_id", "text_hash")
-    keys = rows.select("doc_id", "text_hash", "lang").distinct().withColumn("at", order).withColumn("salt", F.pmod("at", F.lit(64)))
-    for part in (["lang", "salt"], ["lang"]):
-        w = Window.partitionBy(*part).orderBy("at", "doc_id", "text_hash")
-        keys = keys.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_language)
-    # at most per_language keys a language: the table that is broadcast has that bound
-    return rows.join(F.broadcast(keys.select("doc_id", "text_hash", "lang")), ["doc_id", "text_hash", "lang"]).dropDuplicates(["doc_id", "text_hash", "lang"])
+    keys = least_hashed(rows, "lang", per_language)  # bounded, so it may be broadcast
+    return rows.join(F.broadcast(keys), ["doc_id", "text_hash", "lang"]).dropDuplicates(["doc_id", "text_hash", "lang"])
 
 
 def fit_language(docs: DataFrame, per_language: int = 400, longest: int = 20_000, folds: int = 3, held_fold: int = 1, **how) -> Model:
