@@ -256,9 +256,35 @@ def test_transitions_and_emissions_are_distributions(spark, docs):
     model, tokens, learnt = brown.fit(held, 64, 8)
     assert (10**model.transition).sum(axis=1) == pytest.approx(1)
     assert learnt == docs.count() and tokens > learnt
-    f = brown.rare_emission(1000, 300, 100, 40, 450)
-    low = 300 * 10 ** f(np.array([1]))[0] + 100 * 10 ** f(np.array([2]))[0] + 451 * 10 ** f(np.array([0]))[0]
-    assert low + (1000 - 500) / 3 * 10 ** f(np.array([3]))[0] == pytest.approx(1)
+    for counts in ([1] * 300 + [2] * 100 + [3] * 40 + [38] * 10, [1], [5, 5], [2, 2, 1], []):  # one rule at every size
+        f = brown.rare_emission(sum(counts), *(counts.count(k) for k in (1, 2, 3)), len(counts))
+        assert (10 ** f(np.array([*counts, *[0] * (len(counts) + 1)]))).sum() == pytest.approx(1)
+
+
+def test_brown_score_by_brute_force(spark, monkeypatch):
+    """Every word is frequent here, so that the classes found can be read from the model; all else is counted anew."""
+    rnd, found = random.Random(6), []
+    rows = [(i, " ".join(rnd.choice("a b c d e f g h i j k l".split()[(j % 2) * 6 :][:6]) for j in range(rnd.randint(0, 40)))) for i in range(120)]
+    real = brown.fit
+    monkeypatch.setattr(brown, "fit", lambda *a: found.append(real(*a)) or found[-1])
+    got = {r["doc_id"]: r for r in brown.brown_scores(spark.createDataFrame(rows, "doc_id long, text string"), words=6, classes=3).collect()}
+    model = found[0][0]
+    hashes = wordhash.words_of([b"a b c d e f g h i j k l"])[0]
+    kind = dict(zip("abcdefghijkl", model.kinds[np.searchsorted(model.vocabulary.keys, hashes)].tolist(), strict=True)) | {None: "end"}
+    learnt = [[*t.split(), None] for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    count, pairs = Counter(w for t in learnt for w in t), Counter((kind[a], kind[b]) for t in learnt for a, b in itertools.pairwise([None, *t]))
+    classes = sorted(set(range(3)) | {"end"}, key=str)
+    tokens = {c: sum(pairs[a, c] for a in classes) for c in classes}
+    total = sum(tokens.values())
+
+    def p(a, b):
+        left, kinds = sum(pairs[a, c] for c in classes), sum(pairs[a, c] > 0 for c in classes) + 1
+        return (pairs[a, b] + kinds * (tokens[b] + 1) / (total + len(classes))) / (left + kinds)
+
+    for i, t in rows:
+        w = [*t.split(), None]
+        want = sum(math.log10(p(kind[a], kind[b])) + (math.log10(count[b] / (tokens[kind[b]] + 1)) if b else 0) for a, b in itertools.pairwise([None, *w]))
+        assert got[i]["score"] == pytest.approx(want, abs=1e-6)
 
 
 def test_brown_puts_all_words_into_classes(spark):
@@ -318,9 +344,105 @@ def test_language_on_held_out_documents(spark, docs):
     assert np.mean([r["rejected"] for r in rows]) < 0.05
 
 
+def test_language_forward_pass_by_brute_force(spark):
+    docs = spark.createDataFrame([(i, prose(i, 30) if i % 2 else "der die das und nicht " * (1 + i % 5), "en" if i % 2 else "de") for i in range(60)], "doc_id long, text string, lang string")
+    model = language.fit_language(docs, dim=4)
+    for t in ("one Two, three", "nicht und", "é", "a", " \n ", "漢字 x"):
+        data = b" " + t.lower().encode() + b"   " if t.isascii() else b" " + t.encode() + b"   "
+        total, n = np.zeros(len(model.langs)), 0
+        for k in language.ORDERS:
+            for at in range(len(data) - 3):  # framed by one space in front and as many windows as the text and its frame have
+                if at + k > len(data):
+                    continue
+                code = data[at]
+                for j in range(1, k):
+                    code = (code * 0x01000193 & 0xFFFFFFFF) ^ data[at + j]
+                bucket = ((code * 0x9E3779B1 + k - 1) & 0xFFFFFFFF) >> 16
+                total += model.table[:, bucket % language.BUCKETS]
+                n += 1
+        z = (total / n + model.bias) / model.temperature
+        want = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert model.probabilities(model.logits([t.encode()]))[0] == pytest.approx(want, rel=1e-4)
+
+
+def test_language_sample_is_bounded_for_any_ids(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    one = docs.withColumn("doc_id", F.lit(17).cast("long"))
+    none = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    same = docs.limit(1).crossJoin(spark.range(3000)).select(*docs.columns)
+    for rows, least in ((docs, 100), (one, 100), (none, 0), (same, 0)):
+        sizes = [r["count"] for r in language._sample(rows, 30, 20_000, 3, 1).groupBy("lang").count().collect()]
+        assert all(n <= 30 for n in sizes) and sum(sizes) >= least
+    assert language._sample(same, 30, 20_000, 3, 1).count() <= 1
+    got = language.predict_language(one, language.fit_language(one)).collect()
+    assert np.mean([r["lang_pred"] == d["lang"] for r, d in zip(got, one.collect(), strict=True) if d["lang"]]) > 0.9
+    assert all(r["rejected"] and r["lang_pred"] == "und" for r in language.predict_language(docs, language.fit_language(none)).collect())
+
+
 # 7
 
 
+def brute_kneser_ney(texts):
+    """p(byte | four bytes) by the definitions, over dictionaries."""
+    counts = {5: Counter(x[k : k + 5] for t in texts for x in [b"\n" * 4 + t + b"\n"] for k in range(len(x) - 4))}
+    for k in (4, 3, 2, 1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    cut, total, left = {}, defaultdict(int), defaultdict(float)
+    for k, c in counts.items():
+        n = [sum(v == j for v in c.values()) for j in (1, 2, 3, 4)]
+        cut[k] = kneserney.discounts(*n)
+        for g, v in c.items():
+            total[g[:-1]] += v
+            left[g[:-1]] += cut[k][min(v, 3) - 1]
+
+    def p(g):
+        if not g:
+            return 1 / 256
+        if not total[g[:-1]]:
+            return p(g[1:])
+        v = counts[len(g)][g]
+        return ((v - cut[len(g)][min(v, 3) - 1]) / total[g[:-1]] if v else 0) + left[g[:-1]] / total[g[:-1]] * p(g[1:])
+
+    return p
+
+
+def test_kneser_ney_by_brute_force(spark):
+    learnt = [prose(i, 60).encode() for i in range(6)] + ["é\nß".encode(), b"a"]
+    model = kneserney.train(spark.createDataFrame([(i, t.decode()) for i, t in enumerate(learnt)], "doc_id long, text string"))
+    p = brute_kneser_ney(learnt)
+    for t in (learnt[0], b"alpha beta unheard of", b"x", b"a", "é".encode()):
+        x = b"\n" * 4 + t + b"\n"
+        logs = [math.log10(p(x[k : k + 5])) for k in range(len(x) - 4)]
+        assert kneserney._scores(model, None, [t])[0][0] == pytest.approx(10 ** (-sum(logs) / len(logs)))
+
+
+def test_discounts_exist_at_every_size():
+    for n in ((0, 0, 0, 0), (5, 0, 0, 0), (0, 3, 0, 1), (1000, 400, 200, 100)):
+        assert all(0 < d < k for k, d in enumerate(kneserney.discounts(*n), 1))
+
+
+def test_quality_limits_are_shrunk_means(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    c = kneserney.fit_classifier(docs, labels, per_language=40)
+    learnt = {r[0] for r in kneserney._sample(docs, kneserney._trusted(labels), 40, 20_000).select("doc_id").collect()}
+    trusted = {r[0] for r in labels.where("quality = 1 AND coalesce(toxic, 0) = 0").select("doc_id").collect()} - learnt
+    rows = [r for r in c.scores.collect() if r["doc_id"] in trusted and r["perplexity"] is not None]
+    top = lambda v: sorted(v)[math.ceil(0.99 * len(v)) - 1]
+    assert len(c.limits["perplexity"]) == 4
+    for lang, limit in c.limits["perplexity"].items():
+        own = [r["perplexity"] for r in rows if r["lang"] == lang]
+        logs = [math.log10(top(v)) for v in (own, [r["perplexity"] for r in rows])]
+        assert limit == pytest.approx(10 ** ((len(own) * logs[0] + 50 * logs[1]) / (len(own) + 50)), rel=1e-6)
+
+
+def test_training_is_bounded_for_repeated_ids(spark):
+    rows = spark.range(500).selectExpr("cast(6 AS long) AS doc_id", "concat('text number ', id) AS text", "'en' AS lang").unionByName(spark.range(500).selectExpr("cast(6 AS long) AS doc_id", "'the same' AS text", "'en' AS lang"))
+    wanted = spark.createDataFrame([(6,)], "doc_id long")
+    sample = kneserney._sample(rows, wanted, 20, 1000)
+    assert sample.count() <= 20 and kneserney._learnt(rows, sample).count() == sample.count()
+
+
 def test_kneser_ney_is_a_distribution(spark):
     df = spark.createDataFrame([(i, prose(i, 200)) for i in range(20)], "doc_id long, text string")
     model = kneserney.train(df)
