@@ -502,9 +502,10 @@ def brute_components(known, size, share):
     return {d: (len(sets[d]), find(d)) for d in sets}
 
 
-@pytest.mark.parametrize("size, share, small", [(4, 85, 48), (5, 80, 48), (4, 85, 3)])
-def test_jaccard_join_is_exact(spark, monkeypatch, size, share, small):
+@pytest.mark.parametrize("size, share, small, salt", [(4, 85, 48, 4096), (5, 80, 48, 7), (4, 85, 3, 5)])
+def test_jaccard_join_is_exact(spark, monkeypatch, size, share, small, salt):
     monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "A_SALT", salt)
     rnd, known = random.Random(size + small), {}
     for g in range(6):  # clusters of near copies of one text, and a passage that all share
         base = (prose(g, 40) + " " + " ".join(f"w{g}{rnd.randint(0, 999)}" for _ in range(60))).split()
@@ -521,6 +522,31 @@ def test_jaccard_join_is_exact(spark, monkeypatch, size, share, small):
     assert got == brute_components(known, size, share)
 
 
+def test_one_of_each_by_brute_force(spark, monkeypatch):
+    rnd, rows = random.Random(11), []
+    for g in range(40):
+        base = [f"w{g}x{i}" for i in range(60)]
+        for _ in range(rnd.choice([1, 1, 2, 5])):
+            w = list(base)
+            for _ in range(rnd.choice([0, 0, 1, 2])):
+                w[rnd.randrange(60)] = f"n{rnd.randrange(10**6)}"
+            rows += [(rnd.choice([None, *range(50)]), " ".join(w), "x")] * rnd.choice([1, 1, 1, 3])
+    rows += [(None, None, "x"), (None, None, "y"), (3, "", "x"), (3, "", "x"), (3, " ", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, hash string").repartition(5)
+    parts = brute_components({k: t for k, (_, t, _) in enumerate(rows)}, 5, 80)
+    want, empty_ = {}, []
+    hashed = {r["text"]: r["h"] for r in df.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    for k, (d, t, x) in enumerate(rows):
+        if not words(t):
+            empty_.append((d, t, x))
+        else:
+            want.setdefault(parts[k][1], []).append((d is None, d or 0, hashed[t], (d, t, x)))
+    expect = Counter([min(v)[3] for v in want.values()] + empty_)
+    for bits in (64, 1 << 28):  # full bit tables leave most rows to the join
+        monkeypatch.setattr(jaccard, "MOST_BITS", bits)
+        assert Counter(tuple(r) for r in jaccard.one_of_each(df, size=5, share=80).collect()) == expect
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 105), (105, 103)] + [(200, 200 + k) for k in range(1, 30)] + [(7, 7)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
