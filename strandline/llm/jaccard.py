@@ -96,16 +96,16 @@ def _wanted_sets(size: int, wanted):
     return run
 
 
-LEAST_BITS, MOST_BITS = 1 << 16, 1 << 28  # 32 MB at most; a fuller table lets more through to the exact join
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27  # 16 MB at most; a fuller table lets more through to the exact join
 
 
-def _bit_table(df: DataFrame, column: str) -> np.ndarray:
-    """Bytes of a table with a bit for each number in the column, some 16 bits a number up to MOST_BITS. Its words are made in Spark; the table is all that is gathered."""
-    size = min(MOST_BITS, max(LEAST_BITS, 16 << df.count().bit_length()))
+def _bit_table(df: DataFrame, column: str, each: int = 16) -> np.ndarray:
+    """Bytes of a table with a bit for each number in the column, at least `each` bits a number up to MOST_BITS. Its words are made in Spark; the table is all that is gathered."""
+    size = min(MOST_BITS, max(LEAST_BITS, each << df.count().bit_length()))
     at = F.expr(f"{column} & {size - 1}")
-    words = df.select(at.alias("at")).selectExpr("at >> 5 AS word", "shiftleft(1L, cast(at & 31 AS int)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    table = np.zeros(size // 32, dtype="<u4")
-    table[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
+    words = df.select(at.alias("at")).selectExpr("at >> 6 AS word", "shiftleft(1L, cast(at & 63 AS int)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table = np.zeros(size // 64, dtype="<i8")
+    table[words["word"].to_numpy()] = words["bits"].to_numpy()
     return table.view(np.uint8)
 
 
@@ -237,8 +237,8 @@ def jaccard_components(docs: DataFrame, size: int = 4, share: int = 85, doc_id:
     members = written(classes.join(groups, ["n", "group"]).select("gid", "cid", "n", "k"), "members")
     leads = members.where("gid = cid").select("gid", "k")
     # most shingles are in one prefix only, and go before anything else is joined
-    twice = rows.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
-    table = spark.sparkContext.broadcast(_bit_table(twice, "token"))
+    twice = written(rows.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token"), "twice")
+    table = spark.sparkContext.broadcast(_bit_table(twice, "token", 4))
     shown = rows.where("n > 0").select("row_id", "n", "prefix").mapInArrow(_postings(table), "row_id long, n long, pos int, token long")
     shown = written(shown.join(leads, shown["row_id"] == leads["gid"]).select("gid", "n", "pos", "token", "k"), "postings")
     often = shown.groupBy("token").agg(F.count("*").alias("m"), F.min("n").alias("least"), F.sum("k").alias("size")).where("m > 1")
