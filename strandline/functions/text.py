@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 # The matching alphabet (digits, a-z, kana, CJK, Hangul), words that end a track title, what is taken for a bracket or a Latin run in one, the bar before a suffix.
 ALPHABET = "0-9a-z぀-ヿ㐀-鿿가-힣"
-TITLE_NOISE = r"(?:official|audio|video|lyrics?|mv)"
+NOISE_WORDS = r"official|audio|video|lyrics?|mv"
 IN_BRACKETS = r"[(\[{【「『]([^)\]}】」』]+)[)\]}】」』]"
 LATIN_RUN = r"[A-Za-z0-9][A-Za-z0-9 '&.,!?\-]+"
 BAR = r"(?U)\s*[|｜]\s*"
@@ -41,18 +41,20 @@ def ratio(a: str, b: str) -> float:
 
 @F.pandas_udf(T.DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    # what the matcher learns of a second text is kept while rows share it
-    out, match, last = [0.0] * len(a), difflib.SequenceMatcher(None), None
-    first, second = a.tolist(), b.tolist()
-    for i in sorted(range(len(first)), key=lambda i: second[i] or ""):
-        x, y = first[i], second[i]
-        if x and y:
-            if y != last:
-                match.set_seq2(y)
-                last = y
-            match.set_seq1(x)
-            out[i] = 1.0 if x == y else match.ratio()
-    return pd.Series(out, dtype="float64")
+    # each distinct pair of a batch once; what the matcher learns of a second text is kept while pairs share it
+    pairs = pd.DataFrame({"x": a.fillna("").to_numpy(), "y": b.fillna("").to_numpy()})
+    known, match, last = pairs.drop_duplicates().sort_values("y"), difflib.SequenceMatcher(None), None
+    scores = []
+    for x, y in zip(known["x"], known["y"], strict=True):
+        if not x or not y:
+            scores.append(0.0)
+            continue
+        if y != last:
+            match.set_seq2(y)
+            last = y
+        match.set_seq1(x)
+        scores.append(1.0 if x == y else match.ratio())
+    return pairs.merge(known.assign(score=scores), on=["x", "y"], how="left")["score"]
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -64,7 +66,7 @@ def track_key(c: Column) -> Column:
     """Key of a track or artist name: case folded, without bracketed parts and without what follows a noise word."""
     c = F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
     c = F.regexp_replace(c, r"(?s)[(\[{].*?[)\]}]", " ")
-    c = F.regexp_replace(c, rf"(?U)\b(?:feat(?:uring)?|ft|{TITLE_NOISE[3:-1]})\b.*", " ")
+    c = F.regexp_replace(c, rf"(?U)\b(?:feat(?:uring)?|ft|{NOISE_WORDS})\b.*", " ")
     return F.regexp_replace(c, f"[^{ALPHABET}]+", "")
 
 
@@ -81,7 +83,7 @@ def title_variants(title: Column) -> Column:
     inside = F.regexp_extract_all(plain, F.lit(IN_BRACKETS), F.lit(1))
     latin = F.regexp_extract_all(plain, F.lit(LATIN_RUN), F.lit(0))
     found = F.concat(F.array(strip(title), plain), F.transform(inside, strip), F.transform(latin, strip))
-    found = F.transform(found, lambda v: F.regexp_replace(F.regexp_replace(v, rf"(?iU)\b(?:{TITLE_NOISE[3:-1]}|translation)\b.*", ""), r"^[ \-_.,!]+|[ \-_.,!]+$", ""))
+    found = F.transform(found, lambda v: F.regexp_replace(F.regexp_replace(v, rf"(?iU)\b(?:{NOISE_WORDS}|translation)\b.*", ""), r"^[ \-_.,!]+|[ \-_.,!]+$", ""))
     found = F.filter(found, lambda v: F.length(v) >= 2)
     return F.filter(found, lambda v, i: ~F.exists(F.slice(found, F.lit(1), i), lambda w: F.lower(w) == F.lower(v)))
 

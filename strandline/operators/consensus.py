@@ -10,17 +10,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.functions.arrays import bound, median_of
 from strandline.functions.text import source_low
 from strandline.operators.timeline import in_order, job_window
 
 KEY = ["job_id", "idx"]
 
 
-def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f(value), with value computed once, however often f uses it."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def bundled(captions: DataFrame, candidates: DataFrame) -> DataFrame:
     """Captions with cands (their candidates in order), before (the end of the caption before) and after (the start of the next)."""
     c = candidates.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("cand_idx", "start", "end", "confidence", "collapsed_ratio", "source"))).alias("cands"))
@@ -34,7 +30,7 @@ def _best_pair(cands: Column, cost: Callable[[Column, Column], Column], ok: Call
     def pairs(c: Column) -> Column:
         return F.flatten(F.transform(c, lambda a, i: F.transform(F.filter(c, lambda b, j: (j > i) & (b["source"] != a["source"]) & ok(a, b)), lambda b: F.struct(cost(a, b).alias("cost"), a["cand_idx"].alias("i"), b["cand_idx"].alias("j"), a.alias("l"), b.alias("r")))))
 
-    return _bound(cands, lambda c: F.array_min(pairs(c)))
+    return bound(cands, lambda c: F.array_min(pairs(c)))
 
 
 def _apart(a: Column, b: Column, name: str = "start") -> Column:
@@ -45,10 +41,6 @@ def _middle(p: Column, name: str) -> Column:
     return (p["l"][name] + p["r"][name]) / 2
 
 
-def _median(values: Column) -> Column:
-    return _bound(F.sort_array(values), lambda v: (F.get(v, F.floor((F.size(v) - 1) / 2).cast("int")) + F.get(v, F.floor(F.size(v) / 2).cast("int"))) / 2)
-
-
 def _spread(values: Column) -> Column:
     return F.array_max(values) - F.array_min(values)
 
@@ -73,9 +65,9 @@ def consensus_timing() -> Column:
             take = (_apart(l, r, "end") <= 1.0) & (F.least(l["end"], r["end"]) > at + 0.35) & (F.abs(stop - end) <= 3.0)
             return F.when((_apart(l, r) <= 0.60) & ~collapsed & (F.abs(at - start) <= most), _timing(at, F.when(take, stop).otherwise(end)))
 
-        return _bound(_best_pair(v, lambda a, b: _apart(a, b) + 0.15 * _apart(a, b, "end")), judged)
+        return bound(_best_pair(v, lambda a, b: _apart(a, b) + 0.15 * _apart(a, b, "end")), judged)
 
-    return _bound(valid, decide)
+    return bound(valid, decide)
 
 
 def boundary_timing() -> Column:
@@ -88,10 +80,10 @@ def boundary_timing() -> Column:
     def agreed(cands: Column, least: int, spread: float, most: float) -> Column:
         def judged(c: Column) -> Column:
             s, e = F.transform(c, lambda x: x["start"]), F.transform(c, lambda x: x["end"])
-            at = _median(s)
-            return F.when((F.size(c) >= least) & (_spread(s) <= spread) & (F.abs(at - start) <= most), _timing(at, _median(e)))
+            at = median_of(s)
+            return F.when((F.size(c) >= least) & (_spread(s) <= spread) & (F.abs(at - start) <= most), _timing(at, median_of(e)))
 
-        return _bound(cands, judged)
+        return bound(cands, judged)
 
     return F.coalesce(F.when(after_pause, agreed(here, 2, 0.35, 3.0)), F.when(before_pause, agreed(valid, 3, 2.0, 2.5)))
 
@@ -104,7 +96,7 @@ def contextual_timing() -> Column:
         move = F.abs(_middle(p, "start") - F.col("start"))
         return F.when((move > 1.0) & (move <= 2.5), _timing(_middle(p, "start"), _middle(p, "end")))
 
-    return _bound(_best_pair(valid, _apart, lambda a, b: _apart(a, b) <= 0.60), judged)
+    return bound(_best_pair(valid, _apart, lambda a, b: _apart(a, b) <= 0.60), judged)
 
 
 def first_line_timing() -> Column:
@@ -118,7 +110,7 @@ def first_line_timing() -> Column:
         at = _middle(p, "start")
         return F.when((at > start + 0.35) & (at <= start + 4.0) & (at < F.col("after") - 0.35), _timing(at, F.col("end")))
 
-    return F.when((F.col("idx") == 0) & (start <= 1.5), _bound(_best_pair(F.col("cands"), _apart, ok), judged))
+    return F.when((F.col("idx") == 0) & (start <= 1.5), bound(_best_pair(F.col("cands"), _apart, ok), judged))
 
 
 def _select(captions: DataFrame, candidates: DataFrame, timing: Column, *fields: str) -> DataFrame:
@@ -173,3 +165,12 @@ def refine(captions: DataFrame, candidates: DataFrame) -> DataFrame:
     end = F.when(end <= start + 0.20, F.least(F.col("duration"), F.greatest(start + 0.20, following - 0.05))).otherwise(end)
     many = F.col("n") >= 3
     return out.select("job_id", "idx", F.when(many, start).otherwise(F.col("own")).alias("start"), F.when(many, end).otherwise(F.col("end")).alias("end"), *rest, F.col("p").isNotNull().alias("accepted"))
+
+
+def refinement_rows(before: DataFrame, after: DataFrame, candidates: DataFrame, errors: DataFrame) -> DataFrame:
+    """job_id, idx, source, dtw_start, refined_start, accepted, candidates, error: what a refinement did, a row a line with the candidates it had, and a row a window that gave none (idx null)."""
+    cand = F.struct("start", "end", "confidence", "collapsed_ratio", "source")
+    seen = candidates.groupBy(*KEY).agg(F.transform(F.sort_array(F.collect_list(F.struct("cand_idx", cand.alias("c")))), lambda x: x["c"]).alias("candidates"))
+    rows = before.select(*KEY, F.col("start").alias("dtw_start")).join(after.select(*KEY, F.col("start").alias("refined_start"), "accepted"), KEY).join(seen, KEY, "left")
+    lines = rows.select("job_id", F.col("idx").cast("int").alias("idx"), F.lit(None).cast("string").alias("source"), "dtw_start", "refined_start", "accepted", "candidates", F.lit(None).cast("string").alias("error"))
+    return lines.unionByName(errors.select("job_id", "source", "error"), allowMissingColumns=True)

@@ -20,7 +20,7 @@ def clamp(x: Column, low, high) -> Column:
 
 def end_before_next(start: Column, following: Column, duration: Column, last: Column) -> Column:
     """0.05 s before the next start, but 0.2 s after its own at least; `last` where none follows; never after duration."""
-    return F.least(duration, F.coalesce(F.greatest(start + 0.2, following - 0.05), last))
+    return F.least(duration, F.when(following.isNull(), last).otherwise(F.greatest(start + 0.2, following - 0.05)))
 
 
 def even_spacing(blocks: DataFrame) -> DataFrame:
@@ -107,12 +107,13 @@ def warped(captions: DataFrame, s0: Column, s1: Column, t0: Column, t1: Column)
     return captions.withColumns({"start": start, "end": F.least(F.greatest(start + 0.2, at(F.col("end"))), d)})
 
 
-def fit_to_activity(captions: DataFrame, intervals: DataFrame, keep_start: bool = True) -> DataFrame:
+def fit_to_activity(captions: DataFrame, intervals: DataFrame, keep_start: bool | Column = True) -> DataFrame:
     """Captions warped to their job's first and last active time, or with keep_start to the last only. Jobs with fewer than two captions, no intervals, or a span under 1 s stay."""
-    spans = captions.groupBy("job_id").agg(F.count("*").alias("n"), F.min("start").alias("s0"), F.max("end").alias("s1"))
+    spans = captions.groupBy("job_id").agg(F.count("*").alias("n"), F.min_by("start", "idx").alias("s0"), F.max_by("end", "idx").alias("s1"))
     active = intervals.groupBy("job_id").agg(F.min("start").alias("a0"), F.max("end").alias("a1"))
     rows = captions.join(spans.join(active, "job_id", "left"), "job_id")
-    t0 = F.col("s0") if keep_start else F.col("a0")
+    keep_start = F.lit(keep_start) if isinstance(keep_start, bool) else keep_start
+    t0 = F.when(keep_start, F.col("s0")).otherwise(F.col("a0"))
     fits = (F.col("n") >= 2) & F.col("a1").isNotNull() & (F.col("s1") - F.col("s0") >= 1) & (F.col("a1") - t0 >= 1)
     moved = warped(rows.withColumns({"old_start": F.col("start"), "old_end": F.col("end")}), F.col("s0"), F.col("s1"), t0, F.col("a1"))
     pick = lambda name: F.when(F.coalesce(fits, F.lit(False)), F.col(name)).otherwise(F.col(f"old_{name}"))
@@ -132,10 +133,11 @@ def clipped_ends(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def warp_by_map(captions: DataFrame, axis: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(captions on the performance's time, violations): both ends through the map, then minimum gaps and clipped ends."""
+    """(captions on the performance's time, violations): both ends through the map, then minimum gaps, 0.2 s at least, and clipped ends."""
     first = interpolate(captions, axis, "start").withColumnRenamed("y", "raw")
     both = interpolate(first.drop("start"), axis, "end").drop("end").withColumnRenamed("y", "end")
-    return clipped_ends(minimum_gap(both).drop("raw"))
+    spaced = minimum_gap(both).drop("raw")
+    return clipped_ends(spaced.withColumn("end", F.greatest(F.col("start") + 0.2, F.col("end"))))
 
 
 def violations(captions: DataFrame, expected: DataFrame | None = None) -> DataFrame:

@@ -15,9 +15,16 @@ SELECTS = {
             SELECT job_id, idx, '[' || lpad(cast(cast(floor(t / 60) AS int) AS string), 2, '0') || ':' || lpad(cast(cast(floor(t) AS int) % 60 AS string), 2, '0') || '.' ||
                    CASE WHEN idx % 2 = 0 THEN '25' ELSE '5' END || '] ' || CASE WHEN idx % 4 = 3 THEN '' ELSE replace(sync_text, chr(10), ' ') END AS line
             FROM (SELECT *, 1e0 + idx * 3.25e0 AS t FROM ({turns}))) GROUP BY job_id""",
+    "songs": """
+        SELECT p.job_id, 60e0 AS duration, 0.5e0 AS "offset", 'Every non-empty line' AS grouping,
+               CASE WHEN p.k IN (0, 4) THEN 'Even spacing' WHEN p.k IN (1, 2) THEN 'Manual anchors' WHEN p.k = 3 THEN 'Vocal activity sequential' WHEN p.k = 5 THEN 'no such mode' ELSE 'Whisper fuzzy match' END AS mode,
+               CASE WHEN p.k = 1 THEN '# two' || chr(10) || '1 = 2' || chr(10) || '3: 0:20.5' WHEN p.k = 2 THEN '1 = 1.5:20' END AS anchors,
+               CASE WHEN p.k = 4 THEN l.text WHEN p.k = 6 THEN '  ' ELSE p.text END AS text
+        FROM (SELECT job_id, cast(job_id AS int) % 7 AS k, string_agg(line, chr(10) ORDER BY idx) AS text FROM (SELECT job_id, idx, replace(sync_text, chr(10), ' ') AS line FROM ({turns})) GROUP BY job_id) p
+        JOIN ({lyrics}) l ON l.job_id = p.job_id""",
     "frames": """
-        SELECT event_type AS job_id, cast(n AS int) AS frame, n * 0.1e0 AS t, abs(value) AS rms, cast(count(*) OVER (PARTITION BY event_type) AS double) * 0.1e0 AS duration
-        FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS n FROM {events})""",
+        SELECT cast(user_id AS string) AS job_id, cast(n AS int) AS frame, n * 0.1e0 AS t, abs(value) AS rms, cast(count(*) OVER (PARTITION BY user_id) AS double) * 0.1e0 AS duration
+        FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM {events})""",
     "spells": """
         SELECT cast(user_id AS string) AS job_id, (event_id * 37 % 3600) / 10e0 AS start, (event_id * 37 % 3600) / 10e0 + 0.1e0 + (event_id % 7) / 2e0 AS "end", 361e0 AS duration FROM {events}""",
     "captions": """
@@ -29,9 +36,9 @@ SELECTS = {
         FROM (SELECT c.job_id, c.idx, c.start, l.*, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS k
               FROM {lineitem} l JOIN ({captions}) c ON c.o_orderkey = l.l_orderkey)""",
     "axis": """
-        SELECT cast(user_id % 20 AS string) AS job_id, (event_id % 50) * 2e0 AS ref_t, (event_id % 50) * 2.1e0 + (event_id * 7 % 13) / 10e0 AS perf_t FROM {events}""",
+        SELECT cast(user_id AS string) AS job_id, (event_id % 50) * 2e0 AS ref_t, (event_id % 50) * 2.1e0 + (event_id * 7 % 13) / 10e0 AS perf_t FROM {events}""",
     "probes": """
-        SELECT cast(user_id % 20 AS string) AS job_id, event_id, (event_id * 13 % 1100) / 10e0 AS x, 100e0 AS duration FROM {events}""",
+        SELECT cast(user_id AS string) AS job_id, event_id, (event_id * 13 % 1100) / 10e0 AS x, 100e0 AS duration FROM {events}""",
     "raw_starts": """
         SELECT cast(user_id AS string) AS job_id, cast(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS int) AS idx, (event_id * 29 % 977) / 10e0 AS raw, 98e0 AS duration FROM {events}""",
     "vectors": """
@@ -62,4 +69,4 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in SELECTS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     text = select(name, lambda t: f"parquet.`{sf_dir}/{t}.parquet`").replace("chr(10) ORDER BY idx)", "chr(10)) WITHIN GROUP (ORDER BY idx)")
-    return spark.sql("SELECT * FROM " + re.sub(r'"(end|trackName|artistName|albumName|syncedLyrics)"', r"`\1`", text))
+    return spark.sql("SELECT * FROM " + re.sub(r'"(end|offset|trackName|artistName|albumName|syncedLyrics)"', r"`\1`", text))

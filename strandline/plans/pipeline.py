@@ -1,68 +1,126 @@
-"""Many jobs at once: each alignment mode is a branch over the jobs that ask for it, and the branches are one union."""
+"""Many jobs at once: each job gets a route, each route is a branch over its jobs, and the branches are one union. Every job gives captions or one row with an error."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.functions.text import strip
 from strandline.operators import align, consensus, timeline
 from strandline.sources import scans
+from strandline.sources.staging import written
+
+COLUMNS = "job_id string, idx int, start double, end double, text string, score double, sync_text string, mode string, method string, error string"
+MODES = ("Reference audio DTW", "LRCLIB synced lyrics", "Vocal activity sequential", "Whisper fuzzy match", "Manual anchors", "Even spacing")
+DTW, SYNCED, VOCAL, WHISPER, ANCHORS, EVEN = MODES
+#: What a job has where its table lacks the column.
+DEFAULTS = {"offset": 0.0, "anchors": "", "use_lyrics": True, "fit": True, "keep_start": True, "grouping": scans.BLOCKS, "choice": "Line 1"}
+ITEMS = "job_id string, idx int, start double, end double, text string"
+
+
+def prepared(jobs: DataFrame) -> DataFrame:
+    """Jobs (job_id, mode, duration, text) with all columns of DEFAULTS, whose nulls they fill, reference_duration (by default duration), and lengths of a tenth of a second at least."""
+    given = lambda c, v: F.coalesce(F.col(c), v) if c in jobs.columns else v
+    length, other = scans.duration_of(F.col("duration")), scans.duration_of(given("reference_duration", F.col("duration")))
+    return jobs.select(F.col("job_id").cast("string").alias("job_id"), "mode", length.alias("duration"), other.alias("reference_duration"), F.coalesce("text", F.lit("")).alias("text"), *[given(c, F.lit(v)).alias(c) for c, v in DEFAULTS.items()])
+
+
+def routed(jobs: DataFrame, lrc: DataFrame, axis: DataFrame) -> DataFrame:
+    """Prepared jobs with route (the method's name) or error. Stamped lyrics of a job's own go before any mode; fetched ones go before recognised words only where they are an exact match."""
+    facts = lrc.groupBy("job_id").agg(F.lit(True).alias("has_lrc"), F.bool_or("exact").alias("exact"))
+    rows = jobs.join(facts, "job_id", "left").join(axis.groupBy("job_id").agg(F.lit(True).alias("has_map")), "job_id", "left")
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    taken = F.col("use_lyrics") & yes("exact")
+    route = (
+        F.when(scans.stamped_lines(F.col("text")) > 0, "stamped text")
+        .when(F.col("mode") == EVEN, "even")
+        .when(F.col("mode") == ANCHORS, "anchors")
+        .when(F.col("mode") == SYNCED, F.when(yes("has_lrc"), "stamped lyrics").otherwise("activity"))
+        .when(F.col("mode") == WHISPER, F.when(taken, "stamped lyrics").otherwise("transcript"))
+        .when(F.col("mode") == VOCAL, F.when(taken, "stamped lyrics").otherwise("activity"))
+        .when(F.col("mode") == DTW, F.when(yes("has_lrc"), "reference lyrics").otherwise("reference transcript"))
+    )
+    error = F.when(strip(F.col("text")) == "", "no lyrics").when(route.isNull(), "unknown mode").when(F.startswith(route, F.lit("reference")) & ~yes("has_map"), "no time map")
+    return rows.withColumns({"route": F.when(error.isNull(), route), "error": error}).drop("has_lrc", "exact", "has_map")
+
+
+def blocks_of(jobs: DataFrame) -> DataFrame:
+    """job_id, route, idx, text, sync_text, duration: the blocks of routed jobs' lyrics, without a second copy of the whole. A route through the reference has the reference's length."""
+    rows = jobs.where("route IS NOT NULL AND route <> 'stamped text'")
+    length = F.when(F.startswith("route", F.lit("reference")), F.col("reference_duration")).otherwise(F.col("duration"))
+    rows = rows.select("job_id", "route", length.alias("duration"), "grouping", "choice", align.trim_copy(F.col("text"))["text"].alias("text"))
+    return scans.lyric_blocks(rows, F.col("grouping"), F.col("choice")).select("job_id", "route", "idx", "text", "sync_text", "duration")
+
+
+def _captions(df: DataFrame, method: str | Column) -> DataFrame:
+    rows = df if "sync_text" in df.columns else df.withColumn("sync_text", F.lit(""))
+    return rows.select("job_id", F.col("idx").cast("int").alias("idx"), "start", "end", "text", "score", "sync_text", (F.lit(method) if isinstance(method, str) else method).alias("method"))
+
 
-COLUMNS = ["job_id", "idx", "start", "end", "text", "score", "sync_text", "mode", "method"]
-
-
-def _shape(df: DataFrame, method: str | None = None) -> DataFrame:
-    if "sync_text" not in df.columns:
-        df = df.withColumn("sync_text", F.lit(""))
-    if "method" not in df.columns or method:
-        df = df.withColumn("method", F.lit(method))
-    return df.select("job_id", F.col("idx").cast("int").alias("idx"), "start", "end", "text", "score", "sync_text", "method")
-
-
-def run_jobs(jobs: DataFrame, blocks: DataFrame, lrc: DataFrame | None = None, segments: DataFrame | None = None, intervals: DataFrame | None = None, anchors: DataFrame | None = None, axis: DataFrame | None = None, candidates: DataFrame | None = None) -> DataFrame:
-    """Captions of jobs (job_id, mode, offset, duration, text) by mode; blocks: job_id, idx, text, sync_text, duration.
-
-    LRC text: the job's own stamped text, which nothing else changes. LRCLIB synced lyrics: on `lrc` items, or on active time without any. Whisper
-    fuzzy match: on segments, unless the job has exact stamped lyrics. Vocal activity sequential: on active time, with the same exception.
-    Even spacing and Manual anchors need nothing else. Reference audio DTW: on stamped lyrics or the reference's transcript, then through the time
-    map (`axis`), then refined by `candidates`. The offset is applied last. A table that isn't given counts as empty. Errors are for
-    `timeline.violations` to report as rows; no job stops another."""
-    spark = jobs.sparkSession
-    none = lambda schema: spark.createDataFrame([], schema)
-    lrc = lrc if lrc is not None else none("job_id string, idx int, start double, end double, text string, exact boolean")
-    segments = segments if segments is not None else none("job_id string, idx int, start double, end double, text string")
-    intervals = intervals if intervals is not None else none("job_id string, idx int, start double, end double")
-    anchors = anchors if anchors is not None else none("job_id string, idx int, t double")
-    lrc = lrc if "exact" in lrc.columns else lrc.withColumn("exact", F.lit(True))
-    mode = lambda *names: jobs.where(F.col("mode").isin(*names)).select(F.col("job_id").alias("wanted"))
-    of = lambda df, ids: df.join(ids.toDF("wanted"), F.col("job_id") == F.col("wanted"), "left_semi")
-    less = lambda df, ids: df.join(ids.toDF("wanted"), F.col("job_id") == F.col("wanted"), "left_anti")
-    stamped, exact = lrc.select("job_id").distinct(), lrc.where("exact").select("job_id").distinct()
+def _first_error(*errors: DataFrame) -> DataFrame:
+    """job_id, error of tables (job_id, error, and idx where a caption is at fault): of each job that of the first table, there of the first caption."""
+    ranked = [e.select("job_id", F.struct(F.lit(k).alias("k"), (F.col("idx") if "idx" in e.columns else F.lit(0)).cast("int").alias("idx"), "error").alias("e")) for k, e in enumerate(errors)]
+    return reduce(DataFrame.unionByName, ranked).groupBy("job_id").agg(F.min("e")["error"].alias("error"))
+
+
+def run_jobs(jobs: DataFrame, lrc: DataFrame | None = None, segments: DataFrame | None = None, intervals: DataFrame | None = None, axis: DataFrame | None = None, candidates: DataFrame | None = None) -> DataFrame:
+    """job_id, idx, start, end, text, score, sync_text, mode, method, error: the captions of each job (job_id, mode, duration, text, and what DEFAULTS lists), or one row of it with an error and no idx.
+
+    lrc: stamped lyrics that were found (job_id, idx, start, end, text, and exact: whether names and titles agree); segments: recognised words; intervals: active time; axis: the map of
+    times of the reference to the performance's; candidates: timings of forced alignment. A table that isn't given counts as empty.
+
+    A job whose text is stamped takes its own times, and no offset. Else, by mode: even spacing; anchors; stamped lyrics, which are then fitted to the active time (`fit`), or active time; transcript;
+    or the reference's times, from stamped lyrics, its transcript or its active time, moved through the map and refined. The offset comes last.
+    Errors: no lyrics, no blocks in them, an unknown mode, bad anchors or none, no stamped line, no time map, and for a mapped job captions without length or that overlap.
+
+    Routed jobs, their blocks and the captions of all routes are written between the steps, so each is made once and no plan holds all of them."""
+    none = lambda schema: jobs.sparkSession.createDataFrame([], schema)
+    lrc = none(ITEMS + ", exact boolean") if lrc is None else lrc if "exact" in lrc.columns else lrc.withColumn("exact", F.lit(True))
+    segments = none(ITEMS) if segments is None else segments
+    intervals = none("job_id string, idx int, start double, end double") if intervals is None else intervals
+    axis = none("job_id string, ref_t double, perf_t double") if axis is None else axis
+    jobs = written(routed(prepared(jobs), lrc, axis), "jobs")
+    blocks = written(blocks_of(jobs), "blocks")
+    on = lambda *routes: jobs.where(F.col("route").isin(*routes))
+    of = lambda df, *routes: df.join(on(*routes).select("job_id"), "job_id", "left_semi")
+    blocks_on = lambda route: blocks.where(F.col("route") == route).drop("route")
     items = lrc.drop("exact")
 
-    own = scans.lrc_items(of(jobs, mode("LRC text"))).withColumns({"score": F.lit(1.0)})
-    even = timeline.even_spacing(of(blocks, mode("Even spacing")))
-    manual = timeline.anchor_spacing(of(blocks, mode("Manual anchors")), anchors)
-
-    synced = of(blocks, mode("LRCLIB synced lyrics"))
-    whisper, vocal = of(blocks, mode("Whisper fuzzy match")), of(blocks, mode("Vocal activity sequential"))
-    on_lines = of(synced, stamped).unionByName(of(whisper, exact)).unionByName(of(vocal, exact))
-    lines = align.align_to_lrc(on_lines, of(items, on_lines.select("job_id").distinct())).drop("average", "lrc_count")
-    transcript = align.align_to_segments(less(whisper, exact), of(segments, mode("Whisper fuzzy match")))
-    active = timeline.place_by_activity(less(synced, stamped).unionByName(less(vocal, exact)), intervals)
-
-    parts = [_shape(own, "stamped text"), _shape(even, "even"), _shape(manual, "anchors"), _shape(lines, "stamped lyrics"), _shape(transcript, "transcript"), _shape(active, "activity")]
-    if axis is not None:
-        dtw = of(blocks, mode("Reference audio DTW"))
-        on_reference = align.align_to_lrc(of(dtw, stamped), of(items, mode("Reference audio DTW"))).drop("average", "lrc_count").withColumn("method", F.lit("stamped lyrics"))
-        rest = align.align_to_reference(less(dtw, stamped), of(segments, mode("Reference audio DTW")), intervals)
-        first = _shape(on_reference).unionByName(_shape(rest)).join(jobs.select("job_id", "duration"), "job_id")
-        moved = timeline.warp_by_map(first, axis)[0]
-        moved = consensus.refine(moved, candidates).drop("accepted") if candidates is not None else moved
-        parts.append(_shape(moved))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    out = out.join(jobs.select("job_id", "mode", "offset", "duration"), "job_id")
-    kept = F.when(F.col("mode") == "LRC text", F.lit(0.0)).otherwise(F.coalesce("offset", F.lit(0.0)))
-    return timeline.shifted(out, kept).select(*COLUMNS)
+    own = scans.lrc_items(on("stamped text")).withColumn("score", F.lit(1.0))
+    even = timeline.even_spacing(blocks_on("even"))
+
+    manual = blocks_on("anchors")
+    counted = on("anchors").join(manual.groupBy("job_id").agg(F.count("*").alias("n")), "job_id")
+    anchors, wrong = scans.timing_anchors(counted.select("job_id", "n", "duration", "anchors"))
+    wrong = wrong.select("job_id", F.concat_ws(": ", "reason", "line").alias("error"))
+    placed = timeline.anchor_spacing(manual, anchors)
+
+    synced = align.align_to_lrc(blocks_on("stamped lyrics"), of(items, "stamped lyrics")).join(on("stamped lyrics").select("job_id", "duration", "fit", "keep_start"), "job_id")
+    moved = timeline.fit_to_activity(synced.where("fit"), of(intervals, "stamped lyrics"), F.col("keep_start"))
+    synced = synced.where("NOT fit").unionByName(moved)
+
+    heard = align.align_to_segments(blocks_on("transcript"), of(segments, "transcript"))
+    active = timeline.place_by_activity(blocks_on("activity"), of(intervals, "activity"))
+
+    on_lines = _captions(align.align_to_lrc(blocks_on("reference lyrics"), of(items, "reference lyrics")), "stamped lyrics")
+    on_words = align.align_to_reference(blocks_on("reference transcript"), of(segments, "reference transcript"), of(intervals, "reference transcript"))
+    mapped = on_lines.unionByName(_captions(on_words, F.col("method"))).join(jobs.select("job_id", "duration"), "job_id")
+    mapped, unfit = timeline.warp_by_map(written(mapped, "reference"), of(axis, "reference lyrics", "reference transcript"))
+    if candidates is not None:
+        mapped = consensus.refine(mapped, candidates).drop("accepted")
+    unfit = unfit.select("job_id", "idx", F.format_string("caption %d has no length on the map", F.col("idx") + 1).alias("error"))
+
+    parts = [_captions(own, "stamped text"), _captions(even, "even"), _captions(placed, "anchors"), _captions(synced, "stamped lyrics"), _captions(heard, "transcript"), _captions(active, "activity"), _captions(mapped, F.col("method"))]
+    out = reduce(DataFrame.unionByName, parts).join(jobs.select("job_id", "mode", "route", "offset", "duration"), "job_id")
+    out = written(timeline.shifted(out, F.when(F.col("route") == "stamped text", 0.0).otherwise(F.col("offset"))), "captions")
+
+    late = timeline.violations(out.where(F.startswith("route", F.lit("reference")))).select("job_id", "idx", F.format_string("caption %d: %s", F.col("idx") + 1, F.col("reason")).alias("error"))
+    errors = written(_first_error(jobs.where("error IS NOT NULL").select("job_id", "error"), wrong, unfit, late), "errors")
+    good = out.join(errors.select("job_id"), "job_id", "left_anti")
+    silent = jobs.join(good.select("job_id").unionByName(errors.select("job_id")).distinct(), "job_id", "left_anti")
+    why = F.when(F.col("route").isin("stamped lyrics", "reference lyrics"), "no lyric blocks or no stamped line").otherwise("no lyric blocks")
+    errors = errors.unionByName(silent.select("job_id", why.alias("error"))).join(jobs.select("job_id", "mode"), "job_id")
+    names = [c.split()[0] for c in COLUMNS.split(", ")]
+    return good.withColumn("error", F.lit(None).cast("string")).select(*names).unionByName(errors, allowMissingColumns=True).select(*names)

@@ -29,7 +29,7 @@ def query(sql: str | None = None):
         QUERIES[f.__name__] = f
         if sql:
             text = sql
-            for name in ("turns", "lyrics", "frames", "spells", "captions", "candidates", "axis", "probes", "raw_starts", "vectors", "payloads", "records", "entries", "targets", "texts"):
+            for name in ("turns", "lyrics", "frames", "spells", "captions", "candidates", "axis", "probes", "raw_starts", "vectors", "payloads", "records", "entries", "targets", "texts", "songs"):
                 text = text.replace("{" + name + "}", select(name))
             ORACLE[f.__name__] = text
         return f
@@ -83,7 +83,7 @@ _LRC = f"""
                  {_STRIP(f"regexp_extract({_STRIP('raw')}, {_STAMP}, 4)")} AS words FROM l WHERE regexp_matches({_STRIP('raw')}, {_STAMP})),
     t AS (SELECT job_id, duration, line_no, words, cast(mm AS int) * 60 + cast(ss AS int) + CASE WHEN ff = '' THEN 0e0 ELSE cast(ff AS double) / pow(10e0, length(ff)) END AS t FROM v),
     n AS (SELECT a.job_id, a.line_no, arg_min(b.t, b.line_no) AS next FROM t a JOIN t b ON b.job_id = a.job_id AND b.line_no > a.line_no AND b.t > a.t GROUP BY a.job_id, a.line_no),
-    items AS (SELECT t.job_id, cast(row_number() OVER (PARTITION BY t.job_id ORDER BY t.line_no) - 1 AS int) AS idx, t AS start, least(duration, coalesce(greatest(t + 0.2e0, next - 0.05e0), t + 3.5e0)) AS "end", words AS text
+    items AS (SELECT t.job_id, cast(row_number() OVER (PARTITION BY t.job_id ORDER BY t.line_no) - 1 AS int) AS idx, t AS start, least(duration, CASE WHEN next IS NULL THEN t + 3.5e0 ELSE greatest(t + 0.2e0, next - 0.05e0) END) AS "end", words AS text
               FROM t LEFT JOIN n ON n.job_id = t.job_id AND n.line_no = t.line_no WHERE words <> '')"""
 
 
@@ -100,7 +100,7 @@ def lrc_line_count(spark, d):
 @query(f"""WITH b AS (SELECT job_id, list_filter(list_transform(string_split(replace(replace(regexp_replace(text, '\\[.*?\\]', '', 'gs'), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda x: {_STRIP('x')}), lambda x: x <> '') AS ls FROM {{texts}})
     SELECT job_id, cast(i - 1 AS int) AS idx, ls[i] AS text, ls[i] AS sync_text FROM (SELECT job_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM b)""")
 def block_scan_lines(spark, d):
-    return scans.lyric_blocks(read(spark, d, "texts"), "Every non-empty line")
+    return scans.lyric_blocks(read(spark, d, "texts").select("job_id", "text"), scans.LINES)
 
 
 @query(f"""WITH b AS (SELECT job_id, {_LINES('text')} AS ls FROM {{texts}})
@@ -135,11 +135,16 @@ def text_similarity(spark, d):
 _CLEAN = r"trim(regexp_replace(j->>'title', '(?i)[(\[{][^)\]}]*\b(?:official|audio|video|lyrics?|mv)\b[^)\]}]*[)\]}]', '', 'g'))"
 
 
-@query(f"""WITH j AS (SELECT job_id, artist, title, cast(payload AS json) AS j FROM {{payloads}}),
+_NAMES = f"""j AS (SELECT job_id, artist, title, cast(payload AS json) AS j FROM {{payloads}}),
     c AS (SELECT job_id, artist, title, trim(coalesce(j->>'track', '')) AS track, {_CLEAN} AS cleaned, trim(coalesce(j->>'channel', '')) AS channel FROM j),
     s AS (SELECT *, track = '' AND contains(cleaned, ' - ') AS cut FROM c),
-    w AS (SELECT *, CASE WHEN cut THEN trim(split_part(cleaned, ' - ', 1)) ELSE '' END AS who, CASE WHEN cut THEN trim(substr(cleaned, strpos(cleaned, ' - ') + 3)) WHEN track = '' THEN cleaned ELSE track END AS what FROM s)
-    SELECT job_id, coalesce(nullif(CASE WHEN who = '' THEN trim(regexp_replace(channel, '\\s*-\\s*Topic\\s*$', '')) ELSE who END, ''), artist) AS artist, coalesce(nullif(trim(split_part(what, '|', 1)), ''), title) AS title FROM w""")
+    w AS (SELECT *, CASE WHEN cut THEN trim(split_part(cleaned, ' - ', 1)) ELSE '' END AS who,
+                 CASE WHEN cut THEN trim(substr(cleaned, strpos(cleaned, ' - ') + 3)) WHEN track = '' THEN cleaned ELSE track END AS what FROM s),
+    names AS (SELECT job_id, coalesce(nullif(CASE WHEN who = '' THEN trim(regexp_replace(channel, '\\s*-\\s*Topic\\s*$', '')) ELSE who END, ''), artist) AS artist,
+                     coalesce(nullif(trim(split_part(what, '|', 1)), ''), title) AS title FROM w)"""
+
+
+@query(f"WITH {_NAMES} SELECT job_id, artist, title FROM names")
 def metadata_projection(spark, d):
     return read(spark, d, "payloads").select("job_id", scans.metadata_fields(F.col("payload"), F.col("artist"), F.col("title")).alias("m")).select("job_id", "m.*")
 
@@ -151,7 +156,17 @@ def catalog_dedupe(spark, d):
     return catalog.upsert(read(spark, d, "records")).drop("syncedLyrics")
 
 
-@query()
+@query(f"""WITH {_NAMES},
+    v0 AS (SELECT *, trim(split_part(title, '|', 1)) AS plain FROM names),
+    v1 AS (SELECT *, list_concat([trim(title), plain], list_transform(regexp_extract_all(plain, '[(\\[{{{{【「『]([^)\\]}}}}】」』]+)[)\\]}}}}】」』]', 1), lambda x: trim(x)),
+                                 list_transform(regexp_extract_all(plain, '[A-Za-z0-9][A-Za-z0-9 ''&.,!?\\-]+'), lambda x: trim(x))) AS found FROM v0),
+    v2 AS (SELECT *, list_filter(list_transform(found, lambda x: regexp_replace(regexp_replace(x, '(?i)\\b(?:official|audio|video|lyrics?|mv|translation)\\b.*', ''), '^[ \\-_.,!]+|[ \\-_.,!]+$', '', 'g')),
+                                 lambda x: length(x) >= 2) AS kept FROM v1),
+    v3 AS (SELECT *, list_filter(kept, lambda x, i: list_position(list_transform(kept, lambda y: lower(y)), lower(x)) = i) AS variants FROM v2 WHERE trim(title) <> ''),
+    t AS (SELECT job_id, 0 AS pos, 'title and artist' AS kind, trim(title) AS track_name, trim(artist) AS artist_name, cast(NULL AS varchar) AS q FROM v3
+          UNION ALL SELECT job_id, 1, 'free text', NULL, NULL, trim(trim(artist) || ' ' || trim(title)) FROM v3
+          UNION ALL SELECT job_id, 1 + i, 'title', variants[i], NULL, NULL FROM (SELECT job_id, variants, unnest(range(1, len(variants) + 1)) AS i FROM v3))
+    SELECT job_id, cast(pos AS int) AS pos, kind, track_name, artist_name, q FROM t WHERE pos < 5 AND coalesce(track_name, 'x') <> '' AND coalesce(artist_name, 'x') <> '' AND coalesce(q, 'x') <> ''""")
 def search_attempts(spark, d):
     m = read(spark, d, "payloads").select("job_id", scans.metadata_fields(F.col("payload"), F.col("artist"), F.col("title")).alias("m")).select("job_id", "m.*")
     return catalog.search_attempts(m)
@@ -193,7 +208,7 @@ def even_spacing(spark, d):
     r AS (SELECT *, CASE WHEN li IS NULL THEN greatest(0e0, rt - (ri - idx) * least(3e0, rt / greatest(1, ri))) WHEN ri IS NULL THEN least(duration, lt + (idx - li) * greatest(0.5e0, (greatest(lt + 0.5e0, duration - 0.5e0) - lt) / greatest(1, n - 1 - li)))
                     ELSE lt + (rt - lt) * (cast(idx - li AS double) / greatest(1, ri - li)) END AS raw FROM x),
     s AS (SELECT *, least(greatest(0e0, raw), duration) AS start, lead(raw) OVER (PARTITION BY job_id ORDER BY idx) AS next FROM r)
-    SELECT job_id, idx, round(start, 6) AS start, round(least(duration, coalesce(greatest(start + 0.2e0, next - 0.05e0), start + 3e0)), 6) AS "end" FROM s""")
+    SELECT job_id, idx, round(start, 6) AS start, round(least(duration, CASE WHEN next IS NULL THEN start + 3e0 ELSE greatest(start + 0.2e0, next - 0.05e0) END), 6) AS "end" FROM s""")
 def anchor_spacing(spark, d):
     turns = read(spark, d, "turns")
     anchors = turns.where("idx IN (1, 3)").select("job_id", "idx", (2.0 + F.col("idx") * 4.5).alias("t"))
@@ -288,7 +303,7 @@ def forced_chunks(spark, d):
     return timeline.chunk_windows(read(spark, d, "turns").groupBy("job_id").agg(F.count("*").cast("int").alias("n")))
 
 
-_VALID = """va AS (SELECT cand.*, c.start AS cs, c."end" AS ce FROM {candidates} cand JOIN {captions} c ON c.job_id = cand.job_id AND c.idx = cand.idx),"""
+_VALID = """va AS MATERIALIZED (SELECT cand.*, c.start AS cs, c."end" AS ce FROM {candidates} cand JOIN {captions} c ON c.job_id = cand.job_id AND c.idx = cand.idx),"""
 _PAIR = lambda where, cost: f"""pr AS (SELECT l.job_id, l.idx, l.cs, l.ce, l.start AS s1, r.start AS s2, l."end" AS e1, r."end" AS e2, l.confidence AS c1, r.confidence AS c2, l.collapsed_ratio AS k1, r.collapsed_ratio AS k2,
             row_number() OVER (PARTITION BY l.job_id, l.idx ORDER BY {cost}, l.cand_idx, r.cand_idx) AS rn FROM ok l JOIN ok r ON r.job_id = l.job_id AND r.idx = l.idx AND r.cand_idx > l.cand_idx AND r.source <> l.source {where}),
     best AS (SELECT * FROM pr WHERE rn = 1)"""
@@ -327,7 +342,22 @@ def first_line_anchor(spark, d):
     return rounded(consensus.first_line(read(spark, d, "captions"), read(spark, d, "candidates")), "start")
 
 
-@query()
+def _finer(name: str) -> str:
+    """A query's SQL with its times in brackets, rounded where that doesn't matter to what is made of them."""
+    return "(" + ORACLE[name].replace(", 6)", ", 12)") + ")"
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT *, cast(row_number() OVER (PARTITION BY job_id ORDER BY idx) AS int) AS k, count(*) OVER (PARTITION BY job_id) AS n FROM {{captions}}),
+    p AS (SELECT c.*, coalesce(a.start, b.start, x.start, f.start) AS ps, coalesce(a."end", b."end", x."end", CASE WHEN f.start IS NOT NULL THEN c."end" END) AS pe
+          FROM c LEFT JOIN {_finer('consensus_pair')} a ON a.job_id = c.job_id AND a.idx = c.idx LEFT JOIN {_finer('boundary_timing')} b ON b.job_id = c.job_id AND b.idx = c.idx
+          LEFT JOIN {_finer('contextual_pair')} x ON x.job_id = c.job_id AND x.idx = c.idx LEFT JOIN {_finer('first_line_anchor')} f ON f.job_id = c.job_id AND f.idx = c.idx),
+    w AS (SELECT *, coalesce(ps, start) AS wish FROM p),
+    r AS (SELECT job_id, k, wish AS at_ FROM w WHERE k = 1
+          UNION ALL SELECT w.job_id, w.k, greatest(CASE WHEN w.wish <= r.at_ + 0.12e0 THEN w.start ELSE w.wish END, r.at_ + 0.12e0) FROM r JOIN w ON w.job_id = r.job_id AND w.k = r.k + 1),
+    s AS (SELECT w.*, least(w.duration, greatest(0e0, at_)) AS s, coalesce(lead(at_) OVER (PARTITION BY w.job_id ORDER BY w.k), w.duration) AS next FROM w JOIN r ON r.job_id = w.job_id AND r.k = w.k),
+    e AS (SELECT *, least(duration, coalesce(pe, "end"), next - 0.05e0) AS e FROM s)
+    SELECT job_id, idx, round(CASE WHEN n >= 3 THEN s ELSE start END, 6) AS start,
+           round(CASE WHEN n < 3 THEN "end" WHEN e <= s + 0.2e0 THEN least(duration, greatest(s + 0.2e0, next - 0.05e0)) ELSE e END, 6) AS "end", duration, n >= 3 AND ps IS NOT NULL AS accepted FROM e""")
 def refined_captions(spark, d):
     return rounded(consensus.refine(read(spark, d, "captions").drop("o_orderkey"), read(spark, d, "candidates")), "start", "end")
 
@@ -367,7 +397,7 @@ def lrc_group_align(spark, d):
 def near_duplicate_trim(spark, d):
     jobs = read(spark, d, "turns").groupBy("job_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "text"))), lambda r: r["text"]), "\n").alias("text"))
     twice = F.when(F.col("job_id").cast("int") % 2 == 0, F.concat("text", F.lit("\n"), "text")).otherwise(F.col("text"))
-    return jobs.select("job_id", align.trim_copy(twice).alias("r")).select("job_id", F.length("r.text").alias("n"), "r.removed")
+    return jobs.select("job_id", align.trim_copy(twice).alias("r")).select("job_id", "r.text", "r.removed")
 
 
 @query(f"""WITH {_EVEN}, x AS (SELECT job_id, idx, start, CASE WHEN idx % 7 = 3 THEN start - 1 WHEN idx % 5 = 2 THEN "end" + 1 ELSE "end" END AS e FROM ev), y AS (SELECT *, lag(e) OVER (PARTITION BY job_id ORDER BY idx) AS before FROM x)
@@ -394,22 +424,32 @@ def ass_export(spark, d):
     return subtitles.ass(_even(spark, d), "song")
 
 
-@query(f"""WITH {_EVEN} SELECT job_id, cast(count(*) AS int) AS n, round(max("end"), 6) AS last_end, sum(length(text)) AS chars FROM ev GROUP BY job_id""")
+@query(f"""WITH {_EVEN} SELECT job_id, cast(to_json(struct_pack(job_id := job_id, duration := 60e0, captions := list(struct_pack(start := round(start, 3), "end" := round("end", 3), "text" := text, score := 0e0, sync_text := '') ORDER BY idx))) AS varchar) AS content
+    FROM ev GROUP BY job_id""")
 def manifest_json(spark, d):
-    c = _even(spark, d).withColumn("sync_text", F.lit(""))
-    jobs = c.groupBy("job_id").agg(F.max("duration").alias("duration"))
-    schema = "captions array<struct<start: double, end: double, text: string>>"
-    m = subtitles.manifest(jobs, c).select("job_id", F.from_json("content", schema)["captions"].alias("c"))
-    return m.select("job_id", F.size("c").alias("n"), F.round(F.array_max(F.transform("c", lambda x: x["end"])), 6).alias("last_end"), F.aggregate("c", F.lit(0).cast("long"), lambda t, x: t + F.length(x["text"])).alias("chars"))
+    c = _even(spark, d).withColumns({"sync_text": F.lit(""), "start": F.round("start", 3), "end": F.round("end", 3)})
+    return subtitles.manifest(c.groupBy("job_id").agg(F.max("duration").alias("duration")), c)
 
 
-@query(f"""WITH {_STAMPS} SELECT job_id, string_agg('[' || {_SRT('s')} || '] ' || text, chr(10) ORDER BY idx) FILTER (idx < 4) ||
+@query(f"""WITH {_STAMPS} SELECT job_id, string_agg({_SRT('s')} || ' --> ' || {_SRT('e')} || '  ' || text, chr(10) ORDER BY idx) FILTER (idx < 4) ||
     CASE WHEN count(*) > 4 THEN chr(10) || '... ' || cast(count(*) - 4 AS varchar) || ' more lines' ELSE '' END AS preview FROM z GROUP BY job_id""")
 def caption_preview(spark, d):
     return subtitles.preview(_even(spark, d), 4)
 
 
-@query()
+#: b has rows (job_id, idx, n, text, duration); the times at equal shares of the job's active time.
+_SHARES = """c AS (SELECT *, sum(e - s) OVER (PARTITION BY job_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS upto, sum(e - s) OVER (PARTITION BY job_id) AS total FROM iv),
+    q AS (SELECT DISTINCT b.job_id, t.part, total * (t.part / cast(n AS double)) AS target FROM b JOIN c ON c.job_id = b.job_id, range(0, 100) t(part) WHERE t.part <= n),
+    x AS (SELECT q.job_id, part, min(s + greatest(0e0, target - (upto - (e - s)))) FILTER (upto >= target - 1e-9) AS t FROM q JOIN c ON c.job_id = q.job_id GROUP BY q.job_id, part),
+    y AS (SELECT b.*, l.t AS a, CASE WHEN b.idx + 1 < n THEN r.t - 0.04e0 ELSE r.t END AS b_ FROM b JOIN x l ON l.job_id = b.job_id AND l.part = b.idx JOIN x r ON r.job_id = b.job_id AND r.part = b.idx + 1),
+    f AS (SELECT job_id, idx, a AS start, CASE WHEN least(duration, greatest(b_, a + 0.8e0)) <= a THEN least(duration, a + 0.2e0) ELSE least(duration, greatest(b_, a + 0.8e0)) END AS "end" FROM y WHERE idx = 0
+          UNION ALL SELECT job_id, idx, start, CASE WHEN least(duration, greatest(b_, start + 0.8e0)) <= start THEN least(duration, start + 0.2e0) ELSE least(duration, greatest(b_, start + 0.8e0)) END
+          FROM (SELECT y.*, CASE WHEN y.a < f."end" THEN f."end" + 0.03e0 ELSE y.a END AS start FROM f JOIN y ON y.job_id = f.job_id AND y.idx = f.idx + 1))"""
+
+
+@query(f"""WITH RECURSIVE {_SPELLS} {_MERGE}, {_EVEN}, b AS (SELECT job_id, idx, text, duration, count(*) OVER (PARTITION BY job_id) AS n FROM {{turns}}), {_SHARES}
+    SELECT b.job_id, b.idx, round(CASE WHEN f.start IS NULL THEN ev.start ELSE greatest(0e0, f.start) END, 6) AS start, round(coalesce(f."end", ev."end"), 6) AS "end", b.text, 0e0 AS score
+    FROM b LEFT JOIN f ON f.job_id = b.job_id AND f.idx = b.idx JOIN ev ON ev.job_id = b.job_id AND ev.idx = b.idx""")
 def activity_placement(spark, d):
     iv = activity.merged(read(spark, d, "spells"))
     return rounded(timeline.place_by_activity(read(spark, d, "turns"), iv), "start", "end")
@@ -430,24 +470,70 @@ def onset_features(spark, d):
     return out.select("job_id", "frame", F.transform("onset", lambda x: F.round(x, 6)).alias("onset"))
 
 
+def _recordings(spark, d):
+    """Two recordings a label: its vectors with even and with odd ids, as unit chroma and onsets, repeated to two seconds and more."""
+    v = read(spark, d, "embeddings").select(F.col("label").cast("string").alias("job_id"), "vec_id", F.transform(F.slice("embedding", 1, 12), lambda x: F.abs(x).cast("double")).alias("c"))
+    unit = F.transform("c", lambda x: x / F.greatest(F.lit(1e-8), F.sqrt(F.aggregate("c", F.lit(0.0), lambda t, y: t + y * y))))
+    side = F.when(F.col("vec_id") % 2 == 0, "ref").otherwise("perf")
+    rows = v.select("job_id", side.alias("side"), F.expr("row_number() OVER (PARTITION BY job_id, vec_id % 2 ORDER BY vec_id) - 1").alias("frame"), unit.alias("chroma"))
+    return rows.withColumn("onset", F.col("chroma"))
+
+
 @query()
 def warping_paths(spark, d):
-    v = read(spark, d, "embeddings").select(F.col("label").cast("string").alias("job_id"), F.col("vec_id"), F.transform(F.slice("embedding", 1, 12), lambda x: F.abs(x).cast("double")).alias("c"))
-    unit = F.transform("c", lambda x: x / F.greatest(F.lit(1e-8), F.sqrt(F.aggregate("c", F.lit(0.0), lambda t, y: t + y * y))))
-    rows = v.select("job_id", F.when(F.col("vec_id") % 2 == 0, "ref").otherwise("perf").alias("side"), F.expr("row_number() OVER (PARTITION BY job_id, vec_id % 2 ORDER BY vec_id) - 1").alias("frame"), unit.alias("chroma"))
-    return timemap.time_axis(timemap.build_paths(rows, 10.0))
+    return timemap.time_axis(timemap.build_paths(_recordings(spark, d), 10.0))
+
+
+@query()
+def multiscale_paths(spark, d):
+    return timemap.time_axis(timemap.build_paths(_recordings(spark, d), 10.0, "multiscale"))
 
 
-@query("""WITH j AS (SELECT cast(conv_id AS varchar) AS job_id, (array['Even spacing', 'Manual anchors', 'LRC text'])[conv_id % 3 + 1] AS mode FROM (SELECT DISTINCT conv_id FROM conversations)),
-    n AS (SELECT job_id, count(*) AS n FROM {turns} GROUP BY job_id) SELECT n.job_id, mode FROM n JOIN j ON j.job_id = n.job_id WHERE mode <> 'Manual anchors' OR n > 1""")
+@query()
+def warped_captions(spark, d):
+    """Evenly spaced captions through the axis of the user that has their job's number."""
+    c, axis = _even(spark, d), timemap.time_axis(read(spark, d, "axis"))
+    return rounded(timeline.warp_by_map(c, axis)[0], "start", "end").select("job_id", "idx", "start", "end")
+
+
+_SONG_LINES = f"""sg AS (SELECT *, cast(job_id AS int) % 7 AS k, {_LINES('text')} AS ls FROM {{songs}}),
+    b AS (SELECT job_id, k, mode, duration, len(ls) AS n, cast(i - 1 AS int) AS idx, ls[i] AS text FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM sg WHERE k IN (0, 1, 3)))"""
+
+
+@query(f"""WITH RECURSIVE {_SPELLS} {_MERGE}, {_SONG_LINES}, {_LRC.replace('{lyrics}', "(SELECT * FROM {songs} WHERE mode = 'Even spacing')")}, {_SHARES},
+    ev AS (SELECT *, 0.5e0 + idx * (59e0 / n) AS start, least(59.5e0, greatest(0.5e0 + idx * (59e0 / n) + 0.2e0, 0.5e0 + (idx + 1) * (59e0 / n) - 0.05e0)) AS "end" FROM b),
+    an AS (SELECT *, CASE WHEN idx <= 2 THEN 2e0 + 18.5e0 * (idx / 2e0) ELSE least(60e0, 20.5e0 + (idx - 2) * greatest(0.5e0, 39e0 / greatest(1, n - 3))) END AS raw FROM b WHERE k = 1 AND n >= 3),
+    al AS (SELECT *, lead(raw) OVER (PARTITION BY job_id ORDER BY idx) AS next FROM an),
+    m AS (SELECT job_id, idx, text, 0e0 AS score, mode, 'even' AS method, start, "end" FROM ev WHERE k = 0
+          UNION ALL SELECT job_id, idx, text, 1e0, mode, 'anchors', raw, least(60e0, CASE WHEN next IS NULL THEN raw + 3e0 ELSE greatest(raw + 0.2e0, next - 0.05e0) END) FROM al
+          UNION ALL SELECT b.job_id, b.idx, b.text, 0e0, b.mode, 'activity', CASE WHEN f.start IS NULL THEN ev.start ELSE greatest(0e0, f.start) END, coalesce(f."end", ev."end")
+                    FROM b LEFT JOIN f ON f.job_id = b.job_id AND f.idx = b.idx JOIN ev ON ev.job_id = b.job_id AND ev.idx = b.idx WHERE b.k = 3),
+    o AS (SELECT * REPLACE (greatest(0e0, least(start + 0.5e0, 60e0)) AS start, least(greatest(greatest(0e0, least(start + 0.5e0, 60e0)) + 0.2e0, "end" + 0.5e0), 60e0) AS "end") FROM m
+          UNION ALL SELECT items.job_id, items.idx, items.text, 1e0, 'Even spacing', 'stamped text', items.start, items."end" FROM items JOIN sg ON sg.job_id = items.job_id AND sg.k = 4)
+    SELECT job_id, idx, round(start, 6) AS start, round("end", 6) AS "end", text, score, '' AS sync_text, mode, method, NULL AS error FROM o
+    UNION ALL SELECT job_id, NULL, NULL, NULL, NULL, NULL, NULL, mode, NULL, CASE k WHEN 1 THEN 'index out of range: 3: 0:20.5' WHEN 2 THEN 'not an anchor: 1 = 1.5:20' WHEN 5 THEN 'unknown mode' ELSE 'no lyrics' END
+    FROM sg WHERE k IN (2, 5, 6) OR (k = 1 AND len(ls) < 3)""")
 def mode_dispatch(spark, d):
+    """Captions or an error of every job: even, anchored, stamped and active ones, bad anchors, an unknown mode, no lyrics."""
+    from strandline.plans.pipeline import run_jobs
+
+    captions = run_jobs(read(spark, d, "songs"), intervals=activity.merged(read(spark, d, "spells")))
+    return rounded(captions.withColumn("sync_text", F.coalesce("sync_text", F.when(F.col("idx").isNotNull(), ""))), "start", "end")
+
+
+@query()
+def mode_dispatch_aligned(spark, d):
+    """Jobs of the modes that match texts: fetched stamped lyrics, a transcript, and a reference with its time map."""
     from strandline.plans.pipeline import run_jobs
 
-    turns, lyrics = read(spark, d, "turns"), read(spark, d, "lyrics")
-    modes = F.element_at(F.array(F.lit("Even spacing"), F.lit("Manual anchors"), F.lit("LRC text")), (F.col("job_id").cast("int") % 3 + 1))
-    jobs = lyrics.withColumns({"mode": modes, "offset": F.lit(0.5)})
-    anchors = turns.where("idx = 1").select("job_id", "idx", F.lit(5.0).alias("t"))
-    return run_jobs(jobs, turns, anchors=anchors).select("job_id", "mode").distinct()
+    k = F.col("job_id").cast("int") % 3
+    jobs = read(spark, d, "songs").select("job_id", "duration", "grouping", F.when(k == 0, "LRCLIB synced lyrics").when(k == 1, "Whisper fuzzy match").otherwise("Reference audio DTW").alias("mode"))
+    turns = read(spark, d, "turns")
+    texts = turns.groupBy("job_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", F.replace("sync_text", F.lit("\n"), F.lit(" ")).alias("line")))), lambda r: r["line"]), "\n").alias("text"))
+    jobs = jobs.join(texts, "job_id").withColumn("use_lyrics", F.lit(False))
+    segments = turns.select("job_id", "idx", (F.col("idx") * 4.0 + 1).alias("start"), (F.col("idx") * 4.0 + 3.5).alias("end"), F.col("sync_text").alias("text"))
+    axis = jobs.select("job_id", F.explode(F.array(F.lit(0.0), F.lit(60.0))).alias("ref_t")).withColumn("perf_t", F.col("ref_t") * 0.9 + 1.5)
+    return rounded(run_jobs(jobs, scans.lrc_items(read(spark, d, "lyrics")), segments, axis=axis), "start", "end", "score")
 
 
 @query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
@@ -481,12 +567,12 @@ def clean_segments(spark, d):
 
 @query()
 def time_map_choice(spark, d):
+    """The chosen map's axis with the report's verdict on each job, those without a map among them."""
     from strandline.operators.reference import best_map
 
-    v = read(spark, d, "embeddings").select(F.col("label").cast("string").alias("job_id"), "vec_id", F.transform(F.slice("embedding", 1, 12), lambda x: F.abs(x).cast("double")).alias("c"))
-    unit = F.transform("c", lambda x: x / F.greatest(F.lit(1e-8), F.sqrt(F.aggregate("c", F.lit(0.0), lambda t, y: t + y * y))))
-    rows = v.select("job_id", F.when(F.col("vec_id") % 2 == 0, "ref").otherwise("perf").alias("side"), F.expr("row_number() OVER (PARTITION BY job_id, vec_id % 2 ORDER BY vec_id) - 1").alias("frame"), unit.alias("chroma"))
-    return rounded(best_map(rows.withColumn("onset", F.col("chroma")), 10.0)[1], "multiscale_cost", "legacy_cost", "multiscale_spread", "legacy_spread", "disagreement")
+    axis, report = best_map(_recordings(spark, d), 10.0)
+    rows = report.join(axis, "job_id", "left").select("job_id", "method", "error", "shift", "multiscale_cost", "legacy_cost", "multiscale_spread", "legacy_spread", "disagreement", "ref_t", "perf_t")
+    return rounded(rows, "multiscale_cost", "legacy_cost", "multiscale_spread", "legacy_spread", "disagreement")
 
 
 @query()
@@ -494,3 +580,122 @@ def adaptive_lines(spark, d):
     turns = read(spark, d, "turns")
     segments = turns.where("role = 'assistant'").select("job_id", F.expr("row_number() OVER (PARTITION BY job_id ORDER BY idx) - 1").alias("idx"), F.col("sync_text").alias("text"))
     return align.choose_lines(turns.where("role = 'user'").select("job_id", "idx", "text", "sync_text"), segments).select("job_id", "idx", "sync_text")
+
+
+@query(f"""WITH t AS (SELECT job_id, string_split(text, '. ') AS ps FROM {{texts}}),
+    p AS (SELECT job_id, cast(i - 1 AS int) AS idx, list_filter(list_transform(string_split(ps[i], chr(10)), lambda x: {_STRIP('x')}), lambda x: x <> '') AS ls FROM (SELECT job_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM t)),
+    k AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY idx) AS rn FROM p WHERE len(ls) > 0)
+    SELECT job_id, cast(rn - 1 AS int) AS idx, array_to_string(ls, chr(10)) AS text, ls[1] AS sync_text FROM k""")
+def block_scan_blank(spark, d):
+    """Blocks parted by blank lines: the texts' sentences, with a blank line after each."""
+    parts = read(spark, d, "texts").select("job_id", F.array_join(F.transform(F.split("text", r"\. "), lambda x: F.regexp_replace(F.regexp_replace(x, r"\n(\s*\n)+", "\n"), r"\[", "")), "\n\n").alias("text"))
+    return scans.lyric_blocks(parts)
+
+
+_ANCHORS = """a AS (SELECT job_id, idx, CASE WHEN cast(job_id AS int) % 4 = 3 AND idx = 2 THEN 'x' ELSE cast(idx + 1 AS varchar) || ' = ' || cast(idx // 6 AS varchar) || ':' || lpad(cast(idx * 10 % 60 AS varchar), 2, '0') || '.5' END AS line FROM {turns} WHERE idx % 2 = 0),
+    n AS (SELECT job_id, count(*) AS n FROM {turns} GROUP BY job_id)"""
+
+
+@query(f"""WITH {_ANCHORS} SELECT job_id, idx, CASE WHEN line <> 'x' THEN (idx * 10 % 60) + 60e0 * (idx // 6) + 0.5e0 END AS t, CASE WHEN line = 'x' THEN 'not an anchor' WHEN idx * 10 + 0.5e0 > 60 THEN 'time out of range' END AS reason FROM a
+    UNION ALL SELECT cast(1000 + k AS varchar), NULL, NULL, 'no anchors' FROM range(0, 3) t(k)""")
+def anchor_scan(spark, d):
+    """Anchors of jobs, a bad line in some; and three jobs without any."""
+    turns = read(spark, d, "turns")
+    seconds = F.concat(F.floor(F.col("idx") / 6).cast("string"), F.lit(":"), F.lpad((F.col("idx") * 10 % 60).cast("string"), 2, "0"), F.lit(".5"))
+    line = F.when((F.col("job_id").cast("int") % 4 == 3) & (F.col("idx") == 2), "x").otherwise(F.concat((F.col("idx") + 1).cast("string"), F.lit(" = "), seconds))
+    jobs = turns.groupBy("job_id").agg(F.count("*").alias("n"), F.lit(60.0).alias("duration"), F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("idx") % 2 == 0, F.struct("idx", line.alias("line"))))), lambda r: r["line"]), "\n").alias("anchors"))
+    none = spark.range(3).select((F.col("id") + 1000).cast("string").alias("job_id"), F.lit(5).alias("n"), F.lit(60.0).alias("duration"), F.lit("# none").alias("anchors"))
+    good, wrong = scans.timing_anchors(jobs.unionByName(none))
+    bad = wrong.select("job_id", F.when(F.col("line") == "x", 2).otherwise(F.regexp_extract("line", r"^(\d+)", 1).try_cast("int") - 1).alias("idx"), F.when(F.col("line") != "x", scans.time_value(F.regexp_extract("line", r"= (.*)", 1))).alias("t"), "reason")
+    return good.select("job_id", "idx", "t", F.lit(None).cast("string").alias("reason")).unionByName(bad)
+
+
+@query("""WITH s AS (SELECT cast(user_id AS varchar) AS job_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n, value / 100e0 AS x FROM events),
+    f AS (SELECT job_id, frame, x FROM (SELECT job_id, n, x, unnest(range(greatest(0, n // 10 - 1), n // 10 + 1)) AS frame FROM s)),
+    l AS (SELECT job_id, max(n) * 0.01e0 AS until FROM s GROUP BY job_id)
+    SELECT f.job_id, frame, round(sqrt(avg(x * x) + 1e-12), 6) AS rms FROM f JOIN l ON l.job_id = f.job_id WHERE frame = 0 OR frame * 0.1e0 + 0.2e0 <= until + 0.1e0 GROUP BY f.job_id, frame""")
+def level_frames(spark, d):
+    """Levels of the events' values as a hundred samples a second."""
+    samples = read(spark, d, "events").select(F.col("user_id").cast("string").alias("job_id"), (F.expr("row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1") * 0.01).alias("t"), (F.col("value") / 100).alias("x"))
+    return rounded(activity.frame_levels(samples), "rms").select("job_id", "frame", "rms")
+
+
+@query("""SELECT cast(user_id AS varchar) AS job_id, cast(to_json(list(struct_pack(cost := round(value, 3), frame := event_id) ORDER BY round(value, 3), event_id)) AS varchar) AS content FROM events WHERE event_id % 5 = 0 GROUP BY user_id""")
+def dtw_diagnostics(spark, d):
+    rows = read(spark, d, "events").where("event_id % 5 = 0").select(F.col("user_id").cast("string").alias("job_id"), F.round("value", 3).alias("cost"), F.col("event_id").alias("frame"))
+    return subtitles.diagnostics(rows, ["job_id"])
+
+
+def _forced(spark, d):
+    """Windows of the captions' jobs and, of most of them, a forced result: a segment of two words a line; of every seventh window one segment less."""
+    captions = read(spark, d, "captions").select("job_id", "idx", "start", "end", "duration")
+    windows = timeline.chunk_windows(captions.groupBy("job_id").agg(F.count("*").cast("int").alias("n")))
+    key = F.col("job_id") * 31 + F.col("low") * 7 + F.col("high")
+    lines = F.sequence(F.lit(0), F.col("high") - F.col("low") - F.when(key % 7 == 0, 2).otherwise(1))
+    word = lambda k, j: F.struct((k * 6.0 + j).alias("start"), (k * 6.0 + j + F.when(key % 3 == j, 0.01).otherwise(0.5)).alias("end"), F.when(key % 5 > 0, (k + j + 1) / 20).alias("probability"))
+    segments = F.transform(lines, lambda k: F.struct((k * 6.0 + 1.5).alias("start"), (k * 6.0 + 4.0).alias("end"), F.array(word(k, 0), word(k, 1)).alias("words")))
+    return windows, captions, windows.where(key % 11 > 0).select("job_id", "low", "high", F.to_json(F.struct(segments.alias("segments"))).alias("result"))
+
+
+_FORCED = """cp AS (SELECT * FROM {captions}), j AS (SELECT job_id, cast(count(*) AS int) AS n FROM cp GROUP BY job_id),
+    wi AS (SELECT job_id, cast(low AS int) AS low, cast(least(n, low + size) AS int) AS high FROM (SELECT job_id, n, s.size, k * s.stride AS low FROM j, (VALUES (6, 6), (8, 4)) s(size, stride), range(0, 20) t(k) WHERE k * s.stride < n) WHERE least(n, low + size) - low >= 3
+           UNION SELECT job_id, cast(greatest(0, n - size) AS int), n FROM j, (VALUES (6), (8)) s(size) WHERE n >= 3),
+    wk AS (SELECT wi.*, job_id * 31 + low * 7 + high AS key, cast(low + 1 AS varchar) || '-' || cast(high AS varchar) AS source FROM wi)"""
+
+
+@query(f"""WITH {_FORCED}, s AS (SELECT wk.*, k, greatest(0e0, cp.start - 1.5e0) AS at_ FROM wk JOIN cp ON cp.job_id = wk.job_id AND cp.idx = low, range(0, 8) t(k) WHERE k < high - low AND key % 11 > 0 AND key % 7 > 0)
+    SELECT job_id, cast(low + k AS int) AS idx, cast(row_number() OVER (PARTITION BY job_id, low + k ORDER BY low, high) - 1 AS int) AS cand_idx, round(at_ + k * 6e0 + 1.5e0, 6) AS start, round(at_ + k * 6e0 + 4e0, 6) AS "end",
+           round(CASE WHEN key % 5 > 0 THEN ((k + 1) / 20e0 + (k + 2) / 20e0) / 2 ELSE 0e0 END, 6) AS confidence, CASE WHEN key % 3 < 2 THEN 0.5e0 ELSE 0e0 END AS collapsed_ratio, source FROM s""")
+def forced_candidates(spark, d):
+    return rounded(scans.forced_candidates(*_forced(spark, d))[0], "start", "end", "confidence")
+
+
+@query(f"""WITH {_FORCED} SELECT job_id, source, CASE WHEN key % 11 = 0 THEN '0' ELSE cast(high - low - 1 AS varchar) END || ' segments in place of ' || cast(high - low AS varchar) AS error FROM wk WHERE key % 11 = 0 OR key % 7 = 0""")
+def forced_errors(spark, d):
+    return scans.forced_candidates(*_forced(spark, d))[1]
+
+
+@query()
+def refinement_rows(spark, d):
+    """What refining by forced results did, a row a line with its candidates and a row a failed window."""
+    windows, captions, results = _forced(spark, d)
+    found, errors = scans.forced_candidates(windows, captions, results)
+    return consensus.refinement_rows(captions, consensus.refine(captions, found), found, errors)
+
+
+@query("""SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 = 0 THEN '/x/' || o_orderkey WHEN o_orderkey % 4 = 1 THEN '/p/' || o_orderkey WHEN o_orderkey % 4 = 2 THEN 'n' || o_orderkey END AS path FROM orders""")
+def uploaded_paths(spark, d):
+    key = F.col("o_orderkey")
+    text = F.when(key % 4 == 0, F.concat(F.lit("/x/"), key)).when(key % 4 == 1, F.concat(F.lit('{"path": "/p/'), key, F.lit('", "name": "other"}'))).when(key % 4 == 2, F.concat(F.lit('{"path": "", "name": "n'), key, F.lit('"}'))).otherwise("{}")
+    return read(spark, d, "orders").select(key.alias("k"), scans.uploaded_path(text).alias("path"))
+
+
+def _lookup(spark, d):
+    part = read(spark, d, "part").where("p_partkey % 3 = 0")
+    who = F.when(F.col("p_partkey") % 4 == 0, " ").otherwise(F.col("p_brand"))
+    return part.select(F.col("p_partkey").cast("string").alias("job_id"), who.alias("artist"), F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, " (Official Audio)").otherwise("")).alias("title"), F.lit(201.0).alias("duration"), F.lit(2).alias("lines"), "p_size")
+
+
+@query()
+def synced_lyrics_lookup(spark, d):
+    q = _lookup(spark, d)
+    records = read(spark, d, "records").withColumnRenamed("job_id", "size").join(q.select("job_id", F.col("p_size").cast("string").alias("size")), "size").drop("size")
+    return rounded(catalog.synced_lyrics(records, q.drop("p_size")), "score")
+
+
+@query()
+def field_completion(spark, d):
+    q = _lookup(spark, d)
+    detected = q.where("cast(job_id AS int) % 2 = 0").select("job_id", F.lit("Brand#11").alias("artist"), F.col("title"), "duration")
+    records = read(spark, d, "records").withColumnRenamed("job_id", "size").join(q.select("job_id", F.col("p_size").cast("string").alias("size")), "size").drop("size")
+    both = records.withColumn("source", F.explode(F.array(F.lit("input"), F.lit("description"))))
+    return rounded(catalog.completed(q.select("job_id", "artist", "title"), detected, both), "score")
+
+
+@query()
+def reference_transcript(spark, d):
+    """Captions on a transcript where it fits, else on active time."""
+    turns = read(spark, d, "turns")
+    segments = turns.where("cast(job_id AS int) % 2 = 0").select("job_id", "idx", (F.col("idx") * 4.0 + 1).alias("start"), (F.col("idx") * 4.0 + 3.5).alias("end"), F.col("sync_text").alias("text"))
+    blocks = turns.select("job_id", "idx", "text", "sync_text", "duration")
+    return rounded(align.align_to_reference(blocks, segments, activity.merged(read(spark, d, "spells"))), "start", "end", "score")

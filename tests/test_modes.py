@@ -1,48 +1,57 @@
-"""Which method each alignment mode uses, with and without stamped lyrics."""
+"""Every mode gives the captions of its method, and every job captions or an error."""
 
 import pytest
-from pyspark.sql import functions as F
 
-from strandline.operators import timeline
-from strandline.plans.pipeline import run_jobs
-
-MODES = [
-    ("a", "LRC text", None, "stamped text"), ("b", "Even spacing", None, "even"), ("c", "Manual anchors", None, "anchors"), ("d", "LRCLIB synced lyrics", True, "stamped lyrics"),
-    ("e", "LRCLIB synced lyrics", None, "activity"), ("f", "Whisper fuzzy match", True, "stamped lyrics"), ("g", "Whisper fuzzy match", False, "transcript"), ("h", "Whisper fuzzy match", None, "transcript"),
-    ("i", "Vocal activity sequential", True, "stamped lyrics"), ("j", "Vocal activity sequential", None, "activity"), ("k", "Reference audio DTW", True, "stamped lyrics"), ("l", "Reference audio DTW", None, "transcript"),
+from strandline.plans.pipeline import ANCHORS, DTW, EVEN, SYNCED, VOCAL, WHISPER, run_jobs
+
+LINES = ["over the hills", "and far away", "the rain comes down"]
+# job, mode, text, anchors, lyrics found (exact or not), method, or None and the error
+JOBS = [
+    ("stamped", EVEN, "[00:05.00] a\n[00:09.00] b", "", None, "stamped text", None), ("even", EVEN, None, "", True, "even", None), ("anchors", ANCHORS, None, "1=4\n3=20", None, "anchors", None),
+    ("synced", SYNCED, None, "", False, "stamped lyrics", None), ("synced-none", SYNCED, None, "", None, "activity", None), ("words-exact", WHISPER, None, "", True, "stamped lyrics", None),
+    ("words-near", WHISPER, None, "", False, "transcript", None), ("active", VOCAL, None, "", None, "activity", None), ("active-exact", VOCAL, None, "", True, "stamped lyrics", None),
+    ("mapped", DTW, None, "", True, "stamped lyrics", None), ("mapped-words", DTW, None, "", None, "transcript", None), ("unmapped", DTW, None, "", True, None, "no time map"),
+    ("flat", DTW, None, "", True, None, "caption 2 has no length on the map"), ("unknown", "Karaoke", None, "", None, None, "unknown mode"), ("blank", EVEN, " \n", "", None, None, "no lyrics"),
+    ("no-blocks", EVEN, "[intro]", "", None, None, "no lyric blocks"), ("no-anchors", ANCHORS, None, "# none", None, None, "no anchors"), ("bad-anchors", ANCHORS, None, "1=4\n4=20", None, None, "index out of range: 4=20"),
+    ("null-anchors", ANCHORS, None, None, None, None, "no anchors"), ("twice", EVEN, "\n\n".join([f"{a} {b} goes by the {c} way" for a in ("one", "two", "six") for b in ("bird", "boat") for c in ("long", "short", "old")] * 2), "", None, "even", None),
 ]
-LINES = ["first line here", "second line there", "third line anywhere"]
 
 
 @pytest.fixture(scope="module")
-def captions(spark):
-    stamped = "\n".join(f"[00:{5 + 5 * i:02d}.00] {t}" for i, t in enumerate(LINES)) + "\n[00:20.00] "
-    jobs = spark.createDataFrame([(j, mode, 0.5, 40.0, stamped) for j, mode, _, _ in MODES], "job_id string, mode string, offset double, duration double, text string")
-    blocks = spark.createDataFrame([(j, i, t, t, 40.0) for j, *_ in MODES for i, t in enumerate(LINES)], "job_id string, idx int, text string, sync_text string, duration double")
-    lrc = spark.createDataFrame([(j, i, 5.0 + 5 * i, 9.5 + 5 * i, t, e) for j, _, e, _ in MODES if e is not None for i, t in enumerate(LINES)], "job_id string, idx int, start double, end double, text string, exact boolean")
-    segments = spark.createDataFrame([(j, i, 6.0 + 5 * i, 9.0 + 5 * i, t) for j, *_ in MODES for i, t in enumerate(LINES)], "job_id string, idx int, start double, end double, text string")
-    intervals = spark.createDataFrame([(j, 0, 10.0, 25.0) for j, *_ in MODES], "job_id string, idx int, start double, end double")
-    anchors = spark.createDataFrame([("c", 1, 12.0)], "job_id string, idx int, t double")
-    axis = spark.createDataFrame([(j, t, t + 2.0) for j, *_ in MODES for t in (0.0, 40.0)], "job_id string, ref_t double, perf_t double")
-    out = run_jobs(jobs, blocks, lrc, segments, intervals, anchors, axis)
-    rows = out.collect()
-    return {j: sorted((r for r in rows if r["job_id"] == j), key=lambda r: r["idx"]) for j, *_ in MODES}, out
-
-
-@pytest.mark.parametrize("job, mode, exact, method", MODES)
-def test_mode(captions, job, mode, exact, method):
-    rows = captions[0][job]
-    assert [r["text"] for r in rows] == LINES and {r["method"] for r in rows} == {method} and {r["mode"] for r in rows} == {mode}
-
-
-def test_times(captions):
-    start = {j: [r["start"] for r in rows] for j, rows in captions[0].items()}
-    assert start["a"] == pytest.approx([5.0, 10.0, 15.0])  # stamped text takes no offset
-    assert start["d"] == pytest.approx([5.5, 10.5, 15.5]) and start["f"] == start["d"]
-    assert start["g"] == pytest.approx([6.5, 11.5, 16.5])
-    assert start["k"] == pytest.approx([7.5, 12.5, 17.5]) and start["l"] == pytest.approx([8.5, 13.5, 18.5])
-    assert start["c"][1] == pytest.approx(12.5) and start["e"][0] == pytest.approx(10.5)
-
-
-def test_no_violations(captions):
-    assert timeline.violations(captions[1].where(F.col("mode") == "Reference audio DTW")).count() == 0
+def rows(spark):
+    table = lambda schema, rows: spark.createDataFrame(rows, schema)
+    jobs = table("job_id string, mode string, offset double, duration double, text string, anchors string", [(j, mode, 0.5, 40.0, "\n\n".join(LINES) if text is None else text, anchors) for j, mode, text, anchors, *_ in JOBS])
+    timed = lambda j, *more: [(j, i, 5.0 + 5 * i, 9.0 + 5 * i, t, *more) for i, t in enumerate(LINES)]
+    lrc = table("job_id string, idx int, start double, end double, text string, exact boolean", [r for j, _, _, _, exact, *_ in JOBS if exact is not None for r in timed(j, exact)])
+    segments = table("job_id string, idx int, start double, end double, text string", [(j, i, s + 1, e + 1, t) for j, *_ in JOBS for _, i, s, e, t in timed(j)])
+    intervals = table("job_id string, idx int, start double, end double", [(j, 0, 10.0, 25.0) for j, *_ in JOBS if j != "words-exact"])
+    axis = table("job_id string, ref_t double, perf_t double", [(j, t, t + 2.0) for j in ("mapped", "mapped-words") for t in (0.0, 30.0)] + [("flat", 0.0, 39.9), ("flat", 40.0, 40.0)])
+    out: dict = {}
+    for r in run_jobs(jobs, lrc, segments, intervals, axis).collect():
+        out.setdefault(r["job_id"], []).append(r)
+    return {j: sorted(own, key=lambda r: r["idx"] or 0) for j, own in out.items()}
+
+
+def test_every_job_comes_out(rows):
+    assert set(rows) == {j[0] for j in JOBS}
+
+
+@pytest.mark.parametrize("job, mode, method, error", [(j[0], j[1], j[5], j[6]) for j in JOBS])
+def test_mode(rows, job, mode, method, error):
+    got = rows[job]
+    assert {r["mode"] for r in got} == {mode} and {r["error"] for r in got} == {error}
+    if error:
+        assert len(got) == 1 and got[0]["idx"] is None and got[0]["start"] is None
+    else:
+        assert {r["method"] for r in got} == {method} and [r["idx"] for r in got] == list(range(len(got)))
+        assert [r["text"] for r in got] == LINES or job in ("stamped", "twice")
+
+
+def test_times(rows):
+    start = {j: [r["start"] for r in own] for j, own in rows.items()}
+    assert start["stamped"] == [5.0, 9.0]  # its own stamps take no offset
+    assert start["words-near"] == pytest.approx([6.5, 11.5, 16.5]) and start["words-exact"] == pytest.approx([5.5, 10.5, 15.5])
+    assert start["synced"] == pytest.approx([5.5, 5.5 + 5 * 20 / 14, 5.5 + 10 * 20 / 14])  # fitted: its end, 19 s, goes to the last active second, 25 s
+    assert start["anchors"] == pytest.approx([4.5, 12.5, 20.5]) and start["active"][0] == pytest.approx(10.5)
+    assert start["mapped"] == pytest.approx([7.5, 12.5, 17.5]) and start["mapped-words"] == pytest.approx([8.5, 13.5, 18.5])
+    assert len(rows["twice"]) == 18  # a second copy of the whole is dropped

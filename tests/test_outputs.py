@@ -29,7 +29,7 @@ def test_manifest_and_preview(spark):
     got = {r["job_id"]: json.loads(r["content"]) for r in subtitles.manifest(jobs, c).collect()}
     assert got["a"]["artist"] == "가수" and [x["text"] for x in got["a"]["captions"]] == [f"l{i}" for i in range(14)] and "captions" not in got["none"]
     text = subtitles.preview(c).first()["preview"]
-    assert text.count("\n") == 12 and text.endswith("... 2 more lines")
+    assert text.startswith("00:00:00,000 --> 00:00:00,500  l0\n") and text.count("\n") == 12 and text.endswith("... 2 more lines")
 
 
 def test_newest_metadata_file(spark, tmp_path):

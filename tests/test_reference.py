@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.operators import reference
+from strandline.operators import reference, timemap
 
 
 def features(spark, shift, lead=3):
@@ -17,26 +17,52 @@ def features(spark, shift, lead=3):
 
 
 def test_pitch_shift_is_found(spark):
-    turned, shifts = reference.shifted_chroma(features(spark, 5))
+    f = features(spark, 5)
+    shifts = timemap.pitch_shifts(f)
     assert shifts.first()["shift"] == 5
-    got = {r["frame"]: r["chroma"] for r in turned.where("side = 'perf'").collect()}
-    want = {r["frame"]: r["chroma"] for r in turned.where("side = 'ref'").collect()}
+    even = reference.turned(f, shifts)
+    got = {r["frame"]: r["chroma"] for r in even.where("side = 'perf'").collect()}
+    want = {r["frame"]: r["chroma"] for r in even.where("side = 'ref'").collect()}
     assert got[10] == pytest.approx(want[7])
 
 
 def test_turned_map_wins_on_a_transposed_performance(spark):
     axis, report = reference.best_map(features(spark, 5), 10.0)
     r = report.first()
-    assert r["method"] == "multiscale" and r["multiscale_cost"] < r["legacy_cost"] and r["shift"] == 5
+    assert r["method"] == "multiscale" and r["multiscale_cost"] < r["legacy_cost"] and r["shift"] == 5 and r["error"] is None
     late = axis.where("ref_t BETWEEN 1 AND 5").select(F.avg(F.col("perf_t") - F.col("ref_t"))).first()[0]
     assert late == pytest.approx(0.3, abs=0.1)
 
 
+def test_recordings_that_do_not_fit_are_reported(spark):
+    rows = [(j, side, i, [float(i % 12 == k) for k in range(12)]) for j, n, m in (("short", 5, 60), ("unlike", 60, 90), ("fits", 60, 60)) for side, size in (("ref", n), ("perf", m)) for i in range(size)] + [("alone", "ref", i, [1.0] * 12) for i in range(50)]
+    f = spark.createDataFrame(rows, "job_id string, side string, frame int, chroma array<double>").withColumn("onset", F.col("chroma"))
+    axis, report = reference.best_map(f, 10.0)
+    got = {r["job_id"]: (r["method"], r["error"]) for r in report.collect()}
+    assert got["short"] == ("invalid", "too short") and got["alone"] == ("invalid", "too short") and got["unlike"] == ("invalid", "lengths differ too much") and got["fits"][1] is None
+    assert {r["job_id"] for r in axis.select("job_id").distinct().collect()} == {"fits"}
+
+
+def test_features_of_recordings(spark, tmp_path):
+    import wave
+
+    rate = 8000
+    tone = lambda f: np.sin(2 * np.pi * f * np.arange(rate) / rate)
+    x = (np.concatenate([tone(440), tone(523.25)]) * 20_000).astype("<i2")
+    with wave.open(str(tmp_path / "a.wav"), "wb") as w:
+        w.setnchannels(2), w.setsampwidth(2), w.setframerate(rate)
+        w.writeframes(np.repeat(x, 2).astype("<i2").tobytes())
+    rows = timemap.music_features(spark.read.format("binaryFile").load(str(tmp_path)), rate).orderBy("frame").collect()
+    assert len(rows) == 101 and [int(np.argmax(rows[k]["chroma"])) for k in (20, 80)] == [9, 0] and set(np.unique(rows[20]["chroma"])) <= {0.0, 0.25, 0.5, 0.75, 1.0}
+    assert all(np.linalg.norm(r["onset"]) <= 1 + 1e-9 for r in rows) and np.argmax(rows[50]["onset"]) == 0
+
+
 def test_compatibility(spark):
     df = spark.createDataFrame([(100.0, 117.0), (100.0, 119.0), (0.5, 0.5)], "a double, b double")
     assert [r[0] for r in df.select(reference.compatible(F.col("a"), F.col("b"))).collect()] == [True, False, False]
 
 
 def test_prompt_is_cut(spark):
-    b = spark.createDataFrame([("j", i, "x" * 900) for i in range(3)], "job_id string, idx int, sync_text string")
-    assert len(reference.prompt(b).first()["prompt"]) == 1600
+    b = spark.createDataFrame([("j", i, "x\ny" * 300) for i in range(3)], "job_id string, idx int, text string")
+    text = reference.prompt(b).first()["prompt"]
+    assert len(text) == 1600 and text == " ".join(["x y" * 300] * 3)[:1600]
