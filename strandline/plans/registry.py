@@ -2,700 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from strandline.plans.base import ORACLE, QUERIES
+from strandline.plans.queries import activity, exports, jobs, lookup, maps, matching, reading, spacing, texts, timings
 
-from strandline.functions import text as X
-from strandline.operators import activity, align, catalog, consensus, timeline, timemap
-from strandline.plans.inputs import read, select
-from strandline.sources import scans, subtitles
-
-QUERIES: dict = {}
-ORACLE: dict = {}
-
-# Regular expressions and literals as the comparing engine writes them.
-_ALPHABET = r"0-9a-z\x{3040}-\x{30ff}\x{3400}-\x{9fff}\x{ac00}-\x{d7a3}"
-_KEY = lambda c: f"regexp_replace(lower({c}), '[^{_ALPHABET}]+', '', 'g')"
-_STRIP = lambda c: rf"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
-_STAMP = r"'^\[(\d{1,2}):(\d{2})(?:[.:](\d{1,3}))?\]\s*(.*)'"
-_LINES = lambda c: f"list_filter(list_transform(string_split({c}, chr(10)), lambda x: {_STRIP('x')}), lambda x: x <> '')"
-_SRT = lambda c: f"(lpad(cast(n_{c} // 3600000 AS varchar), 2, '0') || ':' || lpad(cast(n_{c} // 60000 % 60 AS varchar), 2, '0') || ':' || lpad(cast(n_{c} // 1000 % 60 AS varchar), 2, '0') || ',' || lpad(cast(n_{c} % 1000 AS varchar), 3, '0'))"
-_ASS = lambda c: f"(cast(c_{c} // 360000 AS varchar) || ':' || lpad(cast(c_{c} // 6000 % 60 AS varchar), 2, '0') || ':' || lpad(cast(c_{c} // 100 % 60 AS varchar), 2, '0') || '.' || lpad(cast(c_{c} % 100 AS varchar), 2, '0'))"
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with SQL whose {input} names stand for the inputs' SELECTs."""
-
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            text = sql
-            for name in ("turns", "lyrics", "frames", "spells", "captions", "candidates", "axis", "probes", "raw_starts", "vectors", "payloads", "records", "entries", "targets", "texts", "songs"):
-                text = text.replace("{" + name + "}", select(name))
-            ORACLE[f.__name__] = text
-        return f
-
-    return put
-
-
-def rounded(df, *names):
-    return df.withColumns({n: F.round(n, 6) for n in names})
-
-
-_ACTIVITY = """
-    m AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY job_id) >= 5 THEN sum(rms) OVER (PARTITION BY job_id ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5 ELSE rms END AS level FROM {frames}),
-    p AS (SELECT job_id, quantile_cont(level, 0.35) AS lo, quantile_cont(level, 0.92) AS hi FROM m GROUP BY job_id),
-    f AS (SELECT m.*, level >= greatest(lo * 1.8e0, lo + (hi - lo) * 0.22e0, 0.006e0) AS active FROM m JOIN p ON p.job_id = m.job_id),
-    r AS (SELECT *, sum(CASE WHEN active THEN 0 ELSE 1 END) OVER (PARTITION BY job_id ORDER BY frame) AS run, lead(t) OVER (PARTITION BY job_id ORDER BY frame) AS next FROM f),
-    s AS (SELECT job_id, duration, min(t) AS s, coalesce(arg_max(next, frame) FILTER (next IS NOT NULL AND frame = top) + 0.2e0, least(duration, max(t) + 0.2e0)) AS e
-          FROM (SELECT *, max(frame) OVER (PARTITION BY job_id, run) AS top FROM r WHERE active) GROUP BY job_id, duration, run),"""
-_MERGE = """
-    g AS (SELECT job_id, greatest(0e0, s - 0.12e0) AS s, least(duration, e + 0.2e0) AS e FROM s WHERE least(duration, e + 0.2e0) - greatest(0e0, s - 0.12e0) >= 0.35e0),
-    h AS (SELECT *, CASE WHEN s - max(e) OVER (PARTITION BY job_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 0.75e0 THEN 0 ELSE 1 END AS new FROM g),
-    k AS (SELECT *, sum(new) OVER (PARTITION BY job_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS run FROM h),
-    iv AS (SELECT job_id, cast(run - 1 AS int) AS idx, min(s) AS s, max(e) AS e FROM k GROUP BY job_id, run)"""
-_SPELLS = 's AS (SELECT job_id, duration, start AS s, "end" AS e FROM {spells}),'
-
-
-@query(f'WITH {_ACTIVITY} {_MERGE} SELECT job_id, idx, round(s, 6) AS start, round(e, 6) AS "end" FROM iv')
-def activity_intervals(spark, d):
-    return rounded(activity.activity(read(spark, d, "frames")), "start", "end")
-
-
-@query(f'WITH {_SPELLS} {_MERGE} SELECT job_id, idx, round(s, 6) AS start, round(e, 6) AS "end" FROM iv')
-def merged_intervals(spark, d):
-    return rounded(activity.merged(read(spark, d, "spells")), "start", "end")
-
-
-@query(f"""WITH {_SPELLS} {_MERGE},
-    c AS (SELECT *, sum(e - s) OVER (PARTITION BY job_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS upto, sum(e - s) OVER (PARTITION BY job_id) AS total FROM iv),
-    q AS (SELECT job_id, k / 10e0 AS fraction, total * (k / 10e0) AS target FROM (SELECT DISTINCT job_id, total FROM c), range(0, 11) t(k)),
-    x AS (SELECT q.job_id, fraction, min(s + greatest(0e0, target - (upto - (e - s)))) FILTER (upto >= target - 1e-9) AS t FROM q JOIN c ON c.job_id = q.job_id GROUP BY q.job_id, fraction)
-    SELECT job_id, fraction, round(t, 6) AS t FROM x""")
-def active_time_lookup(spark, d):
-    iv = activity.merged(read(spark, d, "spells"))
-    fractions = iv.select("job_id").distinct().select("job_id", F.explode(F.sequence(F.lit(0), F.lit(10))).alias("k")).select("job_id", (F.col("k") / 10).alias("fraction"))
-    return rounded(timeline.active_time(fractions, iv), "t")
-
-
-_LRC = f"""
-    l AS (SELECT job_id, duration, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM {{lyrics}}),
-    v AS (SELECT *, regexp_extract({_STRIP('raw')}, {_STAMP}, 1) AS mm, regexp_extract({_STRIP('raw')}, {_STAMP}, 2) AS ss, regexp_extract({_STRIP('raw')}, {_STAMP}, 3) AS ff,
-                 {_STRIP(f"regexp_extract({_STRIP('raw')}, {_STAMP}, 4)")} AS words FROM l WHERE regexp_matches({_STRIP('raw')}, {_STAMP})),
-    t AS (SELECT job_id, duration, line_no, words, cast(mm AS int) * 60 + cast(ss AS int) + CASE WHEN ff = '' THEN 0e0 ELSE cast(ff AS double) / pow(10e0, length(ff)) END AS t FROM v),
-    n AS (SELECT a.job_id, a.line_no, arg_min(b.t, b.line_no) AS next FROM t a JOIN t b ON b.job_id = a.job_id AND b.line_no > a.line_no AND b.t > a.t GROUP BY a.job_id, a.line_no),
-    items AS (SELECT t.job_id, cast(row_number() OVER (PARTITION BY t.job_id ORDER BY t.line_no) - 1 AS int) AS idx, t AS start, least(duration, CASE WHEN next IS NULL THEN t + 3.5e0 ELSE greatest(t + 0.2e0, next - 0.05e0) END) AS "end", words AS text
-              FROM t LEFT JOIN n ON n.job_id = t.job_id AND n.line_no = t.line_no WHERE words <> '')"""
-
-
-@query(f'WITH {_LRC} SELECT job_id, idx, round(start, 6) AS start, round("end", 6) AS "end", text FROM items')
-def lrc_scan(spark, d):
-    return rounded(scans.lrc_items(read(spark, d, "lyrics")), "start", "end")
-
-
-@query(f"WITH {_LRC} SELECT ly.job_id, cast(count(items.idx) AS int) AS n FROM {{lyrics}} ly LEFT JOIN items ON items.job_id = ly.job_id GROUP BY ly.job_id")
-def lrc_line_count(spark, d):
-    return scans.lrc_count(read(spark, d, "lyrics"))
-
-
-@query(f"""WITH b AS (SELECT job_id, list_filter(list_transform(string_split(replace(replace(regexp_replace(text, '\\[.*?\\]', '', 'gs'), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda x: {_STRIP('x')}), lambda x: x <> '') AS ls FROM {{texts}})
-    SELECT job_id, cast(i - 1 AS int) AS idx, ls[i] AS text, ls[i] AS sync_text FROM (SELECT job_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM b)""")
-def block_scan_lines(spark, d):
-    return scans.lyric_blocks(read(spark, d, "texts").select("job_id", "text"), scans.LINES)
-
-
-@query(f"""WITH b AS (SELECT job_id, {_LINES('text')} AS ls FROM {{texts}})
-    SELECT job_id, coalesce(ls[1], '') AS line_1, coalesce(ls[least(2, len(ls))], '') AS line_2, coalesce(ls[len(ls)], '') AS last_line, array_to_string(ls, ' ') AS joined FROM b""")
-def sync_text_choice(spark, d):
-    t = F.col("text")
-    return read(spark, d, "texts").select("job_id", X.sync_line(t, "Line 1").alias("line_1"), X.sync_line(t, "Line 2").alias("line_2"), X.sync_line(t, "Last line").alias("last_line"), X.sync_line(t, "All lines").alias("joined"))
-
-
-@query(f"SELECT job_id, {_KEY('text')} AS key, trim(regexp_replace(lower(text), '[^{_ALPHABET}]+', ' ', 'g')) AS spaced FROM {{texts}}")
-def text_keys(spark, d):
-    return read(spark, d, "texts").select("job_id", X.match_key(F.col("text")).alias("key"), X.spaced_key(F.col("text")).alias("spaced"))
-
-
-@query(r"""WITH c AS (SELECT job_id, sum(len(regexp_extract_all(t, '[\x{ac00}-\x{d7a3}]'))) AS h, sum(len(regexp_extract_all(t, '[\x{3040}-\x{30ff}]'))) AS k, sum(len(regexp_extract_all(t, '[A-Za-z]'))) AS l
-              FROM (SELECT job_id, text || CASE WHEN cast(job_id AS int) % 3 = 0 THEN repeat('가', length(text)) WHEN cast(job_id AS int) % 3 = 1 THEN repeat('か', 20) ELSE '' END AS t FROM {texts}) GROUP BY job_id)
-    SELECT job_id, CASE WHEN h >= greatest(1, k, l) THEN 'ko' WHEN k >= greatest(1, h) THEN 'ja' WHEN l > 0 THEN 'en' END AS language FROM c""")
-def lyric_language(spark, d):
-    kind = F.col("job_id").cast("int") % 3
-    rows = read(spark, d, "texts").select("job_id", F.concat("text", F.when(kind == 0, F.expr("repeat('가', length(text))")).when(kind == 1, "か" * 20).otherwise("")).alias("t"))
-    g = rows.groupBy("job_id").agg(*[F.sum(c).alias(n) for c, n in zip(X.script_counts(F.col("t")), "hkl", strict=True)])
-    return g.select("job_id", X.language_of(F.col("h"), F.col("k"), F.col("l")).alias("language"))
-
-
-@query()
-def text_similarity(spark, d):
-    turns = read(spark, d, "turns").select("job_id", "idx", "text")
-    following = turns.select("job_id", (F.col("idx") - 1).alias("idx"), F.col("text").alias("next"))
-    return rounded(turns.join(following, ["job_id", "idx"]).select("job_id", "idx", X.similarity(F.col("text"), F.col("next")).alias("similarity")), "similarity")
-
-
-_CLEAN = r"trim(regexp_replace(j->>'title', '(?i)[(\[{][^)\]}]*\b(?:official|audio|video|lyrics?|mv)\b[^)\]}]*[)\]}]', '', 'g'))"
-
-
-_NAMES = f"""j AS (SELECT job_id, artist, title, cast(payload AS json) AS j FROM {{payloads}}),
-    c AS (SELECT job_id, artist, title, trim(coalesce(j->>'track', '')) AS track, {_CLEAN} AS cleaned, trim(coalesce(j->>'channel', '')) AS channel FROM j),
-    s AS (SELECT *, track = '' AND contains(cleaned, ' - ') AS cut FROM c),
-    w AS (SELECT *, CASE WHEN cut THEN trim(split_part(cleaned, ' - ', 1)) ELSE '' END AS who,
-                 CASE WHEN cut THEN trim(substr(cleaned, strpos(cleaned, ' - ') + 3)) WHEN track = '' THEN cleaned ELSE track END AS what FROM s),
-    names AS (SELECT job_id, coalesce(nullif(CASE WHEN who = '' THEN trim(regexp_replace(channel, '\\s*-\\s*Topic\\s*$', '')) ELSE who END, ''), artist) AS artist,
-                     coalesce(nullif(trim(split_part(what, '|', 1)), ''), title) AS title FROM w)"""
-
-
-@query(f"WITH {_NAMES} SELECT job_id, artist, title FROM names")
-def metadata_projection(spark, d):
-    return read(spark, d, "payloads").select("job_id", scans.metadata_fields(F.col("payload"), F.col("artist"), F.col("title")).alias("m")).select("job_id", "m.*")
-
-
-@query("""WITH r AS (SELECT *, coalesce(cast(id AS varchar), concat_ws(chr(31), '-', "artistName", "trackName", "albumName", cast(duration AS varchar))) AS key FROM {records}),
-    g AS (SELECT job_id, key, min(seq) AS first_seq, max(seq) AS last_seq FROM r GROUP BY job_id, key)
-    SELECT g.job_id, first_seq AS seq, r.id, r."trackName", r."artistName", r."albumName", r.duration FROM g JOIN r ON r.job_id = g.job_id AND r.key = g.key AND r.seq = g.last_seq""")
-def catalog_dedupe(spark, d):
-    return catalog.upsert(read(spark, d, "records")).drop("syncedLyrics")
-
-
-@query(f"""WITH {_NAMES},
-    v0 AS (SELECT *, trim(split_part(title, '|', 1)) AS plain FROM names),
-    v1 AS (SELECT *, list_concat([trim(title), plain], list_transform(regexp_extract_all(plain, '[(\\[{{{{【「『]([^)\\]}}}}】」』]+)[)\\]}}}}】」』]', 1), lambda x: trim(x)),
-                                 list_transform(regexp_extract_all(plain, '[A-Za-z0-9][A-Za-z0-9 ''&.,!?\\-]+'), lambda x: trim(x))) AS found FROM v0),
-    v2 AS (SELECT *, list_filter(list_transform(found, lambda x: regexp_replace(regexp_replace(x, '(?i)\\b(?:official|audio|video|lyrics?|mv|translation)\\b.*', ''), '^[ \\-_.,!]+|[ \\-_.,!]+$', '', 'g')),
-                                 lambda x: length(x) >= 2) AS kept FROM v1),
-    v3 AS (SELECT *, list_filter(kept, lambda x, i: list_position(list_transform(kept, lambda y: lower(y)), lower(x)) = i) AS variants FROM v2 WHERE trim(title) <> ''),
-    t AS (SELECT job_id, 0 AS pos, 'title and artist' AS kind, trim(title) AS track_name, trim(artist) AS artist_name, cast(NULL AS varchar) AS q FROM v3
-          UNION ALL SELECT job_id, 1, 'free text', NULL, NULL, trim(trim(artist) || ' ' || trim(title)) FROM v3
-          UNION ALL SELECT job_id, 1 + i, 'title', variants[i], NULL, NULL FROM (SELECT job_id, variants, unnest(range(1, len(variants) + 1)) AS i FROM v3))
-    SELECT job_id, cast(pos AS int) AS pos, kind, track_name, artist_name, q FROM t WHERE pos < 5 AND coalesce(track_name, 'x') <> '' AND coalesce(artist_name, 'x') <> '' AND coalesce(q, 'x') <> ''""")
-def search_attempts(spark, d):
-    m = read(spark, d, "payloads").select("job_id", scans.metadata_fields(F.col("payload"), F.col("artist"), F.col("title")).alias("m")).select("job_id", "m.*")
-    return catalog.search_attempts(m)
-
-
-@query()
-def catalog_rank_top1(spark, d):
-    q = read(spark, d, "part").select(F.col("p_size").cast("string").alias("job_id"), F.col("p_brand").alias("artist"), F.concat("p_name", F.lit(" (Official Audio)")).alias("title"), F.lit(201.0).alias("duration"), F.lit(2).alias("lines"), "p_partkey")
-    q = q.groupBy("job_id").agg(F.min_by(F.struct("artist", "title", "duration", "lines"), "p_partkey").alias("q")).select("job_id", "q.*")
-    return catalog.best_record(catalog.upsert(read(spark, d, "records")), q).select("job_id", "trackName", "artistName", F.round("score", 6).alias("score"))
-
-
-@query(f"""WITH x AS (SELECT e.*, {_KEY('t.title')} AS tk, {_KEY('t.artist')} AS ak, {_KEY("e.title || ' ' || e.channel")} AS ck, lower(e.title || ' ' || e.channel) AS low, abs(e.duration - target) / greatest(1e0, target) AS err
-              FROM {{entries}} e JOIN {{targets}} t ON t.job_id = e.job_id WHERE e.duration > 0),
-    y AS (SELECT *, err + CASE WHEN tk <> '' AND NOT contains(ck, tk) THEN 0.35e0 ELSE 0e0 END + CASE WHEN ak <> '' AND NOT contains(ck, ak) THEN 0.2e0 ELSE 0e0 END - CASE WHEN contains(low, 'official audio') OR contains(low, 'topic') THEN 0.05e0 ELSE 0e0 END AS score FROM x)
-    SELECT job_id, id, title, channel, duration, round(err, 6) AS error FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY score, pos) AS rn FROM y) WHERE rn = 1 AND err <= 0.18e0""")
-def media_candidate_pick(spark, d):
-    return rounded(catalog.pick_recording(read(spark, d, "entries"), read(spark, d, "targets")), "error")
-
-
-_EVEN = """e AS (SELECT *, count(*) OVER (PARTITION BY job_id) AS n, greatest(1.5e0, duration - 0.5e0) AS until FROM {turns}),
-    ev AS (SELECT job_id, idx, text, duration, 0.5e0 + idx * ((until - 0.5e0) / n) AS start, least(until, greatest(0.5e0 + idx * ((until - 0.5e0) / n) + 0.2e0, 0.5e0 + (idx + 1) * ((until - 0.5e0) / n) - 0.05e0)) AS "end" FROM e)"""
-
-
-def _even(spark, d):
-    turns = read(spark, d, "turns")
-    return timeline.even_spacing(turns).withColumn("duration", F.lit(60.0))
-
-
-@query(f'WITH {_EVEN} SELECT job_id, idx, round(start, 6) AS start, round("end", 6) AS "end" FROM ev')
-def even_spacing(spark, d):
-    return rounded(_even(spark, d), "start", "end").select("job_id", "idx", "start", "end")
-
-
-@query("""WITH b AS (SELECT *, count(*) OVER (PARTITION BY job_id) AS n FROM {turns}),
-    a AS (SELECT job_id, idx, 2e0 + idx * 4.5e0 AS t FROM b WHERE idx IN (1, 3)),
-    x AS (SELECT b.job_id, b.idx, b.n, b.duration, max(a.idx) FILTER (a.idx <= b.idx) AS li, max(a.t) FILTER (a.idx <= b.idx) AS lt, min(a.idx) FILTER (a.idx >= b.idx) AS ri, min(a.t) FILTER (a.idx >= b.idx) AS rt
-          FROM b JOIN a ON a.job_id = b.job_id GROUP BY b.job_id, b.idx, b.n, b.duration),
-    r AS (SELECT *, CASE WHEN li IS NULL THEN greatest(0e0, rt - (ri - idx) * least(3e0, rt / greatest(1, ri))) WHEN ri IS NULL THEN least(duration, lt + (idx - li) * greatest(0.5e0, (greatest(lt + 0.5e0, duration - 0.5e0) - lt) / greatest(1, n - 1 - li)))
-                    ELSE lt + (rt - lt) * (cast(idx - li AS double) / greatest(1, ri - li)) END AS raw FROM x),
-    s AS (SELECT *, least(greatest(0e0, raw), duration) AS start, lead(raw) OVER (PARTITION BY job_id ORDER BY idx) AS next FROM r)
-    SELECT job_id, idx, round(start, 6) AS start, round(least(duration, CASE WHEN next IS NULL THEN start + 3e0 ELSE greatest(start + 0.2e0, next - 0.05e0) END), 6) AS "end" FROM s""")
-def anchor_spacing(spark, d):
-    turns = read(spark, d, "turns")
-    anchors = turns.where("idx IN (1, 3)").select("job_id", "idx", (2.0 + F.col("idx") * 4.5).alias("t"))
-    return rounded(timeline.anchor_spacing(turns, anchors), "start", "end").select("job_id", "idx", "start", "end")
-
-
-@query(f"""WITH {_EVEN}, o AS (SELECT *, (idx % 5 - 2) * 0.75e0 AS off FROM ev)
-    SELECT job_id, idx, round(CASE WHEN abs(off) < 0.001 THEN start ELSE greatest(0e0, least(start + off, duration)) END, 6) AS start,
-           round(CASE WHEN abs(off) < 0.001 THEN "end" ELSE least(greatest(greatest(0e0, least(start + off, duration)) + 0.2e0, "end" + off), duration) END, 6) AS "end" FROM o""")
-def global_offset(spark, d):
-    return rounded(timeline.shifted(_even(spark, d), (F.col("idx") % 5 - 2) * 0.75), "start", "end").select("job_id", "idx", "start", "end")
-
-
-@query(f"""WITH {_EVEN}, sp AS (SELECT job_id, min(start) AS s0, max("end") AS s1 FROM ev GROUP BY job_id),
-    w AS (SELECT ev.job_id, idx, duration, 3e0 + (start - s0) * (47e0 / greatest(0.1e0, s1 - s0)) AS a, 3e0 + ("end" - s0) * (47e0 / greatest(0.1e0, s1 - s0)) AS b FROM ev JOIN sp ON sp.job_id = ev.job_id)
-    SELECT job_id, idx, round(greatest(0e0, least(a, duration)), 6) AS start, round(least(greatest(greatest(0e0, least(a, duration)) + 0.2e0, b), duration), 6) AS "end" FROM w""")
-def affine_warp(spark, d):
-    c = _even(spark, d)
-    s = c.groupBy("job_id").agg(F.min("start").alias("s0"), F.max("end").alias("s1"))
-    return rounded(timeline.warped(c.join(s, "job_id"), F.col("s0"), F.col("s1"), F.lit(3.0), F.lit(50.0)), "start", "end").select("job_id", "idx", "start", "end")
-
-
-@query(f"""WITH {_EVEN}, sp AS (SELECT job_id, count(*) AS n, min(start) AS s0, max("end") AS s1 FROM ev GROUP BY job_id), iv AS (SELECT job_id, 2e0 AS a0, 40e0 AS a1 FROM (SELECT DISTINCT job_id FROM {{turns}}) WHERE cast(job_id AS int) % 3 > 0),
-    x AS (SELECT ev.*, n, s0, s1, a1, n >= 2 AND a1 IS NOT NULL AND s1 - s0 >= 1 AND a1 - s0 >= 1 AS fits, s0 + (start - s0) * (greatest(0.1e0, a1 - s0) / greatest(0.1e0, s1 - s0)) AS a, s0 + ("end" - s0) * (greatest(0.1e0, a1 - s0) / greatest(0.1e0, s1 - s0)) AS b
-          FROM ev JOIN sp ON sp.job_id = ev.job_id LEFT JOIN iv ON iv.job_id = ev.job_id)
-    SELECT job_id, idx, round(CASE WHEN fits THEN greatest(0e0, least(a, duration)) ELSE start END, 6) AS start, round(CASE WHEN fits THEN least(greatest(greatest(0e0, least(a, duration)) + 0.2e0, b), duration) ELSE "end" END, 6) AS "end" FROM x""")
-def activity_fit(spark, d):
-    iv = read(spark, d, "turns").select("job_id").distinct().where("cast(job_id AS int) % 3 > 0").select("job_id", F.lit(2.0).alias("start"), F.lit(40.0).alias("end"))
-    return rounded(timeline.fit_to_activity(_even(spark, d), iv), "start", "end").select("job_id", "idx", "start", "end")
-
-
-_AXIS = """md AS (SELECT job_id, ref_t, median(perf_t) AS m FROM {axis} GROUP BY job_id, ref_t),
-    ax AS (SELECT job_id, ref_t, max(m) OVER (PARTITION BY job_id ORDER BY ref_t ROWS UNBOUNDED PRECEDING) AS perf_t FROM md)"""
-
-
-@query(f"WITH {_AXIS} SELECT job_id, ref_t, round(perf_t, 6) AS perf_t FROM ax")
-def time_axis_median(spark, d):
-    return rounded(timemap.time_axis(read(spark, d, "axis")), "perf_t")
-
-
-@query(f"""WITH {_AXIS},
-    lo AS (SELECT p.event_id, max(a.ref_t) AS x0 FROM {{probes}} p JOIN ax a ON a.job_id = p.job_id AND a.ref_t <= p.x GROUP BY p.event_id),
-    hi AS (SELECT p.event_id, min(a.ref_t) AS x1 FROM {{probes}} p JOIN ax a ON a.job_id = p.job_id AND a.ref_t >= p.x GROUP BY p.event_id),
-    b AS (SELECT p.*, x0, x1, a.perf_t AS y0, c.perf_t AS y1 FROM {{probes}} p LEFT JOIN lo ON lo.event_id = p.event_id LEFT JOIN hi ON hi.event_id = p.event_id LEFT JOIN ax a ON a.job_id = p.job_id AND a.ref_t = x0 LEFT JOIN ax c ON c.job_id = p.job_id AND c.ref_t = x1)
-    SELECT job_id, event_id, x, round(greatest(0e0, least(duration, CASE WHEN y0 IS NULL AND y1 IS NULL THEN x WHEN y0 IS NULL THEN y1 WHEN y1 IS NULL THEN y0 WHEN x1 = x0 THEN y0 ELSE y0 + (y1 - y0) / (x1 - x0) * (x - x0) END)), 6) AS y FROM b""")
-def asof_interpolation(spark, d):
-    out = timeline.interpolate(read(spark, d, "probes"), timemap.time_axis(read(spark, d, "axis")))
-    return rounded(out, "y").select("job_id", "event_id", "x", "y")
-
-
-@query(f"""WITH {_AXIS}, st AS (SELECT job_id, quantile_cont(perf_t - ref_t, 0.05) AS lo, quantile_cont(perf_t - ref_t, 0.5) AS mid, quantile_cont(perf_t - ref_t, 0.95) AS hi FROM ax GROUP BY job_id)
-    SELECT job_id, round(mid, 6) AS "offset", round(hi - lo, 6) AS spread, CASE WHEN hi - lo <= 6 THEN 'multiscale' WHEN (hi - lo) / 2 <= 6 THEN 'legacy' ELSE 'invalid' END AS method FROM st""")
-def time_map_stats(spark, d):
-    s = timemap.axis_stats(timemap.time_axis(read(spark, d, "axis")))
-    return rounded(s.withColumn("method", timemap.choose_method(F.lit(0.2), F.lit(0.2), F.col("spread"), F.col("spread") / 2, F.lit(6.0))), "offset", "spread")
-
-
-@query(f"""WITH {_AXIS}, b AS (SELECT job_id, min(ref_t) AS lo, max(ref_t) AS hi FROM ax GROUP BY job_id HAVING max(ref_t) > min(ref_t)),
-    two AS (SELECT job_id, ref_t, perf_t AS y1, perf_t + 0.25e0 + ref_t / 100e0 AS y2 FROM ax),
-    g AS (SELECT job_id, k, lo + (hi - lo) * k / 499e0 AS x FROM b, range(0, 500) t(k)),
-    q AS (SELECT g.*, max(a.ref_t) FILTER (a.ref_t <= x) AS x0, min(a.ref_t) FILTER (a.ref_t >= x) AS x1 FROM g JOIN two a ON a.job_id = g.job_id GROUP BY g.job_id, k, x),
-    y AS (SELECT q.job_id, abs((p.y2 - p.y1) + CASE WHEN x1 > x0 THEN ((n.y2 - n.y1) - (p.y2 - p.y1)) / (x1 - x0) * (x - x0) ELSE 0 END) AS d
-          FROM q JOIN two p ON p.job_id = q.job_id AND p.ref_t = coalesce(x0, x1) JOIN two n ON n.job_id = q.job_id AND n.ref_t = coalesce(x1, x0))
-    SELECT job_id, round(quantile_cont(d, 0.95), 6) AS p95 FROM y GROUP BY job_id""")
-def time_map_disagreement(spark, d):
-    one = timemap.time_axis(read(spark, d, "axis"))
-    return rounded(timemap.disagreement(one, one.withColumn("perf_t", F.col("perf_t") + 0.25 + F.col("ref_t") / 100)), "p95")
-
-
-@query("""WITH v AS (SELECT job_id, list_sum(list_transform(va, lambda x: cast(x AS double) * x)) AS na, list_sum(list_transform(vb, lambda x: cast(x AS double) * x)) AS nb, 1 - list_sum(list_transform(list_zip(va, vb), lambda z: cast(z[1] AS double) * cast(z[2] AS double))) AS dist FROM {vectors}),
-    g AS (SELECT job_id, avg(dist) FILTER (na > 1e-6 AND nb > 1e-6) AS c, count(*) FILTER (na > 1e-6 AND nb > 1e-6) AS n FROM v GROUP BY job_id)
-    SELECT job_id, round(CASE WHEN n >= 20 THEN c ELSE 1e0 END, 6) AS cost FROM g""")
-def feature_cost(spark, d):
-    v = read(spark, d, "vectors").select("job_id", F.col("va").cast("array<double>").alias("a"), F.col("vb").cast("array<double>").alias("b"))
-    return rounded(timemap.feature_cost(v.select("job_id", F.col("a").alias("chroma_a"), F.col("b").alias("chroma_b"), F.col("a").alias("onset_a"), F.col("b").alias("onset_b"))), "cost")
-
-
-@query("""WITH m AS (SELECT *, max(raw - 0.12e0 * idx) OVER (PARTITION BY job_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS lead_ FROM {raw_starts}),
-    s AS (SELECT job_id, idx, duration, least(duration, lead_ + 0.12e0 * idx) AS start, least(duration, lead_ + 0.12e0 * idx) + 2e0 AS wish FROM m),
-    e AS (SELECT *, least(duration, coalesce(least(wish, lead(start) OVER (PARTITION BY job_id ORDER BY idx) - 0.04e0), wish)) AS "end" FROM s)
-    SELECT job_id, idx, round(start, 6) AS start, round("end", 6) AS "end" FROM e""")
-def min_gap_spacing(spark, d):
-    rows = timeline.minimum_gap(read(spark, d, "raw_starts"))
-    return rounded(timeline.clipped_ends(rows.withColumn("end", F.col("start") + 2.0))[0], "start", "end").select("job_id", "idx", "start", "end")
-
-
-@query("""WITH j AS (SELECT job_id, cast(count(*) AS int) AS n FROM {turns} GROUP BY job_id),
-    w AS (SELECT job_id, n, s.size, k * s.stride AS low FROM j, (VALUES (6, 6), (8, 4)) s(size, stride), range(0, 200) t(k) WHERE k * s.stride < n)
-    SELECT job_id, cast(low AS int) AS low, cast(least(n, low + size) AS int) AS high FROM w WHERE least(n, low + size) - low >= 3
-    UNION SELECT job_id, greatest(0, n - size), n FROM j, (VALUES (6), (8)) s(size) WHERE n >= 3""")
-def forced_chunks(spark, d):
-    return timeline.chunk_windows(read(spark, d, "turns").groupBy("job_id").agg(F.count("*").cast("int").alias("n")))
-
-
-_VALID = """va AS MATERIALIZED (SELECT cand.*, c.start AS cs, c."end" AS ce FROM {candidates} cand JOIN {captions} c ON c.job_id = cand.job_id AND c.idx = cand.idx),"""
-_PAIR = lambda where, cost: f"""pr AS (SELECT l.job_id, l.idx, l.cs, l.ce, l.start AS s1, r.start AS s2, l."end" AS e1, r."end" AS e2, l.confidence AS c1, r.confidence AS c2, l.collapsed_ratio AS k1, r.collapsed_ratio AS k2,
-            row_number() OVER (PARTITION BY l.job_id, l.idx ORDER BY {cost}, l.cand_idx, r.cand_idx) AS rn FROM ok l JOIN ok r ON r.job_id = l.job_id AND r.idx = l.idx AND r.cand_idx > l.cand_idx AND r.source <> l.source {where}),
-    best AS (SELECT * FROM pr WHERE rn = 1)"""
-
-
-@query(f"""WITH {_VALID} ok AS (SELECT * FROM va WHERE abs(start - cs) <= 3 AND "end" > start + 0.08e0), {_PAIR('', 'abs(l.start - r.start) + 0.15e0 * abs(l."end" - r."end")')},
-    b AS (SELECT *, (s1 + s2) / 2 AS at_, (e1 + e2) / 2 AS e FROM best WHERE abs(s1 - s2) <= 0.6e0 AND NOT (least(k1, k2) >= 0.75e0 AND greatest(c1, c2) < 0.04e0)),
-    su AS (SELECT b.job_id, b.idx, count(DISTINCT source) AS n FROM b JOIN ok ON ok.job_id = b.job_id AND ok.idx = b.idx WHERE abs(start - at_) <= 0.45e0 AND confidence >= 0.08e0 AND collapsed_ratio < 0.7e0 GROUP BY b.job_id, b.idx)
-    SELECT b.job_id, b.idx, round(at_, 6) AS start, round(CASE WHEN abs(e1 - e2) <= 1 AND least(e1, e2) > at_ + 0.35e0 AND abs(e - ce) <= 3 THEN e ELSE ce END, 6) AS "end" FROM b LEFT JOIN su ON su.job_id = b.job_id AND su.idx = b.idx
-    WHERE abs(at_ - cs) <= CASE WHEN coalesce(n, 0) >= 3 OR (abs(s1 - s2) <= 0.15e0 AND least(c1, c2) >= 0.25e0 AND greatest(k1, k2) < 0.5e0) THEN 2.8e0 ELSE 1e0 END""")
-def consensus_pair(spark, d):
-    return rounded(consensus.consensus(read(spark, d, "captions"), read(spark, d, "candidates")), "start", "end")
-
-
-@query("""WITH c AS (SELECT *, start - lag("end") OVER (PARTITION BY job_id ORDER BY idx) >= 4 AS gb, lead(start) OVER (PARTITION BY job_id ORDER BY idx) - "end" >= 4 AS ga FROM {captions}),
-    v AS (SELECT c.job_id, c.idx, c.start AS cs, coalesce(gb, false) AS gb, coalesce(ga, false) AS ga, k.start, k."end" AS e, try_cast(split_part(source, '-', 1) AS int) = c.idx + 1 AND regexp_matches(source, '^[0-9]+-[0-9]+$') AS here
-          FROM c JOIN {candidates} k ON k.job_id = c.job_id AND k.idx = c.idx WHERE (gb OR ga) AND confidence >= 0.015e0 AND collapsed_ratio < 0.7e0 AND k."end" > k.start + 0.35e0),
-    g AS (SELECT job_id, idx, cs, gb, ga, count(*) AS n, max(start) - min(start) AS sp, median(start) AS s, median(e) AS e, count(*) FILTER (here) AS n1, max(start) FILTER (here) - min(start) FILTER (here) AS sp1, median(start) FILTER (here) AS s1, median(e) FILTER (here) AS e1 FROM v GROUP BY ALL),
-    h AS (SELECT *, coalesce(gb AND n1 >= 2 AND sp1 <= 0.35e0 AND abs(s1 - cs) <= 3, false) AS f1, coalesce(ga AND n >= 3 AND sp <= 2 AND abs(s - cs) <= 2.5e0, false) AS f2 FROM g)
-    SELECT job_id, idx, round(CASE WHEN f1 THEN s1 ELSE s END, 6) AS start, round(CASE WHEN f1 THEN e1 ELSE e END, 6) AS "end" FROM h WHERE f1 OR f2""")
-def boundary_timing(spark, d):
-    return rounded(consensus.boundary(read(spark, d, "captions"), read(spark, d, "candidates")), "start", "end")
-
-
-@query(f"""WITH {_VALID} ok AS (SELECT * FROM va WHERE regexp_matches(source, '^[0-9]+-[0-9]+$') AND try_cast(split_part(source, '-', 1) AS int) < idx + 1 AND confidence >= 0.07e0 AND collapsed_ratio < 0.7e0 AND "end" > start + 0.35e0),
-    {_PAIR('AND abs(l.start - r.start) <= 0.6e0', 'abs(l.start - r.start)')}
-    SELECT job_id, idx, round((s1 + s2) / 2, 6) AS start, round((e1 + e2) / 2, 6) AS "end" FROM best WHERE abs((s1 + s2) / 2 - cs) > 1 AND abs((s1 + s2) / 2 - cs) <= 2.5e0""")
-def contextual_pair(spark, d):
-    return rounded(consensus.contextual(read(spark, d, "captions"), read(spark, d, "candidates")), "start", "end")
-
-
-@query(f"""WITH {_VALID} ok AS (SELECT * FROM va WHERE idx = 0), {_PAIR('AND abs(l.start - r.start) <= 0.35e0 AND least(l.confidence, r.confidence) >= 0.15e0 AND greatest(l.collapsed_ratio, r.collapsed_ratio) < 0.6e0', 'abs(l.start - r.start)')},
-    nx AS (SELECT job_id, idx, lead(start) OVER (PARTITION BY job_id ORDER BY idx) AS next FROM {{captions}})
-    SELECT best.job_id, best.idx, round((s1 + s2) / 2, 6) AS start FROM best JOIN nx ON nx.job_id = best.job_id AND nx.idx = best.idx WHERE cs <= 1.5e0 AND (s1 + s2) / 2 > cs + 0.35e0 AND (s1 + s2) / 2 <= cs + 4 AND (s1 + s2) / 2 < next - 0.35e0""")
-def first_line_anchor(spark, d):
-    return rounded(consensus.first_line(read(spark, d, "captions"), read(spark, d, "candidates")), "start")
-
-
-def _finer(name: str) -> str:
-    """A query's SQL with its times in brackets, rounded where that doesn't matter to what is made of them."""
-    return "(" + ORACLE[name].replace(", 6)", ", 12)") + ")"
-
-
-@query(f"""WITH RECURSIVE c AS (SELECT *, cast(row_number() OVER (PARTITION BY job_id ORDER BY idx) AS int) AS k, count(*) OVER (PARTITION BY job_id) AS n FROM {{captions}}),
-    p AS (SELECT c.*, coalesce(a.start, b.start, x.start, f.start) AS ps, coalesce(a."end", b."end", x."end", CASE WHEN f.start IS NOT NULL THEN c."end" END) AS pe
-          FROM c LEFT JOIN {_finer('consensus_pair')} a ON a.job_id = c.job_id AND a.idx = c.idx LEFT JOIN {_finer('boundary_timing')} b ON b.job_id = c.job_id AND b.idx = c.idx
-          LEFT JOIN {_finer('contextual_pair')} x ON x.job_id = c.job_id AND x.idx = c.idx LEFT JOIN {_finer('first_line_anchor')} f ON f.job_id = c.job_id AND f.idx = c.idx),
-    w AS (SELECT *, coalesce(ps, start) AS wish FROM p),
-    r AS (SELECT job_id, k, wish AS at_ FROM w WHERE k = 1
-          UNION ALL SELECT w.job_id, w.k, greatest(CASE WHEN w.wish <= r.at_ + 0.12e0 THEN w.start ELSE w.wish END, r.at_ + 0.12e0) FROM r JOIN w ON w.job_id = r.job_id AND w.k = r.k + 1),
-    s AS (SELECT w.*, least(w.duration, greatest(0e0, at_)) AS s, coalesce(lead(at_) OVER (PARTITION BY w.job_id ORDER BY w.k), w.duration) AS next FROM w JOIN r ON r.job_id = w.job_id AND r.k = w.k),
-    e AS (SELECT *, least(duration, coalesce(pe, "end"), next - 0.05e0) AS e FROM s)
-    SELECT job_id, idx, round(CASE WHEN n >= 3 THEN s ELSE start END, 6) AS start,
-           round(CASE WHEN n < 3 THEN "end" WHEN e <= s + 0.2e0 THEN least(duration, greatest(s + 0.2e0, next - 0.05e0)) ELSE e END, 6) AS "end", duration, n >= 3 AND ps IS NOT NULL AS accepted FROM e""")
-def refined_captions(spark, d):
-    return rounded(consensus.refine(read(spark, d, "captions").drop("o_orderkey"), read(spark, d, "candidates")), "start", "end")
-
-
-@query("""WITH w AS (SELECT job_id, idx, string_split(sync_text, ' ') AS ws FROM {turns}), p AS (SELECT job_id, idx, length(x) / 100e0 AS span, (length(x) % 10) / 10e0 AS prob FROM (SELECT job_id, idx, unnest(ws) AS x FROM w))
-    SELECT job_id, idx, round(avg(CASE WHEN round(span, 6) < 0.04e0 THEN 1e0 ELSE 0e0 END), 6) AS collapsed_ratio, round(avg(prob), 6) AS confidence FROM p GROUP BY job_id, idx""")
-def word_stats(spark, d):
-    words = F.transform(F.split("sync_text", " "), lambda x: F.struct(F.lit(0.0).alias("start"), (F.length(x) / 100).alias("end"), (F.length(x) % 10 / 10).alias("probability")))
-    return rounded(scans.word_stats(read(spark, d, "turns").select("job_id", "idx", words.alias("words"))), "collapsed_ratio", "confidence").drop("words")
-
-
-@query(f"""WITH b AS (SELECT job_id, {_LINES('text')} AS ls FROM {{texts}}), i AS (SELECT job_id, k - 1 AS idx, ls[k] AS text, len(ls) AS m FROM (SELECT job_id, ls, unnest(range(1, len(ls) + 1)) AS k FROM b)),
-    s AS (SELECT job_id, m, slot, CASE WHEN 3 < m THEN cast(round_even(slot * m / 3e0, 0) AS bigint) ELSE slot END AS lo, CASE WHEN 3 < m THEN cast(round_even((slot + 1) * m / 3e0, 0) AS bigint) ELSE slot + 1 END AS hi FROM (SELECT DISTINCT job_id, m FROM i), range(0, 3) t(slot) WHERE slot < m)
-    SELECT s.job_id, cast(slot AS int) AS idx, round(min(i.idx) * 2e0, 6) AS start, round(max(i.idx) * 2e0 + 1, 6) AS "end", string_agg(text, ' ' ORDER BY i.idx) AS text FROM s JOIN i ON i.job_id = s.job_id AND i.idx >= lo AND i.idx < greatest(lo + 1, hi) GROUP BY s.job_id, slot""")
-def compress_rows(spark, d):
-    lines = F.filter(F.transform(F.split("text", "\n"), X.strip), lambda x: x != "")
-    items = read(spark, d, "texts").select("job_id", F.posexplode(lines).alias("idx", "text")).select("job_id", "idx", (F.col("idx") * 2.0).alias("start"), (F.col("idx") * 2.0 + 1).alias("end"), "text")
-    return rounded(align.compress(items, items.select("job_id").distinct().withColumn("n", F.lit(3))), "start", "end")
-
-
-@query()
-def transcript_align(spark, d):
-    turns = read(spark, d, "turns")
-    segments = turns.where("role = 'assistant'").select("job_id", "idx", F.col("sync_text").alias("text"))
-    segments = segments.withColumn("idx", F.expr("row_number() OVER (PARTITION BY job_id ORDER BY idx) - 1")).select("job_id", "idx", (F.col("idx") * 4.0 + 1).alias("start"), (F.col("idx") * 4.0 + 3.5).alias("end"), "text")
-    blocks = turns.where("role = 'user'").select("job_id", F.expr("row_number() OVER (PARTITION BY job_id ORDER BY idx) - 1").alias("idx"), "text", "sync_text", "duration")
-    return rounded(align.align_to_segments(blocks, segments), "start", "end", "score")
-
-
-@query()
-def lrc_group_align(spark, d):
-    blocks = read(spark, d, "turns").select("job_id", "idx", "text", "sync_text", "duration")
-    return rounded(align.align_to_lrc(blocks, scans.lrc_items(read(spark, d, "lyrics"))), "start", "end", "score", "average")
-
-
-@query()
-def near_duplicate_trim(spark, d):
-    jobs = read(spark, d, "turns").groupBy("job_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "text"))), lambda r: r["text"]), "\n").alias("text"))
-    twice = F.when(F.col("job_id").cast("int") % 2 == 0, F.concat("text", F.lit("\n"), "text")).otherwise(F.col("text"))
-    return jobs.select("job_id", align.trim_copy(twice).alias("r")).select("job_id", "r.text", "r.removed")
-
-
-@query(f"""WITH {_EVEN}, x AS (SELECT job_id, idx, start, CASE WHEN idx % 7 = 3 THEN start - 1 WHEN idx % 5 = 2 THEN "end" + 1 ELSE "end" END AS e FROM ev), y AS (SELECT *, lag(e) OVER (PARTITION BY job_id ORDER BY idx) AS before FROM x)
-    SELECT job_id, idx, CASE WHEN e <= start THEN 'end is not after start' ELSE 'overlaps the one before' END AS reason FROM y WHERE e <= start OR start < before - 1e-6""")
-def sequence_violations(spark, d):
-    end = F.when(F.col("idx") % 7 == 3, F.col("start") - 1).when(F.col("idx") % 5 == 2, F.col("end") + 1).otherwise(F.col("end"))
-    return timeline.violations(_even(spark, d).withColumn("end", end))
-
-
-_STAMPS = f"""{_EVEN}, z AS (SELECT *, cast(round_even(start * 1000, 0) AS bigint) AS n_s, cast(round_even("end" * 1000, 0) AS bigint) AS n_e, cast(round_even(start * 100, 0) AS bigint) AS c_s, cast(round_even("end" * 100, 0) AS bigint) AS c_e FROM ev)"""
-
-
-@query(f"""WITH {_STAMPS} SELECT job_id, string_agg(cast(idx + 1 AS varchar) || chr(10) || {_SRT('s')} || ' --> ' || {_SRT('e')} || chr(10) || text || chr(10), chr(10) ORDER BY idx) AS content FROM z GROUP BY job_id""")
-def srt_export(spark, d):
-    return subtitles.srt(_even(spark, d))
-
-
-_HEADER = """'[Script Info]\nTitle: song\nScriptType: v4.00+\nWrapStyle: 0\nScaledBorderAndShadow: yes\nPlayResX: 1920\nPlayResY: 1080\n\n[V4+ Styles]\nFormat: Name, Fontname, Fontsize, PrimaryColour, SecondaryColour, OutlineColour, BackColour, Bold, Italic, Underline, StrikeOut, ScaleX, ScaleY, Spacing, Angle, BorderStyle, Outline, Shadow, Alignment, MarginL, MarginR, MarginV, Encoding
-Style: Default,Malgun Gothic,48,&H00FFFFFF,&H000000FF,&H00000000,&H88000000,0,0,0,0,100,100,0,0,1,2.5,1.0,2,90,90,70,1\n\n[Events]\nFormat: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text\n'"""
-
-
-@query(f"""WITH {_STAMPS} SELECT job_id, chr(65279) || {_HEADER} || string_agg('Dialogue: 0,' || {_ASS('s')} || ',' || {_ASS('e')} || ',Default,,0,0,0,,' || replace(replace(replace(replace(text, '\\', '\\\\'), '{{', '\\{{'), '}}', '\\}}'), chr(10), '\\N'), chr(10) ORDER BY idx) || chr(10) AS content FROM z GROUP BY job_id""")
-def ass_export(spark, d):
-    return subtitles.ass(_even(spark, d), "song")
-
-
-@query(f"""WITH {_EVEN} SELECT job_id, cast(to_json(struct_pack(job_id := job_id, duration := 60e0, captions := list(struct_pack(start := round(start, 3), "end" := round("end", 3), "text" := text, score := 0e0, sync_text := '') ORDER BY idx))) AS varchar) AS content
-    FROM ev GROUP BY job_id""")
-def manifest_json(spark, d):
-    c = _even(spark, d).withColumns({"sync_text": F.lit(""), "start": F.round("start", 3), "end": F.round("end", 3)})
-    return subtitles.manifest(c.groupBy("job_id").agg(F.max("duration").alias("duration")), c)
-
-
-@query(f"""WITH {_STAMPS} SELECT job_id, string_agg({_SRT('s')} || ' --> ' || {_SRT('e')} || '  ' || text, chr(10) ORDER BY idx) FILTER (idx < 4) ||
-    CASE WHEN count(*) > 4 THEN chr(10) || '... ' || cast(count(*) - 4 AS varchar) || ' more lines' ELSE '' END AS preview FROM z GROUP BY job_id""")
-def caption_preview(spark, d):
-    return subtitles.preview(_even(spark, d), 4)
-
-
-#: b has rows (job_id, idx, n, text, duration); the times at equal shares of the job's active time.
-_SHARES = """c AS (SELECT *, sum(e - s) OVER (PARTITION BY job_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS upto, sum(e - s) OVER (PARTITION BY job_id) AS total FROM iv),
-    q AS (SELECT DISTINCT b.job_id, t.part, total * (t.part / cast(n AS double)) AS target FROM b JOIN c ON c.job_id = b.job_id, range(0, 100) t(part) WHERE t.part <= n),
-    x AS (SELECT q.job_id, part, min(s + greatest(0e0, target - (upto - (e - s)))) FILTER (upto >= target - 1e-9) AS t FROM q JOIN c ON c.job_id = q.job_id GROUP BY q.job_id, part),
-    y AS (SELECT b.*, l.t AS a, CASE WHEN b.idx + 1 < n THEN r.t - 0.04e0 ELSE r.t END AS b_ FROM b JOIN x l ON l.job_id = b.job_id AND l.part = b.idx JOIN x r ON r.job_id = b.job_id AND r.part = b.idx + 1),
-    f AS (SELECT job_id, idx, a AS start, CASE WHEN least(duration, greatest(b_, a + 0.8e0)) <= a THEN least(duration, a + 0.2e0) ELSE least(duration, greatest(b_, a + 0.8e0)) END AS "end" FROM y WHERE idx = 0
-          UNION ALL SELECT job_id, idx, start, CASE WHEN least(duration, greatest(b_, start + 0.8e0)) <= start THEN least(duration, start + 0.2e0) ELSE least(duration, greatest(b_, start + 0.8e0)) END
-          FROM (SELECT y.*, CASE WHEN y.a < f."end" THEN f."end" + 0.03e0 ELSE y.a END AS start FROM f JOIN y ON y.job_id = f.job_id AND y.idx = f.idx + 1))"""
-
-
-@query(f"""WITH RECURSIVE {_SPELLS} {_MERGE}, {_EVEN}, b AS (SELECT job_id, idx, text, duration, count(*) OVER (PARTITION BY job_id) AS n FROM {{turns}}), {_SHARES}
-    SELECT b.job_id, b.idx, round(CASE WHEN f.start IS NULL THEN ev.start ELSE greatest(0e0, f.start) END, 6) AS start, round(coalesce(f."end", ev."end"), 6) AS "end", b.text, 0e0 AS score
-    FROM b LEFT JOIN f ON f.job_id = b.job_id AND f.idx = b.idx JOIN ev ON ev.job_id = b.job_id AND ev.idx = b.idx""")
-def activity_placement(spark, d):
-    iv = activity.merged(read(spark, d, "spells"))
-    return rounded(timeline.place_by_activity(read(spark, d, "turns"), iv), "start", "end")
-
-
-_DECAY = " + ".join(["e", *(f"coalesce(lag(e, {k}) OVER w, 0e0) / sqrt({k + 1}e0)" for k in range(1, 10))])
-
-
-@query(f"""WITH a AS (SELECT cast(label AS varchar) AS job_id, vec_id AS frame, b AS bin, cast(abs(embedding[b]) AS double) AS x FROM embeddings, range(1, 13) t(b)),
-    d AS (SELECT *, greatest(0e0, x - coalesce(lag(x) OVER w, x)) AS d FROM a WINDOW w AS (PARTITION BY job_id, bin ORDER BY frame)),
-    e AS (SELECT *, ln(1e0 + 100 * d) / (ln(1e0 + 100 * max(d) OVER (PARTITION BY job_id, bin ORDER BY frame ROWS BETWEEN 20 PRECEDING AND 19 FOLLOWING)) + 1e-8) AS e FROM d),
-    f AS (SELECT job_id, frame, bin, {_DECAY} AS v FROM e WINDOW w AS (PARTITION BY job_id, bin ORDER BY frame)),
-    g AS (SELECT *, greatest(1e-8, sqrt(sum(v * v) OVER (PARTITION BY job_id, frame))) AS norm FROM f)
-    SELECT job_id, frame, list(round(v / norm, 6) ORDER BY bin) AS onset FROM g GROUP BY job_id, frame""")
-def onset_features(spark, d):
-    v = read(spark, d, "embeddings").select(F.col("label").cast("string").alias("job_id"), F.col("vec_id").alias("frame"), F.transform(F.slice("embedding", 1, 12), lambda x: F.abs(x).cast("double")).alias("chroma"))
-    out = timemap.onsets(v)
-    return out.select("job_id", "frame", F.transform("onset", lambda x: F.round(x, 6)).alias("onset"))
-
-
-def _recordings(spark, d):
-    """Two recordings a label: its vectors with even and with odd ids, as unit chroma and onsets, repeated to two seconds and more."""
-    v = read(spark, d, "embeddings").select(F.col("label").cast("string").alias("job_id"), "vec_id", F.transform(F.slice("embedding", 1, 12), lambda x: F.abs(x).cast("double")).alias("c"))
-    unit = F.transform("c", lambda x: x / F.greatest(F.lit(1e-8), F.sqrt(F.aggregate("c", F.lit(0.0), lambda t, y: t + y * y))))
-    side = F.when(F.col("vec_id") % 2 == 0, "ref").otherwise("perf")
-    rows = v.select("job_id", side.alias("side"), F.expr("row_number() OVER (PARTITION BY job_id, vec_id % 2 ORDER BY vec_id) - 1").alias("frame"), unit.alias("chroma"))
-    return rows.withColumn("onset", F.col("chroma"))
-
-
-@query()
-def warping_paths(spark, d):
-    return timemap.time_axis(timemap.build_paths(_recordings(spark, d), 10.0))
-
-
-@query()
-def multiscale_paths(spark, d):
-    return timemap.time_axis(timemap.build_paths(_recordings(spark, d), 10.0, "multiscale"))
-
-
-@query()
-def warped_captions(spark, d):
-    """Evenly spaced captions through the axis of the user that has their job's number."""
-    c, axis = _even(spark, d), timemap.time_axis(read(spark, d, "axis"))
-    return rounded(timeline.warp_by_map(c, axis)[0], "start", "end").select("job_id", "idx", "start", "end")
-
-
-_SONG_LINES = f"""sg AS (SELECT *, cast(job_id AS int) % 7 AS k, {_LINES('text')} AS ls FROM {{songs}}),
-    b AS (SELECT job_id, k, mode, duration, len(ls) AS n, cast(i - 1 AS int) AS idx, ls[i] AS text FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM sg WHERE k IN (0, 1, 3)))"""
-
-
-@query(f"""WITH RECURSIVE {_SPELLS} {_MERGE}, {_SONG_LINES}, {_LRC.replace('{lyrics}', "(SELECT * FROM {songs} WHERE mode = 'Even spacing')")}, {_SHARES},
-    ev AS (SELECT *, 0.5e0 + idx * (59e0 / n) AS start, least(59.5e0, greatest(0.5e0 + idx * (59e0 / n) + 0.2e0, 0.5e0 + (idx + 1) * (59e0 / n) - 0.05e0)) AS "end" FROM b),
-    an AS (SELECT *, CASE WHEN idx <= 2 THEN 2e0 + 18.5e0 * (idx / 2e0) ELSE least(60e0, 20.5e0 + (idx - 2) * greatest(0.5e0, 39e0 / greatest(1, n - 3))) END AS raw FROM b WHERE k = 1 AND n >= 3),
-    al AS (SELECT *, lead(raw) OVER (PARTITION BY job_id ORDER BY idx) AS next FROM an),
-    m AS (SELECT job_id, idx, text, 0e0 AS score, mode, 'even' AS method, start, "end" FROM ev WHERE k = 0
-          UNION ALL SELECT job_id, idx, text, 1e0, mode, 'anchors', raw, least(60e0, CASE WHEN next IS NULL THEN raw + 3e0 ELSE greatest(raw + 0.2e0, next - 0.05e0) END) FROM al
-          UNION ALL SELECT b.job_id, b.idx, b.text, 0e0, b.mode, 'activity', CASE WHEN f.start IS NULL THEN ev.start ELSE greatest(0e0, f.start) END, coalesce(f."end", ev."end")
-                    FROM b LEFT JOIN f ON f.job_id = b.job_id AND f.idx = b.idx JOIN ev ON ev.job_id = b.job_id AND ev.idx = b.idx WHERE b.k = 3),
-    o AS (SELECT * REPLACE (greatest(0e0, least(start + 0.5e0, 60e0)) AS start, least(greatest(greatest(0e0, least(start + 0.5e0, 60e0)) + 0.2e0, "end" + 0.5e0), 60e0) AS "end") FROM m
-          UNION ALL SELECT items.job_id, items.idx, items.text, 1e0, 'Even spacing', 'stamped text', items.start, items."end" FROM items JOIN sg ON sg.job_id = items.job_id AND sg.k = 4)
-    SELECT job_id, idx, round(start, 6) AS start, round("end", 6) AS "end", text, score, '' AS sync_text, mode, method, NULL AS error FROM o
-    UNION ALL SELECT job_id, NULL, NULL, NULL, NULL, NULL, NULL, mode, NULL, CASE k WHEN 1 THEN 'index out of range: 3: 0:20.5' WHEN 2 THEN 'not an anchor: 1 = 1.5:20' WHEN 5 THEN 'unknown mode' ELSE 'no lyrics' END
-    FROM sg WHERE k IN (2, 5, 6) OR (k = 1 AND len(ls) < 3)""")
-def mode_dispatch(spark, d):
-    """Captions or an error of every job: even, anchored, stamped and active ones, bad anchors, an unknown mode, no lyrics."""
-    from strandline.plans.pipeline import run_jobs
-
-    captions = run_jobs(read(spark, d, "songs"), intervals=activity.merged(read(spark, d, "spells")))
-    return rounded(captions.withColumn("sync_text", F.coalesce("sync_text", F.when(F.col("idx").isNotNull(), ""))), "start", "end")
-
-
-@query()
-def mode_dispatch_aligned(spark, d):
-    """Jobs of the modes that match texts: fetched stamped lyrics, a transcript, and a reference with its time map."""
-    from strandline.plans.pipeline import run_jobs
-
-    k = F.col("job_id").cast("int") % 3
-    jobs = read(spark, d, "songs").select("job_id", "duration", "grouping", F.when(k == 0, "LRCLIB synced lyrics").when(k == 1, "Whisper fuzzy match").otherwise("Reference audio DTW").alias("mode"))
-    turns = read(spark, d, "turns")
-    texts = turns.groupBy("job_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", F.replace("sync_text", F.lit("\n"), F.lit(" ")).alias("line")))), lambda r: r["line"]), "\n").alias("text"))
-    jobs = jobs.join(texts, "job_id").withColumn("use_lyrics", F.lit(False))
-    segments = turns.select("job_id", "idx", (F.col("idx") * 4.0 + 1).alias("start"), (F.col("idx") * 4.0 + 3.5).alias("end"), F.col("sync_text").alias("text"))
-    axis = jobs.select("job_id", F.explode(F.array(F.lit(0.0), F.lit(60.0))).alias("ref_t")).withColumn("perf_t", F.col("ref_t") * 0.9 + 1.5)
-    return rounded(run_jobs(jobs, scans.lrc_items(read(spark, d, "lyrics")), segments, axis=axis), "start", "end", "score")
-
-
-@query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
-    r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM e)
-    SELECT user_id, cast(min(ts) AS varchar) AS start, count(*) AS events FROM r GROUP BY user_id, run""")
-def session_spells(spark, d):
-    from strandline.streaming.spells import sessions
-
-    return sessions(read(spark, d, "events")).select("user_id", F.col("start").cast("string").alias("start"), "events")
-
-
-@query("""WITH j AS (SELECT cast(o_orderkey AS varchar) AS job_id, CASE WHEN o_orderkey % 3 = 0 THEN 'a.wav' ELSE ' ' END AS file, CASE WHEN o_orderkey % 2 = 0 THEN 'http://x' END AS url, cast(o_custkey % 100 + 150 AS double) AS ud, 200e0 AS d,
-              CASE WHEN o_orderkey % 5 = 0 THEN 'id' END AS found FROM orders),
-    k AS (SELECT *, CASE WHEN trim(file) <> '' THEN 'file' WHEN url IS NOT NULL AND abs(ud - d) / greatest(1e0, d) <= 0.15e0 THEN 'link' WHEN found IS NOT NULL THEN 'search' END AS kind FROM j)
-    SELECT job_id, kind, CASE kind WHEN 'file' THEN file WHEN 'link' THEN url ELSE found END AS source, CASE WHEN kind IS NULL THEN CASE WHEN url IS NOT NULL THEN 'the link''s length doesn''t fit' ELSE 'no reference' END END AS error FROM k""")
-def reference_choice(spark, d):
-    from strandline.operators.reference import choose_source
-
-    o = read(spark, d, "orders")
-    key = F.col("o_orderkey")
-    jobs = o.select(key.cast("string").alias("job_id"), F.when(key % 3 == 0, "a.wav").otherwise(" ").alias("file"), F.when(key % 2 == 0, "http://x").alias("url"), (F.col("o_custkey") % 100 + 150).cast("double").alias("url_duration"), F.lit(200.0).alias("duration"))
-    return choose_source(jobs, o.where("o_orderkey % 5 = 0").select(key.cast("string").alias("job_id"), F.lit("id").alias("id")))
-
-
-@query("""SELECT job_id, cast(row_number() OVER (PARTITION BY job_id ORDER BY idx) - 1 AS int) AS idx, text FROM (SELECT job_id, idx, trim(CASE WHEN idx % 3 = 1 THEN '  ' ELSE ' ' || role || ' ' END) AS text FROM {turns}) WHERE text <> ''""")
-def clean_segments(spark, d):
-    from strandline.operators.reference import clean_segments
-
-    return clean_segments(read(spark, d, "turns").select("job_id", "idx", F.when(F.col("idx") % 3 == 1, "  ").otherwise(F.concat(F.lit(" "), "role", F.lit(" "))).alias("text")))
-
-
-@query()
-def time_map_choice(spark, d):
-    """The chosen map's axis with the report's verdict on each job, those without a map among them."""
-    from strandline.operators.reference import best_map
-
-    axis, report = best_map(_recordings(spark, d), 10.0)
-    rows = report.join(axis, "job_id", "left").select("job_id", "method", "error", "shift", "multiscale_cost", "legacy_cost", "multiscale_spread", "legacy_spread", "disagreement", "ref_t", "perf_t")
-    return rounded(rows, "multiscale_cost", "legacy_cost", "multiscale_spread", "legacy_spread", "disagreement")
-
-
-@query()
-def adaptive_lines(spark, d):
-    turns = read(spark, d, "turns")
-    segments = turns.where("role = 'assistant'").select("job_id", F.expr("row_number() OVER (PARTITION BY job_id ORDER BY idx) - 1").alias("idx"), F.col("sync_text").alias("text"))
-    return align.choose_lines(turns.where("role = 'user'").select("job_id", "idx", "text", "sync_text"), segments).select("job_id", "idx", "sync_text")
-
-
-@query(f"""WITH t AS (SELECT job_id, string_split(text, '. ') AS ps FROM {{texts}}),
-    p AS (SELECT job_id, cast(i - 1 AS int) AS idx, list_filter(list_transform(string_split(ps[i], chr(10)), lambda x: {_STRIP('x')}), lambda x: x <> '') AS ls FROM (SELECT job_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM t)),
-    k AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY idx) AS rn FROM p WHERE len(ls) > 0)
-    SELECT job_id, cast(rn - 1 AS int) AS idx, array_to_string(ls, chr(10)) AS text, ls[1] AS sync_text FROM k""")
-def block_scan_blank(spark, d):
-    """Blocks parted by blank lines: the texts' sentences, with a blank line after each."""
-    parts = read(spark, d, "texts").select("job_id", F.array_join(F.transform(F.split("text", r"\. "), lambda x: F.regexp_replace(F.regexp_replace(x, r"\n(\s*\n)+", "\n"), r"\[", "")), "\n\n").alias("text"))
-    return scans.lyric_blocks(parts)
-
-
-_ANCHORS = """a AS (SELECT job_id, idx, CASE WHEN cast(job_id AS int) % 4 = 3 AND idx = 2 THEN 'x' ELSE cast(idx + 1 AS varchar) || ' = ' || cast(idx // 6 AS varchar) || ':' || lpad(cast(idx * 10 % 60 AS varchar), 2, '0') || '.5' END AS line FROM {turns} WHERE idx % 2 = 0),
-    n AS (SELECT job_id, count(*) AS n FROM {turns} GROUP BY job_id)"""
-
-
-@query(f"""WITH {_ANCHORS} SELECT job_id, idx, CASE WHEN line <> 'x' THEN (idx * 10 % 60) + 60e0 * (idx // 6) + 0.5e0 END AS t, CASE WHEN line = 'x' THEN 'not an anchor' WHEN idx * 10 + 0.5e0 > 60 THEN 'time out of range' END AS reason FROM a
-    UNION ALL SELECT cast(1000 + k AS varchar), NULL, NULL, 'no anchors' FROM range(0, 3) t(k)""")
-def anchor_scan(spark, d):
-    """Anchors of jobs, a bad line in some; and three jobs without any."""
-    turns = read(spark, d, "turns")
-    seconds = F.concat(F.floor(F.col("idx") / 6).cast("string"), F.lit(":"), F.lpad((F.col("idx") * 10 % 60).cast("string"), 2, "0"), F.lit(".5"))
-    line = F.when((F.col("job_id").cast("int") % 4 == 3) & (F.col("idx") == 2), "x").otherwise(F.concat((F.col("idx") + 1).cast("string"), F.lit(" = "), seconds))
-    jobs = turns.groupBy("job_id").agg(F.count("*").alias("n"), F.lit(60.0).alias("duration"), F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("idx") % 2 == 0, F.struct("idx", line.alias("line"))))), lambda r: r["line"]), "\n").alias("anchors"))
-    none = spark.range(3).select((F.col("id") + 1000).cast("string").alias("job_id"), F.lit(5).alias("n"), F.lit(60.0).alias("duration"), F.lit("# none").alias("anchors"))
-    good, wrong = scans.timing_anchors(jobs.unionByName(none))
-    bad = wrong.select("job_id", F.when(F.col("line") == "x", 2).otherwise(F.regexp_extract("line", r"^(\d+)", 1).try_cast("int") - 1).alias("idx"), F.when(F.col("line") != "x", scans.time_value(F.regexp_extract("line", r"= (.*)", 1))).alias("t"), "reason")
-    return good.select("job_id", "idx", "t", F.lit(None).cast("string").alias("reason")).unionByName(bad)
-
-
-@query("""WITH s AS (SELECT cast(user_id AS varchar) AS job_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n, value / 100e0 AS x FROM events),
-    f AS (SELECT job_id, frame, x FROM (SELECT job_id, n, x, unnest(range(greatest(0, n // 10 - 1), n // 10 + 1)) AS frame FROM s)),
-    l AS (SELECT job_id, max(n) * 0.01e0 AS until FROM s GROUP BY job_id)
-    SELECT f.job_id, frame, round(sqrt(avg(x * x) + 1e-12), 6) AS rms FROM f JOIN l ON l.job_id = f.job_id WHERE frame = 0 OR frame * 0.1e0 + 0.2e0 <= until + 0.1e0 GROUP BY f.job_id, frame""")
-def level_frames(spark, d):
-    """Levels of the events' values as a hundred samples a second."""
-    samples = read(spark, d, "events").select(F.col("user_id").cast("string").alias("job_id"), (F.expr("row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1") * 0.01).alias("t"), (F.col("value") / 100).alias("x"))
-    return rounded(activity.frame_levels(samples), "rms").select("job_id", "frame", "rms")
-
-
-@query("""SELECT cast(user_id AS varchar) AS job_id, cast(to_json(list(struct_pack(cost := round(value, 3), frame := event_id) ORDER BY round(value, 3), event_id)) AS varchar) AS content FROM events WHERE event_id % 5 = 0 GROUP BY user_id""")
-def dtw_diagnostics(spark, d):
-    rows = read(spark, d, "events").where("event_id % 5 = 0").select(F.col("user_id").cast("string").alias("job_id"), F.round("value", 3).alias("cost"), F.col("event_id").alias("frame"))
-    return subtitles.diagnostics(rows, ["job_id"])
-
-
-def _forced(spark, d):
-    """Windows of the captions' jobs and, of most of them, a forced result: a segment of two words a line; of every seventh window one segment less."""
-    captions = read(spark, d, "captions").select("job_id", "idx", "start", "end", "duration")
-    windows = timeline.chunk_windows(captions.groupBy("job_id").agg(F.count("*").cast("int").alias("n")))
-    key = F.col("job_id") * 31 + F.col("low") * 7 + F.col("high")
-    lines = F.sequence(F.lit(0), F.col("high") - F.col("low") - F.when(key % 7 == 0, 2).otherwise(1))
-    word = lambda k, j: F.struct((k * 6.0 + j).alias("start"), (k * 6.0 + j + F.when(key % 3 == j, 0.01).otherwise(0.5)).alias("end"), F.when(key % 5 > 0, (k + j + 1) / 20).alias("probability"))
-    segments = F.transform(lines, lambda k: F.struct((k * 6.0 + 1.5).alias("start"), (k * 6.0 + 4.0).alias("end"), F.array(word(k, 0), word(k, 1)).alias("words")))
-    return windows, captions, windows.where(key % 11 > 0).select("job_id", "low", "high", F.to_json(F.struct(segments.alias("segments"))).alias("result"))
-
-
-_FORCED = """cp AS (SELECT * FROM {captions}), j AS (SELECT job_id, cast(count(*) AS int) AS n FROM cp GROUP BY job_id),
-    wi AS (SELECT job_id, cast(low AS int) AS low, cast(least(n, low + size) AS int) AS high FROM (SELECT job_id, n, s.size, k * s.stride AS low FROM j, (VALUES (6, 6), (8, 4)) s(size, stride), range(0, 20) t(k) WHERE k * s.stride < n) WHERE least(n, low + size) - low >= 3
-           UNION SELECT job_id, cast(greatest(0, n - size) AS int), n FROM j, (VALUES (6), (8)) s(size) WHERE n >= 3),
-    wk AS (SELECT wi.*, job_id * 31 + low * 7 + high AS key, cast(low + 1 AS varchar) || '-' || cast(high AS varchar) AS source FROM wi)"""
-
-
-@query(f"""WITH {_FORCED}, s AS (SELECT wk.*, k, greatest(0e0, cp.start - 1.5e0) AS at_ FROM wk JOIN cp ON cp.job_id = wk.job_id AND cp.idx = low, range(0, 8) t(k) WHERE k < high - low AND key % 11 > 0 AND key % 7 > 0)
-    SELECT job_id, cast(low + k AS int) AS idx, cast(row_number() OVER (PARTITION BY job_id, low + k ORDER BY low, high) - 1 AS int) AS cand_idx, round(at_ + k * 6e0 + 1.5e0, 6) AS start, round(at_ + k * 6e0 + 4e0, 6) AS "end",
-           round(CASE WHEN key % 5 > 0 THEN ((k + 1) / 20e0 + (k + 2) / 20e0) / 2 ELSE 0e0 END, 6) AS confidence, CASE WHEN key % 3 < 2 THEN 0.5e0 ELSE 0e0 END AS collapsed_ratio, source FROM s""")
-def forced_candidates(spark, d):
-    return rounded(scans.forced_candidates(*_forced(spark, d))[0], "start", "end", "confidence")
-
-
-@query(f"""WITH {_FORCED} SELECT job_id, source, CASE WHEN key % 11 = 0 THEN '0' ELSE cast(high - low - 1 AS varchar) END || ' segments in place of ' || cast(high - low AS varchar) AS error FROM wk WHERE key % 11 = 0 OR key % 7 = 0""")
-def forced_errors(spark, d):
-    return scans.forced_candidates(*_forced(spark, d))[1]
-
-
-@query()
-def refinement_rows(spark, d):
-    """What refining by forced results did, a row a line with its candidates and a row a failed window."""
-    windows, captions, results = _forced(spark, d)
-    found, errors = scans.forced_candidates(windows, captions, results)
-    return consensus.refinement_rows(captions, consensus.refine(captions, found), found, errors)
-
-
-@query("""SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 = 0 THEN '/x/' || o_orderkey WHEN o_orderkey % 4 = 1 THEN '/p/' || o_orderkey WHEN o_orderkey % 4 = 2 THEN 'n' || o_orderkey END AS path FROM orders""")
-def uploaded_paths(spark, d):
-    key = F.col("o_orderkey")
-    text = F.when(key % 4 == 0, F.concat(F.lit("/x/"), key)).when(key % 4 == 1, F.concat(F.lit('{"path": "/p/'), key, F.lit('", "name": "other"}'))).when(key % 4 == 2, F.concat(F.lit('{"path": "", "name": "n'), key, F.lit('"}'))).otherwise("{}")
-    return read(spark, d, "orders").select(key.alias("k"), scans.uploaded_path(text).alias("path"))
-
-
-def _lookup(spark, d):
-    part = read(spark, d, "part").where("p_partkey % 3 = 0")
-    who = F.when(F.col("p_partkey") % 4 == 0, " ").otherwise(F.col("p_brand"))
-    return part.select(F.col("p_partkey").cast("string").alias("job_id"), who.alias("artist"), F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, " (Official Audio)").otherwise("")).alias("title"), F.lit(201.0).alias("duration"), F.lit(2).alias("lines"), "p_size")
-
-
-@query()
-def synced_lyrics_lookup(spark, d):
-    q = _lookup(spark, d)
-    records = read(spark, d, "records").withColumnRenamed("job_id", "size").join(q.select("job_id", F.col("p_size").cast("string").alias("size")), "size").drop("size")
-    return rounded(catalog.synced_lyrics(records, q.drop("p_size")), "score")
-
-
-@query()
-def field_completion(spark, d):
-    q = _lookup(spark, d)
-    detected = q.where("cast(job_id AS int) % 2 = 0").select("job_id", F.lit("Brand#11").alias("artist"), F.col("title"), "duration")
-    records = read(spark, d, "records").withColumnRenamed("job_id", "size").join(q.select("job_id", F.col("p_size").cast("string").alias("size")), "size").drop("size")
-    both = records.withColumn("source", F.explode(F.array(F.lit("input"), F.lit("description"))))
-    return rounded(catalog.completed(q.select("job_id", "artist", "title"), detected, both), "score")
-
-
-@query()
-def reference_transcript(spark, d):
-    """Captions on a transcript where it fits, else on active time."""
-    turns = read(spark, d, "turns")
-    segments = turns.where("cast(job_id AS int) % 2 = 0").select("job_id", "idx", (F.col("idx") * 4.0 + 1).alias("start"), (F.col("idx") * 4.0 + 3.5).alias("end"), F.col("sync_text").alias("text"))
-    blocks = turns.select("job_id", "idx", "text", "sync_text", "duration")
-    return rounded(align.align_to_reference(blocks, segments, activity.merged(read(spark, d, "spells"))), "start", "end", "score")
+__all__ = ["ORACLE", "QUERIES", "activity", "exports", "jobs", "lookup", "maps", "matching", "reading", "spacing", "texts", "timings"]

@@ -179,7 +179,7 @@ def test_warped_captions(spark):
 
 def recordings(spark):
     out: dict = {}
-    for r in registry._recordings(spark, SF).orderBy("frame").collect():
+    for r in registry.maps._recordings(spark, SF).orderBy("frame").collect():
         out.setdefault(r["job_id"], {"ref": [], "perf": []})[r["side"]].append(r["chroma"])
     return {j: [np.array(x[s]) for s in ("ref", "perf")] for j, x in out.items()}
 
