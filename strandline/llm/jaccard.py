@@ -99,16 +99,29 @@ def _wanted_sets(size: int, wanted):
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27  # 16 MB at most; a fuller table lets more through to the exact join
 
 
-def _bit_table(df: DataFrame, column: str, each: int = 16) -> np.ndarray:
-    """Bytes of a table with a bit for each number in the column, at least `each` bits a number up to MOST_BITS. Its words are made in Spark; the table is all that is gathered."""
+def _bit_words(df: DataFrame, column: str, each: int = 16) -> tuple[DataFrame, int]:
+    """(word, bits: the words of a table with a bit for each number in the column that have any; the table's size in bits, at least `each` a number up to MOST_BITS)."""
     size = min(MOST_BITS, max(LEAST_BITS, each << df.count().bit_length()))
-    at = F.expr(f"{column} & {size - 1}")
-    words = df.select(at.alias("at")).selectExpr("at >> 6 AS word", "shiftleft(1L, cast(at & 63 AS int)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    at = df.select(F.expr(f"{column} & {size - 1}").alias("at"))
+    return at.selectExpr("at >> 6 AS word", "shiftleft(1L, cast(at & 63 AS int)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits")), size
+
+
+def _bit_table(df: DataFrame, column: str, each: int = 16) -> np.ndarray:
+    """Such a table's bytes. Its words are made in Spark; the table is all that is gathered."""
+    words, size = _bit_words(df, column, each)
+    got = words.toArrow()
     table = np.zeros(size // 64, dtype="<i8")
-    table[words["word"].to_numpy()] = words["bits"].to_numpy()
+    table[got["word"].to_numpy()] = got["bits"].to_numpy()
     return table.view(np.uint8)
 
 
+def _with_hit(rows: DataFrame, words: DataFrame, size: int, name: str) -> DataFrame:
+    """rows with a column that says whether the bit of their hash is in the table, whose words are bounded by MOST_BITS and broadcast."""
+    table = F.broadcast(words.select(F.col("word").alias("word_"), F.col("bits").alias("bits_")))
+    met = rows.join(table, F.expr(f"(hash & {size - 1}) >> 6") == F.col("word_"), "left")
+    return met.withColumn(name, F.coalesce(F.getbit("bits_", F.expr("cast(hash & 63 AS int)")) == 1, F.lit(False))).drop("word_", "bits_")
+
+
 def _hits(table: np.ndarray, numbers: np.ndarray) -> np.ndarray:
     at = numbers & (8 * len(table) - 1)
     return (table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
@@ -290,47 +303,26 @@ def _verdicts(docs: DataFrame, **how) -> DataFrame:
     return written(out.select("doc_id", "text_hash", F.xxhash64("doc_id", "text_hash").alias("hash"), "copies", (F.col("text").isNotNull() | (F.col("some") == 0)).alias("stays")), "verdicts")
 
 
-def _hitting(table):
-    def run(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(_hits(table.value, batch.column(batch.schema.get_field_index("hash")).to_numpy())))
-
-    return run
-
-
-def _sorted_out(gone, doubted, want_doubted: bool):
-    """Of rows with a last column `hash` those that stay, or those that only an exact join can tell."""
-
-    def run(batches):
-        for batch in batches:
-            hashes = batch.column(batch.num_columns - 1).to_numpy()
-            doubt = _hits(doubted.value, hashes)
-            keep = doubt if want_doubted else ~doubt & ~_hits(gone.value, hashes)
-            yield pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1]).filter(pa.array(keep))
-
-    return run
-
-
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """docs, with all columns, but of each component the row with the least doc_id and text hash only (null ids last). Rows without words stay, all of them.
 
     Verdicts are by doc_id and text hash; of equal rows one stays. Texts aren't shuffled for them: a bit table of the keys that go and one of the keys that
-    stay though the first table has their bit, or that several rows share, decide for most rows in a map; only rows with a bit in the second
+    stay though the first table has their bit, or that several rows share, decide for most rows where they are read; only rows with a bit in the second
     table (of the rows that stay some 3 in 100, of those that go fewer) meet their verdict by a join."""
-    spark, names = docs.sparkSession, docs.columns
     keys = _verdicts(docs, **how)
     away = keys.where("NOT stays")
     if away.isEmpty() and keys.where("copies > 1").isEmpty():
         return docs
-    gone = spark.sparkContext.broadcast(_bit_table(away, "hash"))
-    near = keys.where("stays").mapInArrow(_hitting(gone), keys.schema).select("hash").unionByName(keys.where("stays AND copies > 1").select("hash"))
-    doubted = spark.sparkContext.broadcast(_bit_table(near.distinct(), "hash"))
+    gone, gone_size = _bit_words(away, "hash")
+    gone = written(gone, "gone")
+    near = _with_hit(keys.where("stays"), gone, gone_size, "hit").where("hit OR copies > 1").select("hash")
+    doubted, doubted_size = _bit_words(written(near, "doubted"), "hash")
     text_hash = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    rows = docs.withColumn("hash\0", F.xxhash64(docs["doc_id"].cast("long"), text_hash))
-    kept, open_ = (rows.mapInArrow(_sorted_out(gone, doubted, d), docs.schema) for d in (False, True))
-    open_ = open_.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
-    key = [F.col("row.doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("row.text", F.lit(""))).alias("of")]
-    met = open_.select("row", *key).join(keys, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("of") == F.col("text_hash"))).where("stays")
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("id"), text_hash.alias("of")).withColumn("hash", F.xxhash64("id", "of"))
+    rows = _with_hit(_with_hit(rows, gone, gone_size, "goes"), written(doubted, "words"), doubted_size, "doubt")
+    kept = rows.where("NOT doubt AND NOT goes").select("row")
+    keys = keys.drop("hash")
+    met = rows.where("doubt").join(keys, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("of") == F.col("text_hash"))).where("stays")
     once = met.where("copies = 1").select("row")
     several = met.where("copies > 1").dropDuplicates(["id", "of"]).select("row")
-    return kept.unionByName(once.unionByName(several).select("row.*"))
+    return kept.unionByName(once.unionByName(several)).select("row.*")
