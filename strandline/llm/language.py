@@ -67,31 +67,37 @@ class Model:
         return z / z.sum(axis=1, keepdims=True)
 
 
+SAMPLE = "doc_id long, text_hash long, lang string, windows long, buckets binary, counts binary"
+
+
 def _features(batches):
+    """A document's distinct buckets (two bytes each) and how many of its windows each has (four bytes)."""
     for batch in blocks(batches):
         found, begins, count = subwords(byte_texts(batch))
-        ids, weights = [], []
+        buckets, counts = [], []
         for b, n in zip(begins.tolist(), count.tolist(), strict=True):
-            size = n // len(ORDERS)
-            u, c = np.unique(found[:, b : b + size], return_counts=True)
-            ids.append(u.astype(np.int32))
-            weights.append((c / n).astype(np.float32))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(ids, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float32()))], ["doc_id", "text_hash", "lang", "ids", "weights"])
+            u, c = np.unique(found[:, b : b + n // len(ORDERS)], return_counts=True)
+            buckets.append(u.astype("<u2").tobytes())
+            counts.append(c.astype("<u4").tobytes())
+        columns = [batch.column(0), batch.column(1), batch.column(3), pa.array(count, pa.int64()), pa.array(buckets, pa.binary()), pa.array(counts, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "lang", "windows", "buckets", "counts"])
 
 
-def train(langs: list[str], label: np.ndarray, ids: list[np.ndarray], weights: list[np.ndarray], held: np.ndarray, dim: int = 16, epochs: int = 6, rate: float = 8.0, seed: int = 7, most_error: float = 0.01, most_lost: float = 0.002) -> Model:
+def train(langs: list[str], label: np.ndarray, ids: list[np.ndarray], counts: list[np.ndarray], windows: list[int], held: np.ndarray, dim: int = 16, epochs: int = 6, rate: float = 8.0, seed: int = 7, most_error: float = 0.01, most_lost: float = 0.002) -> Model:
     """Stochastic gradient descent over documents; the rows in `held` set the temperature and the rejection limit instead."""
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.1, (BUCKETS, dim))
     out = rng.normal(0, 0.1, (dim, len(langs)))
     bias = np.zeros(len(langs))
     fit = np.flatnonzero(~held)
+    weights = lambda i: (counts[i] / windows[i]).astype(np.float32)
     total, step = max(1, epochs * len(fit)), 0
     for _ in range(epochs):
         for i in rng.permutation(fit):
             now = rate * (1 - step / total)
             step += 1
-            hidden = weights[i] @ emb[ids[i]]
+            w = weights(i)
+            hidden = w @ emb[ids[i]]
             z = hidden @ out + bias
             p = np.exp(z - z.max())
             p /= p.sum()
@@ -99,11 +105,11 @@ def train(langs: list[str], label: np.ndarray, ids: list[np.ndarray], weights: l
             back = out @ p
             out -= now * np.outer(hidden, p)
             bias -= 0.01 * now * p
-            emb[ids[i]] -= now * weights[i][:, None] * back
+            emb[ids[i]] -= now * w[:, None] * back
     model = Model(langs, np.vstack([emb @ out, np.zeros(len(langs))]).T.astype(np.float32).copy(), bias)
     check = np.flatnonzero(held)
     if len(check):
-        z = np.array([weights[i] @ (emb[ids[i]] @ out) + bias for i in check])
+        z = np.array([weights(i) @ (emb[ids[i]] @ out) + bias for i in check])
         best = np.inf
         for t in np.geomspace(0.05, 20, 60):
             model.temperature = t
@@ -133,17 +139,15 @@ def fit_language(docs: DataFrame, per_language: int = 400, longest: int = 20_000
     """A model learnt from `per_language` documents of each language at most: those with the least hash of id and text, of at most `longest` characters,
     outside the held fold. That sample is all that comes to the driver, as bucket weights. Without any such document the model knows no language."""
     sample = _sample(docs, per_language, longest, folds, held_fold).select("doc_id", "text_hash", "text", "lang")
-    got = sample.mapInArrow(_features, "doc_id long, text_hash long, lang string, ids array<int>, weights array<float>").toArrow()
-    if not got.num_rows:
+    got = sorted(sample.mapInArrow(_features, SAMPLE).collect(), key=lambda r: (r["doc_id"], r["text_hash"]))
+    if not got:
         return Model()
-    got = got.combine_chunks().sort_by([("doc_id", "ascending"), ("text_hash", "ascending")])
-    names = got["lang"].to_pylist()
-    langs = sorted(set(names))
-    label = np.array([langs.index(x) for x in names])
-    ids = [x.values.to_numpy() for x in got["ids"]]
-    weights = [x.values.to_numpy() for x in got["weights"]]
+    langs = sorted({r["lang"] for r in got})
+    label = np.array([langs.index(r["lang"]) for r in got])
+    ids = [np.frombuffer(r["buckets"], dtype="<u2") for r in got]
+    counts = [np.frombuffer(r["counts"], dtype="<u4") for r in got]
     held = np.arange(len(label)) % 4 == 3
-    return train(langs, label, ids, weights, held, **how)
+    return train(langs, label, ids, counts, [r["windows"] for r in got], held, **how)
 
 
 def _predict(model: Model, known: list[str | None], texts: list[bytes]) -> tuple[list[str], list[float], list[bool]]:
