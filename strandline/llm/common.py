@@ -1,44 +1,21 @@
-"""What the training-data operators share: scratch tables, folds, numbering of rows."""
+"""What the training-data operators share: folds, samples, numbering of rows; and the written tables of the engine."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The word separators of every contract here: space and the ASCII controls from tab to carriage return.
-SEPARATORS = r"[\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Where the session names none, a local master (one machine) gets a temporary folder, and any other raises: a folder of one machine would lose what the others write."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="strandline-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+from strandline.sources.staging import scratch_path, written
 
+__all__ = ["blocks", "byte_texts", "fold", "least_hashed", "scratch_path", "task_numbers", "texts_of", "written"]
 
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/strandline-{tag}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """The rows of df, written to the shared folder and read again: lineage ends here, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = scratch_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: The word separators of every contract here: space and the ASCII controls from tab to carriage return.
+SEPARATORS = r"[\x20\x09-\x0D]+"
 
 
 def fold(doc_id: Column, modulus: int) -> Column:
