@@ -556,7 +556,7 @@ def _finisher(table: np.ndarray, classes: int, train_tokens: int, types: int):
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def brown_scores(docs: DataFrame, folds: int = 7, held_fold: int = 2, words: int = 512, classes: int = 48, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def brown_scores(docs: DataFrame, folds: int = 7, held_fold: int = 2, words: int = 1024, classes: int = 128, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens (words and one end), n_known, train_tokens, base_score (add-one), score (log10 probability under the class model).
 
     Learnt from all documents outside the held fold; a null id is not held out. p(word | word before) is p(class | class before) times
