@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -48,19 +50,29 @@ def task_numbers() -> Iterator[int]:
 
 
 def blocks(batches: Iterable[pa.RecordBatch], max_bytes: int = 8 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Batches cut so that the named column has about max_bytes in each, but one row at least: memory doesn't follow the length of the longest batch."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        col = batch.column(batch.schema.get_field_index(column))
-        ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(col), 0).cast(pa.int64())).to_pylist()
-        start, base = 0, 0
-        for i, end in enumerate(ends):
-            if end - base >= max_bytes:
-                yield batch.slice(start, i + 1 - start)
-                start, base = i + 1, end
-        if start < batch.num_rows:
-            yield batch.slice(start)
+    """Batches cut so that the named column has about max_bytes in each, but one row at least: memory doesn't follow the length of the longest batch. After the last, memory is given back."""
+    try:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            col = batch.column(batch.schema.get_field_index(column))
+            ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(col), 0).cast(pa.int64())).to_pylist()
+            start, base = 0, 0
+            for i, end in enumerate(ends):
+                if end - base >= max_bytes:
+                    yield batch.slice(start, i + 1 - start)
+                    start, base = i + 1, end
+            if start < batch.num_rows:
+                yield batch.slice(start)
+    finally:
+        give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: Python workers live on between tasks, beside an executor that needs it for other stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def byte_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
