@@ -1,4 +1,4 @@
-"""Byte-level BPE ids of whole texts, with a table of the pieces between spaces."""
+"""Byte-level BPE ids of whole texts, with a table of the pieces between spaces. Special tokens in a text are such, as they are by default in the library."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from .wordhash import hash_spans, mix
+from .wordhash import PART, hash_spans, mix
 
 #: A space or line end that no visible character follows, or a zero byte: such texts are cut the slow way.
 _ODD = re.compile(r"[ \n](?=\s|\Z)|\0")
@@ -19,11 +19,14 @@ class ChunkTable:
 
     The pre-tokeniser's pattern never matches across a space that a visible character follows, nor across a
     single line end between two visible characters, so a text's ids are those of its chunks in turn: the text's head, then
-    pieces that begin with a space or a line end. Bounded: it is emptied when it has `most` chunks."""
+    pieces that begin with a space or a line end. A chunk is also compared with the bytes behind its hash. Bounded: it is emptied when it has `most` chunks.
 
-    def __init__(self, encode_batch, begins, line_end: int, most: int = 1_000_000):
-        """begins: for each id, whether its bytes begin with a space. line_end: the id of a line end."""
+    The library takes special tokens out of a text before anything else, so the stretches between them are texts of their own."""
+
+    def __init__(self, encode_batch, begins, line_end: int, most: int = 1_000_000, special: tuple[str, ...] = ()):
+        """begins: for each id, whether its bytes begin with a space. line_end: the id of a line end. special: the special tokens' strings."""
         self.encode_batch, self.begins, self.line_end, self.most = encode_batch, begins, line_end, most
+        self.special = re.compile(f"({'|'.join(map(re.escape, sorted(special, key=len, reverse=True)))})") if special else None
         self._clear()
 
     def _clear(self) -> None:
@@ -31,6 +34,9 @@ class ChunkTable:
         self.starts = np.zeros(0, dtype=np.int64)
         self.sizes = np.zeros(0, dtype=np.int64)
         self.flat = np.zeros(0, dtype="<u4")
+        self.raw = np.zeros(0, dtype=np.uint8)  # the chunks' own bytes, behind one another
+        self.raw_starts = np.zeros(0, dtype=np.int64)
+        self.raw_sizes = np.zeros(0, dtype=np.int64)
 
     def _learn(self, keys: np.ndarray, chunks: list[str]) -> None:
         """Adds chunks, given with what stands before them, under their sorted keys."""
@@ -54,8 +60,29 @@ class ChunkTable:
         sizes = np.array([len(x) for x in ids], dtype=np.int64)
         starts = len(self.flat) + np.cumsum(sizes) - sizes
         self.flat = np.concatenate([self.flat, *ids])
+        raw = [c.encode() for c in chunks]
+        raw_sizes = np.array([len(x) for x in raw], dtype=np.int64)
+        raw_starts = len(self.raw) + np.cumsum(raw_sizes) - raw_sizes
+        self.raw = np.concatenate([self.raw, np.frombuffer(b"".join(raw), dtype=np.uint8)])
         at = np.searchsorted(self.keys, keys)
         self.keys, self.starts, self.sizes = np.insert(self.keys, at, keys), np.insert(self.starts, at, starts), np.insert(self.sizes, at, sizes)
+        self.raw_starts, self.raw_sizes = np.insert(self.raw_starts, at, raw_starts), np.insert(self.raw_sizes, at, raw_sizes)
+
+    def _unlike(self, data: np.ndarray, begins: np.ndarray, ends: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The chunks data[begin:end] whose bytes aren't those of their place in the table, some PART bytes at a time."""
+        out, at = [], 0
+        sizes, own = ends - begins, self.raw_sizes[place]
+        total = np.cumsum(np.minimum(sizes, own))
+        while at < len(begins):
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PART, side="right")))
+            n = np.minimum(sizes[at:to], own[at:to])
+            before = np.cumsum(n) - n
+            step = np.arange(int(n.sum()))
+            same = data[step + np.repeat(begins[at:to] - before, n)] == self.raw[step + np.repeat(self.raw_starts[place[at:to]] - before, n)]
+            wrong = np.concatenate([[0], np.cumsum(~same)])
+            out.append(at + np.flatnonzero((sizes[at:to] != own[at:to]) | (wrong[before + n] > wrong[before])))
+            at = to
+        return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
 
     def _places(self, keys: np.ndarray) -> np.ndarray:
         """The place of each key in the table, or -1."""
@@ -66,6 +93,16 @@ class ChunkTable:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        if self.special is None or not any(self.special.search(t) for t in texts):
+            return self._encode(texts)
+        split = [self.special.split(t) for t in texts]
+        parts = [p for s in split for p in s[::2]]
+        marks = [p for s in split for p in s[1::2]]
+        plain, found = iter(self._encode(parts)), iter(self.encode_batch(marks))
+        return [b"".join(np.asarray(next(found), dtype="<u4").tobytes() if k % 2 else next(plain) for k in range(len(s))) for s in split]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        """Of texts without special tokens."""
         odd = [i for i, t in enumerate(texts) if not t or _ODD.search(t)]
         strange = set(odd)
         plain = [i for i in range(len(texts)) if i not in strange]
@@ -78,23 +115,25 @@ class ChunkTable:
             # the hash of a chunk and of the byte before it
             hashes = mix(hash_spans(data, cuts[:-1] + 1, cuts[1:]) + lead.astype(np.uint64))
             unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+            begins, ends = cuts[:-1] + (lead == 0), cuts[1:]
             place = self._places(unique)
             new = place < 0
             if new.any():
                 if len(self.keys) + int(new.sum()) > self.most:
                     self._clear()
                     new[:] = True
-                begin = cuts[first[new]]
-                begin = begin + (data[begin] == 0)
-                self._learn(unique[new], [raw[b:e].decode() for b, e in zip(begin.tolist(), cuts[first[new] + 1].tolist(), strict=True)])
+                self._learn(unique[new], [raw[b:e].decode() for b, e in zip(begins[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
                 place = self._places(unique)
-            sizes, starts = self.sizes[place][inverse], self.starts[place][inverse]
-            ends = np.cumsum(sizes)
-            ids = self.flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1])]
+            place = place[inverse]
+            sizes, starts = self.sizes[place], self.starts[place]
+            to = np.cumsum(sizes)
+            ids = self.flat[np.repeat(starts - (to - sizes), sizes) + np.arange(to[-1])]
             heads = np.flatnonzero(lead == 0)  # the first chunk of each text
-            bounds = [*(ends[heads] - sizes[heads]).tolist(), int(ends[-1])]
+            bounds = [*(to[heads] - sizes[heads]).tolist(), int(to[-1])]
             for i, b, e in zip(plain, bounds, bounds[1:], strict=False):
                 out[i] = ids[b:e].tobytes()
+            wrong = self._unlike(data, begins, ends, place)
+            odd += [plain[k] for k in np.unique(np.searchsorted(heads, wrong, side="right") - 1).tolist()]
         for i in odd:
             parts = _CUT.split(texts[i]) if texts[i] else []
             out[i] = b"".join(np.asarray(x, dtype="<u4").tobytes() for x in self.encode_batch(parts))
@@ -110,6 +149,8 @@ def chunk_table(path: str) -> ChunkTable:
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True  # a special token's string in a text is ordinary text
+    special = tok.get_added_tokens_decoder().values()
+    if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in special):
+        raise ValueError("special tokens that take in what stands beside them aren't known here")
     begins = np.array([(tok.id_to_token(i) or "").startswith("Ġ") for i in range(tok.get_vocab_size())])
-    return ChunkTable(lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)] if texts else [], begins, tok.token_to_id("Ċ"))
+    return ChunkTable(lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)] if texts else [], begins, tok.token_to_id("Ċ"), special=tuple(t.content for t in special))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -15,7 +14,6 @@ from .common import blocks, byte_texts, fold, least_hashed, texts_of
 ORDERS = (2, 3, 4)  # bytes in a subword
 BUCKETS = 1 << 16
 _PAD = b"   "
-_LETTER = re.compile(r"[^\W\d_]")
 _LOWER = bytes(range(256)).lower()  # ASCII letters only
 
 
@@ -127,18 +125,24 @@ def train(langs: list[str], label: np.ndarray, ids: list[np.ndarray], counts: li
     return model
 
 
-def _sample(docs: DataFrame, per_language: int, longest: int, folds: int, held_fold: int) -> DataFrame:
+def _sample(docs: DataFrame, per_language: int, most_languages: int, longest: int, folds: int, held_fold: int) -> DataFrame:
     """doc_id, text_hash, lang, text of the rows to learn from, per_language of each language at most. Equal rows (id, text and language) count once."""
+    learnt = docs.where(F.col("lang").isNotNull() & (fold(F.col("doc_id"), folds) != held_fold)).groupBy(F.col("lang").cast("string").alias("known")).count()
+    learnt = learnt.orderBy(F.desc("count"), "known").limit(most_languages).select("known")  # bounded, so it may be broadcast
+    docs = docs.join(F.broadcast(learnt), docs["lang"].cast("string") == F.col("known"), "left_semi")
     known = F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != "") & (F.length("text") <= longest)
     rows = docs.where(known & (fold(F.col("doc_id"), folds) != held_fold)).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("lang").cast("string").alias("lang"), "text")
     keys = least_hashed(rows, "lang", per_language)  # bounded, so it may be broadcast
     return rows.join(F.broadcast(keys), ["doc_id", "text_hash", "lang"]).dropDuplicates(["doc_id", "text_hash", "lang"])
 
 
-def fit_language(docs: DataFrame, per_language: int = 400, longest: int = 20_000, folds: int = 3, held_fold: int = 1, **how) -> Model:
+def fit_language(
+    docs: DataFrame, per_language: int = 400, most_languages: int = 200, longest: int = 20_000, folds: int = 3, held_fold: int = 1, **how
+) -> Model:
     """A model learnt from `per_language` documents of each language at most: those with the least hash of id and text, of at most `longest` characters,
-    outside the held fold. That sample is all that comes to the driver, as bucket weights. Without any such document the model knows no language."""
-    sample = _sample(docs, per_language, longest, folds, held_fold).select("doc_id", "text_hash", "text", "lang")
+    outside the held fold. Of more than `most_languages` values of lang those with the most documents are learnt (equal numbers: the first by name), as the model
+    has BUCKETS numbers a language. That sample is all that comes to the driver, as bucket weights. Without any such document the model knows no language."""
+    sample = _sample(docs, per_language, most_languages, longest, folds, held_fold).select("doc_id", "text_hash", "text", "lang")
     got = sorted(sample.mapInArrow(_features, SAMPLE).collect(), key=lambda r: (r["doc_id"], r["text_hash"]))
     if not got:
         return Model()
@@ -153,7 +157,7 @@ def fit_language(docs: DataFrame, per_language: int = 400, longest: int = 20_000
 def _predict(model: Model, known: list[str | None], texts: list[bytes]) -> tuple[list[str], list[float], list[bool]]:
     n = len(texts)
     lang, score, rejected = ["und"] * n, [0.0] * n, [True] * n
-    use = [i for i, t in enumerate(known) if t and _LETTER.search(t)] if model.langs else []
+    use = [i for i, t in enumerate(known) if t and any(map(str.isalpha, t))] if model.langs else []
     if use:
         p = model.probabilities(model.logits([texts[i] for i in use]))
         top = p.argmax(axis=1)

@@ -139,6 +139,12 @@ _TYPES = pa.schema(
 _KNOWN = ("warc-record-id", "warc-type", "warc-concurrent-to", "warc-target-uri", "warc-refers-to", "warc-profile", "content-length")
 
 
+def _long(text: str) -> int | None:
+    """The number that a header field spells, if a long can hold it."""
+    value = int(text) if re.fullmatch("-?[0-9]{1,19}", text) else None
+    return value if value is not None and -(1 << 63) <= value < 1 << 63 else None
+
+
 def _reader(payloads: bool):
     def row(pairs: list, block: bytes) -> dict:
         fields = dict(reversed(pairs))  # of a repeated field the first
@@ -148,11 +154,10 @@ def _reader(payloads: bool):
         declared = dict((k.strip().lower(), v.strip()) for k, _, v in (x.partition(":") for x in lines[1:]))
         own = kind != "revisit"  # a revisit tells its payload's size and digest, and has none of its own
         digest = hashlib.sha1(payload).hexdigest() if own else fields.get("warc-payload-digest", "").rpartition(":")[2].lower() or None
-        size = len(payload) if own else int(declared["content-length"]) if re.fullmatch("[0-9]{1,18}", declared.get("content-length", "")) else None
-        page = fields.get("x-page-id", "")
+        size = len(payload) if own else _long(declared.get("content-length", ""))
         return {
             "record_id": fields.get("warc-record-id"), "record_type": kind, "concurrent_to": [v for k, v in pairs if k == "warc-concurrent-to"], "target_uri": fields.get("warc-target-uri"),
-            "refers_to_id": fields.get("warc-refers-to"), "profile": fields.get("warc-profile"), "page_id": int(page) if re.fullmatch("-?[0-9]{1,18}", page) else None, "block_bytes": len(block),
+            "refers_to_id": fields.get("warc-refers-to"), "profile": fields.get("warc-profile"), "page_id": _long(fields.get("x-page-id", "")), "block_bytes": len(block),
             "payload_bytes": size, "payload_digest": digest, "http_status": lines[0] if http else None,
             "fields": [{"name": k, "value": v} for k, v in pairs if k not in _KNOWN], "payload": payload if payloads and own else None, "error": None,
         }

@@ -8,8 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_BASE = 0xD6E8FEB86659FD93  # odd, so that it has an inverse modulo 2**64
-_INVERSE = pow(_BASE, -1, 1 << 64)
+PART = 1 << 19  # bytes that are hashed together, about
 SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -26,23 +25,36 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTES = mix(np.arange(301, 557, dtype=np.uint64) * _ODD)
 _VALUES = mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
 _VALUES[ord("A") : ord("Z") + 1] = _VALUES[ord("a") : ord("z") + 1]  # words are compared in lower case
-_powers: list[np.ndarray] = []
+_places: list[np.ndarray] = [np.zeros(0, dtype=np.uint64)]
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 20)
-        _powers[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, b, dtype=np.uint64)]), dtype=np.uint64) for b in (_BASE, _INVERSE)]
-    return _powers
+def _place_factors(n: int) -> np.ndarray:
+    """A random odd factor for each of n places in a word at least."""
+    if len(_places[0]) < n:
+        size = max(n, 2 * PART)
+        _places[0] = mix(np.arange(1 << 20, (1 << 20) + size, dtype=np.uint64) * _ODD) | np.uint64(1)
+    return _places[0]
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _BYTES) -> np.ndarray:
-    """Hashes of data[start:end], ends exclusive and starts over 0: a polynomial over random values of bytes, read from one running sum."""
-    powers, inverse = _power_tables(len(data))
-    sums = values[data]
-    sums *= powers[: len(data)]
-    np.cumsum(sums, out=sums)
-    return mix((sums[ends - 1] - sums[starts - 1]) * inverse[starts])
+    """Hashes of data[start:end] for rising spans, ends exclusive: the sum of a random value of each byte times a random factor of its place, so no rule makes words that collide.
+
+    Spans are hashed some PART bytes at a time; a longer one by itself."""
+    out = np.empty(len(starts), dtype=np.uint64)
+    at = 0
+    while at < len(starts):
+        low = int(starts[at])
+        to = max(at + 1, int(np.searchsorted(ends, low + PART, side="right")))
+        high = int(ends[to - 1])
+        begin = starts[at:to] - low
+        sums = np.zeros(high - low + 1, dtype=np.uint64)
+        place = np.arange(high - low, dtype=np.int32)
+        place -= np.repeat(begin.astype(np.int32), np.diff(np.append(begin, high - low)))
+        np.multiply(values[data[low:high]], _place_factors(high - low)[place], out=sums[1:])
+        np.cumsum(sums, out=sums)
+        out[at:to] = mix(sums[ends[at:to] - low] - sums[begin] + (ends[at:to] - starts[at:to]).astype(np.uint64) * _ODD)
+        at = to
+    return out
 
 
 def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -40,6 +40,14 @@ def test_warc_pages(spark):
     assert got[3]["payload_digest"] == hashlib.sha1(b"x" * 1000).hexdigest()
 
 
+def test_warc_ids_of_any_long(spark):
+    ids = [1234567890123456789, (1 << 63) - 1, -(1 << 63), 0, -5]
+    pages = spark.createDataFrame([(k, "u", "x" * 1000) for k in ids], "page_id long, url string, html string")
+    got = {r["answer"]["page_id"]: {f["name"]: f["value"] for f in r["answer"]["fields"]}.get("x-refers-to-page") for r in warc.archive_pages(pages).collect()}
+    assert got == dict.fromkeys(ids, str((1 << 63) - 1)) | {(1 << 63) - 1: None}
+    assert warc._long("9223372036854775808") is None and warc._long("12345678901234567890") is None and warc._long("-") is None
+
+
 def record(i, kind, to=(), **more):
     base = dict.fromkeys(["target_uri", "refers_to_id", "profile", "page_id", "block_bytes", "payload_bytes", "payload_digest", "http_status", "fields", "payload", "error"])
     return {"record_id": i, "record_type": kind, "concurrent_to": list(to)} | base | more
@@ -122,13 +130,62 @@ def test_chunks_are_the_tokenizers_ids(texts):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(packing.vocabulary())
-    tok.encode_special_tokens = True
-    more = ["", "a, b", "a,  b ,", "x,\n\ny", "\n", ",", "A.,b .c.", "é, ß.\nñ,", "don't, I'm.", "１２. 3, 4.5,", "  lead", "tab\t, x,\r\n y", "\0 a", "<|endoftext|> x"]
+    end = "<|endoftext|>"
+    more = ["", "a, b", "a,  b ,", "x,\n\ny", "\n", ",", "A.,b .c.", "é, ß.\nñ,", "don't, I'm.", "１２. 3, 4.5,", "  lead", "tab\t, x,\r\n y", "\0 a", f"{end} x", end, f"a  {end}  b {end}{end}\n", f"x{end}y <|endoftext|", f"{end} "]
     many = [*texts.values(), *more]
-    table = chunks.ChunkTable(lambda t: [e.ids for e in tok.encode_batch(t, add_special_tokens=False)] if t else [], np.array([(tok.id_to_token(i) or "").startswith("Ġ") for i in range(tok.get_vocab_size())]), tok.token_to_id("Ċ"), most=3000)
+    table = chunks.chunk_table(packing.vocabulary())
+    table.most = 3000
+    table._clear()
     for k in range(0, len(many), 50):
         for t, got in zip(many[k : k + 50], table.encode(many[k : k + 50]), strict=True):
             assert np.frombuffer(got, dtype="<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+    chunks.chunk_table.cache_clear()
+
+
+def test_chunks_of_equal_hash_are_told_apart(monkeypatch):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.vocabulary())
+    chunks.chunk_table.cache_clear()
+    table = chunks.chunk_table(packing.vocabulary())
+    monkeypatch.setattr(chunks, "hash_spans", lambda data, starts, ends: (data[np.minimum(ends, len(data) - 1) - 1] % 3).astype(np.uint64))
+    many = ["one two three", "two one", "bad bed bid bud bod", "", "a\nb c"]
+    for part in (many, many[::-1], ["other " * 5, "two one"]):
+        for t, got in zip(part, table.encode(part), strict=True):
+            assert np.frombuffer(got, dtype="<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+    chunks.chunk_table.cache_clear()
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_constructed_words_have_hashes_of_their_own():
+    words_ = [thue_morse(n, *ab) for n in (512, 1024, 2048, 1 << 20) for ab in ("ab", "ba")] + ["a" * n for n in range(1, 70)]
+    assert len(set(wordhash.words_of([" ".join(words_).encode()])[0].tolist())) == len(words_)
+    lone = [int(wordhash.words_of([w.encode()])[0][0]) for w in words_]  # wherever a word stands
+    assert lone == wordhash.words_of([" ".join(words_).encode()])[0].tolist()
+
+
+def test_constructed_words_in_queries(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    one, other = thue_morse(2048), thue_morse(2048, "b", "a")
+    rows = [(1, one), (2, other), (3, f"x {one} y"), (4, f"x {other} y")]
+    spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["component_id"] for r in QUERIES["op8_jaccard_join"](spark, str(tmp_path)).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4}
+    tok = Tokenizer.from_file(packing.vocabulary())
+    ids = {d: np.asarray([*tok.encode(t, add_special_tokens=False).ids, 0], dtype="<u4") for d, t in rows}
+    for r in QUERIES["op2_sum_of_squares_packing"](spark, str(tmp_path)).collect():
+        part = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert r["doc_tokens"] == len(ids[r["doc_id"]]) and r["ids_crc32"] == zlib.crc32(part.tobytes())
+    learnt = {d for d, _ in rows if zlib.crc32(str(d).encode()) % 7 != 2}
+    count = Counter(w for d, t in rows if d in learnt for w in [*t.split(), None])
+    for r in QUERIES["op4_brown_class_model"](spark, str(tmp_path)).collect():
+        own = [*dict(rows)[r["doc_id"]].split(), None]
+        assert r["n_known"] == sum(w in count for w in own)
+        assert r["base_score"] == pytest.approx(sum(math.log10((count[w] + 1) / (sum(count.values()) + len(count) + 1)) for w in own))
 
 
 def test_packing_covers_every_id_once(docs, texts):
@@ -365,13 +422,22 @@ def test_language_forward_pass_by_brute_force(spark):
         assert model.probabilities(model.logits([t.encode()]))[0] == pytest.approx(want, rel=1e-4)
 
 
+def test_languages_are_bounded_and_letters_are_letters(spark):
+    rows = [(i, f"some words of text {i} ab cd", f"free{i}" if i % 3 else "en") for i in range(300)]
+    model = language.fit_language(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_languages=5)
+    assert len(model.langs) == 5 and "en" in model.langs
+    none = ["½ ² 3", "Ⅷ ①", "12 _", "🙂"]
+    got = language.predict_language(spark.createDataFrame([*enumerate(none), (9, "½ é")], "doc_id long, text string"), model).collect()
+    assert {r["doc_id"] for r in got if r["lang_pred"] == "und"} == {0, 1, 2, 3}
+
+
 def test_language_sample_is_bounded_for_any_ids(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     one = docs.withColumn("doc_id", F.lit(17).cast("long"))
     none = docs.withColumn("doc_id", F.lit(None).cast("long"))
     same = docs.limit(1).crossJoin(spark.range(3000)).select(*docs.columns)
     for rows, least in ((docs, 100), (one, 100), (none, 0), (same, 0)):
-        sizes = [r["count"] for r in language._sample(rows, 30, 20_000, 3, 1).groupBy("lang").count().collect()]
+        sizes = [r["count"] for r in language._sample(rows, 30, 200, 20_000, 3, 1).groupBy("lang").count().collect()]
         assert all(n <= 30 for n in sizes) and sum(sizes) >= least
     assert language._sample(same, 30, 20_000, 3, 1).count() <= 1
     got = language.predict_language(one, language.fit_language(one)).collect()
