@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +18,6 @@ BLOCK, MOST_DOCS = 2 << 20, 1 << 14
 PER_BUCKET = 500_000  # words whose counts one bucket gathers, about
 _AT, _SHAPE, _TRAIN = np.uint32((1 << 30) - 1), np.uint32(1 << 30), np.uint32(1 << 31)
 WORDS_TOGETHER = 1 << 11  # frequent words whose neighbours one row gathers
-SWEEPS = 3
 _LETTERS = np.zeros(256, dtype=bool)
 _LETTERS[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1), *range(128, 256)]] = True
 
@@ -131,15 +131,24 @@ def _cells(every: np.ndarray):
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(every[part], pa.int64())], ["cell", "count"])
 
 
-def _row(bucket: int, data: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([data], pa.binary())], ["bucket", "data"])
+GATHERED = "bucket int, salt int, data binary"
 
 
-def _neighbours(shared, total: int, end: int):
-    """Rows (bucket, data): of WORDS_TOGETHER words, (cell, count) of the classes before and after each free word, as cell (index * 2 + side) * total + class; bucket -1 has the pairs of classes."""
+def _row(bucket: int, data: bytes, salt: int = 0) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([salt], pa.int32()), pa.array([data], pa.binary())], ["bucket", "salt", "data"])
+
+
+def _sparse(bucket: int, cells: np.ndarray, counts: np.ndarray, salt: int) -> pa.RecordBatch:
+    return _row(bucket, cells.astype("<i8").tobytes() + counts.astype("<i8").tobytes(), salt)
+
+
+def _neighbours(shared, total: int, end: int, ways: int):
+    """Rows (bucket, salt, data): of WORDS_TOGETHER words, (cell, count) of the classes before and after each free word, as cell (index * 2 + side) * total + class;
+    bucket -1 has the pairs of classes. The salt is one of `ways`, by the task."""
 
     def run(batches):
         kinds, free = shared.value
+        salt = next(task_numbers()) // (1 << 36) % ways
         grid, held, size = np.zeros(total * total, dtype=np.int64), [], 0
 
         def flush():
@@ -148,7 +157,7 @@ def _neighbours(shared, total: int, end: int):
             bucket = cells // (2 * total * WORDS_TOGETHER)
             cuts = np.flatnonzero(np.diff(bucket)) + 1
             for b, c, n in zip(bucket[np.concatenate([[0], cuts])].tolist(), np.split(cells, cuts), np.split(counts, cuts), strict=True):
-                yield _row(b, c.astype("<i8").tobytes() + n.astype("<i4").tobytes())
+                yield _sparse(b, c, n, salt)
 
         for codes in _codes(batches):
             tokens = _symbols(codes, kinds, end - 4)
@@ -165,26 +174,31 @@ def _neighbours(shared, total: int, end: int):
                 size = 0
         if size:
             yield from flush()
-        yield _row(-1, grid.astype("<i8").tobytes())
+        at = np.flatnonzero(grid)
+        yield _sparse(-1, at, grid[at], salt)
 
     return run
 
 
-def _gatherer(total: int):
+def _gatherer(total: int, last: bool):
+    """The sums of each bucket's rows: (cell, count) of those that have any, or, of the last sums, all cells' counts."""
+    each = 2 * total * WORDS_TOGETHER
+
     def run(batches):
         found: dict[int, np.ndarray] = {}
         for batch in batches:
-            for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if bucket < 0:
-                    found[bucket] = found.get(bucket, 0) + np.frombuffer(data, dtype="<i8")
-                    continue
-                n = len(data) // 12
-                cells, counts = np.frombuffer(data, dtype="<i8", count=n), np.frombuffer(data, dtype="<i4", offset=8 * n)
+            for bucket, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                cells, counts = np.frombuffer(data, dtype="<i8").reshape(2, -1)
                 if bucket not in found:
-                    found[bucket] = np.zeros(2 * total * WORDS_TOGETHER, dtype=np.int64)
-                found[bucket][cells - bucket * 2 * total * WORDS_TOGETHER] += counts  # a row has each cell once
+                    found[bucket] = np.zeros(each if bucket >= 0 else total * total, dtype=np.int64)
+                found[bucket][cells - max(bucket, 0) * each] += counts  # a row has each cell once
         for bucket in sorted(found):
-            yield _row(bucket, found[bucket].astype("<i8").tobytes())
+            sums = found.pop(bucket)
+            if last:
+                yield _row(bucket, sums.astype("<i8").tobytes())
+            else:
+                at = np.flatnonzero(sums)
+                yield _sparse(bucket, at + max(bucket, 0) * each, sums[at], 0)
 
     return run
 
@@ -195,7 +209,7 @@ def _best(shared, total: int, classes: int):
     def run(batches):
         transition, tokens = shared.value
         for batch in batches:
-            for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for bucket, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 cells = np.frombuffer(data, dtype="<i8").reshape(-1, 2, total)
                 n = cells[:, 0].sum(axis=1)
                 gain = cells[:, 0] @ transition[:, :classes] + cells[:, 1] @ transition[:classes].T - np.outer(n, tokens[:classes])
@@ -218,22 +232,32 @@ def likelihood(grid: np.ndarray) -> float:
     return float(xlogx(grid) - xlogx(grid.sum(axis=0)) - xlogx(grid.sum(axis=1)))
 
 
-def sweep(codes: DataFrame, kinds: np.ndarray, free: np.ndarray, classes: int, sweeps: int = SWEEPS) -> tuple[np.ndarray, np.ndarray]:
-    """(the class of each frequent word, the pairs of classes). Each sweep puts every free word to its best class against the pairs of the sweep before, until the likelihood doesn't grow."""
+BLOCKS_A_WAY = 128  # blocks of text whose sums for a bucket have about the size of the bucket's own
+
+
+def sweep(codes: DataFrame, kinds: np.ndarray, free: np.ndarray, classes: int, sweeps: int, least_gain: float) -> tuple[np.ndarray, np.ndarray]:
+    """(the class of each frequent word, the pairs of classes). Each sweep puts every free word to its best class against the pairs of the sweep before, until
+    the likelihood grows by less than the share `least_gain`, or after `sweeps` of them.
+
+    A bucket's neighbours are summed by (bucket, salt), then by bucket. There are about as many salts as the square root of what a bucket gets, so that either sum reads about as
+    much in a task, and neither is bounded by the number of buckets alone."""
     context, total, best = codes.sparkSession.sparkContext, classes + 5, None
+    ways, buckets = max(1, math.ceil(math.sqrt(codes.count() / BLOCKS_A_WAY))), len(kinds) // WORDS_TOGETHER + 2
     for k in range(sweeps + 1):
         shared = context.broadcast((kinds, free if k < sweeps else np.zeros_like(free)))
-        rows = codes.mapInArrow(_neighbours(shared, total, total - 1), "bucket int, data binary")
-        rows = written(rows.repartition(max(8, len(kinds) // WORDS_TOGETHER), "bucket").mapInArrow(_gatherer(total), "bucket int, data binary"), "neighbours")
+        rows = codes.mapInArrow(_neighbours(shared, total, total - 1, ways), GATHERED)
+        if ways > 1:
+            rows = rows.repartition(max(8, buckets * ways), "bucket", "salt").mapInArrow(_gatherer(total, False), GATHERED)
+        rows = written(rows.repartition(max(8, buckets), "bucket").mapInArrow(_gatherer(total, True), GATHERED), "neighbours")
         grid = sum((np.frombuffer(r[0], dtype="<i8") for r in rows.where("bucket < 0").select("data").collect()), np.zeros(total * total)).reshape(total, total)
         now = likelihood(grid)
-        if best is not None and now <= best[0] + 1e-4 * abs(best[0]):
+        if best is not None and now <= best[0] + least_gain * abs(best[0]):
             return (kinds, grid) if now > best[0] else best[1:]
         best = (now, kinds, grid)
         if k < sweeps:
             shared = context.broadcast((smoothed(grid), np.log10(np.maximum(grid.sum(axis=0), 1))))
             kinds = kinds.copy()
-            for bucket, data in rows.where("bucket >= 0").mapInArrow(_best(shared, total, classes), "bucket int, data binary").collect():
+            for bucket, _, data in rows.where("bucket >= 0").mapInArrow(_best(shared, total, classes), GATHERED).collect():
                 at = bucket * WORDS_TOGETHER
                 own = np.frombuffer(data, dtype="<i2")[: len(kinds) - at]
                 kinds[at : at + len(own)] = np.where(free[at : at + len(own)] & (own >= 0), own, kinds[at : at + len(own)])
@@ -292,7 +316,7 @@ class Model:
     tokens: np.ndarray
 
 
-def fit(texts: DataFrame, words: int, classes: int) -> tuple[Model, int, int]:
+def fit(texts: DataFrame, words: int, classes: int, sweeps: int = 3, least_gain: float = 1e-4) -> tuple[Model, int, int]:
     """(the model, training tokens, training texts). All texts are counted; what reaches the driver are MOST_FREQUENT words and a table of (words + 5)**2 pairs at most.
 
     The `words` most frequent words are put into classes by exchange, one by one; then all other frequent ones by sweeps over their neighbours' classes."""
@@ -306,7 +330,7 @@ def fit(texts: DataFrame, words: int, classes: int) -> tuple[Model, int, int]:
     pairs, counts = every[: v.size**2].reshape(v.size, v.size), every[v.size**2 :]
     own = exchange(pairs.astype(float), words, classes)
     kinds = np.where(v.symbol >= 0, own[np.maximum(v.symbol, 0)], -1)
-    kinds, grid = sweep(codes, kinds, v.symbol < 0, classes)
+    kinds, grid = sweep(codes, kinds, v.symbol < 0, classes, sweeps, least_gain)
     return Model(v, counts, kinds, smoothed(grid), np.log10(np.maximum(grid.sum(axis=0), 1))), int(pairs.sum()), int(pairs[:, -1].sum())
 
 
@@ -556,12 +580,15 @@ def _finisher(table: np.ndarray, classes: int, train_tokens: int, types: int):
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def brown_scores(docs: DataFrame, folds: int = 7, held_fold: int = 2, words: int = 1024, classes: int = 128, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def brown_scores(
+    docs: DataFrame, folds: int = 7, held_fold: int = 2, words: int = 1024, classes: int = 128, sweeps: int = 3, least_gain: float = 1e-4,
+    doc_id: str = "doc_id", text: str = "text",
+) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens (words and one end), n_known, train_tokens, base_score (add-one), score (log10 probability under the class model).
 
     Learnt from all documents outside the held fold; a null id is not held out. p(word | word before) is p(class | class before) times
     p(word | class). The `words` most frequent words are put into `classes` classes by exchange, all other words of the training texts into the same classes by
-    their neighbours: frequent ones in sweeps, rare ones once, in the bucket that counts them. The text's end has a class of its own. A word that no
+    their neighbours: frequent ones in at most `sweeps` sweeps, while the likelihood grows by the share `least_gain`, rare ones once, in the bucket that counts them. The text's end has a class of its own. A word that no
     training text has may be of any class.
 
     Frequent words (one in MOST_FREQUENT occurrences at least) have a broadcast table of bounded size, so no word of many occurrences
@@ -571,7 +598,7 @@ def brown_scores(docs: DataFrame, folds: int = 7, held_fold: int = 2, words: int
         raise ValueError("classes: a byte must hold one")
     context = docs.sparkSession.sparkContext
     texts = texts_of(docs, doc_id, text, F.coalesce(fold(docs[doc_id].cast("long"), folds) == held_fold, F.lit(False)).alias("held"))
-    model, tokens, learnt = fit(texts.where("NOT held"), words, classes)
+    model, tokens, learnt = fit(texts.where("NOT held"), words, classes, sweeps, least_gain)
     buckets = max(32, 4 * tokens // PER_BUCKET)
     posted = texts.mapInArrow(_poster(context.broadcast(model), buckets, classes, learnt), POSTED)
     joiner = _joiner(context.broadcast((model.transition, model.tokens)), classes)

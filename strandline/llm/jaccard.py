@@ -75,23 +75,21 @@ def _describe(size: int, share: int, frequent):
     return run
 
 
-def _wanted_sets(size: int, wanted):
-    """The sets of texts whose hash may be wanted (a bit table, so some others too), each once a task. Other texts are passed over, not shingled."""
+def _distinct_sets(size: int):
+    """The sets of texts, each once a task."""
 
     def run(batches):
         seen = set()
-        for batch in batches:
-            batch = batch.filter(pa.array(_hits(wanted.value, batch.column(0).to_numpy())))
-            for part in blocks(batch for batch in [batch] if batch.num_rows):
-                found = []
-                for own in shingle_sets(byte_texts(part), size):
-                    key = _digest(own)
-                    if key not in seen:
-                        seen.add(key)
-                        found.append((*key, own.view(np.int64)))
-                if found:
-                    a, b, c = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.list_(pa.int64()))], ["s1", "s2", "members"])
+        for part in blocks(batches):
+            found = []
+            for own in shingle_sets(byte_texts(part), size):
+                key = _digest(own)
+                if key not in seen:
+                    seen.add(key)
+                    found.append((*key, own.view(np.int64)))
+            if found:
+                a, b, c = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.list_(pa.int64()))], ["s1", "s2", "members"])
 
     return run
 
@@ -275,8 +273,10 @@ def jaccard_components(docs: DataFrame, size: int = 4, share: int = 85, doc_id:
         wanted = written(wanted, "wanted")
         if wanted.isEmpty():
             return spark.createDataFrame([], "cid long, members array<long>")
-        table = spark.sparkContext.broadcast(_bit_table(wanted, "text_hash"))
-        found = hashed.select("text_hash", "text").mapInArrow(_wanted_sets(size, table), "s1 long, s2 long, members array<long>").dropDuplicates(["s1", "s2"])
+        # of other texts few have a bit of the table; only those that do go to Python
+        words, bits = _bit_words(wanted, "text_hash")
+        near = _with_hit(hashed.select(F.col("text_hash").alias("hash"), "text"), words, bits, "hit").where("hit").select("text")
+        found = near.mapInArrow(_distinct_sets(size), "s1 long, s2 long, members array<long>").dropDuplicates(["s1", "s2"])
         return written(found.join(wanted, ["s1", "s2"]).select("cid", "members"), "members")
 
     bits = rows.join(lists.select("cid").distinct(), rows["row_id"] == F.col("cid")).select("cid", "n", "bits")

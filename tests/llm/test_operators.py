@@ -439,7 +439,7 @@ def test_language_sample_is_bounded_for_any_ids(spark):
     for rows, least in ((docs, 100), (one, 100), (none, 0), (same, 0)):
         sizes = [r["count"] for r in language._sample(rows, 30, 200, 20_000, 3, 1).groupBy("lang").count().collect()]
         assert all(n <= 30 for n in sizes) and sum(sizes) >= least
-    assert language._sample(same, 30, 20_000, 3, 1).count() <= 1
+    assert language._sample(same, 30, 200, 20_000, 3, 1).count() <= 1
     got = language.predict_language(one, language.fit_language(one)).collect()
     assert np.mean([r["lang_pred"] == d["lang"] for r, d in zip(got, one.collect(), strict=True) if d["lang"]]) > 0.9
     assert all(r["rejected"] and r["lang_pred"] == "und" for r in language.predict_language(docs, language.fit_language(none)).collect())
