@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, jaccard, jpeg, kneserney, language, linefreq, packing, pieces, secrets, warc
+from . import brown, jaccard, jpeg, kneserney, language, licences, linefreq, merkle, packing, pieces, resampling, secrets, warc
 from .common import fold
+from .oracles import ORACLE as _LONG
 
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -87,9 +88,25 @@ def op10_baseline_jpeg(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_transactions, op2_sum_of_squares_packing, op3_sentencepiece_prefix_table, op4_brown_class_model, op5_line_frequency, op6_language_id, op7_quality_classifier, op8_jaccard_join, op9_secret_scan, op10_baseline_jpeg)}
+def op11_merkle_manifest(spark, sf_dir):
+    rows = merkle.verified(merkle.manifest(table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op12_importance_resampling(spark, sf_dir):
+    rows = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_license_scan(spark, sf_dir):
+    rows = licences.license_labels(table(spark, sf_dir, "documents"))
+    return rows.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_transactions, op2_sum_of_squares_packing, op3_sentencepiece_prefix_table, op4_brown_class_model, op5_line_frequency, op6_language_id, op7_quality_classifier, op8_jaccard_join, op9_secret_scan, op10_baseline_jpeg, op11_merkle_manifest, op12_importance_resampling, op13_license_scan)}
 
 ORACLE = {
+    **_LONG,
     "op1_warc_transactions": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
              d AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS payload_digest FROM p),
