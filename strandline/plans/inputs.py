@@ -55,6 +55,16 @@ SELECTS = {
                cast(o_orderkey * 31 % 400 AS double) AS duration FROM {orders}""",
     "targets": """
         SELECT cast(c_custkey AS string) AS job_id, CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE '' END AS artist, CASE WHEN c_custkey % 3 = 0 THEN 'Urgent' ELSE 'High' END AS title, cast(150 + c_custkey % 100 AS double) AS target FROM {customer}""",
+    "catalog": """
+        SELECT doc_id AS seq, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE doc_id END AS id, head AS "trackName", split_part(coalesce(text, ''), ' ', 7) || ' ' || coalesce(source, '') AS "artistName", lang AS "albumName",
+               cast(doc_id % 300 + 60 AS double) AS duration, CASE WHEN doc_id % 6 = 0 THEN '' ELSE '[00:01.00] ' || head || chr(10) || '[00:05.00] la' END AS "syncedLyrics" FROM ({heads})""",
+    "heads": """
+        SELECT *, replace(split_part(t, ' ', 1) || ' ' || split_part(t, ' ', 2) || ' ' || split_part(t, ' ', 3) || ' ' || split_part(t, ' ', 4) || ' ' || split_part(t, ' ', 5), chr(10), ' ') AS head
+        FROM (SELECT *, coalesce(text, '') AS t FROM {documents})""",
+    "wanted": """
+        SELECT cast(doc_id AS string) AS job_id, CASE WHEN doc_id % 11 = 0 THEN ' ' WHEN doc_id % 4 = 0 THEN 'someone' ELSE split_part(t, ' ', 7) || ' ' || coalesce(source, '') END AS artist,
+               CASE WHEN doc_id % 3 = 0 THEN split_part(head, ' ', 3) || ' ' || split_part(head, ' ', 2) || ' ' || split_part(head, ' ', 1) || ' | live' WHEN doc_id % 3 = 1 THEN upper(replace(head, 'ß', 'ss')) || ' (Official Audio)' ELSE '「' || head || '」 of old' END AS title,
+               cast(doc_id % 300 + 62 AS double) AS duration, 2 AS lines FROM ({heads})""",
     "texts": """SELECT cast(doc_id AS string) AS job_id, coalesce(text, '') AS text, 3600e0 AS duration FROM {documents}""",
 }
 
