@@ -22,6 +22,10 @@ SELECTS = {
                CASE WHEN p.k = 4 THEN l.text WHEN p.k = 6 THEN '  ' ELSE p.text END AS text
         FROM (SELECT job_id, cast(job_id AS int) % 7 AS k, string_agg(line, chr(10) ORDER BY idx) AS text FROM (SELECT job_id, idx, replace(sync_text, chr(10), ' ') AS line FROM ({turns})) GROUP BY job_id) p
         JOIN ({lyrics}) l ON l.job_id = p.job_id""",
+    "ballads": """
+        SELECT job_id, idx, line, 1e0 + idx * 3.5e0 AS t, 200e0 AS duration FROM (
+            SELECT cast(cast(floor(conv_id / 2e0) AS bigint) AS string) AS job_id, cast(row_number() OVER (PARTITION BY floor(conv_id / 2e0) ORDER BY conv_id, turn, text) - 1 AS int) AS idx, line
+            FROM (SELECT *, trim(substr(replace(split_part(text, '.', 1), chr(10), ' '), 1, 60)) AS line FROM {conversations}) WHERE length(line) > 20)""",
     "frames": """
         SELECT cast(user_id AS string) AS job_id, cast(n AS int) AS frame, n * 0.1e0 AS t, abs(value) AS rms, cast(count(*) OVER (PARTITION BY user_id) AS double) * 0.1e0 AS duration
         FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM {events})""",

@@ -75,7 +75,7 @@ def first_line_anchor(spark, d):
     return rounded(consensus.first_line(read(spark, d, "captions"), read(spark, d, "candidates")), "start")
 
 
-def _finer(name: str) -> str:
+def finer(name: str) -> str:
     """A query's SQL with its times in brackets, rounded where that doesn't matter to what is made of them."""
     return "(" + ORACLE[name].replace(", 6)", ", 12)") + ")"
 
@@ -84,10 +84,10 @@ def _finer(name: str) -> str:
         FROM {{captions}}),
     p AS (SELECT c.*, coalesce(a.start, b.start, x.start, f.start) AS ps, coalesce(a."end", b."end", x."end", CASE
         WHEN f.start IS NOT NULL THEN c."end" END) AS pe
-          FROM c LEFT JOIN {_finer('consensus_pair')} a ON a.job_id = c.job_id AND a.idx = c.idx LEFT
-              JOIN {_finer('boundary_timing')} b ON b.job_id = c.job_id AND b.idx = c.idx
-          LEFT JOIN {_finer('contextual_pair')} x ON x.job_id = c.job_id AND x.idx = c.idx LEFT
-              JOIN {_finer('first_line_anchor')} f ON f.job_id = c.job_id AND f.idx = c.idx),
+          FROM c LEFT JOIN {finer('consensus_pair')} a ON a.job_id = c.job_id AND a.idx = c.idx LEFT
+              JOIN {finer('boundary_timing')} b ON b.job_id = c.job_id AND b.idx = c.idx
+          LEFT JOIN {finer('contextual_pair')} x ON x.job_id = c.job_id AND x.idx = c.idx LEFT
+              JOIN {finer('first_line_anchor')} f ON f.job_id = c.job_id AND f.idx = c.idx),
     w AS (SELECT *, coalesce(ps, start) AS wish FROM p),
     r AS (SELECT job_id, k, wish AS at_ FROM w WHERE k = 1
           UNION ALL SELECT w.job_id, w.k, greatest(CASE WHEN w.wish <= r.at_ + 0.12e0 THEN w.start ELSE w.wish END, r.at_ + 0.12e0) FROM r

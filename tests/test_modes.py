@@ -1,8 +1,10 @@
 """Every mode gives the captions of its method, and every job captions or an error."""
 
+import json
+
 import pytest
 
-from strandline.plans.pipeline import ANCHORS, DTW, EVEN, SYNCED, VOCAL, WHISPER, run_jobs
+from strandline.plans.pipeline import ANCHORS, DTW, EVEN, SYNCED, VOCAL, WHISPER, alignment_windows, finish_jobs, refinement_notes, run_jobs, start_jobs
 
 LINES = ["over the hills", "and far away", "the rain comes down"]
 # job, mode, text, anchors, lyrics found (exact or not), method, or None and the error
@@ -55,3 +57,75 @@ def test_times(rows):
     assert start["anchors"] == pytest.approx([4.5, 12.5, 20.5]) and start["active"][0] == pytest.approx(10.5)
     assert start["mapped"] == pytest.approx([7.5, 12.5, 17.5]) and start["mapped-words"] == pytest.approx([8.5, 13.5, 18.5])
     assert len(rows["twice"]) == 18  # a second copy of the whole is dropped
+
+
+@pytest.fixture(scope="module")
+def started(spark):
+    """Three mapped jobs: one with twelve lines, one of two lines, one that is not to be refined."""
+    lines = {"long": [f"line {i} of {w} song" for i, w in enumerate("one two red blue old new hot cold big small low high".split())], "short": ["first of two", "second of them"], "asis": ["some words here", "other words there", "third words now"]}
+    schema = "job_id string, mode string, duration double, text string, refine boolean, offset double, language string, idx int"
+    jobs = spark.createDataFrame([(j, DTW, 100.0, "\n\n".join(t), j != "asis", 1.0, None, 3) for j, t in lines.items()], schema)
+    lrc = spark.createDataFrame([(j, i, 4.0 * i + 2, 4.0 * i + 5, t) for j, own in lines.items() for i, t in enumerate(own)], "job_id string, idx int, start double, end double, text string")
+    axis = spark.createDataFrame([(j, t, t + 2) for j in lines for t in (0.0, 90.0)], "job_id string, ref_t double, perf_t double")
+    return lines, start_jobs(jobs, lrc, axis=axis)
+
+
+def forced(spark, windows, late=0.4, short=()):
+    """Every window's lines at their mapped times, `late` seconds later; the windows in `short` have a segment less."""
+    rows = []
+    for w in windows:
+        n = w["high"] - w["low"] - ((w["low"], w["high"]) in short)
+        segments = [{"start": 1.5 + 4 * k + late, "end": 4.5 + 4 * k + late, "words": [{"start": 1.0, "end": 2.0, "probability": 0.5}]} for k in range(n)]
+        rows.append((w["job_id"], w["low"], w["high"], json.dumps({"segments": segments})))
+    return spark.createDataFrame(rows, "job_id string, low int, high int, result string")
+
+
+def by_job(rows):
+    out: dict = {}
+    for r in rows:
+        out.setdefault(r["job_id"], []).append(r)
+    return {j: sorted(own, key=lambda r: -1 if r["idx"] is None else r["idx"]) for j, own in out.items()}
+
+
+def test_windows_of_a_started_run(spark, started):
+    lines, path = started
+    windows = alignment_windows(spark, path).collect()
+    assert {w["job_id"] for w in windows} == {"long"} and {(w["low"], w["high"]) for w in windows} == {(0, 6), (6, 12), (0, 8), (4, 12), (8, 12)}
+    for w in windows:
+        assert w["lines"] == lines["long"][w["low"] : w["high"]] and w["language"] == "en"
+        assert w["at"] == pytest.approx(4.0 * w["low"] + 2.5) and w["until"] == pytest.approx(4.0 * w["high"] + 3 + 1.5)
+
+
+def test_finish_resumes_from_what_is_written(spark, started):
+    lines, path = started
+    plain = by_job(finish_jobs(spark, path).collect())
+    assert {j: [r["start"] for r in own] for j, own in plain.items()} == {j: pytest.approx([4.0 * i + 5 for i in range(len(t))]) for j, t in lines.items()}
+    windows = alignment_windows(spark, path).collect()
+    results = forced(spark, windows, 0.4, {(4, 12)})
+    for _ in range(2):  # the written tables stay as they are
+        got = by_job(finish_jobs(spark, path, results).collect())
+        assert [r["start"] for r in got["short"]] == [r["start"] for r in plain["short"]] and [r["start"] for r in got["asis"]] == [r["start"] for r in plain["asis"]]
+        assert [r["start"] for r in got["long"]] == pytest.approx([4.0 * i + 5.4 for i in range(12)]) and all(r["error"] is None for r in got["long"])
+    notes = refinement_notes(spark, path, results).collect()
+    assert sorted((r["job_id"], r["source"], r["error"]) for r in notes if r["idx"] is None) == sorted([("long", "5-12", "7 segments in place of 8"), ("short", None, "not refined: other captions than blocks, or fewer than three")], key=str)
+    assert [r["refined_start"] for r in sorted((r for r in notes if r["idx"] is not None), key=lambda r: r["idx"])] == pytest.approx([4.0 * i + 4.4 for i in range(12)])
+
+
+def test_lost_captions_are_errors_and_are_not_refined(spark, started, tmp_path):
+    import shutil
+
+    lines, path = started
+    other = f"{tmp_path}/run"
+    shutil.copytree(path.removeprefix("file://"), other)
+    shutil.rmtree(f"{other}/captions")
+    spark.read.parquet(f"{path}/captions").where("NOT (job_id = 'asis' AND idx = 1)").write.parquet(f"{other}/captions")
+    got = by_job(finish_jobs(spark, other).collect())
+    assert set(got) == set(lines) and [r["error"] for r in got["asis"]] == ["other captions than blocks"] and got["asis"][0]["idx"] is None
+    assert len(got["long"]) == 12 and got["long"][0]["error"] is None
+
+
+def test_empty_run(spark):
+    none = spark.createDataFrame([], "job_id string, mode string, duration double, text string")
+    path = start_jobs(none)
+    results = spark.createDataFrame([], "job_id string, low int, high int, result string")
+    assert finish_jobs(spark, path, results).count() == 0 and alignment_windows(spark, path).count() == 0 and refinement_notes(spark, path, results).count() == 0
