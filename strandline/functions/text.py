@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import difflib
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandline.functions.similar import ratios
+
 # The matching alphabet (digits, a-z, kana, CJK, Hangul), words that end a track title, what is taken for a bracket or a Latin run in one, the bar before a suffix.
 ALPHABET = "0-9a-z぀-ヿ㐀-鿿가-힣"
 NOISE_WORDS = r"official|audio|video|lyrics?|mv"
@@ -32,29 +32,9 @@ def match_key(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), f"[^{ALPHABET}]+", "")
 
 
-def ratio(a: str, b: str) -> float:
-    """Ratcliff-Obershelp similarity of two keys, in this order; 0 if either is empty."""
-    if not a or not b:
-        return 0.0
-    return 1.0 if a == b else difflib.SequenceMatcher(None, a, b).ratio()
-
-
 @F.pandas_udf(T.DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    # each distinct pair of a batch once; what the matcher learns of a second text is kept while pairs share it
-    pairs = pd.DataFrame({"x": a.fillna("").to_numpy(), "y": b.fillna("").to_numpy()})
-    known, match, last = pairs.drop_duplicates().sort_values("y"), difflib.SequenceMatcher(None), None
-    scores = []
-    for x, y in zip(known["x"], known["y"], strict=True):
-        if not x or not y:
-            scores.append(0.0)
-            continue
-        if y != last:
-            match.set_seq2(y)
-            last = y
-        match.set_seq1(x)
-        scores.append(1.0 if x == y else match.ratio())
-    return pairs.merge(known.assign(score=scores), on=["x", "y"], how="left")["score"]
+    return pd.Series(ratios(a.fillna("").tolist(), b.fillna("").tolist()))
 
 
 def similarity(a: Column, b: Column) -> Column:

@@ -12,7 +12,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from strandline.operators import align, timemap
+from strandline.functions import similar
+from strandline.operators import align, paths, timemap
 from strandline.sources import scans
 
 
@@ -25,8 +26,76 @@ def ratio(a, b):
     return difflib.SequenceMatcher(None, a, b).ratio() if a and b else 0.0
 
 
-def arrays(rows):
-    return [np.array(c) for c in zip(*rows, strict=True)]
+def plain_ratio(a, b):
+    return difflib.SequenceMatcher(None, a, b).ratio() if a and b else 0.0
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.text("abc", max_size=40), st.text("abc", max_size=40)), max_size=12), st.lists(st.tuples(st.text(max_size=30), st.text(max_size=30)), max_size=6))
+def test_ratios_are_the_librarys(few, many):
+    pairs = few + many + [(a, a) for a, _ in few] + [(b, a) for a, b in few]
+    got = similar.ratios([a for a, _ in pairs], [b for _, b in pairs])
+    assert got.tolist() == [plain_ratio(a, b) for a, b in pairs]
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcdefgh", "abcdefghijklmnopqrstuvwxyz한글かな漢字"])
+def test_ratios_of_long_texts(letters):
+    rnd = random.Random(letters)
+    texts = ["".join(rnd.choice(letters) for _ in range(rnd.choice([0, 1, 5, 60, 198, 199, 200, 201, 202, 300, 420]))) for _ in range(60)]
+    texts += [t[:50] + "zz" + t[60:] for t in texts[:20]]  # long, and much alike
+    pairs = [(rnd.choice(texts), rnd.choice(texts)) for _ in range(150)] + list(zip(texts[:20], texts[60:], strict=True))
+    assert similar.ratios([a for a, _ in pairs], [b for _, b in pairs]).tolist() == [plain_ratio(a, b) for a, b in pairs]
+    table = similar.bound(similar.bags(texts), similar.bags(texts))
+    bags = similar.bags(texts)
+    assert (similar.bound(bags[:30], bags[30:]) == table[:30, 30:]).all()
+    assert all(table[i, j] >= plain_ratio(texts[i], texts[j]) - 1e-12 for i, j in [(rnd.randrange(80), rnd.randrange(80)) for _ in range(200)])
+
+
+def verse(rnd):
+    return "".join(rnd.choice("the of and love night rain blue song heart wild river stone".split()) for _ in range(rnd.randrange(0, 8)))
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_paths_of_few_comparisons_are_the_best(seed):
+    """The same paths as of all similarities, ties included."""
+    rnd = random.Random(seed)
+    blocks, m = [verse(rnd) for _ in range(rnd.randrange(1, 12))], rnd.randrange(1, 12)
+    lines = [rnd.choice(blocks) if rnd.random() < 0.5 else verse(rnd) for _ in range(m)] if seed % 3 else [*blocks, verse(rnd)]
+    m = len(lines)
+    whole = lambda texts, k, n: "".join(texts[k : k + n])
+    score = cache(lambda b, bc, i, ic: plain_ratio(whole(blocks, b, bc), whole(lines, i, ic)))
+    row = lambda g, b: np.array([score(b, paths.GROUPS[g][0], i, paths.GROUPS[g][1]) - 0.04 * (sum(paths.GROUPS[g]) - 2) for i in range(m - paths.GROUPS[g][1] + 1)])
+    ((got, compared, pairs),) = paths.together([paths.best_groups(blocks, lines)])
+    want = paths.cover(len(blocks), m, row)
+    assert got.tolist() == [[b, paths.GROUPS[g][0], i, paths.GROUPS[g][1], score(b, paths.GROUPS[g][0], i, paths.GROUPS[g][1])] for g, b, i in want] and compared <= pairs
+    starts = np.arange(m) * 3.0
+    ends = starts + np.array([rnd.random() * 4 for _ in range(m)])
+    less = lambda d: np.minimum(0.18, np.abs(np.maximum(0.1, ends[d - 1 :] - starts[: m - d + 1]) - 3.2) * 0.015)
+    ((got, compared, pairs),) = paths.together([paths.best_path(blocks, lines, starts, ends)])
+    want = paths.follow(len(blocks), m, min(m, 6), lambda d, b: np.array([score(b, 1, j, d) for j in range(m - d + 1)]) - less(d))
+    assert got.tolist() == [[j, k, score(b, 1, j, k - j) if k > j else 0.0] for b, (j, k) in enumerate(want)]
+    ((got, _, _),) = paths.together([paths.best_scores(blocks, lines)])
+    assert got.tolist() == [max(score(b, 1, j, d) for d in range(1, min(3, m) + 1) for j in range(m - d + 1)) for b in range(len(blocks))]
+
+
+def test_jobs_together_have_their_own_results():
+    rnd = random.Random(9)
+    jobs = [([verse(rnd) for _ in range(rnd.randrange(1, 6))], [verse(rnd) for _ in range(rnd.randrange(1, 6))]) for _ in range(40)]
+    alone = [paths.together([paths.best_groups(a, b)])[0] for a, b in jobs]
+    for cells in (1, 50, 1 << 22):
+        paths.CELLS, before = cells, paths.CELLS
+        got = list(paths.in_turn((len(a) * len(b), lambda a=a, b=b: paths.best_groups(a, b)) for a, b in jobs))
+        paths.CELLS = before
+        assert [(x.tolist(), c, p) for x, c, p in got] == [(x.tolist(), c, p) for x, c, p in alone]
+    assert list(paths.in_turn([])) == []
+
+
+def test_long_songs_compare_few_pairs():
+    rnd = random.Random(2)
+    blocks = [f"{verse(rnd)}{i}" for i in range(700)]
+    lines = [part for b in blocks for part in ([b] if rnd.random() < 0.8 else [b[: len(b) // 2], b[len(b) // 2 :]])]
+    ((rows, compared, pairs),) = paths.together([paths.best_groups(blocks, lines)])
+    assert rows[:, 0].tolist() == list(range(700)) and compared < pairs / 500 and rows[:, 4].mean() > 0.95
 
 
 @settings(max_examples=60, deadline=None)
@@ -38,30 +107,29 @@ def test_best_path_has_the_most_gain(n, m, rnd):
     def best(i, j):
         return -0.03 * (m - j) if i == n else max([best(i + 1, j) - 0.18, *(gain[i, j, k] + best(i + 1, k) for k in range(j + 1, min(m, j + 6) + 1))])
 
-    path = align.best_path(*arrays([(*e, g, g + 0.1) for e, g in gain.items()]))
-    steps = [(int(j), int(k)) for j, k, _ in path]
-    assert len(path) == n and steps[0][0] == 0 and all(a[1] == b[0] for a, b in itertools.pairwise(steps))
+    most = min(m, 6)
+    steps = paths.follow(n, m, most, lambda d, i: np.array([gain[i, j, j + d] for j in range(m - d + 1)]))
+    assert len(steps) == n and steps[0][0] == 0 and all(a[1] == b[0] for a, b in itertools.pairwise(steps))
     assert sum(-0.18 if j == k else gain[i, j, k] for i, (j, k) in enumerate(steps)) - 0.03 * (m - steps[-1][1]) == pytest.approx(best(0, 0))
-    assert all(s == pytest.approx(0.0 if j == k else gain[i, int(j), int(k)] + 0.1) for i, (j, k, s) in enumerate(path))
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 5), st.integers(1, 6), st.randoms(use_true_random=False))
 def test_best_groups_have_the_most_gain(n, m, rnd):
-    gain = {(b, i, bc, ic): rnd.random() for b in range(n) for i in range(m) for bc, ic in align.GROUPS if b + bc <= n and i + ic <= m}
+    gain = {(b, i, bc, ic): rnd.random() for b in range(n) for i in range(m) for bc, ic in paths.GROUPS if b + bc <= n and i + ic <= m}
 
     @cache
     def best(b, i):
         ways = [0.0] if (b, i) == (n, m) else []
         ways += [best(b, i + 1) - 0.12] if i < m else []
-        ways += [gain[b, i, bc, ic] + best(b + bc, i + ic) for bc, ic in align.GROUPS if (b, i, bc, ic) in gain]
+        ways += [gain[b, i, bc, ic] + best(b + bc, i + ic) for bc, ic in paths.GROUPS if (b, i, bc, ic) in gain]
         return max(ways, default=-np.inf)
 
-    got = align.best_groups(*arrays([(b, bc, i, ic, g, g) for (b, i, bc, ic), g in gain.items()]))
+    got = [(b, *paths.GROUPS[g], i) for g, b, i in paths.cover(n, m, lambda g, b: np.array([gain[b, i, *paths.GROUPS[g]] for i in range(m - paths.GROUPS[g][1] + 1)]))]
     if best(0, 0) == -np.inf:
         assert len(got) == 0
         return
-    groups = [(int(b), int(bc), int(i), int(ic)) for b, bc, i, ic, _ in got]
+    groups = [(b, bc, i, ic) for b, bc, ic, i in got]
     assert [b for b, *_ in groups] == list(itertools.accumulate([0, *(bc for _, bc, _, _ in groups)]))[:-1] and sum(bc for _, bc, _, _ in groups) == n
     assert sum(gain[b, i, bc, ic] for b, bc, i, ic in groups) - 0.12 * (m - sum(ic for *_, ic in groups)) == pytest.approx(best(0, 0))
 
@@ -185,10 +253,12 @@ def test_captions_follow_the_path(spark):
     b = spark.createDataFrame(rows, "job_id string, idx int, text string, sync_text string, duration double")
     s = spark.createDataFrame(segments, "job_id string, idx int, start double, end double, text string")
     edges, out = {}, {}
-    for r in align.transcript_edges(b, s).collect():
-        edges.setdefault(r["job_id"], []).append((r["i"], r["j"], r["k"], r["gain"], r["score"]))
-        text = " ".join(t for j, i, _, _, t in segments if j == r["job_id"] and r["j"] <= i < r["k"])
-        assert r["score"] == pytest.approx(ratio(next(x[3] for x in rows if x[0] == r["job_id"] and x[1] == r["i"]), text))
+    for job in range(12):
+        own, lines = sorted(x[1:] for x in segments if x[0] == str(job)), [x[3] for x in rows if x[0] == str(job)]
+        for i, j in itertools.product(range(6), range(len(own))):
+            for k in range(j + 1, min(len(own), j + 6) + 1):
+                score = ratio(lines[i], " ".join(x[3] for x in own[j:k]))
+                edges.setdefault(str(job), {})[i, j, k] = score, score - min(0.18, abs(max(0.1, own[k - 1][2] - own[j][1]) - 3.2) * 0.015)
     for r in align.align_to_segments(b, s).orderBy("job_id", "idx").collect():
         out.setdefault(r["job_id"], []).append(r)
     assert len(out) == 12
@@ -197,8 +267,10 @@ def test_captions_follow_the_path(spark):
         if job not in edges:
             continue
         own, last = sorted(x[1:4] for x in segments if x[0] == job), None
-        for r, (j, k, score) in zip(got, align.best_path(*arrays(sorted(edges[job]))).tolist(), strict=True):
-            j, k = int(j), int(k)
+        m, known = len(own), edges[job]
+        steps = paths.follow(6, m, min(m, 6), lambda d, i: np.array([known[i, j, j + d][1] for j in range(m - d + 1)]))  # noqa: B023
+        for r, (j, k) in zip(got, steps, strict=True):
+            score = known[int(r["idx"]), j, k][0] if k > j else 0.0
             if k > j:
                 start, end = own[j][1], min(40.0, own[k - 1][2])
             else:

@@ -1,5 +1,6 @@
 """Catalog search by the inverted index against a scan of all pairs."""
 
+import difflib
 import math
 import random
 import re
@@ -7,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.functions.text import ALPHABET, ratio
+from strandline.functions.text import ALPHABET
 from strandline.operators import catalog, search
 from strandline.plans.queries.lookup import catalog_lookup
 
@@ -113,7 +114,7 @@ def similar(a, b):
     x, y = track(a), track(b)
     if not x or not y:
         return 0.0
-    return min(len(x), len(y)) / max(len(x), len(y)) if x in y or y in x else ratio(x, y)
+    return min(len(x), len(y)) / max(len(x), len(y)) if x in y or y in x else difflib.SequenceMatcher(None, x, y).ratio()
 
 
 def brute_lookup(asked, records):
