@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.arrays import bound
+from strandline.operators.scan import rule, states
+
 
 def job_window():
     return Window.partitionBy("job_id")
@@ -160,16 +163,16 @@ def place_by_activity(blocks: DataFrame, intervals: DataFrame) -> DataFrame:
     a = active_time(has.withColumn("fraction", F.col("idx") / F.col("n")), intervals).withColumnRenamed("t", "a").drop("fraction")
     b = active_time(a.withColumn("fraction", (F.col("idx") + 1) / F.col("n")), intervals).withColumnRenamed("t", "b")
     b = b.withColumn("b", F.when(F.col("idx") + 1 < F.col("n"), F.col("b") - 0.04).otherwise(F.col("b")))
-    job = b.groupBy("job_id").agg(F.first("duration").alias("duration"), F.sort_array(F.collect_list(F.struct("idx", "a", "b", "text"))).alias("rows"))
-    empty = F.expr("cast(array() as array<struct<idx: int, start: double, end: double, text: string>>)")
-
-    def step(state, r):
-        start = F.when(r["a"] < state["last"], state["last"] + 0.03).otherwise(r["a"])
-        end = F.least(F.col("duration"), F.greatest(r["b"], start + 0.8))
-        end = F.when(end <= start, F.least(F.col("duration"), start + 0.2)).otherwise(end)
-        return F.struct(end.alias("last"), F.concat(state["out"], F.array(F.struct(r["idx"].cast("int").alias("idx"), F.greatest(F.lit(0.0), start).alias("start"), end.alias("end"), r["text"].alias("text")))).alias("out"))
-
-    out = job.select("job_id", F.explode(F.aggregate("rows", F.struct(F.lit(0.0).alias("last"), empty.alias("out")), step, lambda s: s["out"])).alias("r")).select("job_id", "r.*", F.lit(0.0).alias("score"))
+    d = lambda r: r["duration"]
+    begin = lambda state, r: F.when(r["a"] < state, state + 0.03).otherwise(r["a"])
+    stop = lambda start, r: F.least(d(r), F.greatest(r["b"], start + 0.8))
+    stopped = lambda start, r: F.when(stop(start, r) <= start, F.least(d(r), start + 0.2)).otherwise(stop(start, r))
+    # up to a the end is fixed; beyond it the end is b while that is later, then 0.83 s after the one before
+    as_rule = lambda r: rule(r["a"], stopped(r["a"], r), r["b"] - 0.83, stop(r["a"], r), 0.83, d(r))
+    rows = b.select("job_id", F.col("idx").cast("int").alias("idx"), "a", "b", "text", "duration")
+    out = states(rows, lambda state, r: bound(begin(F.greatest(state, F.lit(0.0)), r), lambda start: stopped(start, r)), as_rule)
+    whole = {c: F.col(c) for c in ("a", "duration")}
+    out = out.select("job_id", "idx", F.greatest(F.lit(0.0), begin(F.greatest("before", F.lit(0.0)), whole)).alias("start"), F.col("at").alias("end"), "text", F.lit(0.0).alias("score"))
     rest = even_spacing(blocks.join(jobs, "job_id", "left_anti")).withColumn("idx", F.col("idx").cast("int"))
     return out.unionByName(rest)
 
