@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from strandline.functions import text as X
 from strandline.operators import activity, align
 from strandline.plans.base import query, rounded
-from strandline.plans.fragments import LINES
+from strandline.plans.fragments import KEY, LINES
 from strandline.plans.inputs import read
 from strandline.sources import scans
 
@@ -25,6 +25,21 @@ def compress_rows(spark, d):
     return rounded(align.compress(items, items.select("job_id").distinct().withColumn("n", F.lit(3))), "start", "end")
 
 
+@query(f"""WITH l AS (SELECT job_id, {LINES('text')} AS ls FROM {{texts}}),
+    i AS (SELECT job_id, k - 1 AS idx, greatest(1, length({KEY('ls[k]')}))::DOUBLE AS size, greatest(0.2e0, 0.5e0 + k * 7 % 5) AS time, len(ls) AS m
+          FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS k FROM l)),
+    j AS (SELECT job_id, greatest(1e0, median(size)) AS ms, greatest(0.2e0, median(time)) AS mt FROM i GROUP BY job_id),
+    v AS (SELECT i.job_id, idx, p, size / p / ms + 0.2e0 * least(2e0, time / p / mt) AS value, m + 9 AS extra FROM i JOIN j ON j.job_id = i.job_id, range(1, 400) t(p) WHERE p <= m + 9),
+    r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY value DESC, idx) AS k FROM v)
+    SELECT job_id, cast(idx AS int) AS idx, cast(1 + count(*) FILTER (k <= extra) AS int) AS parts FROM r GROUP BY job_id, idx""")
+def split_counts(spark, d):
+    """Into how many parts the lines of each text are split to fill twice as many slots and nine."""
+    lines = F.filter(F.transform(F.split("text", "\n"), X.strip), lambda x: x != "")
+    items = read(spark, d, "texts").select("job_id", F.posexplode(lines).alias("idx", "text"))
+    items = items.select("job_id", "idx", F.lit(0.0).alias("start"), (0.5 + (F.col("idx") + 1) * 7 % 5).alias("end"), "text")
+    return align.expand_counts(items, items.groupBy("job_id").agg((2 * F.count("*") + 9).alias("n")))
+
+
 @query()
 def transcript_align(spark, d):
     turns = read(spark, d, "turns")
