@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.operators.timeline import interpolate
-from strandline.sources.scans import mono
+from strandline.sources.scans import signal
 
 BINS = 12
 
@@ -96,12 +96,13 @@ def chroma(samples: np.ndarray, rate: int, hop: int, size: int = 4096) -> np.nda
 
 
 def music_features(files: DataFrame, rate: int = 22_050, frames_a_second: int = 50) -> DataFrame:
-    """job_id (the path), frame, chroma (quantised), onset of 16-bit WAV files read by Spark's binaryFile source. A file is decoded by one task, a batch of frames at a time; all else are expressions and windows."""
+    """job_id (the path), frame, chroma (quantised), onset of 16-bit WAV files read by Spark's binaryFile source. A file is decoded by one task, a batch of frames at a time; all else are expressions and windows.
+    Files that can't be read give no rows; scans.unreadable lists them."""
 
     def run(batches):
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                x = mono(content, rate)
+                x, _ = signal(content, rate)
                 if len(x):
                     found = chroma(x, rate, rate // frames_a_second)
                     for k in range(0, len(found), 1 << 14):

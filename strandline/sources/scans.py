@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import struct
 import wave
 
 import numpy as np
@@ -197,23 +198,46 @@ def mono(content: bytes, rate: int | None = None) -> np.ndarray:
         if w.getsampwidth() != 2:
             raise ValueError("not 16-bit samples")
         own, channels = w.getframerate(), w.getnchannels()
-        x = np.frombuffer(w.readframes(w.getnframes()), dtype="<i2").astype(np.float32).reshape(-1, channels).mean(axis=1) / 32768.0
+        raw = w.readframes(w.getnframes())
+        if len(raw) != 2 * channels * w.getnframes():
+            raise ValueError("cut off")
+        x = np.frombuffer(raw, dtype="<i2").astype(np.float32).reshape(-1, channels).mean(axis=1) / 32768.0
     if not len(x) or rate in (None, own):
         return x
     return np.interp(np.arange(int(len(x) * rate / own)) / rate, np.arange(len(x)) / own, x).astype(np.float32)
 
 
+def unreadable(files: DataFrame) -> DataFrame:
+    """job_id (the path), error: of the files (path, content) that `mono` can't read: no WAV file, cut off, or not of 16-bit samples. Frames and features leave them out."""
+
+    def run(batches):
+        for pdf in batches:
+            errors = [(path, signal(content)[1]) for path, content in zip(pdf["path"], pdf["content"], strict=True)]
+            yield pd.DataFrame([e for e in errors if e[1]], columns=["job_id", "error"])
+
+    return files.select("path", "content").mapInPandas(run, "job_id string, error string")
+
+
+def signal(content: bytes, rate: int | None = None) -> tuple[np.ndarray, str | None]:
+    """(the samples of a file, none where it can't be read; why it can't)."""
+    try:
+        return mono(content, rate), None
+    except (wave.Error, EOFError, ValueError, struct.error, TypeError) as e:
+        return np.zeros(0, dtype=np.float32), str(e) or type(e).__name__
+
+
 def wav_frames(files: DataFrame, window: float = 0.20, hop: float = 0.10, rate: int | None = 16_000) -> DataFrame:
-    """job_id (the path), frame, t, rms, duration of 16-bit WAV files read by Spark's binaryFile source; one short frame where the signal is shorter than a window."""
+    """job_id (the path), frame, t, rms, duration of 16-bit WAV files read by Spark's binaryFile source; one short frame where the signal is shorter than a window.
+    Files that can't be read give no frames; `unreadable` lists them."""
 
     def run(batches):
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                x = mono(content, rate)
-                with wave.open(io.BytesIO(content)) as w:
-                    own = rate or w.getframerate()
+                x, _ = signal(content, rate)
                 if not len(x):
                     continue
+                with wave.open(io.BytesIO(content)) as w:
+                    own = rate or w.getframerate()
                 size, step = max(1, int(own * window)), max(1, int(own * hop))
                 starts = np.arange(0, max(1, len(x) - size + 1), step)
                 squares = np.concatenate([[0.0], np.cumsum(x.astype(np.float64) ** 2)])

@@ -65,7 +65,11 @@ def preview(captions: DataFrame, most: int = 12) -> DataFrame:
     return rows.select("job_id", F.concat(F.array_join(F.slice("rows", 1, most), "\n"), more).alias("preview"))
 
 
-def write_texts(contents: DataFrame, path: str) -> None:
-    """Writes (job_id, content) with Spark's text writer, a folder per job. The writer ends a row with a line end, so a content's own last one is left to it."""
+def write_texts(contents: DataFrame, path: str, folders: bool = False) -> None:
+    """Writes (job_id, content) below path: as one table, which holds any id as it is and has few files whatever the number of jobs; with `folders` as text files in a folder a job, for
+    players that want files. There, ids are Spark's folder names (a null one's is __HIVE_DEFAULT_PARTITION__), and the writer ends a row with a line end, so a content's own last one is left to it."""
+    if not folders:
+        contents.select("job_id", "content").write.option("compression", "zstd").parquet(path)
+        return
     body = F.when(F.endswith("content", F.lit("\n")), F.substring("content", F.lit(1), F.length("content") - 1)).otherwise(F.col("content"))
     contents.select("job_id", body.alias("value")).write.partitionBy("job_id").text(path)

@@ -10,7 +10,7 @@ from strandline.sources import scans, subtitles
 
 def test_written_subtitles(spark, tmp_path):
     c = spark.createDataFrame([("a", 1, 2.0, 3.5, "zwei"), ("a", 0, 0.0, 1.0, "eins\nzwei"), ("b", 0, 1.0, 2.0, "한국어")], "job_id string, idx int, start double, end double, text string")
-    subtitles.write_texts(subtitles.srt(c), str(tmp_path / "srt"))
+    subtitles.write_texts(subtitles.srt(c), str(tmp_path / "srt"), folders=True)
     got = {r["job_id"]: r["value"] for r in spark.read.text(str(tmp_path / "srt"), wholetext=True).collect()}
     assert got["a"] == "1\n00:00:00,000 --> 00:00:01,000\neins\nzwei\n\n2\n00:00:02,000 --> 00:00:03,500\nzwei\n" and "한국어" in got["b"]
     ass = {r["job_id"]: r["content"] for r in subtitles.ass(c, "t", position="Top center").collect()}
@@ -18,6 +18,12 @@ def test_written_subtitles(spark, tmp_path):
     assert ass["a"].index("eins") < ass["a"].index("0:00:02.00")
 
 
+def test_written_texts_keep_ids_and_contents(spark, tmp_path):
+    rows = [(None, "a\n"), ("x/y =%", "b"), ("", ""), ("1", None)]
+    subtitles.write_texts(spark.createDataFrame([(*r, 5) for r in rows], "job_id string, content string, other int"), str(tmp_path / "all"))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "all")).collect()), key=str) == sorted(rows, key=str)
+
+
 def test_infinite_numbers_become_null(spark):
     df = spark.createDataFrame([("j", float("inf"), 1.5), ("j", float("nan"), 2.5)], "job_id string, quality double, cost double")
     assert json.loads(subtitles.diagnostics(df, ["job_id"]).first()["content"]) == [{"cost": 1.5}, {"cost": 2.5}]

@@ -290,6 +290,17 @@ def test_wav_frames_and_activity(spark, tmp_path):
         w.setnchannels(1), w.setsampwidth(2), w.setframerate(rate)
         w.writeframes((x * 32767).astype("<i2").tobytes())
     frames = scans.wav_frames(spark.read.format("binaryFile").load(str(tmp_path)), rate=None)
+    good = (tmp_path / "a.wav").read_bytes()
+    (tmp_path / "cut.wav").write_bytes(good[:5001])
+    (tmp_path / "text.wav").write_bytes(b"no sound")
+    with wave.open(str(tmp_path / "bytes.wav"), "wb") as w:
+        w.setnchannels(1), w.setsampwidth(1), w.setframerate(rate)
+        w.writeframes(bytes(100))
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    bad = {r["job_id"].rpartition("/")[2]: r["error"] for r in scans.unreadable(files).collect()}
+    assert set(bad) == {"cut.wav", "text.wav", "bytes.wav"} and bad["cut.wav"] == "cut off" and "16-bit" in bad["bytes.wav"]
+    assert timemap.music_features(files).select("job_id").distinct().count() == 1
+    frames = scans.wav_frames(files, rate=None)
     (got,) = activity.activity(frames).collect()
     assert 2.5 < got["start"] < 3.1 and 5.9 < got["end"] < 6.6
 
