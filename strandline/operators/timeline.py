@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.arrays import bound
 from strandline.operators.scan import rule, states
+from strandline.sources.staging import written
 
 
 def job_window():
@@ -58,18 +59,35 @@ def anchor_spacing(blocks: DataFrame, anchors: DataFrame) -> DataFrame:
     return out.select("job_id", "idx", start.alias("start"), end_before_next(start, F.lead("raw").over(in_order()), d, start + 3.0).alias("end"), "text", F.lit(1.0).alias("score"))
 
 
-def interpolate(probes: DataFrame, axis: DataFrame, x: str = "x", more: tuple = ()) -> DataFrame:
-    """probes (job_id, x, duration, ...) with y: piecewise linear through the job's axis (ref_t, perf_t), flat beyond its ends, within [0, duration]. Without an axis y is x, clamped.
+ROWS = 1 << 16  # of a job, about, that one task goes through to find neighbours
 
-    Probes and axis are one union, sorted once by job and x; the neighbours on either side are fills, so there is no range join."""
-    point = F.struct(F.col("ref_t").alias("x"), F.col("perf_t").alias("y"))
-    a = axis.select("job_id", F.col("ref_t").alias("at"), F.lit(0).alias("kind"), point.alias("p"), F.lit(None).alias("row"))
-    row = F.struct(*[c for c in probes.columns if c != "job_id"])
-    b = probes.select("job_id", F.col(x).alias("at"), F.lit(1).alias("kind"), F.lit(None).alias("p"), row.alias("row"))
+
+def neighbours(probes: DataFrame, points: DataFrame) -> DataFrame:
+    """probes (job_id, at, row) with below (the last point at or before it) and above (the first after it) of points (job_id, at, p): null where there is none.
+
+    Probes and points are one union, so there is no range join. A job's stretch of `at` is cut into equal blocks, as many as it has ROWS rows; within a block
+    the neighbours are fills in order, and those that lie in other blocks come from a window over the blocks. Nulls in `at` are before all points."""
+    both = probes.select("job_id", "at", F.lit(1).alias("kind"), F.lit(None).alias("p"), "row").unionByName(points.select("job_id", "at", F.lit(0).alias("kind"), "p", F.lit(None).alias("row")))
+    both = written(both, "union")
+    extent = both.groupBy("job_id").agg(F.ceil(F.count("*") / F.lit(ROWS)).alias("blocks"), F.min("at").alias("low"), F.max("at").alias("high"))
+    share = (F.col("at") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0))
+    block = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * F.col("blocks")), F.col("blocks") - 1)
+    both = both.join(extent, "job_id").select("job_id", "at", "kind", "p", "row", block.alias("block"))
+    point = F.when(F.col("kind") == 0, F.col("at"))
+    ends = both.groupBy("job_id", "block").agg(F.min_by("p", point).alias("first"), F.max_by("p", point).alias("last"))
+    over = lambda order: job_window().orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("job_id", "block", F.last("last", True).over(over("block")).alias("before"), F.last("first", True).over(over(F.desc("block"))).alias("after"))
     # forwards, then backwards: a frame from the row to the end would be read anew for each row
-    fill = lambda *order: F.last("p", True).over(job_window().orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    both = b.unionByName(a).withColumns({"below": fill("at", "kind"), "above": fill(F.desc("at"), F.desc("kind"))})
-    out = both.where("kind = 1").select("job_id", "row.*", "below", "above")
+    fill = lambda *order: F.last("p", True).over(Window.partitionBy("job_id", "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    both = both.withColumns({"below": fill("at", "kind"), "above": fill(F.desc("at"), F.desc("kind"))}).where("kind = 1").join(ends, ["job_id", "block"])
+    return both.select("job_id", "row", F.coalesce("below", "before").alias("below"), F.coalesce("above", "after").alias("above"))
+
+
+def interpolate(probes: DataFrame, axis: DataFrame, x: str = "x") -> DataFrame:
+    """probes (job_id, x, duration, ...) with y: piecewise linear through the job's axis (ref_t, perf_t), flat beyond its ends, within [0, duration]. Without an axis y is x, clamped."""
+    points = axis.select("job_id", F.col("ref_t").cast("double").alias("at"), F.struct(F.col("ref_t").alias("x"), F.col("perf_t").alias("y")).alias("p"))
+    row = F.struct(*[c for c in probes.columns if c != "job_id"])
+    out = neighbours(probes.select("job_id", F.col(x).cast("double").alias("at"), row.alias("row")), points).select("job_id", "row.*", "below", "above")
     v = F.col(x)
     slope = (F.col("above.y") - F.col("below.y")) / F.nullif(F.col("above.x") - F.col("below.x"), F.lit(0.0))
     inside = F.coalesce(F.col("below.y") + slope * (v - F.col("below.x")), F.col("below.y"))
@@ -80,17 +98,19 @@ def interpolate(probes: DataFrame, axis: DataFrame, x: str = "x", more: tuple =
 def active_time(fractions: DataFrame, intervals: DataFrame) -> DataFrame:
     """fractions (job_id, fraction, ...) with t: the time at which that fraction of the job's active time has passed.
 
-    Each job's intervals become one sorted array of (start, span, active time before it); the lookup is a filter in it. A time within 1e-9 s of an interval's end
+    It lies in the first interval by whose end so much active time has passed: the neighbour, on the axis of active time, of the probe. A time within 1e-9 s of an interval's end
     is in that interval, so that the order in which spans are summed decides nothing. Jobs without intervals: 0."""
     rows = intervals.withColumn("before", F.coalesce(F.sum(F.col("end") - F.col("start")).over(job_window().orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    job = rows.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "before"))).alias("spans"))
-    out = fractions.join(job, "job_id", "left")
-    last = F.get("spans", F.size("spans") - 1)
-    total = last["before"] + last["end"] - last["start"]
-    target = F.least(F.greatest(F.col("fraction"), F.lit(0.0)), F.lit(1.0)) * total
-    hit = F.get(F.filter("spans", lambda s: s["before"] + s["end"] - s["start"] >= target - 1e-9), F.lit(0))
-    t = F.when(F.col("spans").isNull(), 0.0).when(total <= 0, F.get("spans", F.lit(0))["start"]).otherwise(F.coalesce(hit["start"] + F.greatest(F.lit(0.0), target - hit["before"]), last["end"]))
-    return out.withColumn("t", t).drop("spans")
+    rows = rows.withColumn("upto", F.col("before") + F.col("end") - F.col("start"))
+    job = rows.groupBy("job_id").agg(F.max("upto").alias("total"), F.min("start").alias("begin"), F.max_by("end", F.struct("start", "end")).alias("stop"))
+    out = fractions.join(job, "job_id", "left").withColumn("target", F.least(F.greatest(F.col("fraction"), F.lit(0.0)), F.lit(1.0)) * F.col("total"))
+    # of intervals that end at the same active time, which have no length but for one, the first counts
+    points = rows.groupBy("job_id", (-F.col("upto")).alias("at")).agg(F.min(F.struct("start", "end", "before")).alias("p"))
+    row = F.struct(*[c for c in out.columns if c != "job_id"])
+    out = neighbours(out.select("job_id", (1e-9 - F.col("target")).alias("at"), row.alias("row")), points).select("job_id", "row.*", F.col("below").alias("hit"))
+    inside = F.coalesce(F.col("hit.start") + F.greatest(F.lit(0.0), F.col("target") - F.col("hit.before")), F.col("stop"))
+    t = F.when(F.col("total").isNull(), 0.0).when(F.col("total") <= 0, F.col("begin")).otherwise(inside)
+    return out.withColumn("t", t).drop("hit", "total", "begin", "stop", "target")
 
 
 def shifted(captions: DataFrame, offset: Column) -> DataFrame:

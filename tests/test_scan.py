@@ -150,3 +150,41 @@ def test_a_long_job_is_many_blocks(spark):
     assert got == pytest.approx(want)
     sizes = [r["count"] for r in out.groupBy(F.expr(f"idx div {scan.BLOCK}").alias("block")).count().collect()]
     assert len(sizes) == -(-n // scan.BLOCK) and max(sizes) == scan.BLOCK
+
+
+@pytest.mark.parametrize("rows", [1, 4, 1 << 16])
+def test_neighbours_by_brute_force(spark, monkeypatch, rows):
+    monkeypatch.setattr(timeline, "ROWS", rows)
+    rnd = random.Random(rows)
+    points = {j: sorted(rnd.sample(range(40), n)) for j, n in (("a", 9), ("b", 1), ("c", 25))} | {"same": [3]}
+    probes = [(j, rnd.choice([float(rnd.randrange(-3, 45)), rnd.uniform(-3, 45)]), k) for k, j in enumerate(["a", "b", "c", "none"] * 20)] + [("a", None, 90), ("same", 3.0, 91), ("same", 3.0, 92)]
+    p = spark.createDataFrame([(j, float(x), x) for j, own in points.items() for x in own], "job_id string, at double, p int")
+    q = spark.createDataFrame(probes, "job_id string, at double, row int")
+    got = {r["row"]: (r["below"], r["above"]) for r in timeline.neighbours(q, p).collect()}
+    want = {}
+    for j, at, k in probes:
+        own = points.get(j, [])
+        below, above = [x for x in own if at is not None and x <= at], [x for x in own if at is None or x > at]
+        want[k] = (max(below, default=None), min(above, default=None))
+    assert got == want
+
+
+@pytest.mark.parametrize("rows", [2, 1 << 16])
+def test_active_time_by_brute_force(spark, monkeypatch, rows):
+    monkeypatch.setattr(timeline, "ROWS", rows)
+    spans = {"a": [(1.0, 2.5), (4.0, 4.0), (4.0, 7.0), (9.0, 9.5)], "flat": [(2.0, 2.0), (3.0, 3.0)]}
+    probes = [(j, k / 10 - 0.2) for j in ("a", "flat", "none") for k in range(15)]
+    i = spark.createDataFrame([(j, s, e) for j, own in spans.items() for s, e in own], "job_id string, start double, end double")
+    got = {(r["job_id"], r["fraction"]): r["t"] for r in timeline.active_time(spark.createDataFrame(probes, "job_id string, fraction double"), i).collect()}
+    for j, f in probes:
+        own, total = spans.get(j, []), sum(e - s for s, e in spans.get(j, []))
+        left, want = min(1.0, max(0.0, f)) * total, (own[-1][1] if own else 0.0)
+        if own and total <= 0:
+            want = own[0][0]
+        elif own:
+            for s, e in own:
+                if e - s >= left - 1e-9:
+                    want = s + max(0.0, left)
+                    break
+                left -= e - s
+        assert got[j, f] == pytest.approx(want), (j, f)
