@@ -7,13 +7,23 @@ from functools import lru_cache
 
 import numpy as np
 
-from .wordhash import PART, hash_spans, mix
+from .wordhash import hash_spans, mix
 
 #: A space or line end that no visible character follows, or a zero byte: such texts are cut the slow way.
 _ODD = re.compile(r"[ \n](?=\s|\Z)|\0")
 _CUT = re.compile(r"(?= \S)")
 
 
+#: What keeps the first 0 to 8 bytes of a little-endian number.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on, as numbers; zeros follow the last."""
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    return np.ndarray(shape=(len(data) + 1,), dtype="<u8", buffer=padded.data, strides=(1,))
+
+
 class ChunkTable:
     """Ids of chunks by the hash of their bytes and of what stands before them: a sorted table into one flat array of ids.
 
@@ -26,7 +36,8 @@ class ChunkTable:
     def __init__(self, encode_batch, begins, line_end: int, most: int = 1_000_000, special: tuple[str, ...] = ()):
         """begins: for each id, whether its bytes begin with a space. line_end: the id of a line end. special: the special tokens' strings."""
         self.encode_batch, self.begins, self.line_end, self.most = encode_batch, begins, line_end, most
-        self.special = re.compile(f"({'|'.join(map(re.escape, sorted(special, key=len, reverse=True)))})") if special else None
+        self.special = special
+        self.at_special = re.compile(f"({'|'.join(map(re.escape, sorted(special, key=len, reverse=True)))})")
         self._clear()
 
     def _clear(self) -> None:
@@ -69,20 +80,18 @@ class ChunkTable:
         self.raw_starts, self.raw_sizes = np.insert(self.raw_starts, at, raw_starts), np.insert(self.raw_sizes, at, raw_sizes)
 
     def _unlike(self, data: np.ndarray, begins: np.ndarray, ends: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """The chunks data[begin:end] whose bytes aren't those of their place in the table, some PART bytes at a time."""
-        out, at = [], 0
-        sizes, own = ends - begins, self.raw_sizes[place]
-        total = np.cumsum(np.minimum(sizes, own))
-        while at < len(begins):
-            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PART, side="right")))
-            n = np.minimum(sizes[at:to], own[at:to])
-            before = np.cumsum(n) - n
-            step = np.arange(int(n.sum()))
-            same = data[step + np.repeat(begins[at:to] - before, n)] == self.raw[step + np.repeat(self.raw_starts[place[at:to]] - before, n)]
-            wrong = np.concatenate([[0], np.cumsum(~same)])
-            out.append(at + np.flatnonzero((sizes[at:to] != own[at:to]) | (wrong[before + n] > wrong[before])))
-            at = to
-        return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
+        """The chunks data[begin:end] whose bytes aren't those of their place in the table: eight bytes of all chunks at a time, of those that have so many."""
+        own, known = eights(data), eights(self.raw)
+        sizes, other = ends - begins, self.raw_starts[place]
+        wrong = sizes != self.raw_sizes[place]
+        at = np.flatnonzero(~wrong & (sizes > 0))
+        k = 0
+        while len(at):
+            left = sizes[at] - k
+            apart = (own[begins[at] + k] ^ known[other[at] + k]) & _FIRST[np.minimum(left, 8)]
+            wrong[at[apart != 0]] = True
+            at, k = at[left > 8], k + 8
+        return np.flatnonzero(wrong)
 
     def _places(self, keys: np.ndarray) -> np.ndarray:
         """The place of each key in the table, or -1."""
@@ -93,9 +102,9 @@ class ChunkTable:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if self.special is None or not any(self.special.search(t) for t in texts):
+        if not any(s in t for s in self.special for t in texts):
             return self._encode(texts)
-        split = [self.special.split(t) for t in texts]
+        split = [self.at_special.split(t) for t in texts]
         parts = [p for s in split for p in s[::2]]
         marks = [p for s in split for p in s[1::2]]
         plain, found = iter(self._encode(parts)), iter(self.encode_batch(marks))
