@@ -47,10 +47,16 @@ def feature_cost(spark, d):
     return rounded(timemap.feature_cost(v.select("job_id", F.col("a").alias("chroma_a"), F.col("b").alias("chroma_b"), F.col("a").alias("onset_a"), F.col("b").alias("onset_b"))), "cost")
 
 
+def _pitch_classes():
+    """All numbers of an embedding as twelve: what lies twelve places apart is one."""
+    own = lambda i: F.filter("embedding", lambda x, k: k % 12 == i)
+    return F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.abs(F.aggregate(own(i), F.lit(0.0), lambda t, x: t + x.cast("double"))))
+
+
 _DECAY = " + ".join(["e", *(f"coalesce(lag(e, {k}) OVER w, 0e0) / sqrt({k + 1}e0)" for k in range(1, 10))])
 
 
-@query(f"""WITH a AS (SELECT cast(label AS varchar) AS job_id, vec_id AS frame, b AS bin, cast(abs(embedding[b]) AS double) AS x
+@query(f"""WITH a AS (SELECT cast(label AS varchar) AS job_id, vec_id AS frame, b AS bin, abs(list_sum(list_transform(list_filter(embedding, lambda y, k: (k - 1) % 12 = b - 1), lambda y: cast(y AS double)))) AS x
         FROM embeddings, range(1, 13) t(b)),
     d AS (SELECT *, greatest(0e0, x - coalesce(lag(x) OVER w, x)) AS d FROM a WINDOW w AS (PARTITION BY job_id, bin ORDER BY frame)),
     e AS (SELECT *, ln(1e0 + 100 * d) / (ln(1e0 + 100 * max(d) OVER (PARTITION BY job_id, bin ORDER BY frame ROWS BETWEEN 20 PRECEDING
@@ -59,14 +65,14 @@ _DECAY = " + ".join(["e", *(f"coalesce(lag(e, {k}) OVER w, 0e0) / sqrt({k + 1}e0
     g AS (SELECT *, greatest(1e-8, sqrt(sum(v * v) OVER (PARTITION BY job_id, frame))) AS norm FROM f)
     SELECT job_id, frame, list(round(v / norm, 6) ORDER BY bin) AS onset FROM g GROUP BY job_id, frame""")
 def onset_features(spark, d):
-    v = read(spark, d, "embeddings").select(F.col("label").cast("string").alias("job_id"), F.col("vec_id").alias("frame"), F.transform(F.slice("embedding", 1, 12), lambda x: F.abs(x).cast("double")).alias("chroma"))
+    v = read(spark, d, "embeddings").select(F.col("label").cast("string").alias("job_id"), F.col("vec_id").alias("frame"), _pitch_classes().alias("chroma"))
     out = timemap.onsets(v)
     return out.select("job_id", "frame", F.transform("onset", lambda x: F.round(x, 6)).alias("onset"))
 
 
 def _recordings(spark, d):
     """Two recordings a label: its vectors with even and with odd ids, as unit chroma and onsets, repeated to two seconds and more."""
-    v = read(spark, d, "embeddings").select(F.col("label").cast("string").alias("job_id"), "vec_id", F.transform(F.slice("embedding", 1, 12), lambda x: F.abs(x).cast("double")).alias("c"))
+    v = read(spark, d, "embeddings").select(F.col("label").cast("string").alias("job_id"), "vec_id", _pitch_classes().alias("c"))
     unit = F.transform("c", lambda x: x / F.greatest(F.lit(1e-8), F.sqrt(F.aggregate("c", F.lit(0.0), lambda t, y: t + y * y))))
     side = F.when(F.col("vec_id") % 2 == 0, "ref").otherwise("perf")
     rows = v.select("job_id", side.alias("side"), F.expr("row_number() OVER (PARTITION BY job_id, vec_id % 2 ORDER BY vec_id) - 1").alias("frame"), unit.alias("chroma"))

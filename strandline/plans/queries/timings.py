@@ -22,12 +22,12 @@ _VALID = """va AS MATERIALIZED (SELECT cand.*, c.start AS cs, c."end" AS ce FROM
 
 
 _PAIR = lambda where, cost: f"""pr AS (SELECT l.job_id, l.idx, l.cs, l.ce, l.start AS s1, r.start AS s2, l."end" AS e1, r."end" AS e2, l.confidence AS c1, r.confidence AS c2, l.collapsed_ratio AS k1, r.collapsed_ratio AS k2,
-            row_number() OVER (PARTITION BY l.job_id, l.idx ORDER BY {cost}, l.cand_idx, r.cand_idx) AS rn FROM ok l JOIN ok r ON r.job_id = l.job_id
-                AND r.idx = l.idx AND r.cand_idx > l.cand_idx AND r.source <> l.source {where}),
+            row_number() OVER (PARTITION BY l.job_id, l.idx ORDER BY {cost}, l.cand_idx, r.cand_idx) AS rn FROM ok l JOIN ok r ON r.line = l.line
+                AND r.cand_idx > l.cand_idx AND r.source <> l.source {where}),
     best AS (SELECT * FROM pr WHERE rn = 1)"""
 
 
-@query(f"""WITH {_VALID} ok AS (SELECT * FROM va WHERE abs(start - cs) <= 3 AND "end" > start + 0.08e0),
+@query(f"""WITH {_VALID} ok AS MATERIALIZED (SELECT *, concat(job_id, ':', idx) AS line FROM va WHERE abs(start - cs) <= 3 AND "end" > start + 0.08e0),
         {_PAIR('', 'abs(l.start - r.start) + 0.15e0 * abs(l."end" - r."end")')},
     b AS (SELECT *, (s1 + s2) / 2 AS at_, (e1 + e2) / 2 AS e FROM best WHERE abs(s1 - s2) <= 0.6e0 AND NOT (least(k1, k2) >= 0.75e0
         AND greatest(c1, c2) < 0.04e0)),
@@ -57,7 +57,7 @@ def boundary_timing(spark, d):
     return rounded(consensus.boundary(read(spark, d, "captions"), read(spark, d, "candidates")), "start", "end")
 
 
-@query(f"""WITH {_VALID} ok AS (SELECT * FROM va WHERE regexp_matches(source, '^[0-9]+-[0-9]+$') AND try_cast(split_part(source, '-', 1) AS int) < idx + 1
+@query(f"""WITH {_VALID} ok AS MATERIALIZED (SELECT *, concat(job_id, ':', idx) AS line FROM va WHERE regexp_matches(source, '^[0-9]+-[0-9]+$') AND try_cast(split_part(source, '-', 1) AS int) < idx + 1
         AND confidence >= 0.07e0 AND collapsed_ratio < 0.7e0 AND "end" > start + 0.35e0),
     {_PAIR('AND abs(l.start - r.start) <= 0.6e0', 'abs(l.start - r.start)')}
     SELECT job_id, idx, round((s1 + s2) / 2, 6) AS start, round((e1 + e2) / 2, 6) AS "end" FROM best WHERE abs((s1 + s2) / 2 - cs) > 1
@@ -66,7 +66,7 @@ def contextual_pair(spark, d):
     return rounded(consensus.contextual(read(spark, d, "captions"), read(spark, d, "candidates")), "start", "end")
 
 
-@query(f"""WITH {_VALID} ok AS (SELECT * FROM va WHERE idx = 0),
+@query(f"""WITH {_VALID} ok AS MATERIALIZED (SELECT *, concat(job_id, ':', idx) AS line FROM va WHERE idx = 0),
         {_PAIR('AND abs(l.start - r.start) <= 0.35e0 AND least(l.confidence, r.confidence) >= 0.15e0 AND greatest(l.collapsed_ratio, r.collapsed_ratio) < 0.6e0', 'abs(l.start - r.start)')},
     nx AS (SELECT job_id, idx, lead(start) OVER (PARTITION BY job_id ORDER BY idx) AS next FROM {{captions}})
     SELECT best.job_id, best.idx, round((s1 + s2) / 2, 6) AS start FROM best JOIN nx ON nx.job_id = best.job_id AND nx.idx = best.idx

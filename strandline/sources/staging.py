@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Temporary folders of this machine, by application: only for sessions that run on this machine and name no folder. The session's settings stay as they are.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
@@ -16,8 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="strandline-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        own = spark.sparkContext.applicationId
+        base = _OWN[own] if own in _OWN else _OWN.setdefault(own, "file://" + tempfile.mkdtemp(prefix="strandline-"))
     return base.rstrip("/")
 
 
