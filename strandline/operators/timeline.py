@@ -65,11 +65,18 @@ ROWS = 1 << 16  # of a job, about, that one task goes through to find neighbours
 def neighbours(probes: DataFrame, points: DataFrame) -> DataFrame:
     """probes (job_id, at, row) with below (the last point at or before it) and above (the first after it) of points (job_id, at, p): null where there is none.
 
-    Probes and points are one union, so there is no range join. A job's stretch of `at` is cut into equal blocks, as many as it has ROWS rows; within a block
-    the neighbours are fills in order, and those that lie in other blocks come from a window over the blocks. Nulls in `at` are before all points."""
+    Probes and points are one union, so there is no range join; neighbours are fills in order. The stretch of a job with more than ROWS rows is cut into equal blocks, and the
+    neighbours that lie in other blocks come from a window over the blocks. Nulls in `at` are before all points."""
     both = probes.select("job_id", "at", F.lit(1).alias("kind"), F.lit(None).alias("p"), "row").unionByName(points.select("job_id", "at", F.lit(0).alias("kind"), "p", F.lit(None).alias("row")))
     both = written(both, "union")
     extent = both.groupBy("job_id").agg(F.ceil(F.count("*") / F.lit(ROWS)).alias("blocks"), F.min("at").alias("low"), F.max("at").alias("high"))
+    several = not extent.where("blocks > 1").isEmpty()
+    part = ["job_id", "block"] if several else ["job_id"]
+    # forwards, then backwards: a frame from the row to the end would be read anew for each row
+    fill = lambda *order: F.last("p", True).over(Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    fills = {"below": fill("at", "kind"), "above": fill(F.desc("at"), F.desc("kind"))}
+    if not several:
+        return both.withColumns(fills).where("kind = 1").select("job_id", "row", "below", "above")
     share = (F.col("at") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0))
     block = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * F.col("blocks")), F.col("blocks") - 1)
     both = both.join(extent, "job_id").select("job_id", "at", "kind", "p", "row", block.alias("block"))
@@ -77,9 +84,7 @@ def neighbours(probes: DataFrame, points: DataFrame) -> DataFrame:
     ends = both.groupBy("job_id", "block").agg(F.min_by("p", point).alias("first"), F.max_by("p", point).alias("last"))
     over = lambda order: job_window().orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.select("job_id", "block", F.last("last", True).over(over("block")).alias("before"), F.last("first", True).over(over(F.desc("block"))).alias("after"))
-    # forwards, then backwards: a frame from the row to the end would be read anew for each row
-    fill = lambda *order: F.last("p", True).over(Window.partitionBy("job_id", "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    both = both.withColumns({"below": fill("at", "kind"), "above": fill(F.desc("at"), F.desc("kind"))}).where("kind = 1").join(ends, ["job_id", "block"])
+    both = both.withColumns(fills).where("kind = 1").join(ends, ["job_id", "block"])
     return both.select("job_id", "row", F.coalesce("below", "before").alias("below"), F.coalesce("above", "after").alias("above"))
 
 
