@@ -17,6 +17,7 @@ from strandline.plans.inputs import read
 from strandline.plans.registry import ORACLE, QUERIES
 from strandline.sources import scans
 from tests.test_paths import key, ratio
+from tests.test_search import brute_lookup
 
 SF = "/root/testdata/sf0.001"
 
@@ -259,6 +260,17 @@ def test_refinement_rows(spark):
     assert all(r["accepted"] or abs(r["dtw_start"] - r["refined_start"]) < 30 for r in found.values()) and any(r["accepted"] for r in found.values())
 
 
+def test_catalog_lookup(spark):
+    """Every query against a scan of the whole catalog."""
+    from strandline.operators import catalog
+
+    asked, records = ([r.asDict() for r in read(spark, SF, name).collect()] for name in ("wanted", "catalog"))
+    attempts = [r.asDict() for r in catalog.search_attempts(read(spark, SF, "wanted")).collect()]
+    want = brute_lookup({"queries": asked, "attempts": attempts}, records)
+    got = {r["job_id"]: (r["status"], r["score"], (r["artistName"], r["trackName"]) if r["score"] is not None else None) for r in rows(spark, "catalog_lookup")}
+    assert got == want and sum(v[0] == "exact" for v in want.values()) > 30
+
+
 def test_all_queries_are_tested():
     import inspect
     import sys
