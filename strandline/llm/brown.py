@@ -74,7 +74,8 @@ def vocabulary(texts: DataFrame, words: int) -> Vocabulary:
 
 
 def _encoder(shared):
-    """A block's tokens as int32, text after text: of a frequent word twice its index, and one if a letter ends it; of rare ones -1 with a last letter and -2 without; -3 of a text's end."""
+    """A block's tokens as int32, text after text: of a frequent word twice its index, and one if a letter ends it; of rare ones -1 with a
+    last letter and -2 without; -3 of a text's end."""
 
     def run(batches):
         v = shared.value
@@ -143,8 +144,8 @@ def _sparse(bucket: int, cells: np.ndarray, counts: np.ndarray, salt: int) -> pa
 
 
 def _neighbours(shared, total: int, end: int, ways: int):
-    """Rows (bucket, salt, data): of WORDS_TOGETHER words, (cell, count) of the classes before and after each free word, as cell (index * 2 + side) * total + class;
-    bucket -1 has the pairs of classes. The salt is one of `ways`, by the task."""
+    """Rows (bucket, salt, data): of WORDS_TOGETHER words, (cell, count) of the classes before and after each free word, as cell (index * 2
+    + side) * total + class; bucket -1 has the pairs of classes. The salt is one of `ways`, by the task."""
 
     def run(batches):
         kinds, free = shared.value
@@ -236,11 +237,11 @@ BLOCKS_A_WAY = 128  # blocks of text whose sums for a bucket have about the size
 
 
 def sweep(codes: DataFrame, kinds: np.ndarray, free: np.ndarray, classes: int, sweeps: int, least_gain: float) -> tuple[np.ndarray, np.ndarray]:
-    """(the class of each frequent word, the pairs of classes). Each sweep puts every free word to its best class against the pairs of the sweep before, until
-    the likelihood grows by less than the share `least_gain`, or after `sweeps` of them.
+    """(the class of each frequent word, the pairs of classes). Each sweep puts every free word to its best class against the pairs of the
+    sweep before, until the likelihood grows by less than the share `least_gain`, or after `sweeps` of them.
 
-    A bucket's neighbours are summed by (bucket, salt), then by bucket. There are about as many salts as the square root of what a bucket gets, so that either sum reads about as
-    much in a task, and neither is bounded by the number of buckets alone."""
+    A bucket's neighbours are summed by (bucket, salt), then by bucket. There are about as many salts as the square root of what a bucket
+    gets, so that either sum reads about as much in a task, and neither is bounded by the number of buckets alone."""
     context, total, best = codes.sparkSession.sparkContext, classes + 5, None
     ways, buckets = max(1, math.ceil(math.sqrt(codes.count() / BLOCKS_A_WAY))), len(kinds) // WORDS_TOGETHER + 2
     for k in range(sweeps + 1):
@@ -307,7 +308,8 @@ def exchange(pairs: np.ndarray, words: int, classes: int, sweeps: int = 12) -> n
 
 @dataclass
 class Model:
-    """The frequent words, their counts and classes, and log10 of the transitions between classes and of the tokens of each class; of rare words only by their last letter."""
+    """The frequent words, their counts and classes, and log10 of the transitions between classes and of the tokens of each class; of rare
+    words only by their last letter."""
 
     vocabulary: Vocabulary
     counts: np.ndarray
@@ -317,9 +319,11 @@ class Model:
 
 
 def fit(texts: DataFrame, words: int, classes: int, sweeps: int = 3, least_gain: float = 1e-4) -> tuple[Model, int, int]:
-    """(the model, training tokens, training texts). All texts are counted; what reaches the driver are MOST_FREQUENT words and a table of (words + 5)**2 pairs at most.
+    """(the model, training tokens, training texts). All texts are counted; what reaches the driver are MOST_FREQUENT words and a table of
+    (words + 5)**2 pairs at most.
 
-    The `words` most frequent words are put into classes by exchange, one by one; then all other frequent ones by sweeps over their neighbours' classes."""
+    The `words` most frequent words are put into classes by exchange, one by one; then all other frequent ones by sweeps over their
+    neighbours' classes."""
     context = texts.sparkSession.sparkContext
     v = vocabulary(texts, words)
     shared = context.broadcast(v)
@@ -340,13 +344,17 @@ POSTED = "bucket int, block long, kind int, data binary, cell long, count long"
 
 def _posted(bucket, block, kind: int, data=None, cell=None, count=None) -> pa.RecordBatch:
     n = len(bucket)
-    columns = [pa.array(bucket, pa.int32()), pa.array(block, pa.int64()), pa.array([kind] * n, pa.int32()), pa.array(data or [None] * n, pa.binary()), pa.array([None] * n if cell is None else cell, pa.int64()), pa.array([None] * n if count is None else count, pa.int64())]
+    columns = [
+        pa.array(bucket, pa.int32()), pa.array(block, pa.int64()), pa.array([kind] * n, pa.int32()),
+        pa.array(data or [None] * n, pa.binary()), pa.array([None] * n if cell is None else cell, pa.int64()),
+        pa.array([None] * n if count is None else count, pa.int64())
+    ]
     return pa.RecordBatch.from_arrays(columns, ["bucket", "block", "kind", "data", "cell", "count"])
 
 
 def _poster(shared, buckets: int, classes: int, texts_learnt: int):
-    """Rows (bucket, block, kind, data): kind 0 has a block's documents with all that is known of them here and the class of each token, kind 1 its rare words of one bucket:
-    hash, place among the block's tokens with marks, classes before and after."""
+    """Rows (bucket, block, kind, data): kind 0 has a block's documents with all that is known of them here and the class of each token,
+    kind 1 its rare words of one bucket: hash, place among the block's tokens with marks, classes before and after."""
 
     def run(batches):
         m, numbers = shared.value, task_numbers()
@@ -453,7 +461,10 @@ def _joiner(shared, classes: int):
         kind_of = np.full(len(starts), _UNSEEN, dtype=np.uint8)
         seen = count > 0
         if seen.any():
-            kind_of[seen] = rare_classes(np.concatenate(pairs)[order[learnt]], np.append(0, np.cumsum(count[seen].astype(np.int64))[:-1]), transition, tokens, classes)
+            kind_of[seen] = rare_classes(
+                np.concatenate(pairs)[order[learnt]], np.append(0, np.cumsum(count[seen].astype(np.int64))[:-1]), transition, tokens,
+                classes
+            )
         pairs.clear()
         times = np.diff(np.append(starts, len(order)))
         back, own = np.empty(len(order), dtype="<u4"), np.empty(len(order), dtype=np.uint8)
@@ -478,8 +489,9 @@ def _joiner(shared, classes: int):
 
 
 def rare_emission(tokens: int, n1: int, n2: int, n3: int, types: int):
-    """log10 emission of a rare word by its count (an array), by absolute discounts of counts 1 and of greater ones, from the counts of counts, each half a count more so that
-    they always exist. As many unseen words as seen ones, and one, share what is taken off, and one count more."""
+    """log10 emission of a rare word by its count (an array), by absolute discounts of counts 1 and of greater ones, from the counts of
+    counts, each half a count more so that they always exist. As many unseen words as seen ones, and one, share what is taken off, and one
+    count more."""
     a, b, c = n1 + 0.5, n2 + 0.5, n3 + 0.5
     y = a / (a + 2 * b)
     cut = np.array([0.0, min(max(1 - 2 * y * b / a, 0.05), 0.95), min(max(2 - 3 * y * c / b, 0.05), 1.95)])
@@ -488,9 +500,10 @@ def rare_emission(tokens: int, n1: int, n2: int, n3: int, types: int):
 
 
 def last_transitions(grid: np.ndarray, stats: np.ndarray, classes: int) -> np.ndarray:
-    """log10 of what a token adds to a text's score by the class before it and its own, but for the word's share of its class: the transition, less the class's
-    tokens and one. A word that was never seen may be of any class: it has the unseen mass of all classes for words with its last letter, shared by as many words as
-    were seen with it, and one; what follows it has the mean of the classes' transitions by their rare words."""
+    """log10 of what a token adds to a text's score by the class before it and its own, but for the word's share of its class: the
+    transition, less the class's tokens and one. A word that was never seen may be of any class: it has the unseen mass of all classes for
+    words with its last letter, shared by as many words as were seen with it, and one; what follows it has the mean of the classes'
+    transitions by their rare words."""
     known = [*range(classes), classes + 4]
     t = 10 ** smoothed(grid[np.ix_(known, known)])
     all_ = grid.sum(axis=0)[:classes] + 1
@@ -532,7 +545,9 @@ def _resolver(stats: np.ndarray, classes: int):
             doc_of = np.repeat(np.arange(len(rows)), rows["tokens"])
             for data in parts.pop(block, []):
                 n = len(data) // 9
-                c, at = np.frombuffer(data, dtype="<u4", count=n).astype(np.int64), (np.frombuffer(data, dtype="<u4", count=n, offset=4 * n) & _AT).astype(np.int64)
+                c, at = np.frombuffer(data, dtype="<u4", count=n).astype(np.int64), (np.frombuffer(
+                    data, dtype="<u4", count=n, offset=4 * n
+                ) & _AT).astype(np.int64)
                 own, doc = np.frombuffer(data, dtype="u1", offset=8 * n), doc_of[at]
                 rows["known"] += np.bincount(doc[c > 0], minlength=len(rows))
                 rows["base"] += np.bincount(doc, weights=np.log10(c + 1.0), minlength=len(rows))
@@ -545,7 +560,10 @@ def _resolver(stats: np.ndarray, classes: int):
                 tokens[at] = own
             cells = _before(tokens, total - 1).astype(np.int64) * total + tokens
             grid += np.bincount(cells[rows["held"][doc_of] == 0], minlength=len(grid))
-            yield pa.RecordBatch.from_arrays([pa.array([_packed(rows, tokens)], pa.binary()), pa.array([None], pa.int64()), pa.array([None], pa.int64())], ["data", "cell", "count"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([_packed(rows, tokens)], pa.binary()), pa.array([None], pa.int64()), pa.array([None], pa.int64())],
+                ["data", "cell", "count"]
+            )
         for part in _cells(grid):
             yield pa.RecordBatch.from_arrays([pa.nulls(part.num_rows, pa.binary()), part.column(0), part.column(1)], ["data", "cell", "count"])
 
@@ -569,8 +587,12 @@ def _finisher(table: np.ndarray, classes: int, train_tokens: int, types: int):
                 doc_of = np.repeat(np.arange(len(rows)), rows["tokens"])
                 rows["score"] += np.bincount(doc_of, weights=table[_before(tokens, classes + 4), tokens], minlength=len(rows))
                 out = {
-                    "doc_id": pa.array(rows["doc"], pa.int64(), mask=rows["known_id"] == 0), "held_out": pa.array(rows["held"] > 0), "n_tokens": pa.array(rows["tokens"]), "n_known": pa.array(rows["known"]),
-                    "train_tokens": pa.array(np.full(len(rows), train_tokens)), "base_score": pa.array(rows["base"] - rows["tokens"] * np.log10(train_tokens + types + 1.0)), "score": pa.array(rows["score"]),
+                    "doc_id": pa.array(
+                        rows["doc"], pa.int64(), mask=rows["known_id"] == 0
+                    ), "held_out": pa.array(rows["held"] > 0), "n_tokens": pa.array(rows["tokens"]), "n_known": pa.array(rows["known"]),
+                    "train_tokens": pa.array(np.full(len(rows), train_tokens)), "base_score": pa.array(
+                        rows["base"] - rows["tokens"] * np.log10(train_tokens + types + 1.0)
+                    ), "score": pa.array(rows["score"]),
                 }
                 yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
@@ -584,16 +606,18 @@ def brown_scores(
     docs: DataFrame, folds: int = 7, held_fold: int = 2, words: int = 1024, classes: int = 128, sweeps: int = 3, least_gain: float = 1e-4,
     doc_id: str = "doc_id", text: str = "text",
 ) -> DataFrame:
-    """One row per document: doc_id, held_out, n_tokens (words and one end), n_known, train_tokens, base_score (add-one), score (log10 probability under the class model).
+    """One row per document: doc_id, held_out, n_tokens (words and one end), n_known, train_tokens, base_score (add-one), score (log10
+    probability under the class model).
 
     Learnt from all documents outside the held fold; a null id is not held out. p(word | word before) is p(class | class before) times
-    p(word | class). The `words` most frequent words are put into `classes` classes by exchange, all other words of the training texts into the same classes by
-    their neighbours: frequent ones in at most `sweeps` sweeps, while the likelihood grows by the share `least_gain`, rare ones once, in the bucket that counts them. The text's end has a class of its own. A word that no
-    training text has may be of any class.
-
-    Frequent words (one in MOST_FREQUENT occurrences at least) have a broadcast table of bounded size, so no word of many occurrences
-    is a key of any shuffle. Rare words go once, as 14-byte entries, to a bucket by hash, and back to their block of documents, which also has a byte a token.
-    Null or empty text: the end alone. Repeated ids: rows of their own. Empty table: no rows. Other columns are not read."""
+    p(word | class). The `words` most frequent words are put into `classes` classes by exchange, all other words of the training texts into
+    the same classes by their neighbours: frequent ones in at most `sweeps` sweeps, while the likelihood grows by the share `least_gain`,
+    rare ones once, in the bucket that counts them. The text's end has a class of its own. A word that no training text has may be of any
+    class.
+
+    Frequent words (one in MOST_FREQUENT occurrences at least) have a broadcast table of bounded size, so no word of many occurrences is a
+    key of any shuffle. Rare words go once, as 14-byte entries, to a bucket by hash, and back to their block of documents, which also has a
+    byte a token. Null or empty text: the end alone. Repeated ids: rows of their own. Empty table: no rows. Other columns are not read."""
     if not 0 < classes < 250:
         raise ValueError("classes: a byte must hold one")
     context = docs.sparkSession.sparkContext

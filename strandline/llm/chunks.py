@@ -162,4 +162,7 @@ def chunk_table(path: str) -> ChunkTable:
     if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in special):
         raise ValueError("special tokens that take in what stands beside them aren't known here")
     begins = np.array([(tok.id_to_token(i) or "").startswith("Ġ") for i in range(tok.get_vocab_size())])
-    return ChunkTable(lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)] if texts else [], begins, tok.token_to_id("Ċ"), special=tuple(t.content for t in special))
+    return ChunkTable(
+        lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)] if texts else [], begins,
+        tok.token_to_id("Ċ"), special=tuple(t.content for t in special)
+    )

@@ -31,9 +31,11 @@ def texts_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *more:
 
 
 def least_hashed(rows: DataFrame, group: str, most: int) -> DataFrame:
-    """doc_id, text_hash, group of a sample of the rows' distinct keys: of each group those with the least hash of id and text, `most` at most, whatever the ids.
+    """doc_id, text_hash, group of a sample of the rows' distinct keys: of each group those with the least hash of id and text, `most` at
+    most, whatever the ids.
 
-    A group may hold most rows and an id may be on all of them, so equal keys go first, and then of each of 64 salts the least few, some five times their share."""
+    A group may hold most rows and an id may be on all of them, so equal keys go first, and then of each of 64 salts the least few, some
+    five times their share."""
     keys = rows.select("doc_id", "text_hash", group).distinct().withColumn("at", F.xxhash64("doc_id", "text_hash")).withColumn("salt", F.pmod("at", F.lit(64)))
     for part, n in (([group, "salt"], min(most, most // 12 + 16)), ([group], most)):
         keys = keys.withColumn("rank", F.row_number().over(Window.partitionBy(*part).orderBy("at", "doc_id", "text_hash"))).where(F.col("rank") <= n)
@@ -50,7 +52,8 @@ def task_numbers() -> Iterator[int]:
 
 
 def blocks(batches: Iterable[pa.RecordBatch], max_bytes: int = 8 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Batches cut so that the named column has about max_bytes in each, but one row at least: memory doesn't follow the length of the longest batch. After the last, memory is given back."""
+    """Batches cut so that the named column has about max_bytes in each, but one row at least: memory doesn't follow the length of the
+    longest batch. After the last, memory is given back."""
     try:
         for batch in batches:
             if not batch.num_rows:

@@ -14,7 +14,12 @@ def components(edges: DataFrame) -> DataFrame:
     In a round every node takes the least label among its own and its neighbours', then that label's own label, so a
     chain of n nodes takes about log n rounds. A neighbour of very many nodes is a skewed key of the edge side only, which
     adaptive execution splits; minima are taken before the shuffle."""
-    both = written(edges.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e")).select("e.x", "e.y").where("x <> y").distinct(), "edges")
+    both = written(
+        edges.select(F.explode(F.array(
+            F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y"))
+        )).alias("e")).select("e.x", "e.y").where("x <> y").distinct(),
+        "edges"
+    )
     labels = both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("least")).select("node", F.least("node", "least").alias("root"))
     while True:
         labels = written(labels, "labels")

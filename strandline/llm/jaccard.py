@@ -26,7 +26,8 @@ def _sets(batches, size: int):
 
 
 def frequent_shingles(texts: DataFrame, size: int) -> np.ndarray:
-    """The sorted hashes of shingles that have at least one MOST_FREQUENT-th of all (document, shingle) pairs, so MOST_FREQUENT at most; all texts are counted."""
+    """The sorted hashes of shingles that have at least one MOST_FREQUENT-th of all (document, shingle) pairs, so MOST_FREQUENT at most; all
+    texts are counted."""
 
     def run(batches):
         return frequent_in_chunks((s for _, sets in _sets(batches, size) for s in sets), MOST_FREQUENT, 2)
@@ -44,7 +45,8 @@ def _digest(own: np.ndarray) -> tuple[int, int]:
 
 
 def _parity(own: np.ndarray) -> list[int]:
-    """A power of two of bits, at least as many as the set has members: each member flips one. Two sets differ in at least as many members as their bits differ."""
+    """A power of two of bits, at least as many as the set has members: each member flips one. Two sets differ in at least as many members
+    as their bits differ."""
     size = 64
     while size < len(own):
         size *= 2
@@ -67,10 +69,15 @@ def _describe(size: int, share: int, frequent):
                     own_order = own
                 prefix = own_order[: n - (share * n + 99) // 100 + 1] if n else own
                 s1, s2 = _digest(own)
-                for k, v in (("n", n), ("s1", s1), ("s2", s2), ("group", _digest(prefix)[0]), ("prefix", prefix.view(np.int64)), ("bits", _parity(own) if n else [])):
+                for k, v in (
+                    ("n", n), ("s1", s1), ("s2", s2), ("group", _digest(prefix)[0]), ("prefix", prefix.view(np.int64)),
+                    ("bits", _parity(own) if n else [])
+                ):
                     rows[k].append(v)
             types = {"n": pa.int64(), "s1": pa.int64(), "s2": pa.int64(), "group": pa.int64(), "prefix": pa.list_(pa.int64()), "bits": pa.list_(pa.int64())}
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(rows[k], t) for k, t in types.items()]], ["doc_id", "text_hash", *types])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), *[pa.array(rows[k], t) for k, t in types.items()]], ["doc_id", "text_hash", *types]
+            )
 
     return run
 
@@ -98,7 +105,8 @@ LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27  # 16 MB at most; a fuller table lets m
 
 
 def _bit_words(df: DataFrame, column: str, each: int = 16) -> tuple[DataFrame, int]:
-    """(word, bits: the words of a table with a bit for each number in the column that have any; the table's size in bits, at least `each` a number up to MOST_BITS)."""
+    """(word, bits: the words of a table with a bit for each number in the column that have any; the table's size in bits, at least `each` a
+    number up to MOST_BITS)."""
     size = min(MOST_BITS, max(LEAST_BITS, each << df.count().bit_length()))
     at = df.select(F.expr(f"{column} & {size - 1}").alias("at"))
     return at.selectExpr("at >> 6 AS word", "shiftleft(1L, cast(at & 63 AS int)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits")), size
@@ -137,7 +145,10 @@ def _postings(wanted):
             keep = np.flatnonzero(_hits(table, tokens))
             row = np.repeat(np.arange(len(sizes)), sizes)[keep]
             pos = keep - (np.cumsum(sizes) - sizes)[row]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(pos, pa.int32()), pa.array(tokens[keep], pa.int64())], ["row_id", "n", "pos", "token"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(pos, pa.int32()), pa.array(tokens[keep], pa.int64())],
+                ["row_id", "n", "pos", "token"]
+            )
 
     return run
 
@@ -190,14 +201,20 @@ def _resolve(lists: DataFrame, classes: DataFrame, fetch: Callable[[DataFrame],
             now = lists.join(roots, lists["cid"] == roots["node"], "left").select("key", "ways", "cid", "n", "pos", F.coalesce("root", "cid").alias("root"))
         shares = now.groupBy("key", "root").agg(F.count("*").alias("c"), F.max("ways").alias("ways"))
         tops = shares.groupBy("key").agg(F.sum("c").alias("m"), F.max(F.struct("c", "root")).alias("top"), F.max("ways").alias("ways"))
-        tops = tops.where(F.col("m") > F.col("top.c")).select("key", "m", F.col("top.root").alias("top"), (F.col("m") - F.col("top.c")).alias("out"), _salts().alias("salt"))
+        tops = tops.where(F.col("m") > F.col("top.c")).select(
+            "key", "m", F.col("top.root").alias("top"), (F.col("m") - F.col("top.c")).alias("out"), _salts().alias("salt")
+        )
         now = written(now.withColumn("salt", _salt()).join(tops, ["key", "salt"]), "lists")
         if now.isEmpty():
             return links
         small, large = now.where(F.col("m") <= SMALL), now.where(F.col("m") > SMALL)
-        part = lambda df, i: df.select("key", "ways", F.col("cid").alias(f"c{i}"), F.col("n").alias(f"n{i}"), F.col("pos").alias(f"p{i}"), F.col("root").alias(f"r{i}"))
+        part = lambda df, i: df.select(
+            "key", "ways", F.col("cid").alias(f"c{i}"), F.col("n").alias(f"n{i}"), F.col("pos").alias(f"p{i}"), F.col("root").alias(f"r{i}")
+        )
         may = (F.col("r1") != F.col("r2")) & _may_link(F.col("n1"), F.col("p1"), F.col("n2"), F.col("p2"), share)
-        pairs = part(small, 1).join(part(small, 2).drop("ways"), "key").where(may & (F.col("c1") < F.col("c2"))).select(F.col("c1").alias("a"), F.col("c2").alias("b"))
+        pairs = part(small, 1).join(part(small, 2).drop("ways"), "key").where(may & (F.col("c1") < F.col("c2"))).select(
+            F.col("c1").alias("a"), F.col("c2").alias("b")
+        )
         order = F.struct("pos", F.xxhash64("cid"))
         if turn == 0:
             first = large.groupBy("key").agg(F.min_by("cid", order).alias("first"))
@@ -206,7 +223,9 @@ def _resolve(lists: DataFrame, classes: DataFrame, fetch: Callable[[DataFrame],
             most = F.greatest(F.lit(2 * 4**turn), F.floor(2_000_000 / F.col("m")))
             pivots = large.where((F.col("root") != F.col("top")) & (F.pmod(F.xxhash64("cid", F.lit(turn)), F.ceil(F.col("out") / most)) == 0))
             left = large.where(F.col("out") > most)
-        met = part(large, 1).withColumn("salt", _salt("c1")).join(part(pivots, 2).withColumn("salt", _salts()).drop("ways"), ["key", "salt"]).where(may).select(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b"))
+        met = part(large, 1).withColumn("salt", _salt("c1")).join(
+            part(pivots, 2).withColumn("salt", _salts()).drop("ways"), ["key", "salt"]
+        ).where(may).select(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b"))
         pairs = pairs.unionByName(met).distinct()
         pairs = pairs.join(side("a"), "a").join(side("b"), "b")
         apart = F.greatest(F.abs(F.col("n_a") - F.col("n_b")), _differ(F.col("bits_a"), F.col("bits_b")))
@@ -215,7 +234,9 @@ def _resolve(lists: DataFrame, classes: DataFrame, fetch: Callable[[DataFrame],
         likely = written(pairs.where(100 * (F.col("both") - F.col("apart")) >= share * (F.col("both") + F.col("apart"))).select("a", "b", "both"), "likely")
         if not likely.isEmpty():
             sets = fetch(likely.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
-            full = likely.join(sets.select(F.col("cid").alias("a"), F.col("members").alias("set_a")), "a").join(sets.select(F.col("cid").alias("b"), F.col("members").alias("set_b")), "b")
+            full = likely.join(
+                sets.select(F.col("cid").alias("a"), F.col("members").alias("set_a")), "a"
+            ).join(sets.select(F.col("cid").alias("b"), F.col("members").alias("set_b")), "b")
             common = F.size(F.array_intersect("set_a", "set_b"))
             found = written(full.where(100 * common >= share * (F.col("both") - common)).select("a", "b"), "links")
             links = found if links is None else links.unionByName(found)
@@ -225,23 +246,27 @@ def _resolve(lists: DataFrame, classes: DataFrame, fetch: Callable[[DataFrame],
 
 
 def jaccard_components(docs: DataFrame, size: int = 4, share: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: row_id, doc_id, text_hash, n_shingles, component_id (the least doc_id of those reached by links of a Jaccard similarity of share/100 or
-    more), component (a number that only they share; null without shingles).
+    """One row per document: row_id, doc_id, text_hash, n_shingles, component_id (the least doc_id of those reached by links of a Jaccard
+    similarity of share/100 or more), component (a number that only they share; null without shingles).
 
-    Documents are sets of distinct `size`-word shingles (64-bit hashes), put in one global order: frequent shingles last, otherwise by
-    hash. Equal sets are one class; classes with equal prefixes and sizes are one group. Groups that share a prefix shingle are
-    paired and filtered by size and position, the remaining pairs and the groups themselves are expanded into their members,
-    and members are filtered by parity bits and verified on whole sets.
+    Documents are sets of distinct `size`-word shingles (64-bit hashes), put in one global order: frequent shingles last, otherwise by hash.
+    Equal sets are one class; classes with equal prefixes and sizes are one group. Groups that share a prefix shingle are paired and
+    filtered by size and position, the remaining pairs and the groups themselves are expanded into their members, and members are filtered
+    by parity bits and verified on whole sets.
 
     Null or empty text, or none but separators: no shingles, linked with nothing, component_id = doc_id. Null doc_ids: rows of their own; a
     component whose ids are all null has a null id. Repeated ids and rows: copies like others. Empty table: no rows. Other columns are not
-    read. Texts are never shuffled: two maps read them, and one more for each round of candidates, which shingles those alone. What is shuffled are
-    prefixes, and the sets of candidates. Joins on a token or a component are plain, for adaptive execution to split; a long list's own joins are salted."""
+    read. Texts are never shuffled: two maps read them, and one more for each round of candidates, which shingles those alone. What is
+    shuffled are prefixes, and the sets of candidates. Joins on a token or a component are plain, for adaptive execution to split; a long
+    list's own joins are salted."""
     spark = docs.sparkSession
     texts = texts_of(docs, doc_id, text)
     frequent = spark.sparkContext.broadcast(frequent_shingles(texts, size))
     hashed = texts.withColumn("text_hash", F.xxhash64("text"))
-    described = hashed.mapInArrow(_describe(size, share, frequent), "doc_id long, text_hash long, n long, s1 long, s2 long, `group` long, prefix array<long>, bits array<long>")
+    described = hashed.mapInArrow(
+        _describe(size, share, frequent),
+        "doc_id long, text_hash long, n long, s1 long, s2 long, `group` long, prefix array<long>, bits array<long>"
+    )
     rows = written(described.withColumn("row_id", F.monotonically_increasing_id()), "sets")
     classes = written(rows.where("n > 0").groupBy("n", "s1", "s2", "group").agg(F.min("row_id").alias("cid"), F.min("doc_id").alias("first_doc")), "classes")
     groups = classes.groupBy("n", "group").agg(F.min("cid").alias("gid"), F.count("*").alias("k"))
@@ -260,8 +285,13 @@ def jaccard_components(docs: DataFrame, size: int = 4, share: int = 85, doc_id:
     # group pairs of short lists, by size and place
     one = shared.where(F.col("m") <= SMALL)
     x, y = (one.select("token", F.col("gid").alias(f"g{i}"), F.col("n").alias(f"n{i}"), F.col("pos").alias(f"p{i}"), F.col("k").alias(f"k{i}")) for i in (1, 2))
-    pairs = x.join(y, "token").where((F.col("g1") < F.col("g2")) & _may_link(F.col("n1"), F.col("p1"), F.col("n2"), F.col("p2"), share)).select("g1", "g2", "k1", "k2").distinct()
-    pairs = pairs.select(F.xxhash64("g1", "g2").alias("key"), _ways(F.col("k1") + F.col("k2")).alias("ways"), F.explode(F.array("g1", "g2")).alias("gid"), F.lit(0).alias("pos"))
+    pairs = x.join(y, "token").where((F.col("g1") < F.col("g2")) & _may_link(
+        F.col("n1"), F.col("p1"), F.col("n2"), F.col("p2"), share
+    )).select("g1", "g2", "k1", "k2").distinct()
+    pairs = pairs.select(
+        F.xxhash64("g1", "g2").alias("key"), _ways(F.col("k1") + F.col("k2")).alias("ways"), F.explode(F.array("g1", "g2")).alias("gid"),
+        F.lit(0).alias("pos")
+    )
     long_ = shared.where(F.col("m") > SMALL).select(F.col("token").alias("key"), _ways(F.col("size")).alias("ways"), "gid", "pos")
     alike = members.where("k > 1 AND gid = cid").select(F.col("gid").alias("key"), _ways(F.col("k")).alias("ways"), "gid", F.lit(0).alias("pos"))
     # keys are hashes of unlike things; should two be equal, their lists are one longer list, with the ways of the longer, which loses nothing
@@ -287,20 +317,36 @@ def jaccard_components(docs: DataFrame, size: int = 4, share: int = 85, doc_id:
         roots = components(links)
         least = classes.join(roots, classes["cid"] == roots["node"]).groupBy("root").agg(F.min("first_doc").alias("least"))
         least = written(roots.join(least, "root").select(F.col("node").alias("cid"), "least", "root"), "roots")
-        known = classes.join(least, "cid", "left").select("n", "s1", "s2", F.when(F.col("root").isNull(), F.col("first_doc")).otherwise(F.col("least")).alias("component_id"), F.coalesce("root", "cid").alias("component"))
+        known = classes.join(least, "cid", "left").select(
+            "n", "s1", "s2", F.when(F.col("root").isNull(), F.col("first_doc")).otherwise(F.col("least")).alias("component_id"),
+            F.coalesce("root", "cid").alias("component")
+        )
     out = rows.select("row_id", "doc_id", "text_hash", "n", "s1", "s2").join(known, ["n", "s1", "s2"], "left")
     some = F.col("n") > 0
-    return out.select("row_id", "doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(some, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(some, F.col("component")).alias("component"))
+    return out.select(
+        "row_id", "doc_id", "text_hash", F.col("n").alias("n_shingles"),
+        F.when(some, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(some, F.col("component")).alias("component")
+    )
 
 
 def _verdicts(docs: DataFrame, **how) -> DataFrame:
-    """doc_id, text_hash, hash (of both), copies, stays: of each component the row with the least doc_id (null ids last) and text hash. Rows without shingles all stay, and count as one copy."""
+    """doc_id, text_hash, hash (of both), copies, stays: of each component the row with the least doc_id (null ids last) and text hash. Rows
+    without shingles all stay, and count as one copy."""
     marked = written(jaccard_components(docs, **how).select("doc_id", "text_hash", "component"), "marked")
-    first = marked.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
+    first = marked.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"
+    )).alias("first"))
     first = first.select(F.col("first.doc_id").alias("id"), F.col("first.text_hash").alias("text"))
     keys = marked.groupBy("doc_id", "text_hash").agg(F.greatest(F.lit(1), F.count("component")).alias("copies"), F.count("component").alias("some"))
     out = keys.join(first, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("text")), "left")
-    return written(out.select("doc_id", "text_hash", F.xxhash64("doc_id", "text_hash").alias("hash"), "copies", (F.col("text").isNotNull() | (F.col("some") == 0)).alias("stays")), "verdicts")
+    return written(
+        out.select(
+            "doc_id", "text_hash", F.xxhash64("doc_id", "text_hash").alias("hash"), "copies",
+            (F.col("text").isNotNull() | (F.col("some") == 0)).alias("stays")
+        ),
+        "verdicts"
+    )
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
@@ -318,7 +364,9 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
     near = _with_hit(keys.where("stays"), gone, gone_size, "hit").where("hit OR copies > 1").select("hash")
     doubted, doubted_size = _bit_words(written(near, "doubted"), "hash")
     text_hash = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("id"), text_hash.alias("of")).withColumn("hash", F.xxhash64("id", "of"))
+    rows = docs.select(
+        F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("id"), text_hash.alias("of")
+    ).withColumn("hash", F.xxhash64("id", "of"))
     rows = _with_hit(_with_hit(rows, gone, gone_size, "goes"), written(doubted, "words"), doubted_size, "doubt")
     kept = rows.where("NOT doubt AND NOT goes").select("row")
     keys = keys.drop("hash")

@@ -245,10 +245,11 @@ def _layout(f: Frame) -> tuple:
 
 
 def thumbnails(media: list[bytes | None]) -> list[list[np.ndarray] | str | None]:
-    """For each media value, the luminance thumbnail of each of its frames: one 8-bit sample per 8 x 8 block. Null for a null, and what is wrong, as text, for what can't be decoded.
+    """For each media value, the luminance thumbnail of each of its frames: one 8-bit sample per 8 x 8 block. Null for a null, and what is
+    wrong, as text, for what can't be decoded.
 
-    The restart intervals of all frames of one layout are lanes of numpy arrays that are Huffman-decoded in step,
-    so a frame without restart markers is one lane."""
+    The restart intervals of all frames of one layout are lanes of numpy arrays that are Huffman-decoded in step, so a frame without restart
+    markers is one lane."""
     out: list = [None] * len(media)
     groups: dict[tuple, list] = {}
     for i, m in enumerate(media):
@@ -375,7 +376,8 @@ def _skip_ac(bit: np.ndarray, words: np.ndarray, look: np.ndarray, most: int) ->
 
 
 def mean_hash(samples: np.ndarray) -> int:
-    """64 bits: which cells of an 8 x 8 grid over the thumbnail are brighter than their mean. A cell has one sample at least, so in a smaller thumbnail some share it."""
+    """64 bits: which cells of an 8 x 8 grid over the thumbnail are brighter than their mean. A cell has one sample at least, so in a
+    smaller thumbnail some share it."""
     h, w = samples.shape
     sums = np.add.reduceat(np.add.reduceat(samples.astype(np.int64), np.arange(8) * h // 8, axis=0), np.arange(8) * w // 8, axis=1)
     count = np.outer(*(np.maximum(1, np.diff(np.append(np.arange(8) * n // 8, n))) for n in (h, w)))
@@ -404,7 +406,9 @@ def _read(batches):
             whole.append(np.concatenate(found) if isinstance(found, list) and not error else None)
         known = lambda f: [None if i is None else f(i) for i in whole]
         columns = [
-            pa.array(known(lambda i: i.shape[1] * 8), pa.int32()), pa.array(known(lambda i: i.shape[0] * 8), pa.int32()), pa.array(known(lambda i: i.tobytes()), pa.binary()),
+            pa.array(
+                known(lambda i: i.shape[1] * 8), pa.int32()
+            ), pa.array(known(lambda i: i.shape[0] * 8), pa.int32()), pa.array(known(lambda i: i.tobytes()), pa.binary()),
             pa.array(known(lambda i: f"{mean_hash(i):016x}"), pa.string()), pa.array(errors, pa.string()),
         ]
         yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "width", "height", "thumbnail", "thumbnail_hash", "error"])
@@ -423,8 +427,9 @@ def text_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 def read_media(media: DataFrame) -> DataFrame:
     """Adds width, height (of all frames together, in pixels), thumbnail (samples, row by row), thumbnail_hash and error.
 
-    `media` should hold baseline JPEGs: any sampling, tables and restart intervals, in one scan or several. Where a value is empty, cut off, not baseline or no JPEG, or
-    its frames differ in width, error says so and the rest is null, and other rows aren't touched. A null value has nulls and no error."""
+    `media` should hold baseline JPEGs: any sampling, tables and restart intervals, in one scan or several. Where a value is empty, cut off,
+    not baseline or no JPEG, or its frames differ in width, error says so and the rest is null, and other rows aren't touched. A null value
+    has nulls and no error."""
     types = {f.name: f.dataType.simpleString() for f in media.schema.fields}
     schema = ", ".join(f"`{n}` {t}" for n, t in types.items()) + ", width int, height int, thumbnail binary, thumbnail_hash string, error string"
     return media.mapInArrow(_read, schema)

@@ -77,11 +77,17 @@ def _features(batches):
             u, c = np.unique(found[:, b : b + n // len(ORDERS)], return_counts=True)
             buckets.append(u.astype("<u2").tobytes())
             counts.append(c.astype("<u4").tobytes())
-        columns = [batch.column(0), batch.column(1), batch.column(3), pa.array(count, pa.int64()), pa.array(buckets, pa.binary()), pa.array(counts, pa.binary())]
+        columns = [
+            batch.column(0), batch.column(1), batch.column(3), pa.array(count, pa.int64()), pa.array(buckets, pa.binary()),
+            pa.array(counts, pa.binary())
+        ]
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "lang", "windows", "buckets", "counts"])
 
 
-def train(langs: list[str], label: np.ndarray, ids: list[np.ndarray], counts: list[np.ndarray], windows: list[int], held: np.ndarray, dim: int = 16, epochs: int = 6, rate: float = 8.0, seed: int = 7, most_error: float = 0.01, most_lost: float = 0.002) -> Model:
+def train(
+    langs: list[str], label: np.ndarray, ids: list[np.ndarray], counts: list[np.ndarray], windows: list[int], held: np.ndarray,
+    dim: int = 16, epochs: int = 6, rate: float = 8.0, seed: int = 7, most_error: float = 0.01, most_lost: float = 0.002
+) -> Model:
     """Stochastic gradient descent over documents; the rows in `held` set the temperature and the rejection limit instead."""
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.1, (BUCKETS, dim))
@@ -131,7 +137,10 @@ def _sample(docs: DataFrame, per_language: int, most_languages: int, longest: in
     learnt = learnt.orderBy(F.desc("count"), "known").limit(most_languages).select("known")  # bounded, so it may be broadcast
     docs = docs.join(F.broadcast(learnt), docs["lang"].cast("string") == F.col("known"), "left_semi")
     known = F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != "") & (F.length("text") <= longest)
-    rows = docs.where(known & (fold(F.col("doc_id"), folds) != held_fold)).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("lang").cast("string").alias("lang"), "text")
+    rows = docs.where(known & (fold(F.col("doc_id"), folds) != held_fold)).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("lang").cast("string").alias("lang"),
+        "text"
+    )
     keys = least_hashed(rows, "lang", per_language)  # bounded, so it may be broadcast
     return rows.join(F.broadcast(keys), ["doc_id", "text_hash", "lang"]).dropDuplicates(["doc_id", "text_hash", "lang"])
 
@@ -139,9 +148,10 @@ def _sample(docs: DataFrame, per_language: int, most_languages: int, longest: in
 def fit_language(
     docs: DataFrame, per_language: int = 400, most_languages: int = 200, longest: int = 20_000, folds: int = 3, held_fold: int = 1, **how
 ) -> Model:
-    """A model learnt from `per_language` documents of each language at most: those with the least hash of id and text, of at most `longest` characters,
-    outside the held fold. Of more than `most_languages` values of lang those with the most documents are learnt (equal numbers: the first by name), as the model
-    has BUCKETS numbers a language. That sample is all that comes to the driver, as bucket weights. Without any such document the model knows no language."""
+    """A model learnt from `per_language` documents of each language at most: those with the least hash of id and text, of at most `longest`
+    characters, outside the held fold. Of more than `most_languages` values of lang those with the most documents are learnt (equal numbers:
+    the first by name), as the model has BUCKETS numbers a language. That sample is all that comes to the driver, as bucket weights. Without
+    any such document the model knows no language."""
     sample = _sample(docs, per_language, most_languages, longest, folds, held_fold).select("doc_id", "text_hash", "text", "lang")
     got = sorted(sample.mapInArrow(_features, SAMPLE).collect(), key=lambda r: (r["doc_id"], r["text_hash"]))
     if not got:
@@ -170,7 +180,10 @@ def _predictor(model: Model):
     def run(batches):
         for batch in blocks(batches, 2 << 20):
             lang, score, rejected = _predict(model, batch.column(1).to_pylist(), byte_texts(batch))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(lang), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())],
+                ["doc_id", "lang_pred", "score", "rejected"]
+            )
 
     return run
 

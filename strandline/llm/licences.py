@@ -16,7 +16,11 @@ PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserv
 #: Notices: label, words, key phrases that must stand where the notice has them. Several notices may share a label.
 NOTICES = (
     ("mit", "released under the mit license", ("mit license",)),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted", "any person obtaining a copy")),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
+        ("permission is hereby granted", "any person obtaining a copy")
+    ),
     ("apache-2.0", "licensed under the apache license version 2 0", ("apache license version 2 0",)),
     ("gpl-3.0", "this work is licensed under the gnu general public license version 3", ("gnu general public license version 3",)),
     ("gpl-2.0", "this program is licensed under the gnu general public license version 2", ("gnu general public license version 2",)),
@@ -25,8 +29,14 @@ NOTICES = (
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0", ("cc by nc 4 0",)),
     ("cc-by-sa-4.0", "licensed under cc by sa 4 0", ("cc by sa 4 0",)),
     ("cc0-1.0", "released under cc0 1 0 universal public domain dedication", ("cc0 1 0 universal",)),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ("redistribution and use in source and binary forms",)),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("permission to use copy modify", "is hereby granted")),
+    (
+        "bsd", "redistribution and use in source and binary forms with or without modification are permitted",
+        ("redistribution and use in source and binary forms",)
+    ),
+    (
+        "isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+        ("permission to use copy modify", "is hereby granted")
+    ),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
     ("reserved", "copyright all rights reserved", ("all rights reserved",)),
@@ -89,7 +99,10 @@ def known_words(docs: DataFrame, vocabulary: list[str], doc_id: str = "doc_id",
     rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("text"))
     rows = rows.withColumn("words", _words(F.col("text")))  # used twice below, so that Spark computes it once
     hits = F.transform("words", lambda w, i: F.when(w.isin(vocabulary), F.struct(i.alias("at"), w.alias("word"))))
-    return rows.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", F.size("words").cast("long").alias("n_words"), F.array_compact(hits).alias("hits"))
+    return rows.select(
+        F.monotonically_increasing_id().alias("row_id"), "doc_id", F.size("words").cast("long").alias("n_words"),
+        F.array_compact(hits).alias("hits")
+    )
 
 
 def _rarity(files: DataFrame) -> dict[str, int]:
@@ -110,7 +123,10 @@ def _alignments(files: DataFrame, known: list[Notice], rare_words: int, least_vo
     words = F.array_distinct(F.transform("hits", lambda h: h["word"]))
     may = files.where(F.size("hits") > 0).select("row_id", "hits", words.alias("own"))
     possible = F.filter(literal, lambda n: F.size(F.array_except(n["must"], F.col("own"))) == 0)
-    looked = F.transform(possible, lambda n: F.struct(n["number"].alias("number"), F.slice(F.array_intersect(n["words"], F.col("own")), 1, rare_words).alias("words")))
+    looked = F.transform(
+        possible,
+        lambda n: F.struct(n["number"].alias("number"), F.slice(F.array_intersect(n["words"], F.col("own")), 1, rare_words).alias("words"))
+    )
     may = written(may.withColumn("looked", looked).where(F.size("looked") > 0).select("row_id", "hits", "looked"), "looked")
     postings = spark.createDataFrame([(w, n.number, k) for n in known for k, w in enumerate(n.words)], "word string, number int, pos int")
     index = F.broadcast(postings)  # MOST_WORDS rows at most
@@ -124,8 +140,12 @@ def _alignments(files: DataFrame, known: list[Notice], rare_words: int, least_vo
     full = [(n.number, k, w, int(k in n.must), len(n.must), len(n.words)) for n in known for k, w in enumerate(n.words)]
     whole = F.broadcast(spark.createDataFrame(full, "number int, pos int, word string, must int, musts int, size int"))
     wanted = votes.join(whole, "number").withColumn("at", F.col("shift") + F.col("pos"))
-    there = may.join(votes.select("row_id").distinct(), "row_id", "left_semi").select("row_id", F.explode("hits").alias("hit")).select("row_id", F.col("hit.at").alias("at"), F.col("hit.word").alias("word"))
-    found = wanted.join(there, ["row_id", "at", "word"]).groupBy("row_id", "number", "shift", "musts", "size").agg(F.sum("must").alias("must"), F.count("*").alias("words"))
+    there = may.join(votes.select("row_id").distinct(), "row_id", "left_semi").select("row_id", F.explode("hits").alias("hit")).select(
+        "row_id", F.col("hit.at").alias("at"), F.col("hit.word").alias("word")
+    )
+    found = wanted.join(there, ["row_id", "at", "word"]).groupBy("row_id", "number", "shift", "musts", "size").agg(
+        F.sum("must").alias("must"), F.count("*").alias("words")
+    )
     share = F.col("words") / F.col("size")
     found = found.where((F.col("must") == F.col("musts")) & (share >= least_share)).groupBy("row_id", "number").agg(F.max(share).alias("share"))
     return found
@@ -134,15 +154,17 @@ def _alignments(files: DataFrame, known: list[Notice], rare_words: int, least_vo
 def license_labels(
     docs: DataFrame, given=NOTICES, phrases: dict[str, str] = PHRASES, rare_words: int = 6, least_votes: int = 2, least_share: float = 0.5, **columns
 ) -> DataFrame:
-    """One row per document: doc_id, n_words, n_base, first_word, last_word (of the base phrases' places), base_labels, labels (base and notices; arrays in order), score.
+    """One row per document: doc_id, n_words, n_base, first_word, last_word (of the base phrases' places), base_labels, labels (base and
+    notices; arrays in order), score.
 
-    A notice stands in a file if at least least_votes of the rarest words they share (rare_words at most, the highest inverse document frequency over all files first) agree on where it
-    begins, all words of its key phrases stand where they then must, and at least the share least_share of its words do. The score is the greatest such share; a
-    base phrase counts as found whole; 0 without any.
+    A notice stands in a file if at least least_votes of the rarest words they share (rare_words at most, the highest inverse document
+    frequency over all files first) agree on where it begins, all words of its key phrases stand where they then must, and at least the
+    share least_share of its words do. The score is the greatest such share; a base phrase counts as found whole; 0 without any.
 
-    Null or empty text: no words, no labels, score 0. Null or repeated ids: rows of their own. Empty table: no rows. Other columns are not read. Texts are
-    read once and never shuffled: each file keeps only the words that notices have, with their places. Notices (MOST_WORDS words at most) are broadcast; what is shuffled are places
-    of rare words of files that may have a notice, by (file, notice, place), so no word of many files is a key."""
+    Null or empty text: no words, no labels, score 0. Null or repeated ids: rows of their own. Empty table: no rows. Other columns are not
+    read. Texts are read once and never shuffled: each file keeps only the words that notices have, with their places. Notices (MOST_WORDS
+    words at most) are broadcast; what is shuffled are places of rare words of files that may have a notice, by (file, notice, place), so no
+    word of many files is a key."""
     known = notices(given)
     base = {tuple(re.findall("[0-9a-z]+", p.lower())): label for p, label in phrases.items()}
     vocabulary = sorted({w for n in known for w in n.words} | {w for p in base for w in p})
@@ -156,7 +178,12 @@ def license_labels(
         F.array_sort(F.array_distinct(F.transform(F.filter("base", lambda b: F.size(b["at"]) > 0), lambda b: b["label"]))).alias("base_labels"),
     )
     none = F.array().cast("array<string>")
-    own = _alignments(files, known, rare_words, least_votes, least_share).groupBy("row_id").agg(F.collect_set(label_of[F.col("number")]).alias("more"), F.max("share").alias("share"))
+    own = _alignments(files, known, rare_words, least_votes, least_share).groupBy("row_id").agg(
+        F.collect_set(label_of[F.col("number")]).alias("more"), F.max("share").alias("share")
+    )
     out = rows.join(own, "row_id", "left")
     score = F.greatest(F.when(F.col("n_base") > 0, 1.0).otherwise(0.0), F.coalesce("share", F.lit(0.0)))
-    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", F.array_sort(F.array_union("base_labels", F.coalesce("more", none))).alias("labels"), score.alias("score"))
+    return out.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels",
+        F.array_sort(F.array_union("base_labels", F.coalesce("more", none))).alias("labels"), score.alias("score")
+    )

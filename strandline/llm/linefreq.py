@@ -39,21 +39,28 @@ def _covered(hashes: Column) -> Column:
 
 
 def text_features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """One row per document: row_id, doc_id, host, digest (60 bits of the text's MD5), the counts of the base rules, and lines (hash, words) of the lines with a word."""
+    """One row per document: row_id, doc_id, host, digest (60 bits of the text's MD5), the counts of the base rules, and lines (hash, words)
+    of the lines with a word."""
     d = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[host].cast("string").alias("host"), F.coalesce(docs[text], F.lit("")).alias("text"))
     # each array is used twice in the next step, so that Spark computes it once and doesn't inline it into lambdas
     d = d.withColumns({"words": _words(F.col("text")), "full": F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
     d = d.withColumns({"n_words": F.size("words").cast("long"), "hashes": F.transform("words", lambda w: F.xxhash64(w))}).drop("words")
     d = d.withColumn("pairs", _zip_shifted(F.col("hashes"), 1, _mix)).drop("hashes")
     d = d.withColumn("fours", _zip_shifted(F.col("pairs"), 2, _mix)).drop("pairs")
-    d = d.withColumn("eights", F.when(F.col("n_words") >= WINDOW, _zip_shifted(F.col("fours"), 4, _mix)).otherwise(F.array().cast("array<bigint>"))).drop("fours")
+    d = d.withColumn(
+        "eights", F.when(F.col("n_words") >= WINDOW, _zip_shifted(F.col("fours"), 4, _mix)).otherwise(F.array().cast("array<bigint>"))
+    ).drop("fours")
     return d.select(
-        F.monotonically_increasing_id().alias("row_id"), "doc_id", "host", F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("long").alias("digest"), "n_words",
+        F.monotonically_increasing_id().alias("row_id"), "doc_id", "host", F.conv(
+            F.substring(F.md5("text"), 1, 15), 16, 10
+        ).cast("long").alias("digest"), "n_words",
         F.length(F.translate("text", " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("full") - F.size(F.array_distinct("full"))).cast("long").alias("n_dup_lines"),
         F.when(F.size(F.array_distinct("eights")) == F.size("eights"), F.lit(0)).otherwise(_covered(F.col("eights"))).cast("long").alias("n_repeat_words"),
-        F.transform(F.transform("full", lambda x: _words(F.lower(x))), lambda a: F.struct(F.xxhash64(a).alias("hash"), F.size(a).alias("words"))).alias("lines"),
+        F.transform(
+            F.transform("full", lambda x: _words(F.lower(x))), lambda a: F.struct(F.xxhash64(a).alias("hash"), F.size(a).alias("words"))
+        ).alias("lines"),
     )
 
 
@@ -71,7 +78,9 @@ def line_quality(docs: DataFrame, most_documents: int = 10, least_words: int = 2
     table: no rows. Other columns are not read. The texts are read once and never shuffled; what is shuffled are line hashes.
     A common line's rows meet its verdict by (host, line, salt), and counts are summed before each shuffle."""
     rows = written(text_features(docs, **columns), "lines")
-    lines = rows.select("row_id", F.coalesce("host", F.lit("\0null")).alias("host"), "digest", F.explode("lines").alias("line")).select("row_id", "host", "digest", F.col("line.hash").alias("hash"), F.col("line.words").alias("words"))
+    lines = rows.select(
+        "row_id", F.coalesce("host", F.lit("\0null")).alias("host"), "digest", F.explode("lines").alias("line")
+    ).select("row_id", "host", "digest", F.col("line.hash").alias("hash"), F.col("line.words").alias("words"))
     texts = lines.groupBy("host", "hash", "digest").agg(F.lit(1).alias("one"))
     common = texts.groupBy("host", "hash").agg(F.count("one").alias("documents"), F.min("digest").alias("first")).where(F.col("documents") > most_documents)
     common = common.select("host", "hash", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))

@@ -105,22 +105,30 @@ def fold(path: Column, node: Column) -> Column:
     return F.aggregate(path, node, lambda h, s: F.sha2(F.concat(s["left"], h, s["right"]), 256))
 
 
-def manifest(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "source", "lang", "n_chars", "text"), key: str = "source", order: str = "doc_id") -> DataFrame:
-    """One row per row of docs: doc_id, leaf (the digest of the columns), tampered (that of the row with lower-case text, for every fifth id by crc32; else null), path, subroot, root.
-
-    Leaves of one key ascend by `order`; nodes are digests of RUN neighbours until one remains, the subroot. Subroots in the order of their keys make the root in the same way.
-    Fixed blocks of ordered digests collapse DEPTH levels each, and the roots of blocks make the next blocks, so trees of any size need no task with more than a
-    block; a key that holds a third of all rows is dealt by ranges (see `positions`). Texts are read once, and only digests are shuffled.
-
-    Nulls of any column count as `-`, a null key comes first, null ids first within their key, and are never tampered with. Rows of equal key and id stand by digest; equal
-    rows are interchangeable. A lone leaf is its key's subroot; a lone subroot is the root. Empty table: no rows. Other columns are not read."""
+def manifest(
+    docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "source", "lang", "n_chars", "text"), key: str = "source", order: str = "doc_id"
+) -> DataFrame:
+    """One row per row of docs: doc_id, leaf (the digest of the columns), tampered (that of the row with lower-case text, for every fifth id
+    by crc32; else null), path, subroot, root.
+
+    Leaves of one key ascend by `order`; nodes are digests of RUN neighbours until one remains, the subroot. Subroots in the order of their
+    keys make the root in the same way. Fixed blocks of ordered digests collapse DEPTH levels each, and the roots of blocks make the next
+    blocks, so trees of any size need no task with more than a block; a key that holds a third of all rows is dealt by ranges (see
+    `positions`). Texts are read once, and only digests are shuffled.
+
+    Nulls of any column count as `-`, a null key comes first, null ids first within their key, and are never tampered with. Rows of equal
+    key and id stand by digest; equal rows are interchangeable. A lone leaf is its key's subroot; a lone subroot is the root. Empty table:
+    no rows. Other columns are not read."""
     fields = {c: docs[c].cast("long") if c in ("doc_id", "n_chars") else docs[c].cast("string") for c in columns}
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     chosen = F.crc32(fields[order].cast("string").cast("binary")) % 5 == 0
     changed = fields | {"text": F.translate(fields["text"], upper, lower)}
     # a key's own mark keeps null apart from, and before, the empty string
     marked = F.coalesce(F.concat(F.lit("k"), docs[key].cast("string")), F.lit(""))
-    leaves = docs.select(fields[order].alias("id"), marked.alias("key"), digest(*fields.values()).alias("node"), F.when(chosen, digest(*changed.values())).alias("tampered"))
+    leaves = docs.select(
+        fields[order].alias("id"), marked.alias("key"), digest(*fields.values()).alias("node"),
+        F.when(chosen, digest(*changed.values())).alias("tampered")
+    )
     leaves = written(leaves.withColumn("tie", F.monotonically_increasing_id()), "leaves")
     tables, subroots = climb(positions(leaves, "id", "node", "tie"), "id", "tampered")
     # the subroots are the leaves of one tree, whose rows keep their own key
@@ -133,7 +141,8 @@ def manifest(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "source", "l
 
 
 def verified(rows: DataFrame) -> DataFrame:
-    """Rows of `manifest` with proof_sha256 (of all siblings), folded_root (from the tampered leaf, where there is one, and the original siblings) and verified."""
+    """Rows of `manifest` with proof_sha256 (of all siblings), folded_root (from the tampered leaf, where there is one, and the original
+    siblings) and verified."""
     siblings = F.array_join(F.transform("path", lambda s: F.concat(s["left"], s["right"])), "")
     rows = rows.withColumns({"proof_sha256": F.sha2(siblings, 256), "folded_root": fold(F.col("path"), F.coalesce("tampered", "leaf"))})
     return rows.withColumn("verified", F.col("folded_root") == F.col("root"))

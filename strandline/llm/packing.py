@@ -57,8 +57,9 @@ class LevelArray:
         return None
 
     def rest(self) -> Iterator[list]:
-        """Closes the array without padding. Open windows stay as they were built: the fullest is joined by the fullest others that fit, whole. What it then lacks is cut from one
-        window, that with the longest pieces, until that is used up and another takes its place. The last window is cut into falling powers of two."""
+        """Closes the array without padding. Open windows stay as they were built: the fullest is joined by the fullest others that fit,
+        whole. What it then lacks is cut from one window, that with the longest pieces, until that is used up and another takes its place.
+        The last window is cut into falling powers of two."""
         pool: list[tuple] = []
         while window := self._take(self.size):
             gap = self.size - sum(p[-1] for p in window)

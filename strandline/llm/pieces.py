@@ -153,7 +153,10 @@ def _coder(path: str):
             texts = [memo.table.sp.decode(x.tolist()) if len(x) else "" for x in ids]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             flat = pa.array(np.concatenate(ids).astype(np.int32) if ids else [], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array(texts, pa.string())],
+                ["doc_id", "ids", "decoded"]
+            )
 
     return run
 

@@ -14,8 +14,9 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def prepare(spark: SparkSession) -> None:
-    """What a job over whole texts should set, and these queries, which are such jobs, do: 1,000 rows a batch for Python in place of Spark's default of 10,000, as a
-    batch is held in full on both sides. A session with another number keeps it. No operator calls this or changes a session."""
+    """What a job over whole texts should set, and these queries, which are such jobs, do: 1,000 rows a batch for Python in place of Spark's
+    default of 10,000, as a batch is held in full on both sides. A session with another number keeps it. No operator calls this or changes a
+    session."""
     if spark.conf.get(_BATCH) == "10000":
         spark.conf.set(_BATCH, "1000")
 
@@ -43,7 +44,10 @@ def op2_sum_of_squares_packing(spark, sf_dir):
 def op3_sentencepiece_prefix_table(spark, sf_dir):
     rows = pieces.encode_decode(table(spark, sf_dir, "documents"))
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return rows.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
+    )
 
 
 def op4_brown_class_model(spark, sf_dir):
@@ -75,7 +79,9 @@ def op9_secret_scan(spark, sf_dir):
     base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE_KINDS))
     return rows.select(
         "doc_id", *[count(k).alias(f"n_{k}") for k in secrets.BASE_KINDS],
-        F.sha2(F.array_join(F.transform(base, text), ",").cast("binary"), 256).alias("base_sha256"), F.array_join(F.transform("spans", text), ",").alias("spans"),
+        F.sha2(
+            F.array_join(F.transform(base, text), ",").cast("binary"), 256
+        ).alias("base_sha256"), F.array_join(F.transform("spans", text), ",").alias("spans"),
     )
 
 
@@ -84,7 +90,9 @@ def op10_baseline_jpeg(spark, sf_dir):
     size = F.octet_length("thumbnail").cast("long")
     return rows.select(
         "doc_id", "n_bytes", size.alias("payload_bytes"), F.sha2("thumbnail", 256).alias("payload_sha256"), F.crc32(F.substring("thumbnail", -32, 32)).alias("tail_crc32"),
-        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), F.format_string("%dx%d:%s", "width", "height", "thumbnail_hash").alias("feature"),
+        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), F.format_string(
+            "%dx%d:%s", "width", "height", "thumbnail_hash"
+        ).alias("feature"),
     )
 
 
@@ -103,7 +111,11 @@ def op13_license_scan(spark, sf_dir):
     return rows.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_transactions, op2_sum_of_squares_packing, op3_sentencepiece_prefix_table, op4_brown_class_model, op5_line_frequency, op6_language_id, op7_quality_classifier, op8_jaccard_join, op9_secret_scan, op10_baseline_jpeg, op11_merkle_manifest, op12_importance_resampling, op13_license_scan)}
+QUERIES = {f.__name__: f for f in (
+    op1_warc_transactions, op2_sum_of_squares_packing, op3_sentencepiece_prefix_table, op4_brown_class_model, op5_line_frequency,
+    op6_language_id, op7_quality_classifier, op8_jaccard_join, op9_secret_scan, op10_baseline_jpeg, op11_merkle_manifest,
+    op12_importance_resampling, op13_license_scan
+)}
 
 ORACLE = {
     **_LONG,

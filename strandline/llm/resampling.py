@@ -109,7 +109,10 @@ def _weigher(gain: np.ndarray):
                 total += sums[ends] - sums[ends - each]
             n = counts + pairs
             weight = np.where(n > 0, total // np.maximum(n, 1), 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(n, pa.int64()), pa.array(weight, pa.int64())], ["doc_id", "n_words", "n_features", "weight"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(counts, pa.int64()), pa.array(n, pa.int64()), pa.array(weight, pa.int64())],
+                ["doc_id", "n_words", "n_features", "weight"]
+            )
 
     return run
 
@@ -123,12 +126,16 @@ def noise(doc_id: Column, seed: int) -> Column:
 def _offsets(candidates: DataFrame, percent: int) -> DataFrame:
     """score, above (candidates with higher scores), most (how many are drawn): of the scores that are drawn from.
 
-    Weights and noise are logs, so there are some 10**5 different scores at most, whatever the number of rows: their counts are suffix-summed within bands of BAND scores, and over the bands."""
+    Weights and noise are logs, so there are some 10**5 different scores at most, whatever the number of rows: their counts are
+    suffix-summed within bands of BAND scores, and over the bands."""
     counts = written(candidates.groupBy("score").agg(F.count("*").alias("count")).withColumn("band", F.floor(F.col("score") / F.lit(BAND))), "histogram")
     bands = counts.groupBy("band").agg(F.sum("count").alias("rows"))
     down = Window.orderBy(F.desc("band"))
     all_ = F.sum("rows").over(Window.partitionBy())
-    bands = bands.select("band", (F.sum("rows").over(down) - F.col("rows")).alias("higher"), F.floor(all_ * F.lit(percent) / F.lit(100)).cast("long").alias("most"))
+    bands = bands.select(
+        "band", (F.sum("rows").over(down) - F.col("rows")).alias("higher"),
+        F.floor(all_ * F.lit(percent) / F.lit(100)).cast("long").alias("most")
+    )
     within = F.sum("count").over(Window.partitionBy("band").orderBy(F.desc("score"))) - F.col("count")
     out = counts.join(F.broadcast(bands), "band").select("score", (F.col("higher") + within).alias("above"), "most")
     return written(out.where(F.col("above") < F.col("most")), "offsets")
@@ -139,16 +146,16 @@ def resample(
 ) -> DataFrame:
     """One row per document: doc_id, n_words, n_features, weight, score, rank (1, 2, 3 ... from the highest score down; null if not drawn).
 
-    Features are words and pairs of neighbouring words, lower-cased, in `buckets` buckets by crc32. A bucket's gain compares its share of the target's features with
-    that of all documents'; a document's weight is the mean gain of its features, looked up in the array of all gains; its score is the weight and a
-    Gumbel number of its id, so the highest scores are a draw by importance without replacement. Of the documents with least_words words or more `percent` in
-    100 are drawn: exact counts by score, summed from the highest down, give each score the rank its documents begin at, and the lowest score that is drawn from;
-    within a score ranks follow doc_id (nulls first), then weight and n_features. Rows that are equal in all of these share one
-    entry that holds as many ranks, so repeated ids meet in no task.
+    Features are words and pairs of neighbouring words, lower-cased, in `buckets` buckets by crc32. A bucket's gain compares its share of
+    the target's features with that of all documents'; a document's weight is the mean gain of its features, looked up in the array of all
+    gains; its score is the weight and a Gumbel number of its id, so the highest scores are a draw by importance without replacement. Of the
+    documents with least_words words or more `percent` in 100 are drawn: exact counts by score, summed from the highest down, give each
+    score the rank its documents begin at, and the lowest score that is drawn from; within a score ranks follow doc_id (nulls first), then
+    weight and n_features. Rows that are equal in all of these share one entry that holds as many ranks, so repeated ids meet in no task.
 
-    Counts cover all texts of both tables. What is gathered are `buckets` numbers and, at most, one number a score (see _offsets). Texts are read twice and never
-    shuffled. Null or empty text: no words, weight 0, never drawn. Null ids: a noise of their own. Empty target: all its shares are equal. Empty table: no rows. Other
-    columns are not read."""
+    Counts cover all texts of both tables. What is gathered are `buckets` numbers and, at most, one number a score (see _offsets). Texts are
+    read twice and never shuffled. Null or empty text: no words, weight 0, never drawn. Null ids: a noise of their own. Empty target: all
+    its shares are equal. Empty table: no rows. Other columns are not read."""
     texts = texts_of(docs, doc_id, text)
     source = bucket_counts(texts, buckets)
     gain = gains(bucket_counts(target.select(F.coalesce(target[text], F.lit("")).alias("text")), buckets), source)

@@ -40,7 +40,10 @@ _KEYWORDS = [lit(w, fold=True) for w in (b"password", b"passwd", b"secret", b"to
 
 #: The base rules, then those this method adds.
 BASE = (
-    Rule("assign", (_KEYWORDS, (b"\"'", 0, 1), (b" ", 0, None), (b":=", 1, 1), (b" ", 0, None), (b"\"'", 0, 1), (VALUE, 1, None)), 6, rb"(?i:password|passwd|secret|token|api_?key)[\"']? *[:=] *[\"']?"),
+    Rule(
+        "assign", (_KEYWORDS, (b"\"'", 0, 1), (b" ", 0, None), (b":=", 1, 1), (b" ", 0, None), (b"\"'", 0, 1), (VALUE, 1, None)), 6,
+        rb"(?i:password|passwd|secret|token|api_?key)[\"']? *[:=] *[\"']?"
+    ),
     Rule("access", (*lit(b"AKIA"), (UPPER + DIGIT, 1, None)), 20),
     Rule("hex", ((DIGIT + b"abcdef", 24, None),), 24),
 )
@@ -288,17 +291,19 @@ def _scanner(rules: tuple, machines: tuple, redact: bool):
 
 
 def find_secrets(docs: DataFrame, rules: tuple = BASE + ADDED, redact: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, spans (kind, start, end in code points, end exclusive; by start, then rule), and with redact the text with each secret replaced by its [kind].
+    """One row per document: doc_id, spans (kind, start, end in code points, end exclusive; by start, then rule), and with redact the text
+    with each secret replaced by its [kind].
 
-    The rules are compiled once, on the driver, to one minimised automaton; a map over the splits runs it, without a shuffle. A text
-    is scanned whole. Null or empty text: no spans. Null or repeated ids: rows of their own. Empty table: no rows.
-    Overlapping secrets are replaced by the first one's kind. Other columns are not read."""
+    The rules are compiled once, on the driver, to one minimised automaton; a map over the splits runs it, without a shuffle. A text is
+    scanned whole. Null or empty text: no spans. Null or repeated ids: rows of their own. Empty table: no rows. Overlapping secrets are
+    replaced by the first one's kind. Other columns are not read."""
     schema = f"doc_id long, spans {SPANS}" + ", redacted string" * redact
     return texts_of(docs, doc_id, text).mapInArrow(_scanner(rules, compile_rules(rules), redact), schema)
 
 
 def redact_secrets(docs: DataFrame, rules: tuple = BASE + ADDED) -> DataFrame:
-    """docs with each secret in text replaced by its [kind], and n_chars, where there is one, as the new text's length. All rows and columns stay; a null text stays null."""
+    """docs with each secret in text replaced by its [kind], and n_chars, where there is one, as the new text's length. All rows and columns
+    stay; a null text stays null."""
     machines, kinds = compile_rules(rules), [r.kind for r in rules]
 
     def run(batches):

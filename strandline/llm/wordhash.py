@@ -37,7 +37,8 @@ def _place_factors(n: int) -> np.ndarray:
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _BYTES) -> np.ndarray:
-    """Hashes of data[start:end] for rising spans, ends exclusive: the sum of a random value of each byte times a random factor of its place, so no rule makes words that collide.
+    """Hashes of data[start:end] for rising spans, ends exclusive: the sum of a random value of each byte times a random factor of its
+    place, so no rule makes words that collide.
 
     Spans are hashed some PART bytes at a time; a longer one by itself."""
     out = np.empty(len(starts), dtype=np.uint64)
@@ -110,7 +111,10 @@ def frequent_in_chunks(parts: Iterable[np.ndarray], chunk: int = 2_000_000, leas
         first, last = np.flatnonzero(again[1:] & ~again[:-1]), np.flatnonzero(again[:-1] & ~again[1:])
         counts = last - first + 1  # of keys that occur twice or more
         often = counts >= least
-        return pa.RecordBatch.from_arrays([pa.array([*keys[first[often]].view(np.int64).tolist(), None], pa.int64()), pa.array([*counts[often].tolist(), size], pa.int64())], ["key", "count"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array([*keys[first[often]].view(np.int64).tolist(), None], pa.int64()), pa.array([*counts[often].tolist(), size], pa.int64())],
+            ["key", "count"]
+        )
 
     for p in parts:
         while len(p):

@@ -56,12 +56,18 @@ def brute_manifest(rows):
 
 
 def shown(df):
-    return sorted((tuple(r) for r in merkle.verified(df).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified").collect()), key=str)
+    return sorted(
+        (tuple(r) for r in merkle.verified(df).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified").collect()),
+        key=str
+    )
 
 
 @pytest.mark.parametrize("sizes", [(1,), (16,), (17,), (256, 1), (257, 16, 1), (4500, 300, 40) + (1,) * 20])
 def test_manifest_by_brute_force(spark, sizes):
-    rows = [(i * 7 % 5003, f"Text {i}" if i % 4 else "low", "en", None if s == 1 else f"s{s}", i, None, None, None) for s, n in enumerate(sizes) for i in range(n)]
+    rows = [
+        (i * 7 % 5003, f"Text {i}" if i % 4 else "low", "en", None if s == 1 else f"s{s}", i, None, None, None) for s,
+        n in enumerate(sizes) for i in range(n)
+    ]
     df = spark.createDataFrame(rows, DOCS)
     got = shown(merkle.manifest(df.repartition(5)))
     assert got == sorted(brute_manifest(df.collect()), key=str)
@@ -110,7 +116,10 @@ def brute_draw(rows, target, percent=25, least=20):
         weight = sum(gain(bucket(x)) for x in f) // len(f) if f else 0
         h = int(H(f"7:{'' if r['doc_id'] is None else r['doc_id']}")[:8], 16)
         out.append([r["doc_id"], len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None])
-    order = sorted((x for x, r in zip(out, rows, strict=True) if len(words(r["text"])) >= least), key=lambda x: (-x[3], x[0] is not None, x[0] or 0, x[2], x[1]))
+    order = sorted(
+        (x for x, r in zip(out, rows, strict=True) if len(words(r["text"])) >= least),
+        key=lambda x: (-x[3], x[0] is not None, x[0] or 0, x[2], x[1])
+    )
     for k, x in enumerate(order[: len(order) * percent // 100]):
         x[4] = k + 1
     return sorted(map(tuple, out), key=str)
@@ -123,8 +132,12 @@ def drawn(df):
 @pytest.mark.parametrize("copies", [1, 40])
 def test_draw_by_brute_force(spark, copies):
     rnd = random.Random(5)
-    texts = [" ".join(rnd.choice(["Alpha", "beta", "gamma-delta", "É", "x1", "漢字", "a" * 60, "tau, ", "\n"]) for _ in range(rnd.randrange(70))) for _ in range(120)]
-    rows = [(k, t, None, None, None, None, None, None) for k, t in enumerate(texts)] + [(500, texts[0] + " w" * 30, None, None, None, None, None, None)] * copies
+    texts = [" ".join(rnd.choice([
+        "Alpha", "beta", "gamma-delta", "É", "x1", "漢字", "a" * 60, "tau, ", "\n"
+    ]) for _ in range(rnd.randrange(70))) for _ in range(120)]
+    rows = [
+        (k, t, None, None, None, None, None, None) for k, t in enumerate(texts)
+    ] + [(500, texts[0] + " w" * 30, None, None, None, None, None, None)] * copies
     docs = spark.createDataFrame(rows, DOCS).repartition(3)
     target = ["beta gamma", None, "alpha É beta", ""]
     got = resampling.resample(docs, spark.createDataFrame([(i, t) for i, t in enumerate(target)], "item_id long, text string"))
@@ -182,7 +195,9 @@ def scanned(df, **how):
 
 def test_licences_by_brute_force(spark):
     rnd = random.Random(8)
-    notices = [t for _, t, _ in licences.NOTICES] + ["cc by", "All Rights Reserved.", "GNU GENERAL public license", "MIT license", "rights reserved all rights reserved all"]
+    notices = [t for _, t, _ in licences.NOTICES] + [
+        "cc by", "All Rights Reserved.", "GNU GENERAL public license", "MIT license", "rights reserved all rights reserved all"
+    ]
     rows = []
     for k in range(150):
         parts = []
@@ -200,7 +215,14 @@ def test_licences_by_brute_force(spark):
 
 def test_licences_of_awkward_rows(spark):
     many = " ".join(["license"] * 3000 + ["mit license"] * 300 + ["under the"] * 2000)
-    more = spark.createDataFrame([(70, many, None, None, None, None, None, None), (71, "ALL RIGHTſ reserved; all RIGHTS reserved", None, None, None, None, None, None), (72, "marK all\trights\nreserved", None, None, None, None, None, None)], DOCS)
+    more = spark.createDataFrame(
+        [
+            (70, many, None, None, None, None, None, None),
+            (71, "ALL RIGHTſ reserved; all RIGHTS reserved", None, None, None, None, None, None),
+            (72, "marK all\trights\nreserved", None, None, None, None, None, None)
+        ],
+        DOCS
+    )
     docs = awkward(spark).unionByName(more)
     assert scanned(docs) == sorted(brute_scan(docs.collect()), key=lambda r: str(r[:-1]))
     assert licences.license_labels(empty(spark)).count() == 0
@@ -208,7 +230,10 @@ def test_licences_of_awkward_rows(spark):
 
 def test_own_notices(spark):
     given = (("zlib", "this software is provided as is without any express or implied warranty", ("as is without any express or implied warranty",)),)
-    docs = spark.createDataFrame([(1, "This software is provided 'as-is', without any express or implied warranty."), (2, "as is without warranty")], "doc_id long, text string")
+    docs = spark.createDataFrame(
+        [(1, "This software is provided 'as-is', without any express or implied warranty."), (2, "as is without warranty")],
+        "doc_id long, text string"
+    )
     assert [r[6] for r in scanned(docs, given=given)] == [["zlib"], []]
     for bad in ((("x", "some words", ()),), (("x", "some words", ("other",)),)):
         with pytest.raises(ValueError):

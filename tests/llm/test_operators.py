@@ -33,9 +33,17 @@ def texts(docs):
 
 
 def test_warc_pages(spark):
-    pages = spark.createDataFrame([(1, "u", "x" * 1000), (5, "u", "x" * 1000), (3, None, "x" * 1000), (4, "v", None), (6, "v", ""), (7, "w", "x" * 999), (8, "w", "x" * 999), (9, "é", "é" * 600)], "page_id long, url string, html string")
+    pages = spark.createDataFrame(
+        [
+            (1, "u", "x" * 1000), (5, "u", "x" * 1000), (3, None, "x" * 1000), (4, "v", None), (6, "v", ""), (7, "w", "x" * 999),
+            (8, "w", "x" * 999), (9, "é", "é" * 600)
+        ],
+        "page_id long, url string, html string"
+    )
     got = {r["answer"]["page_id"]: r["answer"] for r in warc.archive_pages(pages).collect()}
-    assert {k: v["record_type"] for k, v in got.items()} == {1: "revisit", 3: "revisit", 5: "response", 4: "response", 6: "response", 7: "response", 8: "response", 9: "response"}
+    assert {k: v["record_type"] for k, v in got.items()} == {
+        1: "revisit", 3: "revisit", 5: "response", 4: "response", 6: "response", 7: "response", 8: "response", 9: "response"
+    }
     assert bytes(got[9]["payload"]).decode() == "é" * 600 and got[9]["payload_bytes"] == 1200
     assert got[3]["payload_digest"] == hashlib.sha1(b"x" * 1000).hexdigest()
 
@@ -49,19 +57,28 @@ def test_warc_ids_of_any_long(spark):
 
 
 def record(i, kind, to=(), **more):
-    base = dict.fromkeys(["target_uri", "refers_to_id", "profile", "page_id", "block_bytes", "payload_bytes", "payload_digest", "http_status", "fields", "payload", "error"])
+    base = dict.fromkeys([
+        "target_uri", "refers_to_id", "profile", "page_id", "block_bytes", "payload_bytes", "payload_digest", "http_status", "fields",
+        "payload", "error"
+    ])
     return {"record_id": i, "record_type": kind, "concurrent_to": list(to)} | base | more
 
 
 def captures(spark, rows):
     return [
-        (r["answer"] and r["answer"]["record_id"], r["request"] and r["request"]["record_id"], sorted(str(m["record_id"]) for m in r["metadata"]), sorted(str(o["record_id"]) for o in r["others"]), r["capture_id"])
+        (
+            r["answer"] and r["answer"]["record_id"], r["request"] and r["request"]["record_id"],
+            sorted(str(m["record_id"]) for m in r["metadata"]), sorted(str(o["record_id"]) for o in r["others"]), r["capture_id"]
+        )
         for r in warc.assemble(spark.createDataFrame(rows, warc.RECORDS)).collect()
     ]
 
 
 def test_warc_assembly(spark):
-    rows = [record("r", "response"), record("q", "request", ["r"]), record("m", "metadata", ["q"]), record("m2", "metadata", ["r"]), record("lone", "resource"), record(None, "metadata", ["r"]), record("s", "response", ["s"])]
+    rows = [
+        record("r", "response"), record("q", "request", ["r"]), record("m", "metadata", ["q"]), record("m2", "metadata", ["r"]),
+        record("lone", "resource"), record(None, "metadata", ["r"]), record("s", "response", ["s"])
+    ]
     got = captures(spark, rows)
     assert sorted(got, key=str) == sorted([("r", "q", ["None", "m", "m2"], [], "r"), ("s", None, [], [], "s"), (None, None, [], ["lone"], "lone")], key=str)
 
@@ -71,7 +88,10 @@ def test_warc_links_in_both_directions_and_over_many_hops(spark):
     mutual = [record("r", "response", ["q"]), record("q", "request", ["r"])]
     several = [record("x", "response"), record("y", "request", ["x", "z"]), record("z", "metadata"), record("w", "metadata", ["z", "x"])]
     got = captures(spark, chain + mutual + several + [record("lost", "request", ["nowhere"])])
-    assert sorted(got, key=str) == sorted([("cr", "c9", [f"c{k}" for k in range(9)], [], "cr"), ("r", "q", [], [], "r"), ("x", "y", ["w", "z"], [], "x"), (None, "lost", [], [], "nowhere")], key=str)
+    assert sorted(got, key=str) == sorted(
+        [("cr", "c9", [f"c{k}" for k in range(9)], [], "cr"), ("r", "q", [], [], "r"), ("x", "y", ["w", "z"], [], "x"), (None, "lost", [], [], "nowhere")],
+        key=str
+    )
 
 
 def test_warc_captures_are_components(spark):
@@ -99,8 +119,12 @@ def test_warc_foreign_archives(spark, tmp_path):
     def raw(kind, i, body, *more):
         return "\r\n".join(["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: {i}", *more, f"Content-Length: {len(body)}", "", body, "", ""]).encode()
 
-    good = raw("response", "<a>", "plain") + raw("request", "<b>", "GET", "WARC-Concurrent-To: <a>", "WARC-Concurrent-To: <c>") + raw("metadata", "<c>", "about")
-    (tmp_path / "members.warc.gz").write_bytes(b"".join(gzip.compress(x) for x in (raw("response", "<m>", "one"), raw("metadata", "<n>", "two", "X-Page-ID: none", "WARC-Concurrent-To:\r\n <m>"))))
+    good = raw("response", "<a>", "plain") + raw(
+        "request", "<b>", "GET", "WARC-Concurrent-To: <a>", "WARC-Concurrent-To: <c>"
+    ) + raw("metadata", "<c>", "about")
+    (tmp_path / "members.warc.gz").write_bytes(b"".join(gzip.compress(x) for x in (
+        raw("response", "<m>", "one"), raw("metadata", "<n>", "two", "X-Page-ID: none", "WARC-Concurrent-To:\r\n <m>")
+    )))
     (tmp_path / "plain.warc").write_bytes(good)
     (tmp_path / "cut.warc").write_bytes(raw("response", "<d>", "whole") + raw("response", "<e>", "cut off")[:-8])
     (tmp_path / "cut.warc.gz").write_bytes(gzip.compress(raw("response", "<f>", "x" * 5000))[:-20])
@@ -115,7 +139,9 @@ def test_warc_foreign_archives(spark, tmp_path):
 
 
 def test_warc_revisits_name_their_response(spark):
-    pages = spark.createDataFrame([(k, "u", "x" * 1000) for k in (1, 5, 3)] + [(k, "u", "y" * 1000) for k in (2, 7, 7)], "page_id long, url string, html string")
+    pages = spark.createDataFrame(
+        [(k, "u", "x" * 1000) for k in (1, 5, 3)] + [(k, "u", "y" * 1000) for k in (2, 7, 7)], "page_id long, url string, html string"
+    )
     rows = [r["answer"] for r in warc.archive_pages(pages).collect()]
     (five,) = [r for r in rows if r["page_id"] == 5]
     assert len(rows) == 6 and all(r["refers_to_id"] == five["record_id"] for r in rows if r["page_id"] in (1, 3))
@@ -131,7 +157,10 @@ def test_chunks_are_the_tokenizers_ids(texts):
 
     tok = Tokenizer.from_file(packing.vocabulary())
     end = "<|endoftext|>"
-    more = ["", "a, b", "a,  b ,", "x,\n\ny", "\n", ",", "A.,b .c.", "é, ß.\nñ,", "don't, I'm.", "１２. 3, 4.5,", "  lead", "tab\t, x,\r\n y", "\0 a", f"{end} x", end, f"a  {end}  b {end}{end}\n", f"x{end}y <|endoftext|", f"{end} "]
+    more = [
+        "", "a, b", "a,  b ,", "x,\n\ny", "\n", ",", "A.,b .c.", "é, ß.\nñ,", "don't, I'm.", "１２. 3, 4.5,", "  lead", "tab\t, x,\r\n y",
+        "\0 a", f"{end} x", end, f"a  {end}  b {end}{end}\n", f"x{end}y <|endoftext|", f"{end} "
+    ]
     many = [*texts.values(), *more]
     table = chunks.chunk_table(packing.vocabulary())
     table.most = 3000
@@ -172,7 +201,9 @@ def test_constructed_words_in_queries(spark, tmp_path):
 
     one, other = thue_morse(2048), thue_morse(2048, "b", "a")
     rows = [(1, one), (2, other), (3, f"x {one} y"), (4, f"x {other} y")]
-    spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(
+        [(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long"
+    ).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["component_id"] for r in QUERIES["op8_jaccard_join"](spark, str(tmp_path)).collect()}
     assert got == {1: 1, 2: 2, 3: 3, 4: 4}
     tok = Tokenizer.from_file(packing.vocabulary())
@@ -346,7 +377,9 @@ def test_brown_score_by_brute_force(spark, monkeypatch):
 
 def test_brown_puts_all_words_into_classes(spark):
     rnd = random.Random(1)
-    kind = [[f"{k}w{i}" for i in range(60)] + [f"{k}rare{i}" for i in range(300)] for k in "ab"]  # each kind is followed by the other; rare words come about five times
+    kind = [
+        [f"{k}w{i}" for i in range(60)] + [f"{k}rare{i}" for i in range(300)] for k in "ab"
+    ]  # each kind is followed by the other; rare words come about five times
     draw = lambda k: kind[k][rnd.randrange(60)] if rnd.random() < 0.8 else kind[k][60 + rnd.randrange(300)]
     rows = [(i, " ".join(draw((i + j) % 2) for j in range(100))) for i in range(150)]
     got = brown.brown_scores(spark.createDataFrame(rows, "doc_id long, text string"), words=8, classes=2).collect()
@@ -384,7 +417,9 @@ def test_line_quality(spark):
 def test_repeat_words_by_brute_force(spark):
     rnd = random.Random(3)
     rows = [(i, " ".join(rnd.choice("ab") if i % 2 else rnd.choice("abcdefgh") for _ in range(rnd.randint(0, 60)))) for i in range(60)]
-    got = {r["doc_id"]: r["n_repeat_words"] for r in linefreq.line_quality(spark.createDataFrame([(*r, "h") for r in rows], "doc_id long, text string, source string")).collect()}
+    got = {r["doc_id"]: r["n_repeat_words"] for r in linefreq.line_quality(spark.createDataFrame(
+        [(*r, "h") for r in rows], "doc_id long, text string, source string"
+    )).collect()}
     for i, t in rows:
         w = words(t)
         windows = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
@@ -395,14 +430,19 @@ def test_repeat_words_by_brute_force(spark):
 
 
 def test_language_on_held_out_documents(spark, docs):
-    rows = QUERIES["op6_language_id"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    rows = QUERIES["op6_language_id"](spark, "/root/testdata/sf0.01").join(
+        spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id"
+    ).where("held_out").collect()
     assert np.mean([r["lang"] == r["lang_pred"] for r in rows]) > 0.97
     assert all(0 <= r["score"] <= 1 for r in rows)
     assert np.mean([r["rejected"] for r in rows]) < 0.05
 
 
 def test_language_forward_pass_by_brute_force(spark):
-    docs = spark.createDataFrame([(i, prose(i, 30) if i % 2 else "der die das und nicht " * (1 + i % 5), "en" if i % 2 else "de") for i in range(60)], "doc_id long, text string, lang string")
+    docs = spark.createDataFrame(
+        [(i, prose(i, 30) if i % 2 else "der die das und nicht " * (1 + i % 5), "en" if i % 2 else "de") for i in range(60)],
+        "doc_id long, text string, lang string"
+    )
     model = language.fit_language(docs, dim=4)
     for t in ("one Two, three", "nicht und", "é", "a", " \n ", "漢字 x"):
         data = b" " + t.lower().encode() + b"   " if t.isascii() else b" " + t.encode() + b"   "
@@ -503,7 +543,9 @@ def test_quality_limits_are_shrunk_means(spark):
 
 
 def test_training_is_bounded_for_repeated_ids(spark):
-    rows = spark.range(500).selectExpr("cast(6 AS long) AS doc_id", "concat('text number ', id) AS text", "'en' AS lang").unionByName(spark.range(500).selectExpr("cast(6 AS long) AS doc_id", "'the same' AS text", "'en' AS lang"))
+    rows = spark.range(500).selectExpr(
+        "cast(6 AS long) AS doc_id", "concat('text number ', id) AS text", "'en' AS lang"
+    ).unionByName(spark.range(500).selectExpr("cast(6 AS long) AS doc_id", "'the same' AS text", "'en' AS lang"))
     wanted = spark.createDataFrame([(6,)], "doc_id long")
     sample = kneserney._sample(rows, wanted, 20, 1000)
     assert sample.count() <= 20 and kneserney._learnt(rows, sample).count() == sample.count()
@@ -629,7 +671,10 @@ def test_word_hashes_are_of_words():
 
 # 9
 
-RULES = {"assign": r"(?:(?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", "access": r"AKIA[A-Z0-9]+", "hex": r"[0-9a-f]+"}
+RULES = {
+    "assign": r"(?:(?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", "access": r"AKIA[A-Z0-9]+",
+    "hex": r"[0-9a-f]+"
+}
 
 
 def brute_secrets(t):
@@ -643,7 +688,10 @@ def brute_secrets(t):
 
 def test_secrets_by_regular_expressions(spark, texts):
     rnd = random.Random(2)
-    parts = ["password", "passwd", "Secret", "TOKEN", "api_key", "apikey", " ", "=", ":", "'", '"', "abc123", "AKIA", "ABCDEFGH12345678", "deadbeef", "é", "_", "-", "\n", "0f"]
+    parts = [
+        "password", "passwd", "Secret", "TOKEN", "api_key", "apikey", " ", "=", ":", "'", '"', "abc123", "AKIA", "ABCDEFGH12345678",
+        "deadbeef", "é", "_", "-", "\n", "0f"
+    ]
     more = {10_000 + i: "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 40))) for i in range(400)}
     known = texts | more
     rows = secrets.find_secrets(spark.createDataFrame(list(known.items()), "doc_id long, text string"), redact=True).collect()
@@ -681,7 +729,12 @@ def coded(rnd, width, height, sampling, interval=0, apart=False, wide_tables=Fal
     table = lambda kind, of, size: seg(0xC4, bytes([kind << 4]) + bytes([len(of) if k == size else 0 for k in range(1, 17)]) + bytes(of))
     hmax, vmax, q = max(h for h, _ in sampling), max(v for _, v in sampling), 3
     out = b"\xff\xd8" + seg(0xFE, b"made by a test") + seg(0xDB, bytes([0] + [q] * 64)) + seg(0xDB, bytes([0x11] + [0, 9] * 64))
-    out += seg(0xC0, bytes([8]) + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([len(sampling)]) + b"".join(bytes([k + 1, h << 4 | v, k > 0]) for k, (h, v) in enumerate(sampling)))
+    out += seg(
+        0xC0,
+        bytes([8]) + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([len(sampling)]) + b"".join(
+            bytes([k + 1, h << 4 | v, k > 0]) for k, (h, v) in enumerate(sampling)
+        )
+    )
     out += table(0, dc, length[0]) + table(1, ac, 6) + (seg(0xDD, interval.to_bytes(2, "big")) if interval else b"")
     across, down = -(-width // (8 * hmax)), -(-height // (8 * vmax))
     grids = [np.array([[rnd.randint(-200, 200) for _ in range(across * h)] for _ in range(down * v)]) for h, v in sampling]
@@ -693,10 +746,14 @@ def coded(rnd, width, height, sampling, interval=0, apart=False, wide_tables=Fal
             wide, high = -(-(-(-width * h // hmax)) // 8), -(-(-(-height * v // vmax)) // 8)
             units = [[(parts[0], y, x)] for y in range(high) for x in range(wide)]
         else:
-            units = [[(c, y * sampling[c][1] + j, x * sampling[c][0] + i) for c in parts for j in range(sampling[c][1]) for i in range(sampling[c][0])] for y in range(down) for x in range(across)]
+            units = [[(
+                c, y * sampling[c][1] + j, x * sampling[c][0] + i
+            ) for c in parts for j in range(sampling[c][1]) for i in range(sampling[c][0])] for y in range(down) for x in range(across)]
         data = seg(0xDA, bytes([len(parts)]) + b"".join(bytes([c + 1, 0]) for c in parts) + bytes([0, 63, 0]))
         bits, pred = "", {}
-        put = lambda kind, s, value, n: format(code[kind][s][1], f"0{code[kind][s][0]}b") + (format(value if value >= 0 else value + (1 << n) - 1, f"0{n}b") if n else "")
+        put = lambda kind, s, value, n: format(code[kind][s][1], f"0{code[kind][s][0]}b") + (format(
+            value if value >= 0 else value + (1 << n) - 1, f"0{n}b"
+        ) if n else "")
 
         def flushed():
             raw = bits + "1" * (-len(bits) % 8)
@@ -737,7 +794,10 @@ def coded(rnd, width, height, sampling, interval=0, apart=False, wide_tables=Fal
 
 def test_jpeg_of_any_baseline_kind():
     rnd, media, want = random.Random(8), [], []
-    for sampling in ([(1, 1)], [(2, 2), (1, 1), (1, 1)], [(2, 1), (1, 1), (1, 1)], [(1, 2), (1, 1)], [(1, 1), (1, 1), (1, 1)], [(4, 1), (1, 1), (2, 1), (1, 1)]):
+    for sampling in (
+        [(1, 1)], [(2, 2), (1, 1), (1, 1)], [(2, 1), (1, 1), (1, 1)], [(1, 2), (1, 1)], [(1, 1), (1, 1), (1, 1)],
+        [(4, 1), (1, 1), (2, 1), (1, 1)]
+    ):
         for interval in (0, 3):
             for apart in (False, True):
                 for width, height in ((8, 8), (37, 50), (90, 17)):
@@ -752,7 +812,10 @@ def test_bad_media_are_rows(spark):
     good = jpeg.encode_payloads([bytes(range(192)) * 3])[0]
     other, _ = coded(random.Random(1), 40, 40, [(2, 2), (1, 1), (1, 1)])
     head = other.index(b"\xff\xda")
-    bad = {2: b"", 3: b"no image", 4: good[:-2], 5: good[: len(good) // 2], 6: b"\xff\xd8\xff\xd9", 7: other[: head + 20] + b"\xff\xd9", 8: good + other, 9: other.replace(b"\xff\xc0", b"\xff\xc2"), 10: good[:-40] + good[-2:]}
+    bad = {
+        2: b"", 3: b"no image", 4: good[:-2], 5: good[: len(good) // 2], 6: b"\xff\xd8\xff\xd9", 7: other[: head + 20] + b"\xff\xd9",
+        8: good + other, 9: other.replace(b"\xff\xc0", b"\xff\xc2"), 10: good[:-40] + good[-2:]
+    }
     rows = [(0, good), (1, None), *bad.items(), (20, other)]
     got = {r["k"]: r for r in jpeg.read_media(spark.createDataFrame(rows, "k int, media binary").coalesce(1)).collect()}
     assert bytes(got[0]["thumbnail"]) == bytes(range(192)) * 3 and got[0]["error"] is None and got[20]["error"] is None and got[20]["width"] == 40
@@ -766,7 +829,10 @@ def test_mean_hash_by_brute_force():
         x = rnd.integers(0, 256, shape)
         edge = lambda n: [k * n // 8 for k in range(9)]
         rows, cols = edge(shape[0]), edge(shape[1])
-        means = [np.mean([x[i][j] for i in range(a, max(a + 1, b)) for j in range(c, max(c + 1, d))]) for a, b in itertools.pairwise(rows) for c, d in itertools.pairwise(cols)]
+        means = [
+            np.mean([x[i][j] for i in range(a, max(a + 1, b)) for j in range(c, max(c + 1, d))]) for a, b in itertools.pairwise(rows) for c,
+            d in itertools.pairwise(cols)
+        ]
         assert jpeg.mean_hash(x) == int("".join("1" if m > np.mean(means) + 1e-9 else "0" for m in means), 2)
 
 
@@ -806,6 +872,9 @@ def test_empty_pages(spark):
 
 
 def test_awkward_pages(spark):
-    pages = spark.createDataFrame([(None, None, None, 1), (2, None, "x" * 1000, 2), (2, "u v", "x" * 1000, 3), (None, "u", "x" * 1000, 4)], "page_id long, url string, html string, payload int")
+    pages = spark.createDataFrame(
+        [(None, None, None, 1), (2, None, "x" * 1000, 2), (2, "u v", "x" * 1000, 3), (None, "u", "x" * 1000, 4)],
+        "page_id long, url string, html string, payload int"
+    )
     rows = warc.archive_pages(pages).collect()
     assert len(rows) == 4 and all(r["request"] and len(r["metadata"]) == 1 for r in rows)
