@@ -34,7 +34,10 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
 
-STAGES = [("quality classifier", quality_classifier), ("language ID", language_id), ("n-gram Jaccard join", jaccard_join), ("secret scans", secret_scan), ("packing", pack)]
+STAGES = [
+    ("quality classifier", quality_classifier), ("language ID", language_id), ("n-gram Jaccard join", jaccard_join),
+    ("secret scans", secret_scan), ("packing", pack)
+]
 
 #: The first two stages train models and the last packs by split, which SQL can't express; tests compare each stage with a brute-force version.
 ORACLE_SQL = None

@@ -9,7 +9,8 @@ from pyspark.sql import types as T
 
 from strandline.functions.similar import ratios
 
-# The matching alphabet (digits, a-z, kana, CJK, Hangul), words that end a track title, what is taken for a bracket or a Latin run in one, the bar before a suffix.
+# The matching alphabet (digits, a-z, kana, CJK, Hangul), words that end a track title, what is taken for a bracket or a Latin
+# run in one, the bar before a suffix.
 ALPHABET = "0-9a-z぀-ヿ㐀-鿿가-힣"
 NOISE_WORDS = r"official|audio|video|lyrics?|mv"
 IN_BRACKETS = r"[(\[{【「『]([^)\]}】」』]+)[)\]}】」』]"
@@ -58,12 +59,16 @@ def metadata_similarity(a: Column, b: Column) -> Column:
 
 
 def title_variants(title: Column) -> Column:
-    """Search titles: the title, what stands before a bar, bracket contents, Latin runs; each cut at a noise word, of two characters or more, without repeats (case folded), in order."""
+    """Search titles: the title, what stands before a bar, bracket contents, Latin runs; each cut at a noise word, of two characters or
+    more, without repeats (case folded), in order."""
     plain = strip(F.get(F.split(title, BAR, 2), F.lit(0)))
     inside = F.regexp_extract_all(plain, F.lit(IN_BRACKETS), F.lit(1))
     latin = F.regexp_extract_all(plain, F.lit(LATIN_RUN), F.lit(0))
     found = F.concat(F.array(strip(title), plain), F.transform(inside, strip), F.transform(latin, strip))
-    found = F.transform(found, lambda v: F.regexp_replace(F.regexp_replace(v, rf"(?iU)\b(?:{NOISE_WORDS}|translation)\b.*", ""), r"^[ \-_.,!]+|[ \-_.,!]+$", ""))
+    found = F.transform(
+        found,
+        lambda v: F.regexp_replace(F.regexp_replace(v, rf"(?iU)\b(?:{NOISE_WORDS}|translation)\b.*", ""), r"^[ \-_.,!]+|[ \-_.,!]+$", "")
+    )
     found = F.filter(found, lambda v: F.length(v) >= 2)
     return F.filter(found, lambda v, i: ~F.exists(F.slice(found, F.lit(1), i), lambda w: F.lower(w) == F.lower(v)))
 
@@ -74,7 +79,9 @@ def sync_line(text: Column, choice: Column | str) -> Column:
     lines = F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != "")
     number = F.regexp_extract(choice, r"^Line ([1-3])$", 1).try_cast("int")
     return F.coalesce(
-        F.when(F.size(lines) == 0, F.lit("")).when(number.isNotNull(), F.get(lines, F.least(number, F.size(lines)) - 1)).when(choice == "Last line", F.get(lines, F.size(lines) - 1)).otherwise(F.array_join(lines, " ")),
+        F.when(F.size(lines) == 0, F.lit("")).when(
+            number.isNotNull(), F.get(lines, F.least(number, F.size(lines)) - 1)
+        ).when(choice == "Last line", F.get(lines, F.size(lines) - 1)).otherwise(F.array_join(lines, " ")),
         F.lit(""),
     )
 
@@ -86,14 +93,20 @@ def _pad(n: Column, width: int) -> Column:
 def ass_time(seconds: Column) -> Column:
     """H:MM:SS.cc, rounded half to even."""
     n = F.rint(F.greatest(seconds, F.lit(0.0)) * 100).cast("long")
-    return F.concat((n / 360000).cast("long").cast("string"), F.lit(":"), _pad(F.floor(n / 6000) % 60, 2), F.lit(":"), _pad(F.floor(n / 100) % 60, 2), F.lit("."), _pad(n % 100, 2))
+    return F.concat(
+        (n / 360000).cast("long").cast("string"), F.lit(":"), _pad(F.floor(n / 6000) % 60, 2), F.lit(":"), _pad(F.floor(n / 100) % 60, 2),
+        F.lit("."), _pad(n % 100, 2)
+    )
 
 
 def srt_time(seconds: Column) -> Column:
     """HH:MM:SS,mmm, rounded half to even."""
     n = F.rint(F.greatest(seconds, F.lit(0.0)) * 1000).cast("long")
     hours = F.floor(n / 3600000)
-    return F.concat(F.when(hours > 99, hours.cast("string")).otherwise(_pad(hours, 2)), F.lit(":"), _pad(F.floor(n / 60000) % 60, 2), F.lit(":"), _pad(F.floor(n / 1000) % 60, 2), F.lit(","), _pad(n % 1000, 3))
+    return F.concat(
+        F.when(hours > 99, hours.cast("string")).otherwise(_pad(hours, 2)), F.lit(":"), _pad(F.floor(n / 60000) % 60, 2), F.lit(":"),
+        _pad(F.floor(n / 1000) % 60, 2), F.lit(","), _pad(n % 1000, 3)
+    )
 
 
 def ass_color(rgb: Column, alpha: str = "00") -> Column:

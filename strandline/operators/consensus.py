@@ -21,8 +21,22 @@ GAP = 0.12  # seconds between the starts of refined captions, at least
 
 def bundled(captions: DataFrame, candidates: DataFrame) -> DataFrame:
     """Captions with cands (their candidates in order), before (the end of the caption before) and after (the start of the next)."""
-    c = candidates.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("cand_idx", "start", "end", "confidence", "collapsed_ratio", "source"))).alias("cands"))
-    rows = captions.join(c, KEY, "left").withColumn("cands", F.coalesce("cands", F.filter(F.array(F.struct(F.lit(0).alias("cand_idx"), *[F.lit(0.0).alias(n) for n in ("start", "end", "confidence", "collapsed_ratio")], F.lit("").alias("source"))), lambda x: F.lit(False))))
+    c = candidates.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct(
+        "cand_idx", "start", "end", "confidence", "collapsed_ratio", "source"
+    ))).alias("cands"))
+    rows = captions.join(c, KEY, "left").withColumn(
+        "cands",
+        F.coalesce(
+            "cands",
+            F.filter(
+                F.array(F.struct(
+                    F.lit(0).alias("cand_idx"), *[F.lit(0.0).alias(n) for n in ("start", "end", "confidence", "collapsed_ratio")],
+                    F.lit("").alias("source")
+                )),
+                lambda x: F.lit(False)
+            )
+        )
+    )
     return rows.withColumns({"before": F.lag("end").over(in_order()), "after": F.lead("start").over(in_order())})
 
 
@@ -30,7 +44,13 @@ def _best_pair(cands: Column, cost: Callable[[Column, Column], Column], ok: Call
     """struct(cost, i, j, l, r) of the cheapest pair of candidates of different sources, the first among equals; null without any."""
 
     def pairs(c: Column) -> Column:
-        return F.flatten(F.transform(c, lambda a, i: F.transform(F.filter(c, lambda b, j: (j > i) & (b["source"] != a["source"]) & ok(a, b)), lambda b: F.struct(cost(a, b).alias("cost"), a["cand_idx"].alias("i"), b["cand_idx"].alias("j"), a.alias("l"), b.alias("r")))))
+        return F.flatten(F.transform(
+            c, lambda a,
+            i: F.transform(
+                F.filter(c, lambda b, j: (j > i) & (b["source"] != a["source"]) & ok(a, b)),
+                lambda b: F.struct(cost(a, b).alias("cost"), a["cand_idx"].alias("i"), b["cand_idx"].alias("j"), a.alias("l"), b.alias("r"))
+            )
+        ))
 
     return bound(cands, lambda c: F.array_min(pairs(c)))
 
@@ -62,7 +82,9 @@ def consensus_timing() -> Column:
             collapsed = (F.least(l["collapsed_ratio"], r["collapsed_ratio"]) >= 0.75) & (F.greatest(l["confidence"], r["confidence"]) < 0.04)
             near = F.filter(v, lambda c: (F.abs(c["start"] - at) <= 0.45) & (c["confidence"] >= 0.08) & (c["collapsed_ratio"] < 0.70))
             support = F.size(F.array_distinct(F.transform(near, lambda c: c["source"])))
-            strong = (_apart(l, r) <= 0.15) & (F.least(l["confidence"], r["confidence"]) >= 0.25) & (F.greatest(l["collapsed_ratio"], r["collapsed_ratio"]) < 0.50)
+            strong = (_apart(l, r) <= 0.15) & (F.least(l["confidence"], r["confidence"]) >= 0.25) & (F.greatest(
+                l["collapsed_ratio"], r["collapsed_ratio"]
+            ) < 0.50)
             most = F.when((support >= 3) | strong, 2.8).otherwise(1.0)
             take = (_apart(l, r, "end") <= 1.0) & (F.least(l["end"], r["end"]) > at + 0.35) & (F.abs(stop - end) <= 3.0)
             return F.when((_apart(l, r) <= 0.60) & ~collapsed & (F.abs(at - start) <= most), _timing(at, F.when(take, stop).otherwise(end)))
@@ -92,7 +114,12 @@ def boundary_timing() -> Column:
 
 def contextual_timing() -> Column:
     """Start and end where two windows that begin before the line agree on a move of more than 1 and at most 2.5 s."""
-    valid = F.filter("cands", lambda c: F.coalesce(source_low(c["source"]) < F.col("idx") + 1, F.lit(False)) & (c["confidence"] >= 0.07) & (c["collapsed_ratio"] < 0.70) & (c["end"] > c["start"] + 0.35))
+    valid = F.filter(
+        "cands",
+        lambda c: F.coalesce(
+            source_low(c["source"]) < F.col("idx") + 1, F.lit(False)
+        ) & (c["confidence"] >= 0.07) & (c["collapsed_ratio"] < 0.70) & (c["end"] > c["start"] + 0.35)
+    )
 
     def judged(p: Column) -> Column:
         move = F.abs(_middle(p, "start") - F.col("start"))
@@ -120,7 +147,8 @@ def _select(captions: DataFrame, candidates: DataFrame, timing: Column, *fields:
 
 
 def consensus(captions: DataFrame, candidates: DataFrame) -> DataFrame:
-    """job_id, idx, start, end by consensus_timing; other captions give no row. captions: job_id, idx, start, end; candidates: job_id, idx, cand_idx, start, end, confidence, collapsed_ratio, source."""
+    """job_id, idx, start, end by consensus_timing; other captions give no row. captions: job_id, idx, start, end; candidates: job_id, idx,
+    cand_idx, start, end, confidence, collapsed_ratio, source."""
     return _select(captions, candidates, consensus_timing(), "start", "end")
 
 
@@ -148,7 +176,10 @@ def refine(captions: DataFrame, candidates: DataFrame) -> DataFrame:
     rows = bundled(captions, candidates).withColumn("n", n)
     rows = rows.withColumn("p", F.when(F.col("n") >= 3, F.coalesce(consensus_timing(), boundary_timing(), contextual_timing(), first_line_timing())))
     rest = [c for c in captions.columns if c not in ("job_id", "idx", "start", "end")]
-    rows = rows.select("job_id", "idx", F.coalesce("p.start", "start").alias("wish"), F.col("start").alias("own"), "end", "p", "n", F.struct(*rest).alias("rest"))
+    rows = rows.select(
+        "job_id", "idx", F.coalesce("p.start", "start").alias("wish"), F.col("start").alias("own"), "end", "p", "n",
+        F.struct(*rest).alias("rest")
+    )
 
     def step(state: Column, r: Column) -> Column:
         last = state + GAP
@@ -162,13 +193,22 @@ def refine(captions: DataFrame, candidates: DataFrame) -> DataFrame:
     end = F.least(F.col("duration"), F.coalesce("p.end", "end"), following - 0.05)
     end = F.when(end <= start + 0.20, F.least(F.col("duration"), F.greatest(start + 0.20, following - 0.05))).otherwise(end)
     many = F.col("n") >= 3
-    return out.select("job_id", "idx", F.when(many, start).otherwise(F.col("own")).alias("start"), F.when(many, end).otherwise(F.col("end")).alias("end"), *rest, F.col("p").isNotNull().alias("accepted"))
+    return out.select(
+        "job_id", "idx", F.when(many, start).otherwise(F.col("own")).alias("start"), F.when(many, end).otherwise(F.col("end")).alias("end"),
+        *rest, F.col("p").isNotNull().alias("accepted")
+    )
 
 
 def refinement_rows(before: DataFrame, after: DataFrame, candidates: DataFrame, errors: DataFrame) -> DataFrame:
-    """job_id, idx, source, dtw_start, refined_start, accepted, candidates, error: what a refinement did, a row a line with the candidates it had, and a row a window that gave none (idx null)."""
+    """job_id, idx, source, dtw_start, refined_start, accepted, candidates, error: what a refinement did, a row a line with the candidates
+    it had, and a row a window that gave none (idx null)."""
     cand = F.struct("start", "end", "confidence", "collapsed_ratio", "source")
     seen = candidates.groupBy(*KEY).agg(F.transform(F.sort_array(F.collect_list(F.struct("cand_idx", cand.alias("c")))), lambda x: x["c"]).alias("candidates"))
-    rows = before.select(*KEY, F.col("start").alias("dtw_start")).join(after.select(*KEY, F.col("start").alias("refined_start"), "accepted"), KEY).join(seen, KEY, "left")
-    lines = rows.select("job_id", F.col("idx").cast("int").alias("idx"), F.lit(None).cast("string").alias("source"), "dtw_start", "refined_start", "accepted", "candidates", F.lit(None).cast("string").alias("error"))
+    rows = before.select(*KEY, F.col("start").alias("dtw_start")).join(
+        after.select(*KEY, F.col("start").alias("refined_start"), "accepted"), KEY
+    ).join(seen, KEY, "left")
+    lines = rows.select(
+        "job_id", F.col("idx").cast("int").alias("idx"), F.lit(None).cast("string").alias("source"), "dtw_start", "refined_start",
+        "accepted", "candidates", F.lit(None).cast("string").alias("error")
+    )
     return lines.unionByName(errors.select("job_id", "source", "error"), allowMissingColumns=True)

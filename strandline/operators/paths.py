@@ -1,8 +1,9 @@
 """Best monotone paths over pairs of texts of which only few are compared.
 
-A pair's similarity has a cheap upper bound, from the characters that its texts have in common. The best path by these bounds can't be worse than the best path; once all
-its pairs have been compared, it is that path. So the pairs of the path are compared, and the bounds of what it leaves out stand for the rest: each round compares the
-path's new pairs and the best-bounded pairs of every text, twice as many as the round before.
+A pair's similarity has a cheap upper bound, from the characters that its texts have in common. The best path by these bounds can't be worse
+than the best path; once all its pairs have been compared, it is that path. So the pairs of the path are compared, and the bounds of what it
+leaves out stand for the rest: each round compares the path's new pairs and the best-bounded pairs of every text, twice as many as the round
+before.
 
 Searches are generators that yield the pairs they want compared, so that those of many jobs are compared together."""
 
@@ -144,7 +145,8 @@ SKIP, MERGE = 0.12, 0.04  # for a stamped line that is left out; for each text b
 
 
 def cover(n: int, m: int, row: Callable[[int, int], np.ndarray]) -> list[tuple[int, int, int]]:
-    """The groups (which of GROUPS, first block, first line) that cover n blocks, in order, with the most gain; of m lines some may be left out at SKIP each. None if no groups do.
+    """The groups (which of GROUPS, first block, first line) that cover n blocks, in order, with the most gain; of m lines some may be left
+    out at SKIP each. None if no groups do.
 
     row(g, b): the gains of group g from block b on with every line."""
     sums = np.full((n + 1, m + 1), -np.inf)
@@ -189,9 +191,11 @@ WIDEST = 6  # segments that a block may match
 
 
 def follow(n: int, m: int, most: int, row: Callable[[int, int], np.ndarray]) -> list[tuple[int, int]]:
-    """(j, k) of each of n blocks on the path with the most gain over m segments; j == k where a block matches nothing, at UNMATCHED. Segments left at the end cost LEFT each.
+    """(j, k) of each of n blocks on the path with the most gain over m segments; j == k where a block matches nothing, at UNMATCHED.
+    Segments left at the end cost LEFT each.
 
-    row(d, b): the gains of block b with every d neighbouring segments, up to `most`. Among equal ways into a cell the one from the earliest segment wins."""
+    row(d, b): the gains of block b with every d neighbouring segments, up to `most`. Among equal ways into a cell the one from the earliest
+    segment wins."""
     sums, took = np.full(m + 1, -np.inf), np.zeros((n, m + 1), dtype=np.int8)
     sums[0] = 0.0
     for b in range(n):
@@ -209,7 +213,8 @@ def follow(n: int, m: int, most: int, row: Callable[[int, int], np.ndarray]) ->
 
 
 def best_path(blocks: Sequence[str], segments: Sequence[str], starts: np.ndarray, ends: np.ndarray) -> Search:
-    """(rows (j, k, score) of each block's key on the path with the most gain over the segments' keys, pairs compared, all pairs). A match loses as its length is far from 3.2 s."""
+    """(rows (j, k, score) of each block's key on the path with the most gain over the segments' keys, pairs compared, all pairs). A match
+    loses as its length is far from 3.2 s."""
     most = min(WIDEST, len(segments))
     kinds = [Pairs(list(blocks), runs(segments, d)) for d in range(1, most + 1)]
     lengths = [np.maximum(0.1, ends[d - 1 :] - starts[: len(starts) - d + 1]) for d in range(1, most + 1)]

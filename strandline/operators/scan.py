@@ -1,8 +1,9 @@
 """States of a rule in which each row of a job needs the state that the row before left, over jobs of any length.
 
-The rules here are monotone: below one bound of the state before, the new state is a number; below a second one it is another; beyond that it is the state before and a
-shift, up to a cap. What several rows make of a state is a rule of the same form, so a block of rows is one rule: blocks are composed in parallel, the states at
-their borders follow from the blocks' rules in the same way, a level up, and then each block is gone through by itself. No task has more than a block of a job."""
+The rules here are monotone: below one bound of the state before, the new state is a number; below a second one it is another; beyond that
+it is the state before and a shift, up to a cap. What several rows make of a state is a rule of the same form, so a block of rows is one
+rule: blocks are composed in parallel, the states at their borders follow from the blocks' rules in the same way, a level up, and then each
+block is gone through by itself. No task has more than a block of a job."""
 
 from __future__ import annotations
 
@@ -19,7 +20,8 @@ INFINITE = float("inf")
 
 
 def rule(low: Column, first: Column, high: Column, second: Column, shift: Column | float, cap: Column | float = INFINITE) -> Column:
-    """`first` for states below `low`, `second` below `high`, and from there on the state and `shift`, `cap` at most. `second` must lie between `first` and what comes after."""
+    """`first` for states below `low`, `second` below `high`, and from there on the state and `shift`, `cap` at most. `second` must lie
+    between `first` and what comes after."""
     high = F.greatest(low, high)
     number = lambda x: x.cast("double") if isinstance(x, Column) else F.lit(float(x))
     parts = {"low": low, "first": first, "high": high, "second": F.when(high > low, second).otherwise(first), "shift": shift, "cap": cap}
@@ -33,7 +35,10 @@ def applied(r: Column, state: Column) -> Column:
 def composed(m: Column, f: Column) -> Column:
     """The rule that first goes by m, then by f."""
     beyond = lambda at: F.when(f[at] <= m["cap"], f[at] - m["shift"]).otherwise(INFINITE)
-    both = F.struct(F.greatest(m["high"], beyond("low")).alias("u"), F.greatest(m["high"], beyond("high")).alias("v"), applied(f, m["first"]).alias("a"), applied(f, m["second"]).alias("b"))
+    both = F.struct(
+        F.greatest(m["high"], beyond("low")).alias("u"), F.greatest(m["high"], beyond("high")).alias("v"),
+        applied(f, m["first"]).alias("a"), applied(f, m["second"]).alias("b")
+    )
 
     def joined(x: Column) -> Column:
         make = lambda low, first, high, second: F.struct(
@@ -50,17 +55,21 @@ def composed(m: Column, f: Column) -> Column:
 
 
 def states(rows: DataFrame, step: Callable[[Column, Column], Column], rule_of: Callable[[Column], Column]) -> DataFrame:
-    """rows (job_id, idx from 0 on, ...) with before (the state that the row before left, minus infinity for a job's first), at (that which the row leaves) and next (that of the row after it,
-    null for a job's last).
+    """rows (job_id, idx from 0 on, ...) with before (the state that the row before left, minus infinity for a job's first), at (that which
+    the row leaves) and next (that of the row after it, null for a job's last).
 
-    step(state, row) is the rule itself, rule_of(row) the same as a `rule`, which only tells the states at the borders of blocks. Jobs of one block need none."""
+    step(state, row) is the rule itself, rule_of(row) the same as a `rule`, which only tells the states at the borders of blocks. Jobs of
+    one block need none."""
     entry = F.struct("idx", F.struct(*rows.columns).alias("row"))
     blocks = rows.groupBy("job_id", F.expr(f"cast(idx div {BLOCK} AS long)").alias("block")).agg(F.array_sort(F.collect_list(entry)).alias("rows"))
     blocks = written(blocks.select("job_id", "block", F.transform("rows", lambda x: x["row"]).alias("rows")), "blocks")
     several = not blocks.where("block > 0").isEmpty()
     if several:
         nothing = rule(*[F.lit(-INFINITE)] * 4, 0.0)
-        rules = blocks.select("job_id", F.col("block").alias("idx"), F.aggregate("rows", nothing, lambda m, r: bound(rule_of(r), lambda f: composed(m, f))).alias("rule"))
+        rules = blocks.select(
+            "job_id", F.col("block").alias("idx"),
+            F.aggregate("rows", nothing, lambda m, r: bound(rule_of(r), lambda f: composed(m, f))).alias("rule")
+        )
         borders = states(rules, lambda state, r: applied(r["rule"], state), lambda r: r["rule"])
         blocks = blocks.join(borders.select("job_id", F.col("idx").alias("block"), "before"), ["job_id", "block"])
     else:

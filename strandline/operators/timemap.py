@@ -17,7 +17,10 @@ BINS = 12
 def time_axis(path: DataFrame) -> DataFrame:
     """job_id, ref_t, perf_t: the median performance time of each reference time, never falling."""
     rows = path.groupBy("job_id", "ref_t").agg(F.median("perf_t").alias("m"))
-    return rows.select("job_id", "ref_t", F.max("m").over(Window.partitionBy("job_id").orderBy("ref_t").rowsBetween(Window.unboundedPreceding, 0)).alias("perf_t"))
+    return rows.select(
+        "job_id", "ref_t",
+        F.max("m").over(Window.partitionBy("job_id").orderBy("ref_t").rowsBetween(Window.unboundedPreceding, 0)).alias("perf_t")
+    )
 
 
 def axis_stats(axis: DataFrame) -> DataFrame:
@@ -29,8 +32,12 @@ def axis_stats(axis: DataFrame) -> DataFrame:
 def disagreement(one: DataFrame, other: DataFrame, probes: int = 500) -> DataFrame:
     """job_id, p95 of the absolute difference of two axes at evenly spaced reference times of the part both cover."""
     low = lambda a: a.groupBy("job_id").agg(F.min("ref_t").alias("lo"), F.max("ref_t").alias("hi"))
-    b = low(one).join(low(other).withColumnsRenamed({"lo": "lo2", "hi": "hi2"}), "job_id").select("job_id", F.greatest("lo", "lo2").alias("lo"), F.least("hi", "hi2").alias("hi")).where("hi > lo")
-    grid = b.select("job_id", F.explode(F.sequence(F.lit(0), F.lit(probes - 1))).alias("k"), "lo", "hi").select("job_id", "k", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("k") / (probes - 1)).alias("x"), F.lit(1e18).alias("duration"))
+    b = low(one).join(low(other).withColumnsRenamed({"lo": "lo2", "hi": "hi2"}), "job_id").select(
+        "job_id", F.greatest("lo", "lo2").alias("lo"), F.least("hi", "hi2").alias("hi")
+    ).where("hi > lo")
+    grid = b.select("job_id", F.explode(F.sequence(F.lit(0), F.lit(probes - 1))).alias("k"), "lo", "hi").select(
+        "job_id", "k", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("k") / (probes - 1)).alias("x"), F.lit(1e18).alias("duration")
+    )
     both = interpolate(grid, one).withColumnRenamed("y", "y1")
     both = interpolate(both, other).withColumnRenamed("y", "y2")
     return both.groupBy("job_id").agg(F.percentile(F.abs(F.col("y1") - F.col("y2")), F.lit(0.95)).alias("p95"))
@@ -48,7 +55,8 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 
 def feature_cost(pairs: DataFrame) -> DataFrame:
-    """job_id, cost of aligned frames (job_id, chroma_a, chroma_b, onset_a, onset_b): 0.75 of the chroma's mean distance and 0.25 of the onsets', over frames with energy on both sides; 1 where fewer than 20 are."""
+    """job_id, cost of aligned frames (job_id, chroma_a, chroma_b, onset_a, onset_b): 0.75 of the chroma's mean distance and 0.25 of the
+    onsets', over frames with energy on both sides; 1 where fewer than 20 are."""
     energy = lambda v: F.aggregate(v, F.lit(0.0), lambda t, x: t + x * x)
 
     def part(name: str) -> list[Column]:
@@ -62,7 +70,8 @@ def feature_cost(pairs: DataFrame) -> DataFrame:
 
 
 def onsets(frames: DataFrame) -> DataFrame:
-    """job_id, frame, onset (12 numbers) of chroma frames: rises between frames, by the log of their share of a local maximum over 40 frames, decayed over 10 frames, to unit length."""
+    """job_id, frame, onset (12 numbers) of chroma frames: rises between frames, by the log of their share of a local maximum over 40
+    frames, decayed over 10 frames, to unit length."""
     w = Window.partitionBy("job_id", "bin").orderBy("frame")
     x = frames.select("job_id", "frame", F.posexplode("chroma").alias("bin", "x"))
     x = x.withColumn("x", F.greatest(F.lit(0.0), F.col("x") - F.coalesce(F.lag("x").over(w), F.col("x"))))
@@ -96,8 +105,9 @@ def chroma(samples: np.ndarray, rate: int, hop: int, size: int = 4096) -> np.nda
 
 
 def music_features(files: DataFrame, rate: int = 22_050, frames_a_second: int = 50) -> DataFrame:
-    """job_id (the path), frame, chroma (quantised), onset of 16-bit WAV files read by Spark's binaryFile source. A file is decoded by one task, a batch of frames at a time; all else are expressions and windows.
-    Files that can't be read give no rows; scans.unreadable lists them."""
+    """job_id (the path), frame, chroma (quantised), onset of 16-bit WAV files read by Spark's binaryFile source. A file is decoded by one
+    task, a batch of frames at a time; all else are expressions and windows. Files that can't be read give no rows; scans.unreadable lists
+    them."""
 
     def run(batches):
         for pdf in batches:
@@ -129,10 +139,11 @@ def smooth(x: np.ndarray, window: int, step: int) -> np.ndarray:
 
 
 def banded_path(a: np.ndarray, b: np.ndarray, band: float | None = None, extra: float = 0.08) -> np.ndarray:
-    """Pairs of frames of the cheapest path by cosine distance with steps (1,1), (1,2), (2,1), the latter two at an extra cost. No rows where the band has no path.
+    """Pairs of frames of the cheapest path by cosine distance with steps (1,1), (1,2), (2,1), the latter two at an extra cost. No rows
+    where the band has no path.
 
-    The band keeps pairs whose places differ by less than a share of the shorter side, on the longer side's part by the difference of lengths more. Rows of the table are
-    vectors over the band, so memory is one byte a cell of it."""
+    The band keeps pairs whose places differ by less than a share of the shorter side, on the longer side's part by the difference of
+    lengths more. Rows of the table are vectors over the band, so memory is one byte a cell of it."""
     n, m = len(a), len(b)
     if not n or not m:
         return np.zeros((0, 2), dtype=int)
@@ -167,7 +178,8 @@ def banded_path(a: np.ndarray, b: np.ndarray, band: float | None = None, extra:
 
 
 def _narrow(pairs_cost, n: int, m: int, centre: np.ndarray, radius: int, weights: tuple[float, float, float]) -> tuple[float, np.ndarray]:
-    """(sum, pairs) of the cheapest path with steps (1,0), (0,1), (1,1), whose costs have weights, within `radius` of centre[i + j], a row for each sum of places.
+    """(sum, pairs) of the cheapest path with steps (1,0), (0,1), (1,1), whose costs have weights, within `radius` of centre[i + j], a row
+    for each sum of places.
 
     Anti-diagonals are vectors of 2 radius + 1 cells; pairs_cost gives the costs of arrays of places."""
     width = 2 * radius + 1
@@ -189,7 +201,10 @@ def _narrow(pairs_cost, n: int, m: int, centre: np.ndarray, radius: int, weights
         if s == 0:
             now[1:-1] = np.where(i == 0, cost, np.inf)
         else:
-            ways = np.stack([of(last, i - 1 - low[s - 1]) + weights[0] * cost, of(last, i - low[s - 1]) + weights[1] * cost, (of(before, i - 1 - low[s - 2]) if s > 1 else np.full(width, np.inf)) + weights[2] * cost])
+            ways = np.stack([
+                of(last, i - 1 - low[s - 1]) + weights[0] * cost, of(last, i - low[s - 1]) + weights[1] * cost,
+                (of(before, i - 1 - low[s - 2]) if s > 1 else np.full(width, np.inf)) + weights[2] * cost
+            ])
             took[s] = ways.argmin(axis=0)
             now[1:-1] = ways.min(axis=0)
         before, last = last, now
@@ -208,8 +223,11 @@ def _narrow(pairs_cost, n: int, m: int, centre: np.ndarray, radius: int, weights
 WEIGHTS, CHROMA_SHARE = (1.5, 1.5, 2.0), 0.65
 
 
-def multiscale_path(a: np.ndarray, b: np.ndarray, onset_a: np.ndarray | None = None, onset_b: np.ndarray | None = None, factor: int = 4, radius: int = 16) -> np.ndarray:
-    """A path on averaged frames first, then on finer ones near it, down to whole frames, whose costs are of chroma and onsets: time and memory follow the length, not the product of lengths."""
+def multiscale_path(
+    a: np.ndarray, b: np.ndarray, onset_a: np.ndarray | None = None, onset_b: np.ndarray | None = None, factor: int = 4, radius: int = 16
+) -> np.ndarray:
+    """A path on averaged frames first, then on finer ones near it, down to whole frames, whose costs are of chroma and onsets: time and
+    memory follow the length, not the product of lengths."""
     if not len(a) or not len(b):
         return np.zeros((0, 2), dtype=int)
     n, m = len(a), len(b)
@@ -289,10 +307,15 @@ def _path_finder(method: str, step: int):
 
 
 def build_paths(features: DataFrame, rate: float, method: str = "legacy", frames_a_second: float = 10.0) -> DataFrame:
-    """job_id, ref_t, perf_t of the path between a job's two recordings (job_id, side "ref" or "perf", frame, chroma and, for the multiscale one, onset); a job without a path gives no rows.
+    """job_id, ref_t, perf_t of the path between a job's two recordings (job_id, side "ref" or "perf", frame, chroma and, for the multiscale
+    one, onset); a job without a path gives no rows.
 
-    A path is sequential: it is found by one Arrow function over a job's packed frames. The legacy one works on smoothed frames, about frames_a_second of them."""
+    A path is sequential: it is found by one Arrow function over a job's packed frames. The legacy one works on smoothed frames, about
+    frames_a_second of them."""
     find = _path_finder(method, max(1, round(rate / frames_a_second)))
     found = wide(features).select("job_id", find("ref_chroma", "ref_onset", "perf_chroma", "perf_onset").alias("p"))
-    pairs = F.transform(F.sequence(F.lit(0), (F.size("p") / 2).cast("int") - 1), lambda k: F.struct((F.get("p", 2 * k) / rate).alias("ref_t"), (F.get("p", 2 * k + 1) / rate).alias("perf_t")))
+    pairs = F.transform(
+        F.sequence(F.lit(0), (F.size("p") / 2).cast("int") - 1),
+        lambda k: F.struct((F.get("p", 2 * k) / rate).alias("ref_t"), (F.get("p", 2 * k + 1) / rate).alias("perf_t"))
+    )
     return found.where(F.size("p") > 0).select("job_id", F.explode(pairs).alias("t")).select("job_id", "t.*")

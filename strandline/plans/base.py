@@ -17,7 +17,10 @@ def query(sql: str | None = None):
         QUERIES[f.__name__] = f
         if sql:
             text = sql
-            for name in ("turns", "lyrics", "frames", "spells", "captions", "candidates", "axis", "probes", "raw_starts", "vectors", "payloads", "records", "entries", "targets", "texts", "songs", "catalog", "wanted", "ballads"):
+            for name in (
+                "turns", "lyrics", "frames", "spells", "captions", "candidates", "axis", "probes", "raw_starts", "vectors", "payloads",
+                "records", "entries", "targets", "texts", "songs", "catalog", "wanted", "ballads"
+            ):
                 text = text.replace("{" + name + "}", select(name))
             ORACLE[f.__name__] = text
         return f

@@ -1,8 +1,10 @@
-"""Many jobs at once: each job gets a route, each route is a branch over its jobs, and the branches are one union. Every job gives captions or one row with an error.
+"""Many jobs at once: each job gets a route, each route is a branch over its jobs, and the branches are one union. Every job gives captions
+or one row with an error.
 
-A run has two phases, so that a forced aligner may work in between. `start_jobs` makes everything up to the mapped captions and writes it as tables below one path, with
-the windows of audio and text that the aligner is to get. `finish_jobs` reads them again, with the aligner's results where there are any. It changes nothing below the path,
-so it may be run again, with other results, from another session or after a loss."""
+A run has two phases, so that a forced aligner may work in between. `start_jobs` makes everything up to the mapped captions and writes it as
+tables below one path, with the windows of audio and text that the aligner is to get. `finish_jobs` reads them again, with the aligner's
+results where there are any. It changes nothing below the path, so it may be run again, with other results, from another session or after a
+loss."""
 
 from __future__ import annotations
 
@@ -21,10 +23,14 @@ COLUMNS = "job_id string, idx int, start double, end double, text string, score
 MODES = ("Reference audio DTW", "LRCLIB synced lyrics", "Vocal activity sequential", "Whisper fuzzy match", "Manual anchors", "Even spacing")
 DTW, SYNCED, VOCAL, WHISPER, ANCHORS, EVEN = MODES
 #: What a job has where its table lacks the column.
-DEFAULTS = {"offset": 0.0, "anchors": "", "use_lyrics": True, "fit": True, "keep_start": True, "grouping": scans.BLOCKS, "choice": "Line 1", "refine": True, "language": "auto"}
+DEFAULTS = {
+    "offset": 0.0, "anchors": "", "use_lyrics": True, "fit": True, "keep_start": True, "grouping": scans.BLOCKS, "choice": "Line 1",
+    "refine": True, "language": "auto"
+}
 ITEMS = "job_id string, idx int, start double, end double, text string"
 _CAPTIONS = ITEMS + ", score double, sync_text string, method string"
-#: The tables of a started run: routed jobs; their blocks; captions before refinement and offset; what is wrong with jobs or captions; windows for forced alignment.
+#: The tables of a started run: routed jobs; their blocks; captions before refinement and offset; what is wrong with jobs or captions;
+#: windows for forced alignment.
 STATE = {
     "jobs": "job_id string, mode string, duration double, route string, error string, offset double, refine boolean, blocks int", "captions": _CAPTIONS,
     "faults": "job_id string, k int, idx int, error string",
@@ -33,14 +39,19 @@ STATE = {
 
 
 def prepared(jobs: DataFrame) -> DataFrame:
-    """Jobs (job_id, mode, duration, text) with all columns of DEFAULTS, whose nulls they fill, reference_duration (by default duration), and lengths of a tenth of a second at least."""
+    """Jobs (job_id, mode, duration, text) with all columns of DEFAULTS, whose nulls they fill, reference_duration (by default duration),
+    and lengths of a tenth of a second at least."""
     given = lambda c, v: F.coalesce(F.col(c), v) if c in jobs.columns else v
     length, other = scans.duration_of(F.col("duration")), scans.duration_of(given("reference_duration", F.col("duration")))
-    return jobs.select(F.col("job_id").cast("string").alias("job_id"), "mode", length.alias("duration"), other.alias("reference_duration"), F.coalesce("text", F.lit("")).alias("text"), *[given(c, F.lit(v)).alias(c) for c, v in DEFAULTS.items()])
+    return jobs.select(
+        F.col("job_id").cast("string").alias("job_id"), "mode", length.alias("duration"), other.alias("reference_duration"),
+        F.coalesce("text", F.lit("")).alias("text"), *[given(c, F.lit(v)).alias(c) for c, v in DEFAULTS.items()]
+    )
 
 
 def routed(jobs: DataFrame, lrc: DataFrame, axis: DataFrame) -> DataFrame:
-    """Prepared jobs with route (the method's name) or error. Stamped lyrics of a job's own go before any mode; fetched ones go before recognised words only where they are an exact match."""
+    """Prepared jobs with route (the method's name) or error. Stamped lyrics of a job's own go before any mode; fetched ones go before
+    recognised words only where they are an exact match."""
     facts = lrc.groupBy("job_id").agg(F.lit(True).alias("has_lrc"), F.bool_or("exact").alias("exact"))
     rows = jobs.join(facts, "job_id", "left").join(axis.groupBy("job_id").agg(F.lit(True).alias("has_map")), "job_id", "left")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
@@ -54,12 +65,15 @@ def routed(jobs: DataFrame, lrc: DataFrame, axis: DataFrame) -> DataFrame:
         .when(F.col("mode") == VOCAL, F.when(taken, "stamped lyrics").otherwise("activity"))
         .when(F.col("mode") == DTW, F.when(yes("has_lrc"), "reference lyrics").otherwise("reference transcript"))
     )
-    error = F.when(strip(F.col("text")) == "", "no lyrics").when(route.isNull(), "unknown mode").when(F.startswith(route, F.lit("reference")) & ~yes("has_map"), "no time map")
+    error = F.when(strip(F.col("text")) == "", "no lyrics").when(route.isNull(), "unknown mode").when(
+        F.startswith(route, F.lit("reference")) & ~yes("has_map"), "no time map"
+    )
     return rows.withColumns({"route": F.when(error.isNull(), route), "error": error}).drop("has_lrc", "exact", "has_map")
 
 
 def blocks_of(jobs: DataFrame) -> DataFrame:
-    """job_id, route, idx, text, sync_text, duration: the blocks of routed jobs' lyrics, without a second copy of the whole. A route through the reference has the reference's length."""
+    """job_id, route, idx, text, sync_text, duration: the blocks of routed jobs' lyrics, without a second copy of the whole. A route through
+    the reference has the reference's length."""
     rows = jobs.where("route IS NOT NULL AND route <> 'stamped text'")
     length = F.when(F.startswith("route", F.lit("reference")), F.col("reference_duration")).otherwise(F.col("duration"))
     rows = rows.select("job_id", "route", length.alias("duration"), "grouping", "choice", align.trim_copy(F.col("text"))["text"].alias("text"))
@@ -68,29 +82,41 @@ def blocks_of(jobs: DataFrame) -> DataFrame:
 
 def _captions(df: DataFrame, method: str | Column) -> DataFrame:
     rows = df if "sync_text" in df.columns else df.withColumn("sync_text", F.lit(""))
-    return rows.select("job_id", F.col("idx").cast("int").alias("idx"), "start", "end", "text", "score", "sync_text", (F.lit(method) if isinstance(method, str) else method).alias("method"))
+    return rows.select(
+        "job_id", F.col("idx").cast("int").alias("idx"), "start", "end", "text", "score", "sync_text",
+        (F.lit(method) if isinstance(method, str) else method).alias("method")
+    )
 
 
 def _windows(mapped: DataFrame, blocks: DataFrame, jobs: DataFrame) -> DataFrame:
-    """The windows of jobs whose mapped captions may be refined: job_id, low, high (exclusive), at and until (seconds of the recording, 1.5 s wider than the captions), lines, language."""
-    rows = mapped.join(jobs.where("refine").select("job_id", "language", "blocks"), "job_id").join(blocks.select("job_id", "idx", F.col("sync_text").alias("block_text")), ["job_id", "idx"], "left")
+    """The windows of jobs whose mapped captions may be refined: job_id, low, high (exclusive), at and until (seconds of the recording, 1.5
+    s wider than the captions), lines, language."""
+    rows = mapped.join(jobs.where("refine").select("job_id", "language", "blocks"), "job_id").join(
+        blocks.select("job_id", "idx", F.col("sync_text").alias("block_text")), ["job_id", "idx"], "left"
+    )
     facts = rows.groupBy("job_id").agg(F.count("*").cast("int").alias("n"), F.first("blocks").alias("blocks"))
     chunks = timeline.chunk_windows(facts.where("n >= 3 AND n = blocks").select("job_id", "n"))
     counts = [F.sum(c).alias(f"c{k}") for k, c in enumerate(script_counts(F.col("sync_text")))]
     spoken = blocks.groupBy("job_id").agg(*counts).join(jobs.select("job_id", F.col("language").alias("configured")), "job_id")
     spoken = spoken.select("job_id", language_of(F.col("c0"), F.col("c1"), F.col("c2"), F.col("configured")).alias("language"))
     line = F.struct("idx", "start", "end", F.coalesce(F.nullif("sync_text", F.lit("")), "block_text").alias("line"), "duration")
-    inside = chunks.select("job_id", "low", "high", F.explode(F.sequence("low", F.col("high") - 1)).alias("idx")).join(rows.select("job_id", "idx", line.alias("c")), ["job_id", "idx"])
+    inside = chunks.select(
+        "job_id", "low", "high", F.explode(F.sequence("low", F.col("high") - 1)).alias("idx")
+    ).join(rows.select("job_id", "idx", line.alias("c")), ["job_id", "idx"])
     whole = inside.groupBy("job_id", "low", "high").agg(F.array_sort(F.collect_list("c")).alias("c"))
     first, last = F.get("c", F.lit(0)), F.get("c", F.size("c") - 1)
-    whole = whole.select("job_id", "low", "high", F.greatest(F.lit(0.0), first["start"] - 1.5).alias("at"), F.least(last["duration"], last["end"] + 1.5).alias("until"), F.transform("c", lambda x: x["line"]).alias("lines"))
+    whole = whole.select(
+        "job_id", "low", "high", F.greatest(F.lit(0.0), first["start"] - 1.5).alias("at"),
+        F.least(last["duration"], last["end"] + 1.5).alias("until"), F.transform("c", lambda x: x["line"]).alias("lines")
+    )
     return whole.join(spoken, "job_id", "left")
 
 
 def start_jobs(
     jobs: DataFrame, lrc: DataFrame | None = None, segments: DataFrame | None = None, intervals: DataFrame | None = None, axis: DataFrame | None = None, path: str | None = None
 ) -> str:
-    """The first phase of run_jobs: writes the tables of STATE below path (a new folder in the shared one by default), which must not exist, and gives the path."""
+    """The first phase of run_jobs: writes the tables of STATE below path (a new folder in the shared one by default), which must not exist,
+    and gives the path."""
     spark = jobs.sparkSession
     path = path or scratch_path(spark, "run")
     none = lambda schema: spark.createDataFrame([], schema)
@@ -114,7 +140,9 @@ def start_jobs(
     wrong = wrong.select("job_id", F.concat_ws(": ", "reason", "line").alias("error"))
     placed = timeline.anchor_spacing(manual, anchors)
 
-    synced = align.align_to_lrc(blocks_on("stamped lyrics"), of(items, "stamped lyrics")).join(on("stamped lyrics").select("job_id", "duration", "fit", "keep_start"), "job_id")
+    synced = align.align_to_lrc(blocks_on("stamped lyrics"), of(items, "stamped lyrics")).join(
+        on("stamped lyrics").select("job_id", "duration", "fit", "keep_start"), "job_id"
+    )
     moved = timeline.fit_to_activity(synced.where("fit"), of(intervals, "stamped lyrics"), F.col("keep_start"))
     synced = synced.where("NOT fit").unionByName(moved)
 
@@ -129,8 +157,13 @@ def start_jobs(
 
     counts = blocks.groupBy("job_id").agg(F.count("*").cast("int").alias("blocks"))
     jobs = jobs.join(counts, "job_id", "left").withColumn("blocks", F.coalesce("blocks", F.lit(0)))
-    parts = [_captions(own, "stamped text"), _captions(even, "even"), _captions(placed, "anchors"), _captions(synced, "stamped lyrics"), _captions(heard, "transcript"), _captions(active, "activity"), _captions(mapped, F.col("method"))]
-    fault = lambda df, k: df.select("job_id", F.lit(k).alias("k"), (F.col("idx") if "idx" in df.columns else F.lit(0)).cast("int").alias("idx"), "error")
+    parts = [
+        _captions(own, "stamped text"), _captions(even, "even"), _captions(placed, "anchors"), _captions(synced, "stamped lyrics"),
+        _captions(heard, "transcript"), _captions(active, "activity"), _captions(mapped, F.col("method"))
+    ]
+    fault = lambda df, k: df.select(
+        "job_id", F.lit(k).alias("k"), (F.col("idx") if "idx" in df.columns else F.lit(0)).cast("int").alias("idx"), "error"
+    )
     faults = fault(jobs.where("error IS NOT NULL").select("job_id", "error"), 0).unionByName(fault(wrong, 1)).unionByName(fault(unfit, 2))
     out = {"jobs": jobs, "captions": reduce(DataFrame.unionByName, parts), "faults": faults}
     for name, rows in out.items():
@@ -149,7 +182,8 @@ def _state(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 
 def alignment_windows(spark: SparkSession, path: str) -> DataFrame:
-    """What a forced aligner is to get of a started run: job_id, low, high (exclusive), at, until (its part of the recording), lines (its texts, in order), language."""
+    """What a forced aligner is to get of a started run: job_id, low, high (exclusive), at, until (its part of the recording), lines (its
+    texts, in order), language."""
     return _state(spark, path, "windows")
 
 
@@ -166,9 +200,10 @@ def _refined(spark: SparkSession, path: str, results: DataFrame) -> tuple[DataFr
 def finish_jobs(spark: SparkSession, path: str, results: DataFrame | None = None) -> DataFrame:
     """The second phase of run_jobs, from what start_jobs wrote below path: captions or an error of each job.
 
-    results: what forced alignment gave for windows (job_id, low, high, result: JSON, see scans.forced_candidates), times counting from the window's begin. Mapped jobs with `refine` whose
-    captions are as many as their blocks, and three at least, are refined by them; a window without a result, or with another number of segments than it has lines, gives
-    no candidate (`refinement_notes` lists these). Without results nothing is refined."""
+    results: what forced alignment gave for windows (job_id, low, high, result: JSON, see scans.forced_candidates), times counting from the
+    window's begin. Mapped jobs with `refine` whose captions are as many as their blocks, and three at least, are refined by them; a window
+    without a result, or with another number of segments than it has lines, gives no candidate (`refinement_notes` lists these). Without
+    results nothing is refined."""
     jobs, captions, faults = (_state(spark, path, name) for name in ("jobs", "captions", "faults"))
     if results is not None:
         mapped, refined, _, _ = _refined(spark, path, results)
@@ -192,28 +227,34 @@ def finish_jobs(spark: SparkSession, path: str, results: DataFrame | None = None
 
 
 def refinement_notes(spark: SparkSession, path: str, results: DataFrame) -> DataFrame:
-    """What refining a started run by results does (see consensus.refinement_rows): a row a line with its candidates, a row a window that gave none, and a row with an error for each mapped
-    job that is to be refined and can't be, as it has fewer than three captions or other captions than blocks."""
+    """What refining a started run by results does (see consensus.refinement_rows): a row a line with its candidates, a row a window that
+    gave none, and a row with an error for each mapped job that is to be refined and can't be, as it has fewer than three captions or other
+    captions than blocks."""
     mapped, refined, found, errors = _refined(spark, path, results)
     jobs = _state(spark, path, "jobs").where(F.startswith("route", F.lit("reference")) & F.col("refine") & F.col("error").isNull())
     skipped = jobs.join(_state(spark, path, "windows").select("job_id").distinct(), "job_id", "left_anti")
-    skipped = skipped.select("job_id", F.lit(None).cast("string").alias("source"), F.lit("not refined: other captions than blocks, or fewer than three").alias("error"))
+    skipped = skipped.select(
+        "job_id", F.lit(None).cast("string").alias("source"),
+        F.lit("not refined: other captions than blocks, or fewer than three").alias("error")
+    )
     return consensus.refinement_rows(mapped, refined, found, errors.unionByName(skipped))
 
 
 def run_jobs(
     jobs: DataFrame, lrc: DataFrame | None = None, segments: DataFrame | None = None, intervals: DataFrame | None = None, axis: DataFrame | None = None
 ) -> DataFrame:
-    """job_id, idx, start, end, text, score, sync_text, mode, method, error: the captions of each job (job_id, mode, duration, text, and what DEFAULTS lists), or one row of it with an error and no idx.
+    """job_id, idx, start, end, text, score, sync_text, mode, method, error: the captions of each job (job_id, mode, duration, text, and
+    what DEFAULTS lists), or one row of it with an error and no idx.
 
-    lrc: stamped lyrics that were found (job_id, idx, start, end, text, and exact: whether names and titles agree); segments: recognised words; intervals: active time; axis: the map of
-    times of the reference to the performance's. A table that isn't given counts as empty.
+    lrc: stamped lyrics that were found (job_id, idx, start, end, text, and exact: whether names and titles agree); segments: recognised
+    words; intervals: active time; axis: the map of times of the reference to the performance's. A table that isn't given counts as empty.
 
-    A job whose text is stamped takes its own times, and no offset. Else, by mode: even spacing; anchors; stamped lyrics, which are then fitted to the active time (`fit`), or active time; transcript;
-    or the reference's times, from stamped lyrics, its transcript or its active time, moved through the map. The offset comes last. To refine mapped captions by forced
-    alignment, call start_jobs and finish_jobs in place of this.
-    Errors: no lyrics, no blocks in them, an unknown mode, bad anchors or none, no stamped line, no time map, and for a mapped job captions without length, that overlap, or that
-    are not as many as its blocks.
+    A job whose text is stamped takes its own times, and no offset. Else, by mode: even spacing; anchors; stamped lyrics, which are then
+    fitted to the active time (`fit`), or active time; transcript; or the reference's times, from stamped lyrics, its transcript or its
+    active time, moved through the map. The offset comes last. To refine mapped captions by forced alignment, call start_jobs and
+    finish_jobs in place of this. Errors: no lyrics, no blocks in them, an unknown mode, bad anchors or none, no stamped line, no time map,
+    and for a mapped job captions without length, that overlap, or that are not as many as its blocks.
 
-    Routed jobs, their blocks and the captions of all routes are written between the steps, so each is made once and no plan holds all of them."""
+    Routed jobs, their blocks and the captions of all routes are written between the steps, so each is made once and no plan holds all of
+    them."""
     return finish_jobs(jobs.sparkSession, start_jobs(jobs, lrc, segments, intervals, axis))

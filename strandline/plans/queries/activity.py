@@ -41,7 +41,9 @@ def merged_intervals(spark, d):
     SELECT job_id, fraction, round(t, 6) AS t FROM x""")
 def active_time_lookup(spark, d):
     iv = activity.merged(read(spark, d, "spells"))
-    fractions = iv.select("job_id").distinct().select("job_id", F.explode(F.sequence(F.lit(0), F.lit(10))).alias("k")).select("job_id", (F.col("k") / 10).alias("fraction"))
+    fractions = iv.select("job_id").distinct().select(
+        "job_id", F.explode(F.sequence(F.lit(0), F.lit(10))).alias("k")
+    ).select("job_id", (F.col("k") / 10).alias("fraction"))
     return rounded(timeline.active_time(fractions, iv), "t")
 
 
@@ -53,7 +55,9 @@ def active_time_lookup(spark, d):
     SELECT job_id, idx, round(CASE WHEN fits THEN greatest(0e0, least(a, duration)) ELSE start END, 6) AS start, round(CASE
         WHEN fits THEN least(greatest(greatest(0e0, least(a, duration)) + 0.2e0, b), duration) ELSE "end" END, 6) AS "end" FROM x""")
 def activity_fit(spark, d):
-    iv = read(spark, d, "turns").select("job_id").distinct().where("cast(job_id AS int) % 3 > 0").select("job_id", F.lit(2.0).alias("start"), F.lit(40.0).alias("end"))
+    iv = read(spark, d, "turns").select("job_id").distinct().where("cast(job_id AS int) % 3 > 0").select(
+        "job_id", F.lit(2.0).alias("start"), F.lit(40.0).alias("end")
+    )
     return rounded(timeline.fit_to_activity(even(spark, d), iv), "start", "end").select("job_id", "idx", "start", "end")
 
 
@@ -85,5 +89,8 @@ def session_spells(spark, d):
         WHERE frame = 0 OR frame * 0.1e0 + 0.2e0 <= until + 0.1e0 GROUP BY f.job_id, frame""")
 def level_frames(spark, d):
     """Levels of the events' values as a hundred samples a second."""
-    samples = read(spark, d, "events").select(F.col("user_id").cast("string").alias("job_id"), (F.expr("row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1") * 0.01).alias("t"), (F.col("value") / 100).alias("x"))
+    samples = read(spark, d, "events").select(
+        F.col("user_id").cast("string").alias("job_id"),
+        (F.expr("row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1") * 0.01).alias("t"), (F.col("value") / 100).alias("x")
+    )
     return rounded(activity.frame_levels(samples), "rms").select("job_id", "frame", "rms")

@@ -19,7 +19,9 @@ _ASS = lambda c: f"(cast(c_{c} // 360000 AS varchar) || ':' || lpad(cast(c_{c} /
 _STAMPS = f"""{EVEN}, z AS (SELECT *, cast(round_even(start * 1000, 0) AS bigint) AS n_s, cast(round_even("end" * 1000, 0) AS bigint) AS n_e, cast(round_even(start * 100, 0) AS bigint) AS c_s, cast(round_even("end" * 100, 0) AS bigint) AS c_e FROM ev)"""
 
 
-@query(f"""WITH {_STAMPS} SELECT job_id, string_agg(cast(idx + 1 AS varchar) || chr(10) || {_SRT('s')} || ' --> ' || {_SRT('e')} || chr(10) || text || chr(10), chr(10) ORDER BY idx) AS content FROM z GROUP BY job_id""")
+@query(
+    f"""WITH {_STAMPS} SELECT job_id, string_agg(cast(idx + 1 AS varchar) || chr(10) || {_SRT('s')} || ' --> ' || {_SRT('e')} || chr(10) || text || chr(10), chr(10) ORDER BY idx) AS content FROM z GROUP BY job_id"""
+)
 def srt_export(spark, d):
     return subtitles.srt(even(spark, d))
 
@@ -29,7 +31,9 @@ _HEADER = """'[Script Info]\nTitle: song\nScriptType: v4.00+\nWrapStyle: 0\nScal
 Style: Default,Malgun Gothic,48,&H00FFFFFF,&H000000FF,&H00000000,&H88000000,0,0,0,0,100,100,0,0,1,2.5,1.0,2,90,90,70,1\n\n[Events]\nFormat: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text\n'"""
 
 
-@query(f"""WITH {_STAMPS} SELECT job_id, chr(65279) || {_HEADER} || string_agg('Dialogue: 0,' || {_ASS('s')} || ',' || {_ASS('e')} || ',Default,,0,0,0,,' || replace(replace(replace(replace(text, '\\', '\\\\'), '{{', '\\{{'), '}}', '\\}}'), chr(10), '\\N'), chr(10) ORDER BY idx) || chr(10) AS content FROM z GROUP BY job_id""")
+@query(
+    f"""WITH {_STAMPS} SELECT job_id, chr(65279) || {_HEADER} || string_agg('Dialogue: 0,' || {_ASS('s')} || ',' || {_ASS('e')} || ',Default,,0,0,0,,' || replace(replace(replace(replace(text, '\\', '\\\\'), '{{', '\\{{'), '}}', '\\}}'), chr(10), '\\N'), chr(10) ORDER BY idx) || chr(10) AS content FROM z GROUP BY job_id"""
+)
 def ass_export(spark, d):
     return subtitles.ass(even(spark, d), "song")
 
@@ -48,7 +52,9 @@ def caption_preview(spark, d):
     return subtitles.preview(even(spark, d), 4)
 
 
-@query("""SELECT cast(user_id AS varchar) AS job_id, cast(to_json(list(struct_pack(cost := round(value, 3), frame := event_id) ORDER BY round(value, 3), event_id)) AS varchar) AS content FROM events GROUP BY user_id""")
+@query(
+    """SELECT cast(user_id AS varchar) AS job_id, cast(to_json(list(struct_pack(cost := round(value, 3), frame := event_id) ORDER BY round(value, 3), event_id)) AS varchar) AS content FROM events GROUP BY user_id"""
+)
 def dtw_diagnostics(spark, d):
     rows = read(spark, d, "events").select(F.col("user_id").cast("string").alias("job_id"), F.round("value", 3).alias("cost"), F.col("event_id").alias("frame"))
     return subtitles.diagnostics(rows, ["job_id"])

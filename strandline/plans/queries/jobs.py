@@ -51,9 +51,15 @@ def mode_dispatch_aligned(spark, d):
     from strandline.plans.pipeline import run_jobs
 
     k = F.col("job_id").cast("int") % 3
-    jobs = read(spark, d, "songs").select("job_id", "duration", "grouping", F.when(k == 0, "LRCLIB synced lyrics").when(k == 1, "Whisper fuzzy match").otherwise("Reference audio DTW").alias("mode"))
+    jobs = read(spark, d, "songs").select(
+        "job_id", "duration", "grouping",
+        F.when(k == 0, "LRCLIB synced lyrics").when(k == 1, "Whisper fuzzy match").otherwise("Reference audio DTW").alias("mode")
+    )
     turns = read(spark, d, "turns")
-    texts = turns.groupBy("job_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", F.replace("sync_text", F.lit("\n"), F.lit(" ")).alias("line")))), lambda r: r["line"]), "\n").alias("text"))
+    texts = turns.groupBy("job_id").agg(F.array_join(
+        F.transform(F.sort_array(F.collect_list(F.struct("idx", F.replace("sync_text", F.lit("\n"), F.lit(" ")).alias("line")))), lambda r: r["line"]),
+        "\n"
+    ).alias("text"))
     jobs = jobs.join(texts, "job_id").withColumn("use_lyrics", F.lit(False))
     segments = turns.select("job_id", "idx", (F.col("idx") * 4.0 + 1).alias("start"), (F.col("idx") * 4.0 + 3.5).alias("end"), F.col("sync_text").alias("text"))
     axis = jobs.select("job_id", F.explode(F.array(F.lit(0.0), F.lit(60.0))).alias("ref_t")).withColumn("perf_t", F.col("ref_t") * 0.9 + 1.5)
@@ -66,7 +72,10 @@ def _sung(spark, d):
     stamp = F.format_string("[%02d:%02d.%d] %s", F.floor(F.col("t") / 60), F.floor(F.col("t")) % 60, F.col("idx") % 2 * 5, F.col("line"))
     whole = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", c.alias("x")))), lambda r: r["x"]), "\n")
     songs = lines.groupBy("job_id").agg(whole(F.col("line")).alias("text"), whole(stamp).alias("stamped"), F.first("duration").alias("duration"))
-    jobs = songs.select("job_id", "text", "duration", F.lit("Reference audio DTW").alias("mode"), F.lit("Every non-empty line").alias("grouping"), F.lit(0.5).alias("offset"), F.lit(False).alias("use_lyrics"))
+    jobs = songs.select(
+        "job_id", "text", "duration", F.lit("Reference audio DTW").alias("mode"), F.lit("Every non-empty line").alias("grouping"),
+        F.lit(0.5).alias("offset"), F.lit(False).alias("use_lyrics")
+    )
     axis = songs.select("job_id", F.explode(F.array(F.lit(0.0), F.lit(200.0))).alias("ref_t")).withColumn("perf_t", F.col("ref_t") * 0.9 + 1.5)
     return jobs, scans.lrc_items(songs.select("job_id", "duration", F.col("stamped").alias("text"))), axis
 
@@ -77,7 +86,10 @@ def _aligned(windows):
     lines = F.sequence(F.lit(0), F.col("high") - F.col("low") - F.when(key % 7 == 0, 2).otherwise(1))
     own = (F.col("low") * F.col("low") + 3 * F.col("high") * F.col("high")) % 89 / 1000  # so that no two pairs of windows are equally far apart
     at = lambda k: 1.5 + k * 3.15 + ((key + k * 3) % 11 - 5) / 8 + own
-    word = lambda k, j: F.struct((at(k) + j).alias("start"), (at(k) + j + F.when(key % 3 == j, 0.01).otherwise(0.5)).alias("end"), F.when(key % 5 > 0, (k + j + 1) / 20).alias("probability"))
+    word = lambda k, j: F.struct(
+        (at(k) + j).alias("start"), (at(k) + j + F.when(key % 3 == j, 0.01).otherwise(0.5)).alias("end"),
+        F.when(key % 5 > 0, (k + j + 1) / 20).alias("probability")
+    )
     segments = F.transform(lines, lambda k: F.struct(at(k).alias("start"), (at(k) + 2.5).alias("end"), F.array(word(k, 0), word(k, 1)).alias("words")))
     return windows.where(key % 11 > 0).select("job_id", "low", "high", F.to_json(F.struct(segments.alias("segments"))).alias("result"))
 
@@ -104,8 +116,8 @@ _SUNG = """cp AS (SELECT job_id, idx, 0.9e0 * t + 1.5e0 AS start, 0.9e0 * (t + C
     FROM wk WHERE key % 11 = 0 OR key % 7 = 0
     UNION ALL SELECT job_id, NULL, NULL, NULL, NULL, NULL, NULL, 'not refined: other captions than blocks, or fewer than three' FROM j WHERE n < 3""")
 def refined_jobs(spark, d):
-    """From songs to refined captions: the first phase writes the windows, a stand-in for the aligner times them, the second phase resumes from the written tables. A row a caption, and a row a
-    window that gave nothing or a job that can't be refined."""
+    """From songs to refined captions: the first phase writes the windows, a stand-in for the aligner times them, the second phase resumes
+    from the written tables. A row a caption, and a row a window that gave nothing or a job that can't be refined."""
     from strandline.plans.pipeline import alignment_windows, finish_jobs, refinement_notes, start_jobs
 
     jobs, lyrics, axis = _sung(spark, d)

@@ -44,7 +44,12 @@ def time_map_disagreement(spark, d):
     SELECT job_id, round(CASE WHEN n >= 20 THEN c ELSE 1e0 END, 6) AS cost FROM g""")
 def feature_cost(spark, d):
     v = read(spark, d, "vectors").select("job_id", F.col("va").cast("array<double>").alias("a"), F.col("vb").cast("array<double>").alias("b"))
-    return rounded(timemap.feature_cost(v.select("job_id", F.col("a").alias("chroma_a"), F.col("b").alias("chroma_b"), F.col("a").alias("onset_a"), F.col("b").alias("onset_b"))), "cost")
+    return rounded(
+        timemap.feature_cost(v.select(
+            "job_id", F.col("a").alias("chroma_a"), F.col("b").alias("chroma_b"), F.col("a").alias("onset_a"), F.col("b").alias("onset_b")
+        )),
+        "cost"
+    )
 
 
 def _pitch_classes():
@@ -75,7 +80,10 @@ def _recordings(spark, d):
     v = read(spark, d, "embeddings").select(F.col("label").cast("string").alias("job_id"), "vec_id", _pitch_classes().alias("c"))
     unit = F.transform("c", lambda x: x / F.greatest(F.lit(1e-8), F.sqrt(F.aggregate("c", F.lit(0.0), lambda t, y: t + y * y))))
     side = F.when(F.col("vec_id") % 2 == 0, "ref").otherwise("perf")
-    rows = v.select("job_id", side.alias("side"), F.expr("row_number() OVER (PARTITION BY job_id, vec_id % 2 ORDER BY vec_id) - 1").alias("frame"), unit.alias("chroma"))
+    rows = v.select(
+        "job_id", side.alias("side"), F.expr("row_number() OVER (PARTITION BY job_id, vec_id % 2 ORDER BY vec_id) - 1").alias("frame"),
+        unit.alias("chroma")
+    )
     return rows.withColumn("onset", F.col("chroma"))
 
 
@@ -95,5 +103,8 @@ def time_map_choice(spark, d):
     from strandline.operators.reference import best_map
 
     axis, report = best_map(_recordings(spark, d), 10.0)
-    rows = report.join(axis, "job_id", "left").select("job_id", "method", "error", "shift", "multiscale_cost", "legacy_cost", "multiscale_spread", "legacy_spread", "disagreement", "ref_t", "perf_t")
+    rows = report.join(axis, "job_id", "left").select(
+        "job_id", "method", "error", "shift", "multiscale_cost", "legacy_cost", "multiscale_spread", "legacy_spread", "disagreement",
+        "ref_t", "perf_t"
+    )
     return rounded(rows, "multiscale_cost", "legacy_cost", "multiscale_spread", "legacy_spread", "disagreement")

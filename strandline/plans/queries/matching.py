@@ -21,7 +21,9 @@ from strandline.sources import scans
         ' ' ORDER BY i.idx) AS text FROM s JOIN i ON i.job_id = s.job_id AND i.idx >= lo AND i.idx < greatest(lo + 1, hi) GROUP BY s.job_id, slot""")
 def compress_rows(spark, d):
     lines = F.filter(F.transform(F.split("text", "\n"), X.strip), lambda x: x != "")
-    items = read(spark, d, "texts").select("job_id", F.posexplode(lines).alias("idx", "text")).select("job_id", "idx", (F.col("idx") * 2.0).alias("start"), (F.col("idx") * 2.0 + 1).alias("end"), "text")
+    items = read(spark, d, "texts").select("job_id", F.posexplode(lines).alias("idx", "text")).select(
+        "job_id", "idx", (F.col("idx") * 2.0).alias("start"), (F.col("idx") * 2.0 + 1).alias("end"), "text"
+    )
     return rounded(align.compress(items, items.select("job_id").distinct().withColumn("n", F.lit(3))), "start", "end")
 
 
@@ -44,8 +46,12 @@ def split_counts(spark, d):
 def transcript_align(spark, d):
     turns = read(spark, d, "turns")
     segments = turns.where("role = 'assistant'").select("job_id", "idx", F.col("sync_text").alias("text"))
-    segments = segments.withColumn("idx", F.expr("row_number() OVER (PARTITION BY job_id ORDER BY idx) - 1")).select("job_id", "idx", (F.col("idx") * 4.0 + 1).alias("start"), (F.col("idx") * 4.0 + 3.5).alias("end"), "text")
-    blocks = turns.where("role = 'user'").select("job_id", F.expr("row_number() OVER (PARTITION BY job_id ORDER BY idx) - 1").alias("idx"), "text", "sync_text", "duration")
+    segments = segments.withColumn("idx", F.expr("row_number() OVER (PARTITION BY job_id ORDER BY idx) - 1")).select(
+        "job_id", "idx", (F.col("idx") * 4.0 + 1).alias("start"), (F.col("idx") * 4.0 + 3.5).alias("end"), "text"
+    )
+    blocks = turns.where("role = 'user'").select(
+        "job_id", F.expr("row_number() OVER (PARTITION BY job_id ORDER BY idx) - 1").alias("idx"), "text", "sync_text", "duration"
+    )
     return rounded(align.align_to_segments(blocks, segments), "start", "end", "score")
 
 
@@ -58,7 +64,9 @@ def lrc_group_align(spark, d):
 @query()
 def adaptive_lines(spark, d):
     turns = read(spark, d, "turns")
-    segments = turns.where("role = 'assistant'").select("job_id", F.expr("row_number() OVER (PARTITION BY job_id ORDER BY idx) - 1").alias("idx"), F.col("sync_text").alias("text"))
+    segments = turns.where("role = 'assistant'").select(
+        "job_id", F.expr("row_number() OVER (PARTITION BY job_id ORDER BY idx) - 1").alias("idx"), F.col("sync_text").alias("text")
+    )
     return align.choose_lines(turns.where("role = 'user'").select("job_id", "idx", "text", "sync_text"), segments).select("job_id", "idx", "sync_text")
 
 
@@ -66,6 +74,8 @@ def adaptive_lines(spark, d):
 def reference_transcript(spark, d):
     """Captions on a transcript where it fits, else on active time."""
     turns = read(spark, d, "turns")
-    segments = turns.where("cast(job_id AS int) % 2 = 0").select("job_id", "idx", (F.col("idx") * 4.0 + 1).alias("start"), (F.col("idx") * 4.0 + 3.5).alias("end"), F.col("sync_text").alias("text"))
+    segments = turns.where("cast(job_id AS int) % 2 = 0").select(
+        "job_id", "idx", (F.col("idx") * 4.0 + 1).alias("start"), (F.col("idx") * 4.0 + 3.5).alias("end"), F.col("sync_text").alias("text")
+    )
     blocks = turns.select("job_id", "idx", "text", "sync_text", "duration")
     return rounded(align.align_to_reference(blocks, segments, activity.merged(read(spark, d, "spells"))), "start", "end", "score")

@@ -29,7 +29,9 @@ def block_scan_lines(spark, d):
 
 @query(f"WITH {NAMES} SELECT job_id, artist, title FROM names")
 def metadata_projection(spark, d):
-    return read(spark, d, "payloads").select("job_id", scans.metadata_fields(F.col("payload"), F.col("artist"), F.col("title")).alias("m")).select("job_id", "m.*")
+    return read(spark, d, "payloads").select(
+        "job_id", scans.metadata_fields(F.col("payload"), F.col("artist"), F.col("title")).alias("m")
+    ).select("job_id", "m.*")
 
 
 @query("""WITH w AS (SELECT job_id, idx, string_split(sync_text, ' ') AS ws FROM {turns}), p AS (SELECT job_id, idx, length(x) / 100e0 AS span,
@@ -37,7 +39,10 @@ def metadata_projection(spark, d):
     SELECT job_id, idx, round(avg(CASE WHEN round(span, 6) < 0.04e0 THEN 1e0 ELSE 0e0 END), 6) AS collapsed_ratio, round(avg(prob), 6) AS confidence
         FROM p GROUP BY job_id, idx""")
 def word_stats(spark, d):
-    words = F.transform(F.split("sync_text", " "), lambda x: F.struct(F.lit(0.0).alias("start"), (F.length(x) / 100).alias("end"), (F.length(x) % 10 / 10).alias("probability")))
+    words = F.transform(
+        F.split("sync_text", " "),
+        lambda x: F.struct(F.lit(0.0).alias("start"), (F.length(x) / 100).alias("end"), (F.length(x) % 10 / 10).alias("probability"))
+    )
     return rounded(scans.word_stats(read(spark, d, "turns").select("job_id", "idx", words.alias("words"))), "collapsed_ratio", "confidence").drop("words")
 
 
@@ -53,15 +58,23 @@ def reference_choice(spark, d):
 
     o = read(spark, d, "orders")
     key = F.col("o_orderkey")
-    jobs = o.select(key.cast("string").alias("job_id"), F.when(key % 3 == 0, "a.wav").otherwise(" ").alias("file"), F.when(key % 2 == 0, "http://x").alias("url"), (F.col("o_custkey") % 100 + 150).cast("double").alias("url_duration"), F.lit(200.0).alias("duration"))
+    jobs = o.select(
+        key.cast("string").alias("job_id"), F.when(key % 3 == 0, "a.wav").otherwise(" ").alias("file"),
+        F.when(key % 2 == 0, "http://x").alias("url"), (F.col("o_custkey") % 100 + 150).cast("double").alias("url_duration"),
+        F.lit(200.0).alias("duration")
+    )
     return choose_source(jobs, o.where("o_orderkey % 5 = 0").select(key.cast("string").alias("job_id"), F.lit("id").alias("id")))
 
 
-@query("""SELECT job_id, cast(row_number() OVER (PARTITION BY job_id ORDER BY idx) - 1 AS int) AS idx, text FROM (SELECT job_id, idx, trim(CASE WHEN idx % 3 = 1 THEN '  ' ELSE ' ' || role || ' ' END) AS text FROM {turns}) WHERE text <> ''""")
+@query(
+    """SELECT job_id, cast(row_number() OVER (PARTITION BY job_id ORDER BY idx) - 1 AS int) AS idx, text FROM (SELECT job_id, idx, trim(CASE WHEN idx % 3 = 1 THEN '  ' ELSE ' ' || role || ' ' END) AS text FROM {turns}) WHERE text <> ''"""
+)
 def clean_segments(spark, d):
     from strandline.operators.reference import clean_segments
 
-    return clean_segments(read(spark, d, "turns").select("job_id", "idx", F.when(F.col("idx") % 3 == 1, "  ").otherwise(F.concat(F.lit(" "), "role", F.lit(" "))).alias("text")))
+    return clean_segments(read(spark, d, "turns").select(
+        "job_id", "idx", F.when(F.col("idx") % 3 == 1, "  ").otherwise(F.concat(F.lit(" "), "role", F.lit(" "))).alias("text")
+    ))
 
 
 @query(f"""WITH t AS (SELECT job_id, string_split(text, '. ') AS ps FROM {{texts}}),
@@ -70,7 +83,12 @@ def clean_segments(spark, d):
     SELECT job_id, cast(rn - 1 AS int) AS idx, array_to_string(ls, chr(10)) AS text, ls[1] AS sync_text FROM k""")
 def block_scan_blank(spark, d):
     """Blocks parted by blank lines: the texts' sentences, with a blank line after each."""
-    parts = read(spark, d, "texts").select("job_id", F.array_join(F.transform(F.split("text", r"\. "), lambda x: F.regexp_replace(F.regexp_replace(x, r"\n(\s*\n)+", "\n"), r"\[", "")), "\n\n").alias("text"))
+    parts = read(spark, d, "texts").select(
+        "job_id",
+        F.array_join(
+            F.transform(F.split("text", r"\. "), lambda x: F.regexp_replace(F.regexp_replace(x, r"\n(\s*\n)+", "\n"), r"\[", "")), "\n\n"
+        ).alias("text")
+    )
     return scans.lyric_blocks(parts)
 
 
@@ -87,16 +105,34 @@ def anchor_scan(spark, d):
     """Anchors of jobs, a bad line in some; and three jobs without any."""
     turns = read(spark, d, "turns")
     seconds = F.concat(F.floor(F.col("idx") / 6).cast("string"), F.lit(":"), F.lpad((F.col("idx") * 10 % 60).cast("string"), 2, "0"), F.lit(".5"))
-    line = F.when((F.col("job_id").cast("int") % 4 == 3) & (F.col("idx") == 2), "x").otherwise(F.concat((F.col("idx") + 1).cast("string"), F.lit(" = "), seconds))
-    jobs = turns.groupBy("job_id").agg(F.count("*").alias("n"), F.lit(60.0).alias("duration"), F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("idx") % 2 == 0, F.struct("idx", line.alias("line"))))), lambda r: r["line"]), "\n").alias("anchors"))
-    none = spark.range(3).select((F.col("id") + 1000).cast("string").alias("job_id"), F.lit(5).alias("n"), F.lit(60.0).alias("duration"), F.lit("# none").alias("anchors"))
+    line = F.when(
+        (F.col("job_id").cast("int") % 4 == 3) & (F.col("idx") == 2), "x"
+    ).otherwise(F.concat((F.col("idx") + 1).cast("string"), F.lit(" = "), seconds))
+    jobs = turns.groupBy("job_id").agg(
+        F.count("*").alias("n"), F.lit(60.0).alias("duration"),
+        F.array_join(
+            F.transform(F.sort_array(F.collect_list(F.when(F.col("idx") % 2 == 0, F.struct("idx", line.alias("line"))))), lambda r: r["line"]),
+            "\n"
+        ).alias("anchors")
+    )
+    none = spark.range(3).select(
+        (F.col("id") + 1000).cast("string").alias("job_id"), F.lit(5).alias("n"), F.lit(60.0).alias("duration"),
+        F.lit("# none").alias("anchors")
+    )
     good, wrong = scans.timing_anchors(jobs.unionByName(none))
-    bad = wrong.select("job_id", F.when(F.col("line") == "x", 2).otherwise(F.regexp_extract("line", r"^(\d+)", 1).try_cast("int") - 1).alias("idx"), F.when(F.col("line") != "x", scans.time_value(F.regexp_extract("line", r"= (.*)", 1))).alias("t"), "reason")
+    bad = wrong.select(
+        "job_id", F.when(F.col("line") == "x", 2).otherwise(F.regexp_extract("line", r"^(\d+)", 1).try_cast("int") - 1).alias("idx"),
+        F.when(F.col("line") != "x", scans.time_value(F.regexp_extract("line", r"= (.*)", 1))).alias("t"), "reason"
+    )
     return good.select("job_id", "idx", "t", F.lit(None).cast("string").alias("reason")).unionByName(bad)
 
 
-@query("""SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 = 0 THEN '/x/' || o_orderkey WHEN o_orderkey % 4 = 1 THEN '/p/' || o_orderkey WHEN o_orderkey % 4 = 2 THEN 'n' || o_orderkey END AS path FROM orders""")
+@query(
+    """SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 = 0 THEN '/x/' || o_orderkey WHEN o_orderkey % 4 = 1 THEN '/p/' || o_orderkey WHEN o_orderkey % 4 = 2 THEN 'n' || o_orderkey END AS path FROM orders"""
+)
 def uploaded_paths(spark, d):
     key = F.col("o_orderkey")
-    text = F.when(key % 4 == 0, F.concat(F.lit("/x/"), key)).when(key % 4 == 1, F.concat(F.lit('{"path": "/p/'), key, F.lit('", "name": "other"}'))).when(key % 4 == 2, F.concat(F.lit('{"path": "", "name": "n'), key, F.lit('"}'))).otherwise("{}")
+    text = F.when(key % 4 == 0, F.concat(F.lit("/x/"), key)).when(
+        key % 4 == 1, F.concat(F.lit('{"path": "/p/'), key, F.lit('", "name": "other"}'))
+    ).when(key % 4 == 2, F.concat(F.lit('{"path": "", "name": "n'), key, F.lit('"}'))).otherwise("{}")
     return read(spark, d, "orders").select(key.alias("k"), scans.uploaded_path(text).alias("path"))

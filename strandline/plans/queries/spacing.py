@@ -49,7 +49,9 @@ def global_offset(spark, d):
 def affine_warp(spark, d):
     c = even(spark, d)
     s = c.groupBy("job_id").agg(F.min("start").alias("s0"), F.max("end").alias("s1"))
-    return rounded(timeline.warped(c.join(s, "job_id"), F.col("s0"), F.col("s1"), F.lit(3.0), F.lit(50.0)), "start", "end").select("job_id", "idx", "start", "end")
+    return rounded(
+        timeline.warped(c.join(s, "job_id"), F.col("s0"), F.col("s1"), F.lit(3.0), F.lit(50.0)), "start", "end"
+    ).select("job_id", "idx", "start", "end")
 
 
 @query(f"""WITH {AXIS},

@@ -108,8 +108,14 @@ def _forced(spark, d):
     windows = timeline.chunk_windows(captions.groupBy("job_id").agg(F.count("*").cast("int").alias("n")))
     key = F.col("job_id") * 31 + F.col("low") * 7 + F.col("high")
     lines = F.sequence(F.lit(0), F.col("high") - F.col("low") - F.when(key % 7 == 0, 2).otherwise(1))
-    word = lambda k, j: F.struct((k * 6.0 + j).alias("start"), (k * 6.0 + j + F.when(key % 3 == j, 0.01).otherwise(0.5)).alias("end"), F.when(key % 5 > 0, (k + j + 1) / 20).alias("probability"))
-    segments = F.transform(lines, lambda k: F.struct((k * 6.0 + 1.5).alias("start"), (k * 6.0 + 4.0).alias("end"), F.array(word(k, 0), word(k, 1)).alias("words")))
+    word = lambda k, j: F.struct(
+        (k * 6.0 + j).alias("start"), (k * 6.0 + j + F.when(key % 3 == j, 0.01).otherwise(0.5)).alias("end"),
+        F.when(key % 5 > 0, (k + j + 1) / 20).alias("probability")
+    )
+    segments = F.transform(
+        lines,
+        lambda k: F.struct((k * 6.0 + 1.5).alias("start"), (k * 6.0 + 4.0).alias("end"), F.array(word(k, 0), word(k, 1)).alias("words"))
+    )
     return windows, captions, windows.where(key % 11 > 0).select("job_id", "low", "high", F.to_json(F.struct(segments.alias("segments"))).alias("result"))
 
 
@@ -130,7 +136,9 @@ def forced_candidates(spark, d):
     return rounded(scans.forced_candidates(*_forced(spark, d))[0], "start", "end", "confidence")
 
 
-@query(f"""WITH {_FORCED} SELECT job_id, source, CASE WHEN key % 11 = 0 THEN '0' ELSE cast(high - low - 1 AS varchar) END || ' segments in place of ' || cast(high - low AS varchar) AS error FROM wk WHERE key % 11 = 0 OR key % 7 = 0""")
+@query(
+    f"""WITH {_FORCED} SELECT job_id, source, CASE WHEN key % 11 = 0 THEN '0' ELSE cast(high - low - 1 AS varchar) END || ' segments in place of ' || cast(high - low AS varchar) AS error FROM wk WHERE key % 11 = 0 OR key % 7 = 0"""
+)
 def forced_errors(spark, d):
     return scans.forced_candidates(*_forced(spark, d))[1]
 

@@ -37,7 +37,11 @@ def _stamped(text: Column) -> Column:
     def event(r: Column) -> Column:
         digits = part(r["line"], 3)
         fraction = F.when(digits == "", F.lit(0.0)).otherwise(digits.try_cast("double") / F.pow(F.lit(10.0), F.length(digits)))
-        return F.struct(r["line_no"].alias("line_no"), (part(r["line"], 1).try_cast("int") * 60 + part(r["line"], 2).try_cast("int") + fraction).alias("t"), strip(part(r["line"], 4)).alias("text"))
+        return F.struct(
+            r["line_no"].alias("line_no"),
+            (part(r["line"], 1).try_cast("int") * 60 + part(r["line"], 2).try_cast("int") + fraction).alias("t"),
+            strip(part(r["line"], 4)).alias("text")
+        )
 
     lines = F.transform(F.split(text, r"\R"), lambda x, i: F.struct(i.alias("line_no"), strip(x).alias("line")))
     return F.transform(F.filter(lines, lambda r: r["line"].rlike(STAMP)), event)
@@ -64,12 +68,15 @@ def next_greater(values: pd.Series) -> pd.Series:
 
 
 def lrc_items(df: DataFrame, text: str = "text") -> DataFrame:
-    """job_id, idx, start, end, text. A line without text only ends the one before. An item ends 0.05 s before the first later line (in file order) with a greater time, after 0.2 s at
-    least; the last after 3.5 s. A job's text is one row, and its lines stay arrays of that row until they are items: nothing is shuffled."""
+    """job_id, idx, start, end, text. A line without text only ends the one before. An item ends 0.05 s before the first later line (in file
+    order) with a greater time, after 0.2 s at least; the last after 3.5 s. A job's text is one row, and its lines stay arrays of that row
+    until they are items: nothing is shuffled."""
     rows = df.select("job_id", "duration", _stamped(F.col(text)).alias("events"))
     rows = rows.withColumn("after", next_greater(field(F.col("events"), "t")))
     both = F.transform("events", lambda e, i: F.struct(e["t"].alias("t"), e["text"].alias("text"), F.get("after", i).alias("next")))
-    out = rows.select("job_id", "duration", F.posexplode(F.filter(both, lambda e: e["text"] != "")).alias("idx", "e")).select("job_id", "duration", "idx", "e.*")
+    out = rows.select(
+        "job_id", "duration", F.posexplode(F.filter(both, lambda e: e["text"] != "")).alias("idx", "e")
+    ).select("job_id", "duration", "idx", "e.*")
     end = F.least(F.col("duration"), F.when(F.col("next").isNull(), F.col("t") + 3.5).otherwise(F.greatest(F.col("t") + 0.2, F.col("next") - 0.05)))
     return out.select("job_id", "idx", F.col("t").alias("start"), end.alias("end"), "text")
 
@@ -88,12 +95,16 @@ LINES, BLOCKS = "Every non-empty line", "Blank-line blocks"
 
 
 def lyric_blocks(df: DataFrame, grouping: str | Column = BLOCKS, choice: str | Column = "Line 1", text: str = "text") -> DataFrame:
-    """job_id, idx, text, sync_text, and df's other columns. Bracketed directions are deleted first, across lines too. Blocks are parted by blank lines, or every line is one."""
+    """job_id, idx, text, sync_text, and df's other columns. Bracketed directions are deleted first, across lines too. Blocks are parted by
+    blank lines, or every line is one."""
     grouping = F.lit(grouping) if isinstance(grouping, str) else grouping
     body = F.regexp_replace(F.regexp_replace(text, r"(?s)\[.*?\]", ""), r"\r\n?", "\n")
     clean = lambda b: F.array_join(F.filter(F.transform(F.split(b, "\n"), strip), lambda x: x != ""), "\n")
     parts = F.when(grouping == LINES, F.split(body, "\n")).otherwise(F.split(strip(body), r"\n\s*\n+"))
-    rows = df.select(*[c for c in df.columns if c != text], grouping.alias("grouping_"), F.posexplode(F.filter(F.transform(parts, clean), lambda b: b != "")).alias("idx", "text"))
+    rows = df.select(
+        *[c for c in df.columns if c != text], grouping.alias("grouping_"),
+        F.posexplode(F.filter(F.transform(parts, clean), lambda b: b != "")).alias("idx", "text")
+    )
     return rows.withColumn("sync_text", F.when(F.col("grouping_") == LINES, F.col("text")).otherwise(sync_line(F.col("text"), choice))).drop("grouping_")
 
 
@@ -107,16 +118,26 @@ def time_value(s: Column) -> Column:
 def timing_anchors(df: DataFrame, text: str = "anchors") -> tuple[DataFrame, DataFrame]:
     """(anchors: job_id, idx from 0, t; violations: job_id, line, reason) of df (job_id, n, duration, text), lines "index = time".
 
-    Blank lines and comments are skipped, repeats dropped; the anchors are in order of index. A job with a violation, or without any anchor, is reported, not raised."""
+    Blank lines and comments are skipped, repeats dropped; the anchors are in order of index. A job with a violation, or without any anchor,
+    is reported, not raised."""
     jobs = df.select("job_id")
-    rows = lines_of(df.select("job_id", "n", "duration", F.col(text).alias("raw")), "raw").withColumn("line", strip(F.col("line"))).where("line <> '' AND NOT startswith(line, '#')")
-    rows = rows.select("job_id", "n", "duration", "line", F.regexp_extract("line", ANCHOR, 1).try_cast("int").alias("i"), time_value(F.regexp_extract("line", ANCHOR, 2)).alias("t"))
+    rows = lines_of(
+        df.select("job_id", "n", "duration", F.col(text).alias("raw")), "raw"
+    ).withColumn("line", strip(F.col("line"))).where("line <> '' AND NOT startswith(line, '#')")
+    rows = rows.select(
+        "job_id", "n", "duration", "line", F.regexp_extract("line", ANCHOR, 1).try_cast("int").alias("i"),
+        time_value(F.regexp_extract("line", ANCHOR, 2)).alias("t")
+    )
     bad = F.when(F.col("i").isNull() | F.col("t").isNull(), "not an anchor").when((F.col("i") < 1) | (F.col("i") > F.col("n")), "index out of range").when((F.col("t") < 0) | (F.col("t") > F.col("duration")), "time out of range")
     rows = rows.withColumn("reason", bad)
     good = rows.where("reason IS NULL").select("job_id", (F.col("i") - 1).alias("idx"), "t").distinct()
     back = good.withColumn("before", F.lag("t").over(Window.partitionBy("job_id").orderBy("idx", "t"))).where("t <= before")
-    none = jobs.join(rows.select("job_id").distinct(), "job_id", "left_anti").select("job_id", F.lit(None).cast("string").alias("line"), F.lit("no anchors").alias("reason"))
-    wrong = rows.where("reason IS NOT NULL").select("job_id", "line", "reason").unionByName(none).unionByName(back.select("job_id", F.format_string("%d = %s", F.col("idx") + 1, F.col("t")).alias("line"), F.lit("times must rise").alias("reason")))
+    none = jobs.join(rows.select("job_id").distinct(), "job_id", "left_anti").select(
+        "job_id", F.lit(None).cast("string").alias("line"), F.lit("no anchors").alias("reason")
+    )
+    wrong = rows.where("reason IS NOT NULL").select("job_id", "line", "reason").unionByName(none).unionByName(back.select(
+        "job_id", F.format_string("%d = %s", F.col("idx") + 1, F.col("t")).alias("line"), F.lit("times must rise").alias("reason")
+    ))
     return good, wrong
 
 
@@ -149,14 +170,20 @@ def uploaded_path(value: Column) -> Column:
 def newest_metadata(spark, path: str) -> DataFrame:
     """folder, payload: of each folder under path the newest *.info.json."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.info.json").option("recursiveFileLookup", "true").load(path)
-    return files.groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).agg(F.max_by(F.col("content").cast("string"), F.struct("modificationTime", "path")).alias("payload"))
+    return files.groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).agg(F.max_by(
+        F.col("content").cast("string"), F.struct("modificationTime", "path")
+    ).alias("payload"))
 
 
 def search_entries(df: DataFrame, entries: str = "payload") -> DataFrame:
     """Search results exploded: pos, id, title, channel, duration; those without an id or a length are dropped."""
     schema = "entries array<struct<id: string, title: string, channel: string, uploader: string, duration: double>>"
     e = df.select("*", F.posexplode(F.from_json(entries, schema)["entries"]).alias("pos", "e"))
-    rows = e.select(*df.columns, "pos", F.col("e.id").alias("id"), F.coalesce("e.title", F.lit("")).alias("title"), F.coalesce(F.when(F.col("e.channel") != "", F.col("e.channel")), F.col("e.uploader"), F.lit("")).alias("channel"), F.col("e.duration").alias("duration"))
+    rows = e.select(
+        *df.columns, "pos", F.col("e.id").alias("id"), F.coalesce("e.title", F.lit("")).alias("title"),
+        F.coalesce(F.when(F.col("e.channel") != "", F.col("e.channel")), F.col("e.uploader"), F.lit("")).alias("channel"),
+        F.col("e.duration").alias("duration")
+    )
     return rows.where("id <> '' AND duration > 0").drop(entries)
 
 
@@ -165,20 +192,32 @@ FORCED = "segments array<struct<start: double, end: double, words: array<struct<
 
 
 def forced_candidates(windows: DataFrame, captions: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(candidates: job_id, idx, cand_idx, start, end, confidence, collapsed_ratio, source; errors: job_id, source, error) of windows (job_id, low, high) of captions (job_id, idx,
-    start, end, duration) and forced results (job_id, low, high, result: JSON with FORCED).
+    """(candidates: job_id, idx, cand_idx, start, end, confidence, collapsed_ratio, source; errors: job_id, source, error) of windows
+    (job_id, low, high) of captions (job_id, idx, start, end, duration) and forced results (job_id, low, high, result: JSON with FORCED).
 
-    A window's audio begins 1.5 s before its first caption, within the recording; its segments' times are from there. Their i-th segment times its i-th line. A window
-    whose result has another number of segments than it has lines, or none, gives an error. A line's candidates are in the order of its windows."""
+    A window's audio begins 1.5 s before its first caption, within the recording; its segments' times are from there. Their i-th segment
+    times its i-th line. A window whose result has another number of segments than it has lines, or none, gives an error. A line's
+    candidates are in the order of its windows."""
     first = captions.select("job_id", F.col("idx").alias("low"), F.greatest(F.lit(0.0), F.col("start") - 1.5).alias("at"))
-    rows = windows.join(first, ["job_id", "low"]).join(results.select("job_id", "low", "high", F.from_json("result", FORCED)["segments"].alias("segments")), ["job_id", "low", "high"], "left")
-    rows = rows.withColumns({"n": F.coalesce(F.size("segments"), F.lit(0)), "source": F.concat((F.col("low") + 1).cast("string"), F.lit("-"), F.col("high").cast("string"))})
+    rows = windows.join(first, ["job_id", "low"]).join(
+        results.select("job_id", "low", "high", F.from_json("result", FORCED)["segments"].alias("segments")), ["job_id", "low", "high"],
+        "left"
+    )
+    rows = rows.withColumns({
+        "n": F.coalesce(F.size("segments"), F.lit(0)),
+        "source": F.concat((F.col("low") + 1).cast("string"), F.lit("-"), F.col("high").cast("string"))
+    })
     fits = F.col("n") == F.col("high") - F.col("low")
-    errors = rows.where(~fits).select("job_id", "source", F.format_string("%d segments in place of %d", F.col("n"), F.col("high") - F.col("low")).alias("error"))
+    errors = rows.where(~fits).select(
+        "job_id", "source", F.format_string("%d segments in place of %d", F.col("n"), F.col("high") - F.col("low")).alias("error")
+    )
     found = rows.where(fits).select("job_id", "low", "high", "at", "source", F.posexplode("segments").alias("k", "s"))
     found = word_stats(found.withColumn("words", F.coalesce("s.words", F.array().cast("array<struct<start: double, end: double, probability: double>>"))))
     time = lambda name: (F.col("at") + F.coalesce(F.col(f"s.{name}"), F.lit(0.0))).alias(name)
-    found = found.select("job_id", (F.col("low") + F.col("k")).cast("int").alias("idx"), "low", "high", time("start"), time("end"), "confidence", "collapsed_ratio", "source")
+    found = found.select(
+        "job_id", (F.col("low") + F.col("k")).cast("int").alias("idx"), "low", "high", time("start"), time("end"), "confidence",
+        "collapsed_ratio", "source"
+    )
     order = F.row_number().over(Window.partitionBy("job_id", "idx").orderBy("low", "high")) - 1
     return found.withColumn("cand_idx", order.cast("int")).drop("low", "high"), errors
 
@@ -208,7 +247,8 @@ def mono(content: bytes, rate: int | None = None) -> np.ndarray:
 
 
 def unreadable(files: DataFrame) -> DataFrame:
-    """job_id (the path), error: of the files (path, content) that `mono` can't read: no WAV file, cut off, or not of 16-bit samples. Frames and features leave them out."""
+    """job_id (the path), error: of the files (path, content) that `mono` can't read: no WAV file, cut off, or not of 16-bit samples. Frames
+    and features leave them out."""
 
     def run(batches):
         for pdf in batches:
@@ -227,8 +267,8 @@ def signal(content: bytes, rate: int | None = None) -> tuple[np.ndarray, str | N
 
 
 def wav_frames(files: DataFrame, window: float = 0.20, hop: float = 0.10, rate: int | None = 16_000) -> DataFrame:
-    """job_id (the path), frame, t, rms, duration of 16-bit WAV files read by Spark's binaryFile source; one short frame where the signal is shorter than a window.
-    Files that can't be read give no frames; `unreadable` lists them."""
+    """job_id (the path), frame, t, rms, duration of 16-bit WAV files read by Spark's binaryFile source; one short frame where the signal is
+    shorter than a window. Files that can't be read give no frames; `unreadable` lists them."""
 
     def run(batches):
         for pdf in batches:

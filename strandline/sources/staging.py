@@ -15,7 +15,8 @@ _OWN: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Where the session names none, a local master (one machine) gets a temporary folder, and any other raises: a folder of one machine would lose what the others write."""
+    Where the session names none, a local master (one machine) gets a temporary folder, and any other raises: a folder of one machine would
+    lose what the others write."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):

@@ -20,13 +20,29 @@ def _joined(captions: DataFrame, piece: Column, between: str, name: str = "conte
 
 def srt(captions: DataFrame) -> DataFrame:
     """job_id, content of captions (job_id, idx, start, end, text)."""
-    return _joined(captions, F.concat((F.col("idx") + 1).cast("string"), F.lit("\n"), srt_time(F.col("start")), F.lit(" --> "), srt_time(F.col("end")), F.lit("\n"), F.col("text"), F.lit("\n")), "\n")
-
-
-def ass_header(title: Column, font: str = "Malgun Gothic", size: int = 48, position: str = "Bottom center", primary: str = "#FFFFFF", outline: str = "#000000", width: float = 2.5, shadow: float = 1.0, margin: int = 70) -> Column:
+    return _joined(
+        captions,
+        F.concat(
+            (F.col("idx") + 1).cast("string"), F.lit("\n"), srt_time(F.col("start")), F.lit(" --> "), srt_time(F.col("end")), F.lit("\n"),
+            F.col("text"), F.lit("\n")
+        ),
+        "\n"
+    )
+
+
+def ass_header(
+    title: Column, font: str = "Malgun Gothic", size: int = 48, position: str = "Bottom center", primary: str = "#FFFFFF",
+    outline: str = "#000000", width: float = 2.5, shadow: float = 1.0, margin: int = 70
+) -> Column:
     """Fixed format: script, style and event headers for a 1920 x 1080 picture."""
-    values = [F.lit(f"Default,{font},{size},"), ass_color(F.lit(primary)), F.lit(",&H000000FF,"), ass_color(F.lit(outline)), F.lit(f",&H88000000,0,0,0,0,100,100,0,0,1,{width},{shadow},{POSITIONS[position]},90,90,{margin},1")]
-    head = F.concat(F.lit("[Script Info]\nTitle: "), title, F.lit("\nScriptType: v4.00+\nWrapStyle: 0\nScaledBorderAndShadow: yes\nPlayResX: 1920\nPlayResY: 1080\n\n"))
+    values = [
+        F.lit(f"Default,{font},{size},"), ass_color(F.lit(primary)), F.lit(",&H000000FF,"), ass_color(F.lit(outline)),
+        F.lit(f",&H88000000,0,0,0,0,100,100,0,0,1,{width},{shadow},{POSITIONS[position]},90,90,{margin},1")
+    ]
+    head = F.concat(
+        F.lit("[Script Info]\nTitle: "), title,
+        F.lit("\nScriptType: v4.00+\nWrapStyle: 0\nScaledBorderAndShadow: yes\nPlayResX: 1920\nPlayResY: 1080\n\n")
+    )
     return F.concat(head, F.lit(f"[V4+ Styles]\nFormat: {STYLE_FIELDS}\nStyle: "), *values, F.lit(f"\n\n[Events]\nFormat: {EVENT_FIELDS}\n"))
 
 
@@ -44,7 +60,9 @@ def finite(x: Column) -> Column:
 
 def manifest(jobs: DataFrame, captions: DataFrame, segments: DataFrame | None = None) -> DataFrame:
     """job_id, content: a job's columns with its captions and segments as nested arrays, in JSON."""
-    fold = lambda df, name, cols: df.groupBy("job_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", *cols))), lambda r: F.struct(*[r[c].alias(c) for c in cols])).alias(name))
+    fold = lambda df, name, cols: df.groupBy("job_id").agg(F.transform(
+        F.sort_array(F.collect_list(F.struct("idx", *cols))), lambda r: F.struct(*[r[c].alias(c) for c in cols])
+    ).alias(name))
     out = jobs.join(fold(captions, "captions", ["start", "end", "text", "score", "sync_text"]), "job_id", "left")
     if segments is not None:
         out = out.join(fold(segments, "segments", ["start", "end", "text"]), "job_id", "left")
@@ -66,8 +84,9 @@ def preview(captions: DataFrame, most: int = 12) -> DataFrame:
 
 
 def write_texts(contents: DataFrame, path: str, folders: bool = False) -> None:
-    """Writes (job_id, content) below path: as one table, which holds any id as it is and has few files whatever the number of jobs; with `folders` as text files in a folder a job, for
-    players that want files. There, ids are Spark's folder names (a null one's is __HIVE_DEFAULT_PARTITION__), and the writer ends a row with a line end, so a content's own last one is left to it."""
+    """Writes (job_id, content) below path: as one table, which holds any id as it is and has few files whatever the number of jobs; with
+    `folders` as text files in a folder a job, for players that want files. There, ids are Spark's folder names (a null one's is
+    __HIVE_DEFAULT_PARTITION__), and the writer ends a row with a line end, so a content's own last one is left to it."""
     if not folders:
         contents.select("job_id", "content").write.option("compression", "zstd").parquet(path)
         return

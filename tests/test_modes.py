@@ -9,25 +9,50 @@ from strandline.plans.pipeline import ANCHORS, DTW, EVEN, SYNCED, VOCAL, WHISPER
 LINES = ["over the hills", "and far away", "the rain comes down"]
 # job, mode, text, anchors, lyrics found (exact or not), method, or None and the error
 JOBS = [
-    ("stamped", EVEN, "[00:05.00] a\n[00:09.00] b", "", None, "stamped text", None), ("even", EVEN, None, "", True, "even", None), ("anchors", ANCHORS, None, "1=4\n3=20", None, "anchors", None),
-    ("synced", SYNCED, None, "", False, "stamped lyrics", None), ("synced-none", SYNCED, None, "", None, "activity", None), ("words-exact", WHISPER, None, "", True, "stamped lyrics", None),
-    ("words-near", WHISPER, None, "", False, "transcript", None), ("active", VOCAL, None, "", None, "activity", None), ("active-exact", VOCAL, None, "", True, "stamped lyrics", None),
-    ("mapped", DTW, None, "", True, "stamped lyrics", None), ("mapped-words", DTW, None, "", None, "transcript", None), ("unmapped", DTW, None, "", True, None, "no time map"),
-    ("flat", DTW, None, "", True, None, "caption 2 has no length on the map"), ("unknown", "Karaoke", None, "", None, None, "unknown mode"), ("blank", EVEN, " \n", "", None, None, "no lyrics"),
-    ("no-blocks", EVEN, "[intro]", "", None, None, "no lyric blocks"), ("no-anchors", ANCHORS, None, "# none", None, None, "no anchors"), ("bad-anchors", ANCHORS, None, "1=4\n4=20", None, None, "index out of range: 4=20"),
-    ("null-anchors", ANCHORS, None, None, None, None, "no anchors"), ("twice", EVEN, "\n\n".join([f"{a} {b} goes by the {c} way" for a in ("one", "two", "six") for b in ("bird", "boat") for c in ("long", "short", "old")] * 2), "", None, "even", None),
+    (
+        "stamped", EVEN, "[00:05.00] a\n[00:09.00] b", "", None, "stamped text", None
+    ), ("even", EVEN, None, "", True, "even", None), ("anchors", ANCHORS, None, "1=4\n3=20", None, "anchors", None),
+    ("synced", SYNCED, None, "", False, "stamped lyrics", None), ("synced-none", SYNCED, None, "", None, "activity", None), (
+        "words-exact", WHISPER, None, "", True, "stamped lyrics", None
+    ),
+    ("words-near", WHISPER, None, "", False, "transcript", None), ("active", VOCAL, None, "", None, "activity", None), (
+        "active-exact", VOCAL, None, "", True, "stamped lyrics", None
+    ),
+    ("mapped", DTW, None, "", True, "stamped lyrics", None), (
+        "mapped-words", DTW, None, "", None, "transcript", None
+    ), ("unmapped", DTW, None, "", True, None, "no time map"),
+    (
+        "flat", DTW, None, "", True, None, "caption 2 has no length on the map"
+    ), ("unknown", "Karaoke", None, "", None, None, "unknown mode"), ("blank", EVEN, " \n", "", None, None, "no lyrics"),
+    ("no-blocks", EVEN, "[intro]", "", None, None, "no lyric blocks"), ("no-anchors", ANCHORS, None, "# none", None, None, "no anchors"), (
+        "bad-anchors", ANCHORS, None, "1=4\n4=20", None, None, "index out of range: 4=20"
+    ),
+    ("null-anchors", ANCHORS, None, None, None, None, "no anchors"), (
+        "twice", EVEN,
+        "\n\n".join([f"{a} {b} goes by the {c} way" for a in ("one", "two", "six") for b in ("bird", "boat") for c in ("long", "short", "old")] * 2),
+        "", None, "even", None
+    ),
 ]
 
 
 @pytest.fixture(scope="module")
 def rows(spark):
     table = lambda schema, rows: spark.createDataFrame(rows, schema)
-    jobs = table("job_id string, mode string, offset double, duration double, text string, anchors string", [(j, mode, 0.5, 40.0, "\n\n".join(LINES) if text is None else text, anchors) for j, mode, text, anchors, *_ in JOBS])
+    jobs = table(
+        "job_id string, mode string, offset double, duration double, text string, anchors string",
+        [(j, mode, 0.5, 40.0, "\n\n".join(LINES) if text is None else text, anchors) for j, mode, text, anchors, *_ in JOBS]
+    )
     timed = lambda j, *more: [(j, i, 5.0 + 5 * i, 9.0 + 5 * i, t, *more) for i, t in enumerate(LINES)]
-    lrc = table("job_id string, idx int, start double, end double, text string, exact boolean", [r for j, _, _, _, exact, *_ in JOBS if exact is not None for r in timed(j, exact)])
+    lrc = table(
+        "job_id string, idx int, start double, end double, text string, exact boolean",
+        [r for j, _, _, _, exact, *_ in JOBS if exact is not None for r in timed(j, exact)]
+    )
     segments = table("job_id string, idx int, start double, end double, text string", [(j, i, s + 1, e + 1, t) for j, *_ in JOBS for _, i, s, e, t in timed(j)])
     intervals = table("job_id string, idx int, start double, end double", [(j, 0, 10.0, 25.0) for j, *_ in JOBS if j != "words-exact"])
-    axis = table("job_id string, ref_t double, perf_t double", [(j, t, t + 2.0) for j in ("mapped", "mapped-words") for t in (0.0, 30.0)] + [("flat", 0.0, 39.9), ("flat", 40.0, 40.0)])
+    axis = table(
+        "job_id string, ref_t double, perf_t double",
+        [(j, t, t + 2.0) for j in ("mapped", "mapped-words") for t in (0.0, 30.0)] + [("flat", 0.0, 39.9), ("flat", 40.0, 40.0)]
+    )
     out: dict = {}
     for r in run_jobs(jobs, lrc, segments, intervals, axis).collect():
         out.setdefault(r["job_id"], []).append(r)
@@ -62,10 +87,16 @@ def test_times(rows):
 @pytest.fixture(scope="module")
 def started(spark):
     """Three mapped jobs: one with twelve lines, one of two lines, one that is not to be refined."""
-    lines = {"long": [f"line {i} of {w} song" for i, w in enumerate("one two red blue old new hot cold big small low high".split())], "short": ["first of two", "second of them"], "asis": ["some words here", "other words there", "third words now"]}
+    lines = {
+        "long": [f"line {i} of {w} song" for i, w in enumerate("one two red blue old new hot cold big small low high".split())],
+        "short": ["first of two", "second of them"], "asis": ["some words here", "other words there", "third words now"]
+    }
     schema = "job_id string, mode string, duration double, text string, refine boolean, offset double, language string, idx int"
     jobs = spark.createDataFrame([(j, DTW, 100.0, "\n\n".join(t), j != "asis", 1.0, None, 3) for j, t in lines.items()], schema)
-    lrc = spark.createDataFrame([(j, i, 4.0 * i + 2, 4.0 * i + 5, t) for j, own in lines.items() for i, t in enumerate(own)], "job_id string, idx int, start double, end double, text string")
+    lrc = spark.createDataFrame(
+        [(j, i, 4.0 * i + 2, 4.0 * i + 5, t) for j, own in lines.items() for i, t in enumerate(own)],
+        "job_id string, idx int, start double, end double, text string"
+    )
     axis = spark.createDataFrame([(j, t, t + 2) for j in lines for t in (0.0, 90.0)], "job_id string, ref_t double, perf_t double")
     return lines, start_jobs(jobs, lrc, axis=axis)
 
@@ -107,8 +138,13 @@ def test_finish_resumes_from_what_is_written(spark, started):
         assert [r["start"] for r in got["short"]] == [r["start"] for r in plain["short"]] and [r["start"] for r in got["asis"]] == [r["start"] for r in plain["asis"]]
         assert [r["start"] for r in got["long"]] == pytest.approx([4.0 * i + 5.4 for i in range(12)]) and all(r["error"] is None for r in got["long"])
     notes = refinement_notes(spark, path, results).collect()
-    assert sorted((r["job_id"], r["source"], r["error"]) for r in notes if r["idx"] is None) == sorted([("long", "5-12", "7 segments in place of 8"), ("short", None, "not refined: other captions than blocks, or fewer than three")], key=str)
-    assert [r["refined_start"] for r in sorted((r for r in notes if r["idx"] is not None), key=lambda r: r["idx"])] == pytest.approx([4.0 * i + 4.4 for i in range(12)])
+    assert sorted((r["job_id"], r["source"], r["error"]) for r in notes if r["idx"] is None) == sorted(
+        [("long", "5-12", "7 segments in place of 8"), ("short", None, "not refined: other captions than blocks, or fewer than three")],
+        key=str
+    )
+    assert [r["refined_start"] for r in sorted(
+        (r for r in notes if r["idx"] is not None), key=lambda r: r["idx"]
+    )] == pytest.approx([4.0 * i + 4.4 for i in range(12)])
 
 
 def test_lost_captions_are_errors_and_are_not_refined(spark, started, tmp_path):

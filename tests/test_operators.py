@@ -29,7 +29,10 @@ def stamped(spark, text, duration=100.0):
 
 
 def blocks(spark, *texts, duration=100.0):
-    return table(spark, "job_id string, idx int, text string, sync_text string, duration double", *[("s", i, t, t.split("\n")[0], duration) for i, t in enumerate(texts)])
+    return table(
+        spark, "job_id string, idx int, text string, sync_text string, duration double",
+        *[("s", i, t, t.split("\n")[0], duration) for i, t in enumerate(texts)]
+    )
 
 
 def one(spark, column, **values):
@@ -41,7 +44,11 @@ def one(spark, column, **values):
 
 
 def test_stamped_lines(spark):
-    got = stamped(spark, "[ar: nobody]\n[01:30] walking home\r\n [01:34.5]\n[01:32:250] earlier but later in the file\n[02:00.125][02:10.00] twice stamped\nno stamp", 124).orderBy("idx").collect()
+    got = stamped(
+        spark,
+        "[ar: nobody]\n[01:30] walking home\r\n [01:34.5]\n[01:32:250] earlier but later in the file\n[02:00.125][02:10.00] twice stamped\nno stamp",
+        124
+    ).orderBy("idx").collect()
     assert [(r["start"], r["end"], r["text"]) for r in got] == [
         (90.0, pytest.approx(94.45), "walking home"),  # a stamp without text ends it
         (92.25, pytest.approx(120.075), "earlier but later in the file"),
@@ -51,13 +58,19 @@ def test_stamped_lines(spark):
     assert {r["job_id"]: r["n"] for r in n.collect()} == {"a": 1, "b": 0, "c": 0}
 
 
-@pytest.mark.parametrize("text, seconds", [("12.5", 12.5), (" 2:03.25", 123.25), ("1:00:01", 3601.0), ("1.5:20", None), ("1:2.5:3", None), ("", None), ("1:2:3:4", None), ("a", None)])
+@pytest.mark.parametrize(
+    "text, seconds",
+    [("12.5", 12.5), (" 2:03.25", 123.25), ("1:00:01", 3601.0), ("1.5:20", None), ("1:2.5:3", None), ("", None), ("1:2:3:4", None), ("a", None)]
+)
 def test_time_values(spark, text, seconds):
     assert one(spark, scans.time_value(F.col("t")), t=text) == seconds
 
 
 def test_anchors_are_read_or_reported(spark):
-    jobs = table(spark, "job_id string, n int, duration double, anchors string", ("ok", 4, 90.0, "# two\n\n4 = 1:20\n 1: 7.5 \n4 = 1:20"), ("bad", 4, 90.0, "0 = 1\n5 = 2\n2 = 1:31\nthree = 3\n3 = 1.5:20"), ("back", 4, 90.0, "1=9\n2,9"), ("none", 4, 90.0, "  \n# nothing"))
+    jobs = table(
+        spark, "job_id string, n int, duration double, anchors string", ("ok", 4, 90.0, "# two\n\n4 = 1:20\n 1: 7.5 \n4 = 1:20"),
+        ("bad", 4, 90.0, "0 = 1\n5 = 2\n2 = 1:31\nthree = 3\n3 = 1.5:20"), ("back", 4, 90.0, "1=9\n2,9"), ("none", 4, 90.0, "  \n# nothing")
+    )
     good, wrong = scans.timing_anchors(jobs)
     assert sorted((r["idx"], r["t"]) for r in good.where("job_id = 'ok'").collect()) == [(0, 7.5), (3, 80.0)]
     assert sorted((r["job_id"], r["line"] or "", r["reason"]) for r in wrong.collect()) == [
@@ -76,7 +89,9 @@ def test_blocks(spark):
 
 
 @pytest.mark.parametrize("payload, want", [
-    ('{"track": " Harbour ", "creator": "The Gulls", "title": "x - y"}', ("The Gulls", "Harbour")), ('{"title": "Gulls - Harbour [Official Video] | 4K", "uploader": "someone"}', ("Gulls", "Harbour")),
+    ('{"track": " Harbour ", "creator": "The Gulls", "title": "x - y"}', ("The Gulls", "Harbour")), (
+        '{"title": "Gulls - Harbour [Official Video] | 4K", "uploader": "someone"}', ("Gulls", "Harbour")
+    ),
     ('{"title": "Harbour", "channel": "Gulls - Topic"}', ("Gulls", "Harbour")), ("[1", ("who", "what")), (None, ("who", "what")),
 ])
 def test_metadata(spark, payload, want):
@@ -111,7 +126,10 @@ def test_metadata_similarity(spark, a, b, want):
     assert one(spark, X.metadata_similarity(F.col("a"), F.col("b")), a=a, b=b) == pytest.approx(want)
 
 
-@pytest.mark.parametrize("text, configured, want", [("바다 seas", "auto", "en"), ("바다와 파도", "auto", "ko"), ("うみ 바", "auto", "ja"), ("바다", "ja", "ja"), ("sea", "auto", "en"), ("123", "auto", None)])
+@pytest.mark.parametrize(
+    "text, configured, want",
+    [("바다 seas", "auto", "en"), ("바다와 파도", "auto", "ko"), ("うみ 바", "auto", "ja"), ("바다", "ja", "ja"), ("sea", "auto", "en"), ("123", "auto", None)]
+)
 def test_language(spark, text, configured, want):
     h, k, l = X.script_counts(F.col("t"))  # noqa: E741
     assert one(spark, X.language_of(h, k, l, F.lit(configured)), t=text) == want
@@ -132,7 +150,10 @@ def test_blocks_on_stamped_lines(spark):
     """One block on two lines, a line nobody has, and two blocks on one line, which share its time by the roots of their key lengths."""
     text = "[00:04.00] over the hills\n[00:08.00] and far away\n[00:12.00] (whistling)\n[00:20.00] rain rain rain go\n[00:30.00] "
     got = align.align_to_lrc(blocks(spark, "over the hills and far away", "rain rain rain", "go"), stamped(spark, text)).orderBy("idx").collect()
-    assert [(r["start"], r["end"]) for r in got] == [(4.0, pytest.approx(11.95)), (20.0, pytest.approx(20 + 9.95 * 12**0.5 / (12**0.5 + 2**0.5))), (pytest.approx(20 + 9.95 * 12**0.5 / (12**0.5 + 2**0.5)), pytest.approx(29.95))]
+    assert [(r["start"], r["end"]) for r in got] == [
+        (4.0, pytest.approx(11.95)), (20.0, pytest.approx(20 + 9.95 * 12**0.5 / (12**0.5 + 2**0.5))),
+        (pytest.approx(20 + 9.95 * 12**0.5 / (12**0.5 + 2**0.5)), pytest.approx(29.95))
+    ]
     assert got[0]["sync_text"] == "over the hills and far away" and {r["lrc_count"] for r in got} == {4} and got[0]["average"] > 0.9
 
 
@@ -162,13 +183,20 @@ def test_two_windows_agree(spark):
         line_1=[(41.7, 44, 0.1, 0, "1-6"), (41.8, 44, 0.1, 0, "1-8")],  # too far for two windows of little confidence
         line_2=[(52.2, 55, 0.3, 0.1, "1-6"), (52.3, 55.5, 0.4, 0.2, "1-8")],  # as far, but sure
         line_3=[(60.2, 63, 0.02, 0.9, "1-6"), (60.2, 63, 0.03, 0.8, "1-8")])  # collapsed words
-    assert {r["idx"]: (r["start"], r["end"]) for r in consensus.consensus(c, found).collect()} == {0: (pytest.approx(30.6), pytest.approx(33.9)), 2: (pytest.approx(52.25), pytest.approx(55.25))}
+    assert {r["idx"]: (r["start"], r["end"]) for r in consensus.consensus(c, found).collect()} == {
+        0: (pytest.approx(30.6), pytest.approx(33.9)), 2: (pytest.approx(52.25), pytest.approx(55.25))
+    }
 
 
 def test_lines_next_to_a_pause(spark):
     c = captions(spark, (5, 8), (20, 24), (24.2, 27))
-    found = candidates(spark, line_0=[(5.5, 9, 0.1, 0, "1-6"), (6.1, 9.2, 0.1, 0, "1-8"), (5.9, 9.1, 0.1, 0, "2-9")], line_1=[(21.0, 25, 0.1, 0, "2-7"), (21.2, 25.4, 0.1, 0, "2-9"), (23.5, 26, 0.9, 0, "1-6")])
-    assert {r["idx"]: (r["start"], r["end"]) for r in consensus.boundary(c, found).collect()} == {0: (pytest.approx(5.9), pytest.approx(9.1)), 1: (pytest.approx(21.1), pytest.approx(25.2))}
+    found = candidates(
+        spark, line_0=[(5.5, 9, 0.1, 0, "1-6"), (6.1, 9.2, 0.1, 0, "1-8"), (5.9, 9.1, 0.1, 0, "2-9")],
+        line_1=[(21.0, 25, 0.1, 0, "2-7"), (21.2, 25.4, 0.1, 0, "2-9"), (23.5, 26, 0.9, 0, "1-6")]
+    )
+    assert {r["idx"]: (r["start"], r["end"]) for r in consensus.boundary(c, found).collect()} == {
+        0: (pytest.approx(5.9), pytest.approx(9.1)), 1: (pytest.approx(21.1), pytest.approx(25.2))
+    }
 
 
 def test_windows_that_begin_before(spark):
@@ -189,16 +217,27 @@ def test_forced_results_become_candidates(spark):
     c = captions(spark, (1.0, 3.0), (4.0, 6.0), (8.0, 9.0)).withColumn("duration", F.lit(30.0))
     windows = table(spark, "job_id string, low int, high int", ("c", 0, 2), ("c", 1, 3), ("c", 0, 3))
     result = '{"segments": [{"start": 0.5, "end": 2, "words": [{"start": 0.5, "end": 0.52, "probability": 0.4}, {"start": 0.6, "end": 2.0}]}, {"start": 3, "end": 4.5}]}'
-    found, errors = scans.forced_candidates(windows, c, table(spark, "job_id string, low int, high int, result string", ("c", 0, 2, result), ("c", 1, 3, result), ("c", 0, 3, result)))
+    found, errors = scans.forced_candidates(
+        windows, c,
+        table(spark, "job_id string, low int, high int, result string", ("c", 0, 2, result), ("c", 1, 3, result), ("c", 0, 3, result))
+    )
     assert sorted((r["idx"], r["cand_idx"], r["start"], r["end"], r["confidence"], r["collapsed_ratio"], r["source"]) for r in found.collect()) == [
         (0, 0, 0.5, 2.0, 0.2, 0.5, "1-2"), (1, 0, 3.0, 4.5, 0.0, 0.0, "1-2"), (1, 1, 3.0, 4.5, 0.2, 0.5, "2-3"), (2, 0, 5.5, 7.0, 0.0, 0.0, "2-3"),
     ]
     assert [tuple(r) for r in errors.collect()] == [("c", "1-3", "2 segments in place of 3")]
     rows = consensus.refinement_rows(c, consensus.refine(c, found), found, errors).collect()
-    assert sorted((r["idx"], len(r["candidates"])) for r in rows if r["idx"] is not None) == [(0, 1), (1, 2), (2, 1)] and [r["source"] for r in rows if r["error"]] == ["1-3"]
+    assert sorted(
+        (r["idx"], len(r["candidates"])) for r in rows if r["idx"] is not None
+    ) == [(0, 1), (1, 2), (2, 1)] and [r["source"] for r in rows if r["error"]] == ["1-3"]
 
 
-@pytest.mark.parametrize("costs, spreads, want", [((0.30, 0.28), (3, 4), "multiscale"), ((0.30, 0.27), (3, 4), "legacy"), ((0.1, 0.9), (13, 4), "legacy"), ((0.9, 0.1), (4, 13), "multiscale"), ((0.1, 0.1), (13, 14), "invalid"), ((0.1, None), (3, None), "multiscale")])
+@pytest.mark.parametrize(
+    "costs, spreads, want",
+    [
+        ((0.30, 0.28), (3, 4), "multiscale"), ((0.30, 0.27), (3, 4), "legacy"), ((0.1, 0.9), (13, 4), "legacy"),
+        ((0.9, 0.1), (4, 13), "multiscale"), ((0.1, 0.1), (13, 14), "invalid"), ((0.1, None), (3, None), "multiscale")
+    ]
+)
 def test_method_choice(spark, costs, spreads, want):
     value = lambda x: F.lit(x).cast("double")
     assert one(spark, timemap.choose_method(*map(value, costs), *map(value, spreads), F.lit(12.0))) == want
@@ -221,30 +260,56 @@ TWO = "[00:01.00] a\n[00:04.00] b"
 
 
 def test_ranking(spark):
-    records = table(spark, RECORDS, ("q", 0, 1, "Harbour", "Gulls", 300.0, TWO), ("q", 1, 2, "Harbour (Live)", "Gulls", 181.0, TWO), ("q", 2, 3, "Harbour", "Gulls", 181.0, " "), ("q", 3, 4, "Desert", "Gulls", 181.0, TWO))
+    records = table(
+        spark, RECORDS, ("q", 0, 1, "Harbour", "Gulls", 300.0, TWO), ("q", 1, 2, "Harbour (Live)", "Gulls", 181.0, TWO),
+        ("q", 2, 3, "Harbour", "Gulls", 181.0, " "), ("q", 3, 4, "Desert", "Gulls", 181.0, TWO)
+    )
     got = catalog.rank(records, table(spark, QUERY, ("q", "Gulls", "Harbour", 180.0, 2))).orderBy("rank").collect()
     assert [r["id"] for r in got] == [2, 1] and got[0]["score"] == pytest.approx(0.56 + 0.24 + 0.15 * (1 - 1 / 14.4) + 0.05)
 
 
 def test_synced_lyrics_have_a_status(spark):
-    records = table(spark, RECORDS, *[(j, 0, 1, t, a, 180.0, TWO) for j, t, a in (("exact", "Harbour", "Gulls"), ("near", "Harbour", "The Gulls"), ("unnamed", None, "Gulls"), ("blank", "Harbour", "Gulls"))])
-    queries = table(spark, QUERY, *[(j, a, "Harbour", 180.0, 2) for j, a in (("exact", "Gulls"), ("near", "Gulls"), ("unnamed", "Gulls"), ("blank", " "), ("lost", "Gulls"))])
+    records = table(
+        spark, RECORDS,
+        *[
+            (j, 0, 1, t, a, 180.0, TWO) for j, t,
+            a in (("exact", "Harbour", "Gulls"), ("near", "Harbour", "The Gulls"), ("unnamed", None, "Gulls"), ("blank", "Harbour", "Gulls"))
+        ]
+    )
+    queries = table(
+        spark, QUERY,
+        *[(j, a, "Harbour", 180.0, 2) for j, a in (("exact", "Gulls"), ("near", "Gulls"), ("unnamed", "Gulls"), ("blank", " "), ("lost", "Gulls"))]
+    )
     got = {r["job_id"]: (r["status"], r["lrc_lines"]) for r in catalog.synced_lyrics(records, queries).collect()}
     assert got == {"exact": ("exact", 2), "near": ("auto-matched", 2), "unnamed": ("not found", None), "blank": ("skipped", None), "lost": ("not found", None)}
 
 
 def test_completion_asks_the_description_first(spark):
-    inputs = table(spark, "job_id string, artist string, title string", ("same", "Gulls", "Harbour"), ("other", "gul", "harb"), ("none", "x", "y"), ("unsure", "Gulls", "Harbour"))
-    detected = table(spark, "job_id string, artist string, title string, duration double", ("same", "Gulls", "Harbour (Official Video)", 180.0), ("other", "Gulls", "Harbour", 180.0), ("unsure", "Gulls", "Harbor", 400.0))
-    assert sorted((r["job_id"], r["source"]) for r in catalog.lookups(inputs, detected).collect()) == [("none", "input"), ("other", "description"), ("other", "input"), ("same", "input"), ("unsure", "description"), ("unsure", "input")]
+    inputs = table(
+        spark, "job_id string, artist string, title string", ("same", "Gulls", "Harbour"), ("other", "gul", "harb"), ("none", "x", "y"),
+        ("unsure", "Gulls", "Harbour")
+    )
+    detected = table(
+        spark, "job_id string, artist string, title string, duration double", ("same", "Gulls", "Harbour (Official Video)", 180.0),
+        ("other", "Gulls", "Harbour", 180.0), ("unsure", "Gulls", "Harbor", 400.0)
+    )
+    assert sorted((r["job_id"], r["source"]) for r in catalog.lookups(inputs, detected).collect()) == [
+        ("none", "input"), ("other", "description"), ("other", "input"), ("same", "input"), ("unsure", "description"), ("unsure", "input")
+    ]
     rows = [("same", "input"), ("other", "description"), ("unsure", "description"), ("unsure", "input")]
     records = table(spark, "source string, " + RECORDS, *[(s, j, 0, 1, "Harbour", "Gulls", 180.0, TWO) for j, s in rows])
     got = {r["job_id"]: (r["artist"], r["title"], r["source"]) for r in catalog.completed(inputs, detected, records).collect()}
-    assert got == {"same": ("Gulls", "Harbour", "input"), "other": ("Gulls", "Harbour", "description"), "none": ("x", "y", None), "unsure": ("Gulls", "Harbour", "input")}
+    assert got == {
+        "same": ("Gulls", "Harbour", "input"), "other": ("Gulls", "Harbour", "description"), "none": ("x", "y", None),
+        "unsure": ("Gulls", "Harbour", "input")
+    }
 
 
 def test_empty_tables(spark):
     b, c, k = blocks(spark, "x").where("false"), captions(spark, (1, 2)).where("false"), candidates(spark, line_0=[(1, 2, 0.1, 0, "1-6")]).where("false")
     items = stamped(spark, "")
-    for df in (items, timeline.even_spacing(b), align.align_to_lrc(b, items), align.align_to_segments(b, items), consensus.refine(c.withColumn("duration", F.lit(9.0)), k), timeline.violations(c)):
+    for df in (
+        items, timeline.even_spacing(b), align.align_to_lrc(b, items), align.align_to_segments(b, items),
+        consensus.refine(c.withColumn("duration", F.lit(9.0)), k), timeline.violations(c)
+    ):
         assert df.count() == 0

@@ -9,7 +9,10 @@ from strandline.sources import scans, subtitles
 
 
 def test_written_subtitles(spark, tmp_path):
-    c = spark.createDataFrame([("a", 1, 2.0, 3.5, "zwei"), ("a", 0, 0.0, 1.0, "eins\nzwei"), ("b", 0, 1.0, 2.0, "한국어")], "job_id string, idx int, start double, end double, text string")
+    c = spark.createDataFrame(
+        [("a", 1, 2.0, 3.5, "zwei"), ("a", 0, 0.0, 1.0, "eins\nzwei"), ("b", 0, 1.0, 2.0, "한국어")],
+        "job_id string, idx int, start double, end double, text string"
+    )
     subtitles.write_texts(subtitles.srt(c), str(tmp_path / "srt"), folders=True)
     got = {r["job_id"]: r["value"] for r in spark.read.text(str(tmp_path / "srt"), wholetext=True).collect()}
     assert got["a"] == "1\n00:00:00,000 --> 00:00:01,000\neins\nzwei\n\n2\n00:00:02,000 --> 00:00:03,500\nzwei\n" and "한국어" in got["b"]
@@ -30,7 +33,10 @@ def test_infinite_numbers_become_null(spark):
 
 
 def test_manifest_and_preview(spark):
-    c = spark.createDataFrame([("a", i, float(i), i + 0.5, f"l{i}", 1.0, "") for i in range(14)], "job_id string, idx int, start double, end double, text string, score double, sync_text string")
+    c = spark.createDataFrame(
+        [("a", i, float(i), i + 0.5, f"l{i}", 1.0, "") for i in range(14)],
+        "job_id string, idx int, start double, end double, text string, score double, sync_text string"
+    )
     jobs = spark.createDataFrame([("a", "가수", None), ("none", "x", 1.0)], "job_id string, artist string, duration double")
     got = {r["job_id"]: json.loads(r["content"]) for r in subtitles.manifest(jobs, c).collect()}
     assert got["a"]["artist"] == "가수" and [x["text"] for x in got["a"]["captions"]] == [f"l{i}" for i in range(14)] and "captions" not in got["none"]
@@ -49,7 +55,11 @@ def test_newest_metadata_file(spark, tmp_path):
 
 
 def test_search_entries_and_pick(spark):
-    entries = [{"id": "x", "title": "Song", "channel": "", "uploader": "Band", "duration": 100}, {"id": "", "duration": 100}, {"id": "y", "title": "Other", "channel": "C", "duration": 101}, {"id": "z", "title": "Song", "channel": "Band - Topic", "duration": 102}, {"id": "w", "title": "none"}]
+    entries = [
+        {"id": "x", "title": "Song", "channel": "", "uploader": "Band", "duration": 100}, {"id": "", "duration": 100},
+        {"id": "y", "title": "Other", "channel": "C", "duration": 101},
+        {"id": "z", "title": "Song", "channel": "Band - Topic", "duration": 102}, {"id": "w", "title": "none"}
+    ]
     df = spark.createDataFrame([("j", json.dumps({"entries": entries}))], "job_id string, payload string")
     e = scans.search_entries(df)
     assert sorted(r["id"] for r in e.collect()) == ["x", "y", "z"]
@@ -59,7 +69,10 @@ def test_search_entries_and_pick(spark):
 
 
 def test_autocompletion_takes_the_first_sure_source(spark):
-    rows = [("a", 0, 0.89, "A", "one"), ("a", 1, 0.95, "B", "two"), ("b", 0, 0.5, "A", "one"), ("b", 1, 0.5, "B", "two"), ("c", 0, 0.4, "A", "one"), ("c", 1, 0.6, "B", "two")]
+    rows = [
+        ("a", 0, 0.89, "A", "one"), ("a", 1, 0.95, "B", "two"), ("b", 0, 0.5, "A", "one"), ("b", 1, 0.5, "B", "two"),
+        ("c", 0, 0.4, "A", "one"), ("c", 1, 0.6, "B", "two")
+    ]
     df = spark.createDataFrame(rows, "job_id string, priority int, score double, artistName string, trackName string")
     assert {r["job_id"]: r["artistName"] for r in catalog.autocomplete(df).collect()} == {"a": "A", "b": "A", "c": "B"}
 

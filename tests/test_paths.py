@@ -31,7 +31,10 @@ def plain_ratio(a, b):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.tuples(st.text("abc", max_size=40), st.text("abc", max_size=40)), max_size=12), st.lists(st.tuples(st.text(max_size=30), st.text(max_size=30)), max_size=6))
+@given(
+    st.lists(st.tuples(st.text("abc", max_size=40), st.text("abc", max_size=40)), max_size=12),
+    st.lists(st.tuples(st.text(max_size=30), st.text(max_size=30)), max_size=6)
+)
 def test_ratios_are_the_librarys(few, many):
     pairs = few + many + [(a, a) for a, _ in few] + [(b, a) for a, b in few]
     got = similar.ratios([a for a, _ in pairs], [b for _, b in pairs])
@@ -64,10 +67,14 @@ def test_paths_of_few_comparisons_are_the_best(seed):
     m = len(lines)
     whole = lambda texts, k, n: "".join(texts[k : k + n])
     score = cache(lambda b, bc, i, ic: plain_ratio(whole(blocks, b, bc), whole(lines, i, ic)))
-    row = lambda g, b: np.array([score(b, paths.GROUPS[g][0], i, paths.GROUPS[g][1]) - 0.04 * (sum(paths.GROUPS[g]) - 2) for i in range(m - paths.GROUPS[g][1] + 1)])
+    row = lambda g, b: np.array([score(
+        b, paths.GROUPS[g][0], i, paths.GROUPS[g][1]
+    ) - 0.04 * (sum(paths.GROUPS[g]) - 2) for i in range(m - paths.GROUPS[g][1] + 1)])
     ((got, compared, pairs),) = paths.together([paths.best_groups(blocks, lines)])
     want = paths.cover(len(blocks), m, row)
-    assert got.tolist() == [[b, paths.GROUPS[g][0], i, paths.GROUPS[g][1], score(b, paths.GROUPS[g][0], i, paths.GROUPS[g][1])] for g, b, i in want] and compared <= pairs
+    assert got.tolist() == [
+        [b, paths.GROUPS[g][0], i, paths.GROUPS[g][1], score(b, paths.GROUPS[g][0], i, paths.GROUPS[g][1])] for g, b, i in want
+    ] and compared <= pairs
     starts = np.arange(m) * 3.0
     ends = starts + np.array([rnd.random() * 4 for _ in range(m)])
     less = lambda d: np.minimum(0.18, np.abs(np.maximum(0.1, ends[d - 1 :] - starts[: m - d + 1]) - 3.2) * 0.015)
@@ -125,7 +132,10 @@ def test_best_groups_have_the_most_gain(n, m, rnd):
         ways += [gain[b, i, bc, ic] + best(b + bc, i + ic) for bc, ic in paths.GROUPS if (b, i, bc, ic) in gain]
         return max(ways, default=-np.inf)
 
-    got = [(b, *paths.GROUPS[g], i) for g, b, i in paths.cover(n, m, lambda g, b: np.array([gain[b, i, *paths.GROUPS[g]] for i in range(m - paths.GROUPS[g][1] + 1)]))]
+    got = [
+        (b, *paths.GROUPS[g], i) for g, b,
+        i in paths.cover(n, m, lambda g, b: np.array([gain[b, i, *paths.GROUPS[g]] for i in range(m - paths.GROUPS[g][1] + 1)]))
+    ]
     if best(0, 0) == -np.inf:
         assert len(got) == 0
         return
@@ -285,12 +295,22 @@ def test_captions_follow_the_path(spark):
 
 def test_slots_where_no_groups_fit(spark):
     """Unlike texts: lines are split by the roots of key lengths, or joined."""
-    b = spark.createDataFrame([("more", i, t, t, 60.0) for i, t in enumerate(["aaaa", "aaaaaaaaa", "a", "aa"])] + [("fewer", i, t, t, 60.0) for i, t in enumerate(["aa", "aaa"])], "job_id string, idx int, text string, sync_text string, duration double")
+    b = spark.createDataFrame(
+        [("more", i, t, t, 60.0) for i, t in enumerate(["aaaa", "aaaaaaaaa", "a", "aa"])] + [("fewer", i, t, t, 60.0) for i, t in enumerate(["aa", "aaa"])],
+        "job_id string, idx int, text string, sync_text string, duration double"
+    )
     items = [("more", 0, 10.0, 20.0, "zzzz zzzz zzzz"), ("more", 1, 20.0, 22.0, "z")] + [("fewer", i, 5.0 + 5 * i, 9.0 + 5 * i, f"zz{i}") for i in range(5)]
-    got = {(r["job_id"], r["idx"]): r for r in align.align_to_lrc(b, spark.createDataFrame(items, "job_id string, idx int, start double, end double, text string")).collect()}
+    got = {(r["job_id"], r["idx"]): r for r in align.align_to_lrc(
+        b, spark.createDataFrame(items, "job_id string, idx int, start double, end double, text string")
+    ).collect()}
     # sizes 12 and 1, times 10 and 2: both further parts go to the first line, whose three blocks have roots 2, 3 and 1
-    assert [(got["more", i]["start"], got["more", i]["end"]) for i in range(4)] == [(10.0, pytest.approx(10 + 20 / 6)), (pytest.approx(10 + 20 / 6), pytest.approx(10 + 50 / 6)), (pytest.approx(10 + 50 / 6), 20.0), (20.0, 22.0)]
-    assert [(got["fewer", i]["start"], got["fewer", i]["end"], got["fewer", i]["sync_text"]) for i in range(2)] == [(5.0, 14.0, "zz0 zz1"), (15.0, 29.0, "zz2 zz3 zz4")]
+    assert [(got["more", i]["start"], got["more", i]["end"]) for i in range(4)] == [
+        (10.0, pytest.approx(10 + 20 / 6)), (pytest.approx(10 + 20 / 6), pytest.approx(10 + 50 / 6)), (pytest.approx(10 + 50 / 6), 20.0),
+        (20.0, 22.0)
+    ]
+    assert [(
+        got["fewer", i]["start"], got["fewer", i]["end"], got["fewer", i]["sync_text"]
+    ) for i in range(2)] == [(5.0, 14.0, "zz0 zz1"), (15.0, 29.0, "zz2 zz3 zz4")]
     assert {r["lrc_count"] for k, r in got.items() if k[0] == "fewer"} == {5}
 
 
@@ -316,7 +336,9 @@ def test_expand_counts_by_brute_force(spark):
 
 def test_similarity_is_the_ratio_of_keys(spark):
     rnd = random.Random(0)
-    rows = [(song(rnd, 1, 2) if rnd.random() < 0.8 else rnd.choice(["", "Ab!", "가 나", None]), song(rnd, 1, 2) if rnd.random() < 0.8 else "a b") for _ in range(200)]
+    rows = [(
+        song(rnd, 1, 2) if rnd.random() < 0.8 else rnd.choice(["", "Ab!", "가 나", None]), song(rnd, 1, 2) if rnd.random() < 0.8 else "a b"
+    ) for _ in range(200)]
     from strandline.functions.text import similarity
 
     for r in spark.createDataFrame(rows * 2, "a string, b string").select("a", "b", similarity(F.col("a"), F.col("b")).alias("s")).collect():

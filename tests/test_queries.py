@@ -95,7 +95,9 @@ def test_transcript_align(spark):
 
         @cache
         def best(i, a, asked=asked, m=m, gain=gain):
-            return -0.03 * (m - a) if i == len(asked) else max([best(i + 1, a) - 0.18, *(gain(i, a, b) + best(i + 1, b) for b in range(a + 1, min(m, a + 6) + 1))])
+            return -0.03 * (m - a) if i == len(asked) else max([
+                best(i + 1, a) - 0.18, *(gain(i, a, b) + best(i + 1, b) for b in range(a + 1, min(m, a + 6) + 1))
+            ])
 
         at, total = 0, 0.0
         for i, r in enumerate(got[j]):
@@ -115,7 +117,9 @@ def test_lrc_group_align(spark):
         items.setdefault(r["job_id"], []).append(r)
     for r in rows(spark, "lrc_group_align"):
         own = next(x for x in known[r["job_id"]] if x["idx"] == r["idx"])
-        assert r["text"] == own["text"] and r["score"] == pytest.approx(ratio(own["sync_text"], r["sync_text"]), abs=1e-6) and r["lrc_count"] == len(items[r["job_id"]])
+        assert r["text"] == own["text"] and r["score"] == pytest.approx(
+            ratio(own["sync_text"], r["sync_text"]), abs=1e-6
+        ) and r["lrc_count"] == len(items[r["job_id"]])
         twin = [x for x in items[r["job_id"]] if x["text"] == own["sync_text"].replace("\n", " ").strip()]
         assert not twin or r["score"] < 1 or any(x["start"] - 1e-6 <= r["start"] <= x["end"] + 1e-6 for x in twin)  # two blocks may share a line
     assert sum(r["score"] == 1 for r in rows(spark, "lrc_group_align")) >= 0.6 * sum(map(len, items.values()))
@@ -126,7 +130,9 @@ def test_near_duplicate_trim(spark):
     for r in rows(spark, "near_duplicate_trim"):
         text = "\n".join(x["text"] for x in known[r["job_id"]])
         doubled = int(r["job_id"]) % 2 == 0 and len(key(text)) >= 120
-        assert (r["text"], r["removed"]) == ((text.rstrip(), True) if doubled and r["removed"] else (text if not int(r["job_id"]) % 2 == 0 else text + "\n" + text, False))
+        assert (r["text"], r["removed"]) == ((text.rstrip(), True) if doubled and r["removed"] else (
+            text if not int(r["job_id"]) % 2 == 0 else text + "\n" + text, False
+        ))
         assert r["removed"] or not doubled
 
 
@@ -139,7 +145,9 @@ def test_catalog_rank_top1(spark):
     parts: dict = {}
     for r in read(spark, SF, "part").orderBy("p_partkey").collect():
         parts.setdefault(str(r["p_size"]), r)
-    simple = lambda x: key(re.sub(r"\b(?:feat(?:uring)?|ft|official|audio|video|lyrics?|mv)\b.*", " ", re.sub(r"[(\[{].*?[)\]}]", " ", x.lower())))
+    simple = lambda x: key(re.sub(
+        r"\b(?:feat(?:uring)?|ft|official|audio|video|lyrics?|mv)\b.*", " ", re.sub(r"[(\[{].*?[)\]}]", " ", x.lower())
+    ))
 
     def alike(a, b):
         a, b = simple(a), simple(b)
@@ -175,7 +183,9 @@ def test_warped_captions(spark):
             starts.append(min(60.0, to(r["start"]) if not starts else max(to(r["start"]), starts[-1] + 0.12)))
         ends = [min(60.0, max(s + 0.2, to(r["end"]))) for s, r in zip(starts, own, strict=True)]
         ends = [min(e, starts[i + 1] - 0.04) if i + 1 < len(starts) else e for i, e in enumerate(ends)]
-        assert [(r["start"], r["end"]) for r in got[job]] == [(pytest.approx(s, abs=1e-5), pytest.approx(e, abs=1e-5)) for s, e in zip(starts, ends, strict=True)]
+        assert [(r["start"], r["end"]) for r in got[job]] == [
+            (pytest.approx(s, abs=1e-5), pytest.approx(e, abs=1e-5)) for s, e in zip(starts, ends, strict=True)
+        ]
 
 
 def recordings(spark):
@@ -191,7 +201,9 @@ def test_maps_are_medians_of_paths(spark, name):
     for r in rows(spark, name):
         got.setdefault(r["job_id"], []).append((r["ref_t"], r["perf_t"]))
     for job, (a, b) in recordings(spark).items():
-        path = timemap.banded_path(timemap.smooth(a, 41, 1), timemap.smooth(b, 41, 1)) if name == "warping_paths" else timemap.rising(timemap.multiscale_path(timemap.unit(a), timemap.unit(b), a, b))
+        path = timemap.banded_path(
+            timemap.smooth(a, 41, 1), timemap.smooth(b, 41, 1)
+        ) if name == "warping_paths" else timemap.rising(timemap.multiscale_path(timemap.unit(a), timemap.unit(b), a, b))
         at: dict = {}
         for i, j in path.tolist():
             at.setdefault(i, []).append(j)
@@ -208,7 +220,9 @@ def test_time_map_choice(spark):
     for own in got.values():
         r = own[0]
         ok = [x is not None and x <= 12 for x in (r["multiscale_spread"], r["legacy_spread"])]
-        want = "invalid" if r["error"] in ("too short", "lengths differ too much") or not any(ok) else "multiscale" if ok[0] and (not ok[1] or r["multiscale_cost"] <= r["legacy_cost"] + 0.025) else "legacy"
+        want = "invalid" if r["error"] in ("too short", "lengths differ too much") or not any(ok) else "multiscale" if ok[0] and (
+            not ok[1] or r["multiscale_cost"] <= r["legacy_cost"] + 0.025
+        ) else "legacy"
         assert r["method"] == want and (want == "invalid") == (r["ref_t"] is None) == (r["error"] is not None)
         if want != "invalid":
             offsets = [x["perf_t"] - x["ref_t"] for x in own]
@@ -241,11 +255,15 @@ def test_reference_transcript(spark):
 def test_lookups(spark):
     status = {r["job_id"]: r for r in rows(spark, "synced_lyrics_lookup")}
     for job, r in status.items():
-        assert (r["status"] == "skipped") == (int(job) % 4 == 0) and (r["score"] is None) == (r["status"] in ("skipped", "not found")) and (r["lrc_lines"] == 2) == (r["score"] is not None)
+        assert (r["status"] == "skipped") == (int(job) % 4 == 0) and (r["score"] is None) == (
+            r["status"] in ("skipped", "not found")
+        ) and (r["lrc_lines"] == 2) == (r["score"] is not None)
         assert r["status"] != "exact" or r["score"] > 0.9
     assert {r["status"] for r in status.values()} >= {"skipped", "auto-matched"}
     done = {r["job_id"]: r for r in rows(spark, "field_completion")}
-    assert set(done) == set(status) and all(r["source"] in (None, "input", "description") and (r["score"] is None) == (r["source"] is None) for r in done.values())
+    assert set(done) == set(status) and all(
+        r["source"] in (None, "input", "description") and (r["score"] is None) == (r["source"] is None) for r in done.values()
+    )
     assert all(r["source"] != "description" for j, r in done.items() if int(j) % 2)
 
 
@@ -324,7 +342,9 @@ def test_session_stream(spark, tmp_path):
     events = spark.read.parquet(f"{SF}/events.parquet")
     events.coalesce(1).write.parquet(src)
     stream = sessions(spark.readStream.schema(events.schema).parquet(src))
-    q = stream.writeStream.format("memory").queryName("spells").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q = stream.writeStream.format("memory").queryName("spells").outputMode("append").option(
+        "checkpointLocation", str(tmp_path / "cp")
+    ).trigger(availableNow=True).start()
     q.awaitTermination(120)
     batch = {tuple(r) for r in sessions(events).collect()}
     got = {tuple(r) for r in spark.table("spells").collect()}

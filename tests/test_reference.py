@@ -35,7 +35,10 @@ def test_turned_map_wins_on_a_transposed_performance(spark):
 
 
 def test_recordings_that_do_not_fit_are_reported(spark):
-    rows = [(j, side, i, [float(i % 12 == k) for k in range(12)]) for j, n, m in (("short", 5, 60), ("unlike", 60, 90), ("fits", 60, 60)) for side, size in (("ref", n), ("perf", m)) for i in range(size)] + [("alone", "ref", i, [1.0] * 12) for i in range(50)]
+    rows = [
+        (j, side, i, [float(i % 12 == k) for k in range(12)]) for j, n,
+        m in (("short", 5, 60), ("unlike", 60, 90), ("fits", 60, 60)) for side, size in (("ref", n), ("perf", m)) for i in range(size)
+    ] + [("alone", "ref", i, [1.0] * 12) for i in range(50)]
     f = spark.createDataFrame(rows, "job_id string, side string, frame int, chroma array<double>").withColumn("onset", F.col("chroma"))
     axis, report = reference.best_map(f, 10.0)
     got = {r["job_id"]: (r["method"], r["error"]) for r in report.collect()}
@@ -53,7 +56,9 @@ def test_features_of_recordings(spark, tmp_path):
         w.setnchannels(2), w.setsampwidth(2), w.setframerate(rate)
         w.writeframes(np.repeat(x, 2).astype("<i2").tobytes())
     rows = timemap.music_features(spark.read.format("binaryFile").load(str(tmp_path)), rate).orderBy("frame").collect()
-    assert len(rows) == 101 and [int(np.argmax(rows[k]["chroma"])) for k in (20, 80)] == [9, 0] and set(np.unique(rows[20]["chroma"])) <= {0.0, 0.25, 0.5, 0.75, 1.0}
+    assert len(rows) == 101 and [
+        int(np.argmax(rows[k]["chroma"])) for k in (20, 80)
+    ] == [9, 0] and set(np.unique(rows[20]["chroma"])) <= {0.0, 0.25, 0.5, 0.75, 1.0}
     assert all(np.linalg.norm(r["onset"]) <= 1 + 1e-9 for r in rows) and np.argmax(rows[50]["onset"]) == 0
 
 

@@ -88,7 +88,10 @@ def test_refined_starts_are_those_of_the_loop(spark, monkeypatch, block):
                 starts[i] = starts[i - 1] + 0.12
         want[job] = [min(60.0, max(0.0, s)) for s in starts]
     c = spark.createDataFrame(captions, "job_id string, idx int, start double, end double, duration double")
-    k = spark.createDataFrame(candidates, "job_id string, idx int, cand_idx int, start double, end double, confidence double, collapsed_ratio double, source string")
+    k = spark.createDataFrame(
+        candidates,
+        "job_id string, idx int, cand_idx int, start double, end double, confidence double, collapsed_ratio double, source string"
+    )
     got = {}
     for r in consensus.refine(c, k).orderBy("job_id", "idx").collect():
         got.setdefault(r["job_id"], []).append(r["start"])
@@ -139,7 +142,10 @@ def test_active_places_are_those_of_the_loop(spark, monkeypatch, block):
 
 def test_a_long_job_is_many_blocks(spark):
     n = 60_000
-    rows = spark.range(n).select(F.lit("one").alias("job_id"), F.col("id").cast("int").alias("idx"), (F.floor(F.col("id") / 3) * 0.36 + F.col("id") % 3 * 0.01).alias("wish"))
+    rows = spark.range(n).select(
+        F.lit("one").alias("job_id"), F.col("id").cast("int").alias("idx"),
+        (F.floor(F.col("id") / 3) * 0.36 + F.col("id") % 3 * 0.01).alias("wish")
+    )
     gap = lambda state, r: F.greatest(r["wish"], state + 0.12)
     out = scan.states(rows, gap, lambda r: scan.rule(r["wish"] - 0.12, r["wish"], r["wish"] - 0.12, r["wish"], 0.12))
     got = [r["at"] for r in out.orderBy("idx").select("at").collect()]
@@ -157,7 +163,9 @@ def test_neighbours_by_brute_force(spark, monkeypatch, rows):
     monkeypatch.setattr(timeline, "ROWS", rows)
     rnd = random.Random(rows)
     points = {j: sorted(rnd.sample(range(40), n)) for j, n in (("a", 9), ("b", 1), ("c", 25))} | {"same": [3]}
-    probes = [(j, rnd.choice([float(rnd.randrange(-3, 45)), rnd.uniform(-3, 45)]), k) for k, j in enumerate(["a", "b", "c", "none"] * 20)] + [("a", None, 90), ("same", 3.0, 91), ("same", 3.0, 92)]
+    probes = [
+        (j, rnd.choice([float(rnd.randrange(-3, 45)), rnd.uniform(-3, 45)]), k) for k, j in enumerate(["a", "b", "c", "none"] * 20)
+    ] + [("a", None, 90), ("same", 3.0, 91), ("same", 3.0, 92)]
     p = spark.createDataFrame([(j, float(x), x) for j, own in points.items() for x in own], "job_id string, at double, p int")
     q = spark.createDataFrame(probes, "job_id string, at double, row int")
     got = {r["row"]: (r["below"], r["above"]) for r in timeline.neighbours(q, p).collect()}

@@ -55,7 +55,9 @@ def scan(attempts, records, share=0.6):
             ok = same or shared >= max(1, math.ceil(len(own) * share))
             if who is not None:
                 artist = words_of(r["artistName"])
-                ok &= len(who & artist) >= max(1, math.ceil(len(who) * share)) or (track(a["artist_name"]) != "" and track(a["artist_name"]) == track(r["artistName"]))
+                ok &= len(who & artist) >= max(1, math.ceil(len(who) * share)) or (
+                    track(a["artist_name"]) != "" and track(a["artist_name"]) == track(r["artistName"])
+                )
             if ok:
                 out.add((a["job_id"], a["pos"], key, shared))
     return out
@@ -66,11 +68,23 @@ def tables(spark):
     rnd = random.Random(3)
     words = ["love", "the", "night", "song", "don't", "夜に駆ける", "夢", "of", "blue", "rain", "a"] + [f"w{i}" for i in range(40)]
     title = lambda: " ".join(rnd.choice(words[: rnd.choice([4, 11, 51])]) for _ in range(rnd.randrange(1, 5)))
-    rows = [(k, None if k % 5 == 0 else k % 160, title() + rnd.choice(["", " (feat. X)", " Official Video"]), rnd.choice(["Ann", "The Bees", "初音", None]), None, 200.0, LRC if k % 4 else " ", None, 1) for k in range(220)]
-    rows += [(300, 900, "Dont Stop", "Ann", None, 100.0, LRC, None, 1), (301, 901, None, None, None, None, LRC, "j1", 1), (302, None, "", "", "", None, LRC, None, 1), (303, 902, "!!!", "Ann", None, 5.0, LRC, None, 1)]
+    rows = [(
+        k, None if k % 5 == 0 else k % 160, title() + rnd.choice(["", " (feat. X)", " Official Video"]),
+        rnd.choice(["Ann", "The Bees", "初音", None]), None, 200.0, LRC if k % 4 else " ", None, 1
+    ) for k in range(220)]
+    rows += [
+        (300, 900, "Dont Stop", "Ann", None, 100.0, LRC, None, 1), (301, 901, None, None, None, None, LRC, "j1", 1),
+        (302, None, "", "", "", None, LRC, None, 1), (303, 902, "!!!", "Ann", None, 5.0, LRC, None, 1)
+    ]
     records = spark.createDataFrame(rows, RECORD)
-    asked = [(f"j{k}", rnd.choice(["ann", "Bees", " ", "初音ミク", "nobody"]), (rows[rnd.randrange(220)][2] if k % 2 else title()) + rnd.choice(["", " | live", " [夢]"]), 201.0, 2) for k in range(60)]
-    asked += [("same", "Ann", "don't STOP (Official Audio)", None, None), ("blank", "Ann", " ", None, None), ("none", None, None, None, None), ("marks", "Ann", "!!!", None, None)]
+    asked = [(
+        f"j{k}", rnd.choice(["ann", "Bees", " ", "初音ミク", "nobody"]),
+        (rows[rnd.randrange(220)][2] if k % 2 else title()) + rnd.choice(["", " | live", " [夢]"]), 201.0, 2
+    ) for k in range(60)]
+    asked += [
+        ("same", "Ann", "don't STOP (Official Audio)", None, None), ("blank", "Ann", " ", None, None), ("none", None, None, None, None),
+        ("marks", "Ann", "!!!", None, None)
+    ]
     return records, spark.createDataFrame(asked, "job_id string, artist string, title string, duration double, lines int")
 
 
@@ -160,7 +174,10 @@ def brute_lookup(asked, records):
 def test_lookup_by_scan(spark, tables):
     records, asked = tables
     rows = catalog.synced_lyrics(search.search_records(asked, search.catalog_index(records)), asked).collect()
-    want = brute_lookup({"queries": [r.asDict() for r in asked.collect()], "attempts": [r.asDict() for r in catalog.search_attempts(asked).collect()]}, [r.asDict() for r in records.collect()])
+    want = brute_lookup(
+        {"queries": [r.asDict() for r in asked.collect()], "attempts": [r.asDict() for r in catalog.search_attempts(asked).collect()]},
+        [r.asDict() for r in records.collect()]
+    )
     assert {r["job_id"]: (r["status"], r["score"], (r["artistName"], r["trackName"]) if r["score"] is not None else None) for r in rows} == want
     assert {v[0] for v in want.values()} == {"skipped", "not found", "exact", "auto-matched"}
 
