@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from strandline.functions.text import strip
 from strandline.operators.timeline import interpolate
-from strandline.operators.timemap import BINS, axis_stats, build_paths, choose_method, disagreement, feature_cost, pitch_shifts, time_axis
+from strandline.operators.timemap import (
+    BINS, axis_stats, build_paths, choose_method, disagreement, feature_cost, music_features, pitch_shifts, time_axis
+)
+from strandline.sources.scans import unreadable
+from strandline.sources.staging import written
 
 
 def clean_segments(segments: DataFrame) -> DataFrame:
@@ -107,3 +111,21 @@ def best_map(features: DataFrame, rate: float) -> tuple[DataFrame, DataFrame]:
     report = report.withColumn("error", F.coalesce("error", F.when(F.col("method") == "invalid", "no stable time map")))
     pick = lambda axis, name: axis.join(report.where(F.col("method") == name).select("job_id"), "job_id", "left_semi")
     return pick(multiscale, "multiscale").unionByName(pick(banded, "legacy")), report
+
+
+def audio_map(sides: DataFrame, files: DataFrame, frames_a_second: int = 50, samples_a_second: int = 22_050) -> tuple[DataFrame, DataFrame]:
+    """best_map of recordings: (axis, report) of jobs' sides (job_id, side: ref or perf, path) and sound files (path, content), read by Spark's
+    binaryFile source. The axis is what plans.pipeline takes.
+
+    A file is decoded once, however many jobs it belongs to. Every job has a report: one with a file that is missing or can't be read has the
+    method invalid and says so."""
+    found = written(music_features(files, samples_a_second, frames_a_second), "features").withColumnRenamed("job_id", "path")
+    features = sides.select("job_id", "side", "path").join(found, "path").drop("path")
+    axis, report = best_map(features, float(frames_a_second))
+    known = found.select("path").distinct()
+    silent = sides.join(known, "path", "left_anti").join(unreadable(files).withColumnRenamed("job_id", "path"), "path", "left")
+    reason = F.concat_ws(": ", "path", F.coalesce("error", F.lit("no sound")))
+    silent = silent.groupBy("job_id").agg(F.min(reason).alias("why"))
+    rows = sides.select("job_id").distinct().join(report, "job_id", "left").join(silent, "job_id", "left")
+    method = F.when(F.col("why").isNotNull(), "invalid").otherwise(F.col("method"))
+    return axis, rows.withColumns({"method": method, "error": F.coalesce("why", "error")}).drop("why")

@@ -35,10 +35,9 @@ def test_turned_map_wins_on_a_transposed_performance(spark):
 
 
 def test_recordings_that_do_not_fit_are_reported(spark):
-    rows = [
-        (j, side, i, [float(i % 12 == k) for k in range(12)]) for j, n,
-        m in (("short", 5, 60), ("unlike", 60, 90), ("fits", 60, 60)) for side, size in (("ref", n), ("perf", m)) for i in range(size)
-    ] + [("alone", "ref", i, [1.0] * 12) for i in range(50)]
+    lengths = (("short", 5, 60), ("unlike", 60, 90), ("fits", 60, 60))
+    unit = lambda i: [float(i % 12 == k) for k in range(12)]
+    rows = [(j, side, i, unit(i)) for j, n, m in lengths for side, size in (("ref", n), ("perf", m)) for i in range(size)] + [("alone", "ref", i, [1.0] * 12) for i in range(50)]
     f = spark.createDataFrame(rows, "job_id string, side string, frame int, chroma array<double>").withColumn("onset", F.col("chroma"))
     axis, report = reference.best_map(f, 10.0)
     got = {r["job_id"]: (r["method"], r["error"]) for r in report.collect()}
@@ -62,6 +61,37 @@ def test_features_of_recordings(spark, tmp_path):
     assert all(np.linalg.norm(r["onset"]) <= 1 + 1e-9 for r in rows) and np.argmax(rows[50]["onset"]) == 0
 
 
+def test_sound_files_to_captions(spark, tmp_path):
+    """From two recordings and stamped lyrics to captions on the performance, which begins 0.6 s later; a job with a broken file says so."""
+    import wave
+
+    from strandline.plans.pipeline import DTW, run_jobs
+
+    rate, rnd = 22_050, np.random.default_rng(3)
+    notes = np.concatenate([np.sin(2 * np.pi * f * np.arange(rate // 2) / rate) for f in rnd.choice([262, 294, 330, 349, 392, 440, 494], 12)])
+    for name, lead in (("ref", 0.0), ("perf", 0.6)):
+        x = np.concatenate([0.001 * rnd.normal(size=int(lead * rate)), notes])
+        with wave.open(str(tmp_path / f"{name}.wav"), "wb") as w:
+            w.setnchannels(1), w.setsampwidth(2), w.setframerate(rate)
+            w.writeframes((x * 20_000).astype("<i2").tobytes())
+    (tmp_path / "bad.wav").write_bytes(b"no sound")
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    path = {r["path"].rpartition("/")[2]: r["path"] for r in files.select("path").collect()}
+    own = [("good", "ref", "ref.wav"), ("good", "perf", "perf.wav"), ("broken", "ref", "ref.wav"), ("broken", "perf", "bad.wav"), ("lost", "ref", "ref.wav"), ("lost", "perf", None)]
+    sides = spark.createDataFrame([(j, side, path.get(f, "gone")) for j, side, f in own], "job_id string, side string, path string")
+    axis, report = reference.audio_map(sides, files)
+    got = {r["job_id"]: r for r in report.collect()}
+    assert got["good"]["error"] is None and got["good"]["method"] != "invalid"
+    assert got["broken"]["method"] == got["lost"]["method"] == "invalid" and "bad.wav" in got["broken"]["error"] and got["lost"]["error"] == "gone: no sound"
+    lines = ["first line here", "second line there", "third and last"]
+    jobs = spark.createDataFrame([(j, DTW, 6.6, 6.0, "\n\n".join(lines)) for j in got], "job_id string, mode string, duration double, reference_duration double, text string")
+    lrc = spark.createDataFrame([(j, i, 1.0 + 1.5 * i, 2.2 + 1.5 * i, t) for j in got for i, t in enumerate(lines)], "job_id string, idx int, start double, end double, text string")
+    rows = run_jobs(jobs, lrc, axis=axis).collect()
+    starts = [r["start"] for r in sorted((r for r in rows if r["job_id"] == "good"), key=lambda r: r["idx"])]
+    assert starts == pytest.approx([1.6, 3.1, 4.6], abs=0.25)
+    assert {r["job_id"]: r["error"] for r in rows if r["error"]} == {"broken": "no time map", "lost": "no time map"}
+
+
 def test_compatibility(spark):
     df = spark.createDataFrame([(100.0, 117.0), (100.0, 119.0), (0.5, 0.5)], "a double, b double")
     assert [r[0] for r in df.select(reference.compatible(F.col("a"), F.col("b"))).collect()] == [True, False, False]
