@@ -85,7 +85,20 @@ def sequence_violations(spark, d):
     return timeline.violations(even(spark, d).withColumn("end", end))
 
 
-@query()
+@query(f"""WITH {AXIS}, {EVEN},
+    pr AS (SELECT job_id, idx, duration, 0 AS side, start AS x FROM ev UNION ALL SELECT job_id, idx, duration, 1, "end" FROM ev),
+    lo AS (SELECT p.job_id, idx, side, max(a.ref_t) AS x0 FROM pr p JOIN ax a ON a.job_id = p.job_id AND a.ref_t <= p.x GROUP BY p.job_id, idx, side),
+    hi AS (SELECT p.job_id, idx, side, min(a.ref_t) AS x1 FROM pr p JOIN ax a ON a.job_id = p.job_id AND a.ref_t >= p.x GROUP BY p.job_id, idx, side),
+    b AS (SELECT p.*, x0, x1, a.perf_t AS y0, c.perf_t AS y1 FROM pr p LEFT JOIN lo ON lo.job_id = p.job_id AND lo.idx = p.idx AND lo.side = p.side
+          LEFT JOIN hi ON hi.job_id = p.job_id AND hi.idx = p.idx AND hi.side = p.side
+          LEFT JOIN ax a ON a.job_id = p.job_id AND a.ref_t = x0 LEFT JOIN ax c ON c.job_id = p.job_id AND c.ref_t = x1),
+    y AS (SELECT *, greatest(0e0, least(duration, CASE WHEN y0 IS NULL AND y1 IS NULL THEN x WHEN y0 IS NULL THEN y1
+        WHEN y1 IS NULL THEN y0 WHEN x1 = x0 THEN y0 ELSE y0 + (y1 - y0) / (x1 - x0) * (x - x0) END)) AS y FROM b),
+    m AS (SELECT f.job_id, f.idx, f.duration, l.y AS e, max(f.y - 0.12e0 * f.idx) OVER (PARTITION BY f.job_id ORDER BY f.idx ROWS UNBOUNDED PRECEDING) AS lead_
+          FROM y f JOIN y l ON l.job_id = f.job_id AND l.idx = f.idx AND f.side = 0 AND l.side = 1),
+    s AS (SELECT *, least(duration, lead_ + 0.12e0 * idx) AS start FROM m),
+    w AS (SELECT *, greatest(start + 0.2e0, e) AS wish, lead(start) OVER (PARTITION BY job_id ORDER BY idx) - 0.04e0 AS next FROM s)
+    SELECT job_id, idx, round(start, 6) AS start, round(least(duration, coalesce(least(wish, next), wish)), 6) AS "end" FROM w""")
 def warped_captions(spark, d):
     """Evenly spaced captions through the axis of the user that has their job's number."""
     c, axis = even(spark, d), timemap.time_axis(read(spark, d, "axis"))
