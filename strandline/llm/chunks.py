@@ -33,7 +33,7 @@ class ChunkTable:
 
     The library takes special tokens out of a text before anything else, so the stretches between them are texts of their own."""
 
-    def __init__(self, encode_batch, begins, line_end: int, most: int = 1_000_000, special: tuple[str, ...] = ()):
+    def __init__(self, encode_batch, begins, line_end: int, most: int = 400_000, special: tuple[str, ...] = ()):
         """begins: for each id, whether its bytes begin with a space. line_end: the id of a line end. special: the special tokens' strings."""
         self.encode_batch, self.begins, self.line_end, self.most = encode_batch, begins, line_end, most
         self.special = special
@@ -43,11 +43,11 @@ class ChunkTable:
     def _clear(self) -> None:
         self.keys = np.zeros(0, dtype=np.uint64)
         self.starts = np.zeros(0, dtype=np.int64)
-        self.sizes = np.zeros(0, dtype=np.int64)
+        self.sizes = np.zeros(0, dtype=np.int32)
         self.flat = np.zeros(0, dtype="<u4")
         self.raw = np.zeros(0, dtype=np.uint8)  # the chunks' own bytes, behind one another
         self.raw_starts = np.zeros(0, dtype=np.int64)
-        self.raw_sizes = np.zeros(0, dtype=np.int64)
+        self.raw_sizes = np.zeros(0, dtype=np.int32)
 
     def _learn(self, keys: np.ndarray, chunks: list[str]) -> None:
         """Adds chunks, given with what stands before them, under their sorted keys."""
