@@ -33,7 +33,7 @@ class ChunkTable:
 
     The library takes special tokens out of a text before anything else, so the stretches between them are texts of their own."""
 
-    def __init__(self, encode_batch, begins, line_end: int, most: int = 400_000, special: tuple[str, ...] = ()):
+    def __init__(self, encode_batch, begins, line_end: int, most: int = 700_000, special: tuple[str, ...] = ()):
         """begins: for each id, whether its bytes begin with a space. line_end: the id of a line end. special: the special tokens' strings."""
         self.encode_batch, self.begins, self.line_end, self.most = encode_batch, begins, line_end, most
         self.special = special
