@@ -79,6 +79,13 @@ def test_anchors_are_read_or_reported(spark):
     ]
 
 
+def test_a_text_without_anchors_is_reported_beside_others_of_its_job(spark):
+    jobs = table(spark, "job_id string, n int, duration double, anchors string", ("a", 2, 60.0, "1 = 5"), ("a", 2, 60.0, "# none"), ("b", 2, 60.0, None))
+    good, wrong = scans.timing_anchors(jobs)
+    assert [tuple(r) for r in good.collect()] == [("a", 0, 5.0)]
+    assert sorted((r["job_id"], r["line"], r["reason"]) for r in wrong.collect()) == [("a", None, "no anchors"), ("b", None, "no anchors")]
+
+
 def test_blocks(spark):
     df = table(spark, "job_id string, text string", ("s", "  up \r\ndown\r\n\r\n[bridge,\nquiet]\n \t\nleft\nright\nback\n\n\n"))
     rows = lambda *how: [(r["text"], r["sync_text"]) for r in scans.lyric_blocks(df, *how).orderBy("idx").collect()]
