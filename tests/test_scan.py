@@ -196,3 +196,14 @@ def test_active_time_by_brute_force(spark, monkeypatch, rows):
                     break
                 left -= e - s
         assert got[j, f] == pytest.approx(want), (j, f)
+
+
+def test_rests_of_means_decide_no_end(spark):
+    """The mean of these two ends is a rest more than 0.2: a caption from 0 that ends there is as short as one that ends at 0.2."""
+    captions = spark.createDataFrame([("a", i, i * 6.0, i * 6.0 + 3, 60.0) for i in range(3)], "job_id string, idx int, start double, end double, duration double")
+    candidates = spark.createDataFrame(
+        [("a", 0, 0, -0.3, 0.15, 0.5, 0.0, "1-6"), ("a", 0, 1, -0.3, 0.25000000000000017, 0.5, 0.0, "2-9")],
+        "job_id string, idx int, cand_idx int, start double, end double, confidence double, collapsed_ratio double, source string"
+    )
+    got = consensus.refine(captions, candidates).where("idx = 0").collect()[0]
+    assert got["accepted"] and got["end"] == pytest.approx(5.95)
