@@ -291,6 +291,24 @@ def test_synced_lyrics_have_a_status(spark):
     assert got == {"exact": ("exact", 2), "near": ("auto-matched", 2), "unnamed": ("not found", None), "blank": ("skipped", None), "lost": ("not found", None)}
 
 
+def test_lookups_that_share_records_find_what_each_finds_alone(spark):
+    shelves = [
+        ("s", 0, 1, "Harbour", "Gulls", 300.0, TWO), ("s", 1, 2, "Harbour", "Gulls", 181.0, TWO), ("s", 2, 3, "Harbour", "Gulls", 181.0, TWO + " again"),
+        ("s", 3, 4, "Harbor", None, 181.0, TWO), ("s", 4, 5, "Harbour", "Gulls", 180.0, " "), ("t", 5, 6, "Harbour", "Terns", None, TWO), ("t", 6, 7, "Desert", "Gulls", 180.0, TWO)
+    ]
+    asked = [
+        (f"{shelf}{k}", shelf, artist, title, d, n) for shelf in "st" for k, (artist, title, d, n) in enumerate([
+            ("Gulls", "Harbour", 180.0, 2), ("Gulls", "Harbour", 180.0, 2), ("Gulls", "Harbour (Live)", None, None), ("x", "Harbour", 181.0, 2), ("Gulls", "Dessert", 180.0, 9)
+        ])
+    ]
+    queries = table(spark, "job_id string, shelf string, artist string, title string, duration double, lines int", *asked)
+    records = table(spark, RECORDS, *shelves).withColumnRenamed("job_id", "shelf")
+    alone = catalog.synced_lyrics(records.join(queries.select("job_id", "shelf"), "shelf").drop("shelf"), queries.drop("shelf"))
+    got = sorted(map(tuple, catalog.synced_lyrics(records, queries, "shelf").collect()), key=str)
+    assert got == sorted(map(tuple, alone.collect()), key=str) and {r[1] for r in got} >= {"exact", "not found"}
+    assert {r[0]: r[-1] for r in got}["s0"] == TWO
+
+
 def test_completion_asks_the_description_first(spark):
     inputs = table(
         spark, "job_id string, artist string, title string", ("same", "Gulls", "Harbour"), ("other", "gul", "harb"), ("none", "x", "y"),
