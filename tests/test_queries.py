@@ -355,3 +355,10 @@ def test_validation_reports_counts(spark):
     c = spark.createDataFrame([("a", 0, 0.0, 1.0), ("a", 1, 0.5, 0.4)], "job_id string, idx int, start double, end double")
     n = spark.createDataFrame([("a", 3), ("b", 0)], "job_id string, n int")
     assert sorted((r["idx"], r["reason"]) for r in timeline.violations(c, n).collect()) == [(-1, "another count"), (1, "end is not after start")]
+
+
+@pytest.mark.parametrize("name", ["refinement_rows", "forced_candidates", "forced_errors"])
+def test_forced_windows_are_joined_by_shuffles(spark, name):
+    """Windows, captions and results grow with the jobs, so none may go to the driver whole, however small its columns look."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
