@@ -362,3 +362,14 @@ def test_forced_windows_are_joined_by_shuffles(spark, name):
     """Windows, captions and results grow with the jobs, so none may go to the driver whole, however small its columns look."""
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def _optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_search_attempts_parse_and_cut_once(spark):
+    """A payload is parsed once for the filter and once for the attempts, and what they are made of isn't made anew for each of them."""
+    plan = _optimized(QUERIES["search_attempts"](spark, SF))
+    assert plan.count("from_json") <= 2
+    assert plan.count("regexp_extract_all") <= 2
