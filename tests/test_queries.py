@@ -368,6 +368,12 @@ def _optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_text_keys_replace_once(spark):
+    """Both keys come from one replacement, which is computed once a row."""
+    found = set(re.findall(r"regexp_replace\(lower\([^)]*\)[^)]*\)", _optimized(QUERIES["text_keys"](spark, SF))))
+    assert len(found) == 1
+
+
 def test_search_attempts_parse_and_cut_once(spark):
     """A payload is parsed once for the filter and once for the attempts, and what they are made of isn't made anew for each of them."""
     plan = _optimized(QUERIES["search_attempts"](spark, SF))
