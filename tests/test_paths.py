@@ -353,3 +353,14 @@ def test_equal_halves_need_no_matcher(monkeypatch):
     song = "".join(f"line{k}ofasongthatgoeson" for k in range(60))
     assert align.second_copy(song + song) == len(song)
     assert not asked
+
+
+def test_ratios_hold_few_characters_at_once(monkeypatch):
+    """However many pairs are asked for, only so many characters are held as arrays, and the similarities are the same."""
+    rng = random.Random(5)
+    first, second = (["".join(rng.choices("abc", k=rng.randrange(40))) for _ in range(300)] for _ in range(2))
+    want, coded, seen = similar.ratios(first, second), similar._coded, []
+    monkeypatch.setattr(similar, "CHARACTERS", 500, raising=False)
+    monkeypatch.setattr(similar, "_coded", lambda texts: seen.append(sum(map(len, texts))) or coded(texts))
+    assert (similar.ratios(first, second) == want).all()
+    assert max(seen) <= 500 + 80
