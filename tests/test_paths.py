@@ -364,3 +364,12 @@ def test_ratios_hold_few_characters_at_once(monkeypatch):
     monkeypatch.setattr(similar, "_coded", lambda texts: seen.append(sum(map(len, texts))) or coded(texts))
     assert (similar.ratios(first, second) == want).all()
     assert max(seen) <= 500 + 80
+
+
+def test_few_searches_are_held_at_once(monkeypatch):
+    """Small jobs count for what their searches hold, too, so a batch of many isn't held whole."""
+    together, held = paths.together, []
+    monkeypatch.setattr(paths, "together", lambda searches: held.append(len(searches)) or together(searches))
+    got = list(paths.in_turn((1, lambda: paths.best_scores(["ab"], ["abc"])) for _ in range(1200)))
+    assert len(got) == 1200 and {float(g[0][0]) for g in got} == {ratio("ab", "abc")}
+    assert max(held) <= 600
