@@ -181,3 +181,26 @@ def test_lookup_by_scan(spark, tables):
     assert {r["job_id"]: (r["status"], r["score"], (r["artistName"], r["trackName"]) if r["score"] is not None else None) for r in rows} == want
     assert {v[0] for v in want.values()} == {"skipped", "not found", "exact", "auto-matched"}
 
+
+
+@pytest.mark.parametrize("short", [4096, 0])
+def test_best_records_keep_few_pairs(spark, tables, monkeypatch, short):
+    """The best record of each query is the one of a scan, though most of the found pairs never leave the join."""
+    records, asked = tables
+    kept, plain = [], search.written
+
+    def counted(df, tag):
+        out = plain(df, tag)
+        if tag == "near":
+            kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(search, "written", counted)
+    monkeypatch.setattr(search, "SHORT", short)
+    best = search.best_records(asked.where(~catalog.unasked()), search.catalog_index(records, stamped=True))
+    rows = catalog.told(best, asked).collect()
+    attempts = [r.asDict() for r in catalog.search_attempts(asked).collect()]
+    want = brute_lookup({"queries": [r.asDict() for r in asked.collect()], "attempts": attempts}, [r.asDict() for r in records.collect()])
+    assert {r["job_id"]: (r["status"], r["score"], (r["artistName"], r["trackName"]) if r["score"] is not None else None) for r in rows} == want
+    found = search.search_records(asked, search.catalog_index(records)).count()
+    assert short == 0 or kept[0] * 2 < found
