@@ -207,3 +207,15 @@ def test_rests_of_means_decide_no_end(spark):
     )
     got = consensus.refine(captions, candidates).where("idx = 0").collect()[0]
     assert got["accepted"] and got["end"] == pytest.approx(5.95)
+
+
+@pytest.mark.parametrize("rows", [1 << 16, 4])
+def test_neighbours_go_to_as_many_tasks_as_they_need(spark, monkeypatch, rows):
+    """What one task sorts is bounded, however many jobs there are; the neighbours are the same."""
+    probes = spark.range(300).selectExpr("cast(id % 30 AS string) AS job_id", "cast(id AS double) AS at", "id AS row")
+    points = spark.range(300).selectExpr("cast(id % 30 AS string) AS job_id", "id + 0.5e0 AS at", "id AS p")
+    monkeypatch.setattr(timeline, "ROWS", rows)
+    plain = {tuple(r) for r in timeline.neighbours(probes, points).collect()}
+    monkeypatch.setattr(timeline, "TASK_ROWS", 50)
+    out = timeline.neighbours(probes, points)
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString() and {tuple(r) for r in out.collect()} == plain and len(plain) == 300
