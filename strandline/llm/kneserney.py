@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ ORDER = 5  # bytes; an n-gram is a number of 8 bits a byte
 _PAD = b"\n" * (ORDER - 1)
 WINDOW = 24  # bytes over which the two models are compared
 BLOCK = 1 << 18
+KINDS = TRUSTED, TOXIC = 1, 2  # of texts that are learnt from, bits
 
 
 def _codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -39,6 +41,17 @@ def _count(batches):
         yield pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int64)), pa.array(counts, pa.int64())], ["code", "c"])
 
 
+def _count_kinds(batches):
+    """_count of texts with kinds (sets of bits), for each kind by itself."""
+    for batch in blocks(batches, 4 << 20):
+        for kind in KINDS:
+            own = batch.filter(pc.not_equal(pc.bit_wise_and(batch.column(batch.schema.names.index("kinds")), kind), 0))
+            if own.num_rows:
+                codes, counts = np.unique(_codes(byte_texts(own))[0], return_counts=True)
+                columns = [pa.array(np.full(len(codes), kind, dtype=np.int32)), pa.array(codes.astype(np.int64)), pa.array(counts, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["kind", "code", "c"])
+
+
 @dataclass
 class Model:
     """Per order: sorted codes and log10 probabilities; sorted contexts and the log10 weight they leave to the order below. Index 0 is order 1."""
@@ -84,11 +97,17 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 
 
 def train(texts: DataFrame) -> Model:
-    """The model of the texts (doc_id, text), which must be a bounded sample: its n-grams are at most ORDER times its bytes.
+    """The model of the texts (doc_id, text), all of them. It has as many n-grams as the texts have different ones of ORDER bytes and fewer,
+    which are far fewer than their bytes.
 
     Counts, context totals, discounts and lower orders are sharded tables by n-gram, joined order by order: the highest order has
     plain counts, each lower one the number of distinct bytes before an n-gram."""
-    counts = {ORDER: written(texts.mapInArrow(_count, "code long, c long").groupBy("code").agg(F.sum("c").alias("c")), "counts")}
+    return _model(written(texts.mapInArrow(_count, "code long, c long").groupBy("code").agg(F.sum("c").alias("c")), "counts"))
+
+
+def _model(grams: DataFrame) -> Model:
+    """The model of the counts (code, c) of all ORDER-grams, a written table."""
+    counts = {ORDER: grams}
     for k in range(ORDER - 1, 0, -1):
         counts[k] = written(counts[k + 1].groupBy(F.col("code").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("code")).agg(F.count("*").alias("c")), "counts")
     model, below = Model(), None
@@ -174,13 +193,35 @@ def _scorer(models):
     return run
 
 
+def _held_out() -> Column:
+    """Whether an id is of the third of all ids, by hash, that is never learnt from."""
+    return F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) == 0
+
+
+def _learners(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """text, kinds (a bit of KINDS each) of all documents to learn from: trusted or toxic, not held out, with a text. Every row counts, as often as it stands."""
+    bit = lambda ids, kind: ids.withColumn("kinds", F.lit(kind))
+    ids = bit(_trusted(labels), TRUSTED).unionByName(bit(_toxic(labels), TOXIC)).groupBy("doc_id").agg(F.bit_or("kinds").alias("kinds"))
+    texts = docs.where("text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(~_held_out())
+    # by hash at every size: ids that are broadcast while they are few would make the shuffle grow faster than the input
+    return texts.join(ids.where(~_held_out()).hint("shuffle_hash"), "doc_id").select("text", "kinds")
+
+
+def _models(docs: DataFrame, labels: DataFrame) -> list[Model | None]:
+    """The models of all trusted and of all toxic documents that aren't held out. Without toxic ones None stands for theirs."""
+    counted = _learners(docs, labels).mapInArrow(_count_kinds, "kind int, code long, c long")
+    counts = written(counted.groupBy("kind", "code").agg(F.sum("c").alias("c")), "counts")
+    of = lambda kind: counts.where(F.col("kind") == kind).drop("kind")
+    return [_model(of(TRUSTED)), None if of(TOXIC).isEmpty() else _model(of(TOXIC))]
+
+
 def _sample(docs: DataFrame, wanted: DataFrame, per_language: int, longest: int) -> DataFrame:
-    """doc_id, text_hash, lang of the documents to learn from: of those with wanted ids and `longest` characters at most, per_language of
-    each language. A third of all ids, by hash, is never learnt from."""
+    """doc_id, text_hash, lang of a sample to learn from, where one is asked for: of documents with wanted ids and `longest` characters at most,
+    per_language of each language, none of those held out."""
     rows = docs.where(F.length("text").between(1, longest)).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.coalesce("lang", F.lit("")).alias("lang")
     )
-    return least_hashed(rows.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) != 0).join(wanted, "doc_id", "left_semi"), "lang", per_language)
+    return least_hashed(rows.where(~_held_out()).join(wanted, "doc_id", "left_semi"), "lang", per_language)
 
 
 def _learnt(docs: DataFrame, sample: DataFrame) -> DataFrame:
@@ -213,24 +254,28 @@ class Classifier:
 
 
 def fit_classifier(
-    docs: DataFrame, labels: DataFrame, per_language: int = 400, longest: int = 20_000, quantile: float = 0.99, prior: float = 50.0
+    docs: DataFrame, labels: DataFrame, per_language: int | None = None, longest: int = 20_000, quantile: float = 0.99, prior: float = 50.0
 ) -> Classifier:
-    """Learns from bounded samples of trusted and of toxic documents (per_language of each language, of `longest` characters at most),
-    scores all documents, whole, and sets the limits.
+    """Learns from all trusted and all toxic documents, whole, but for a third of all ids by hash, scores all documents, whole, and sets the limits.
+    Only a caller that gives per_language has it learn from samples (as many documents of each language, of `longest` characters at most).
 
-    A language's limit is the quantile of a measure (of perplexities the logarithm) over its n trusted documents outside the sample, with
+    A language's limit is the quantile of a measure (of perplexities the logarithm) over its n trusted documents that weren't learnt from, with
     weight n, and that over all languages' with weight `prior`: the same rule at every size, so that a language with few trusted documents
     leans on the others."""
-    sample, toxic = (written(_sample(docs, ids, per_language, longest), "sample") for ids in (_trusted(labels), _toxic(labels)))
-    good, bad = (train(_learnt(docs, ids)) if ids is sample or not ids.isEmpty() else None for ids in (sample, toxic))
+    judges = _trusted(labels)
+    if per_language is None:
+        good, bad = _models(docs, labels)
+        judges = judges.where(_held_out())
+    else:
+        sample, toxic = (written(_sample(docs, ids, per_language, longest), "sample") for ids in (_trusted(labels), _toxic(labels)))
+        good, bad = (train(_learnt(docs, ids)) if ids is sample or not ids.isEmpty() else None for ids in (sample, toxic))
+        judges = judges.join(F.broadcast(sample.select("doc_id").distinct()), "doc_id", "left_anti")
     models = docs.sparkSession.sparkContext.broadcast((good, bad))
     scored = texts_of(docs, "doc_id", "text", F.col("lang").cast("string").alias("lang")).mapInArrow(
         _scorer(models), "doc_id long, lang string, n_bytes long, perplexity double, toxic_odds double"
     )
     scored = written(scored.withColumn("row_id", F.monotonically_increasing_id()), "scores")
-    judged = scored.where("perplexity IS NOT NULL").join(_trusted(labels), "doc_id", "left_semi").join(
-        F.broadcast(sample.select("doc_id").distinct()), "doc_id", "left_anti"
-    )
+    judged = scored.where("perplexity IS NOT NULL").join(judges, "doc_id", "left_semi")
     at = [F.percentile_approx(m, quantile, 10_000).alias(m) for m in MEASURES]
     rows = judged.where("lang IS NOT NULL").groupBy("lang").agg(*at, F.count("*").alias("n")).collect()
     overall = judged.agg(*at).first()
@@ -250,13 +295,13 @@ def classify_quality(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     limit), toxic_odds (the largest mean log10 odds of WINDOW neighbouring bytes between the model of toxic documents and that of trusted
     ones), most_odds (its language's limit), kept.
 
-    See fit_classifier. A language without trusted documents outside the sample, and a null one, has the limit over all. A document above
+    See fit_classifier. A language without trusted documents that weren't learnt from, and a null one, has the limit over all. A document above
     either limit is rejected.
 
     Null or empty text: perplexity null, rejected. Without trusted documents nothing can be judged: every text that isn't empty is kept;
     without toxic documents toxic_odds are null and reject nothing. Null or repeated ids: rows of their own. Empty table: no rows. Other
-    columns are not read. The ids of the samples (per_language a language each) and the models are broadcast, bounded by those parameters;
-    the texts aren't shuffled, the scores meet the labels by doc_id."""
+    columns are not read. The models are broadcast: they follow the different n-grams of ORDER bytes of the texts learnt from. Those texts meet the
+    labels by doc_id once, to be counted; scoring is a map, and the scores meet the labels by doc_id."""
     c = fit_classifier(docs, labels, **how)
     most: dict[str, Column] = {}
     for m in MEASURES:

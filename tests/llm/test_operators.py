@@ -542,6 +542,21 @@ def test_quality_limits_are_shrunk_means(spark):
         assert limit == pytest.approx(10 ** ((len(own) * logs[0] + 50 * logs[1]) / (len(own) + 50)), rel=1e-6)
 
 
+def test_models_learn_from_every_labelled_document(spark):
+    texts = [(i, f"text {i * i} of {i}") for i in range(1500)] + [(1500 + i, "~" * 25_000 + f" long {i}") for i in range(6)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in texts] + [(3, "again", "en"), (None, "null", "en"), (4, None, "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 5 > 0), int(i % 7 == 0)) for i, _ in texts] * 2, "doc_id long, quality int, toxic int")
+    c = kneserney.fit_classifier(docs, labels)
+    learnt = docs.where("text IS NOT NULL").where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) != 0).join(labels.distinct(), "doc_id")
+    for model, which in zip(c.models.value, ("quality = 1 AND toxic = 0", "toxic = 1"), strict=True):
+        want = kneserney.train(learnt.where(which).select("doc_id", "text"))
+        for got, of in zip(model.grams + model.contexts, want.grams + want.contexts, strict=True):
+            assert (got[0] == of[0]).all() and got[1] == pytest.approx(of[1])
+    held = {r[0] for r in docs.select("doc_id").join(learnt, "doc_id", "left_anti").join(labels.where("quality = 1 AND toxic = 0"), "doc_id", "left_semi").collect()}
+    seen = [r["perplexity"] for r in c.scores.collect() if r["doc_id"] in held and r["perplexity"] is not None]
+    assert c.overall["perplexity"] == pytest.approx(sorted(seen)[math.ceil(0.99 * len(seen)) - 1])
+
+
 def test_training_is_bounded_for_repeated_ids(spark):
     rows = spark.range(500).selectExpr(
         "cast(6 AS long) AS doc_id", "concat('text number ', id) AS text", "'en' AS lang"
