@@ -204,3 +204,12 @@ def test_best_records_keep_few_pairs(spark, tables, monkeypatch, short):
     assert {r["job_id"]: (r["status"], r["score"], (r["artistName"], r["trackName"]) if r["score"] is not None else None) for r in rows} == want
     found = search.search_records(asked, search.catalog_index(records)).count()
     assert short == 0 or kept[0] * 2 < found
+
+
+def test_titles_are_compared_after_equal_pairs_went(spark, monkeypatch):
+    plans, real = {}, catalog.written
+    monkeypatch.setattr(catalog, "written", lambda df, tag: plans.update({tag: df._jdf.queryExecution().optimizedPlan().toString()}) or real(df, tag))
+    queries = spark.createDataFrame([("1", "s", "who", "one two", 200.0, 2), ("2", "s", "who", "zzzz", 200.0, 2)], "job_id string, shelf string, artist string, title string, duration double, lines int")
+    records = spark.createDataFrame([("s", 1, "one two three", "who", 200.0, "[00:01.00] x")], "shelf string, seq long, trackName string, artistName string, duration double, syncedLyrics string")
+    assert [r["job_id"] for r in catalog.shared_best(records, queries).collect()] == ["1"]
+    assert plans["titles"].count("ArrowEvalPython") == 1 and plans["titles"].index("ArrowEvalPython") < plans["titles"].index("Aggregate")
