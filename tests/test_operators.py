@@ -338,3 +338,12 @@ def test_empty_tables(spark):
         consensus.refine(c.withColumn("duration", F.lit(9.0)), k), timeline.violations(c)
     ):
         assert df.count() == 0
+
+
+def test_searches_are_dealt_by_jobs(spark):
+    blocks = spark.createDataFrame([(str(j), 0, "one two", "one two", 60.0) for j in range(9)], "job_id string, idx int, text string, sync_text string, duration double")
+    heard = spark.createDataFrame([(str(j), 0, 1.0, 2.0, "one two") for j in range(9)], "job_id string, idx int, start double, end double, text string")
+    for found in (align.transcript_paths(blocks, heard), align.group_paths(blocks, heard), align.choose_lines(blocks, heard)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("ArrowEvalPython") < plan.index("RepartitionByExpression [job_id")
+    assert len(align.transcript_paths(blocks, heard).collect()) == 9
