@@ -213,3 +213,36 @@ def test_titles_are_compared_after_equal_pairs_went(spark, monkeypatch):
     records = spark.createDataFrame([("s", 1, "one two three", "who", 200.0, "[00:01.00] x")], "shelf string, seq long, trackName string, artistName string, duration double, syncedLyrics string")
     assert [r["job_id"] for r in catalog.shared_best(records, queries).collect()] == ["1"]
     assert plans["titles"].count("ArrowEvalPython") == 1 and plans["titles"].index("ArrowEvalPython") < plans["titles"].index("Aggregate")
+
+
+def test_bits_and_bags_bound_what_texts_share(spark):
+    """Letters in common bound a similarity from above, long and foreign names included, and no found pair lacks bits."""
+    draw = random.Random(5)
+    names = ["", "a", "z" * 140, "ab" * 90, "もしも星", "x1 y2 1 1", *("".join(draw.choices("abcde 19", k=draw.randint(1, 40))) for _ in range(20))]
+    rows = spark.createDataFrame([(a, b) for a in names for b in names], "artist string, title string")
+    side = lambda c: search._with_facts(rows.select("artist", "title").withColumn("n", F.col(c)), "n", "n").select(*rows.columns, F.col("facts").alias("f"))
+    pairs = side("artist").withColumnRenamed("f", "asker").join(side("title").withColumnRenamed("f", "about"), ["artist", "title"])
+    pairs = search._flat(search._flat(pairs, "asker"), "about").select("asker.track", "about.track", search._at_most("track"), search._in_common("track")).collect()
+    assert len(pairs) == len(rows.collect())
+    for a, b, most, common in pairs:
+        ratio = difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() if a and b else 0.0
+        assert most >= ratio - 1e-12 and common <= min(len(a), len(b))
+    sets = [draw.sample([f"w{k}" for k in range(300)], draw.randint(1, 90)) for _ in range(60)]
+    words = spark.createDataFrame([(a, b) for a in sets for b in sets], "a array<string>, b array<string>")
+    few = F.size("a") - F.bit_count(search._sign("a"))
+    got = words.select(F.bit_count(search._sign("a").bitwiseAND(search._sign("b"))) + few >= F.size(F.array_intersect("a", "b"))).collect()
+    assert all(r[0] for r in got)
+
+
+def test_a_query_of_frequent_words_gets_a_floor(spark, monkeypatch):
+    """Where all lists are longer than SHORT, one salt of a list still gives a floor, and far records don't leave the join."""
+    kept, plain = [], search.written
+    monkeypatch.setattr(search, "written", lambda df, tag: (lambda out: kept.append(out.count()) or out if tag == "near" else out)(plain(df, tag)))
+    monkeypatch.setattr(search, "SHORT", 8)
+    monkeypatch.setattr(search, "ROWS_A_WAY", 8)
+    row = lambda k: (k, k, "one two", "who", "album", 60.0 + 20 * (k % 50), LRC, "1", 0)
+    records = spark.createDataFrame([row(k) for k in range(200)], RECORD)
+    asked = spark.createDataFrame([(str(j), "who", "one two", 60.0 + 20 * j, 2) for j in range(50)], "job_id string, artist string, title string, duration double, lines int")
+    best = search.best_records(asked, search.catalog_index(records.drop("job_id", "word"), stamped=True)).collect()
+    assert len(best) == 50 and all(r["score"] > 0.8 for r in best)
+    assert kept[0] < 50 * 200
