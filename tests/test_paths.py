@@ -373,3 +373,30 @@ def test_few_searches_are_held_at_once(monkeypatch):
     got = list(paths.in_turn((1, lambda: paths.best_scores(["ab"], ["abc"])) for _ in range(1200)))
     assert len(got) == 1200 and {float(g[0][0]) for g in got} == {ratio("ab", "abc")}
     assert max(held) <= 600
+
+
+def test_lines_that_cannot_be_chosen_are_not_compared():
+    """With the places of lines in their blocks the choice is the same, and a block whose first line is a segment has no further line compared."""
+    draw = random.Random(3)
+    text = lambda n: "".join(draw.choices("abcdefgh", k=n))
+    for _ in range(40):
+        segments = [text(draw.randint(1, 30)) for _ in range(draw.randint(1, 6))]
+        lines, pos = [], []
+        for _ in range(5):
+            n = draw.randint(1, 4)
+            lines += [draw.choice([text(12), draw.choice(segments), draw.choice(segments)[:9] + text(3)]) for _ in range(n)]
+            pos += range(n)
+        (every, compared, _), = paths.together([paths.best_scores(lines, segments)])
+        (some, fewer, _), = paths.together([paths.best_scores(lines, segments, pos=pos)])
+        chosen = []
+        for scores in (every, some):
+            best = []
+            for k, p in enumerate(pos):
+                if p == 0:
+                    best.append((scores[k], k))
+                elif scores[k] > best[-1][0] + paths.BETTER:
+                    best[-1] = scores[k], k
+            chosen.append(best)
+        assert chosen[0] == chosen[1] and fewer <= compared
+    (_, all_, _), (_, few, _) = paths.together([paths.best_scores(["abcdef", "abcdeg", "bbcdef"], ["abcdef"], pos=at) for at in (None, [0, 1, 2])])
+    assert all_ == 3 and few == 1
